@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int
     return s.select("rank", "source", "n", "source_size", F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, rows_per_range: int = 20_000, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, rows_per_range: int = 2_000, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of docs."""
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
     sizes = written(sizes.withColumn("key", hash_key(F.col("doc_id"))), "sizes")
