@@ -32,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordHashes, mixed, sequences, split_words
+from .words import encoded, hash_words, mixed, sequences
 
-_hashes = WordHashes()
 _LAST = (1 << 63) - 1
 
 
@@ -46,10 +45,9 @@ class Block:
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
         self.rank = np.unique(self.ids, return_inverse=True)[1]  # equal ids share a rank
-        self.words = [split_words(texts[k], False) for k in self.order]
-        self.count = np.array([len(w) for w in self.words], np.int64)
+        self.raws = encoded([texts[k] for k in self.order], False)
+        self.hashed, self.count = hash_words(self.raws)
         self.begin = np.concatenate(([0], np.cumsum(self.count)))
-        self.hashed = np.concatenate([_hashes.of(w) for w in self.words]) if len(ids) else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(ids)), self.count)
         every = sequences(self.hashed, window)
         self.at = np.flatnonzero(self.doc[: len(every)] == self.doc[window - 1 :][: len(every)])
@@ -146,34 +144,38 @@ def _locate(window: int, anchor: int, buckets: int):
             phrase = elsewhere | several
             where = anchors(b.hashed, b.at, window, anchor)
             if phrase.any():
-                # word ids of the block, 0 between documents
-                _, ids = np.unique(b.hashed, return_inverse=True)
-                ids = ids + 1
+                # one place for each anchor of a phrase
+                places = np.unique(where[phrase[b.back]])
+                _, one = np.unique(mixed(sequences(b.hashed, anchor))[places], return_index=True)
+                runs = places[one][:, None] + np.arange(anchor)
+                # ids of the anchors' words; 0 is any other word, and stands between documents
+                known = np.unique(b.hashed[runs])
+                ids = np.searchsorted(known, b.hashed)
+                ids = np.where(known[np.minimum(ids, len(known) - 1)] == b.hashed, ids + 1, 0)
                 stream = np.zeros(len(ids) + len(b.count), np.int64)
                 shifted = np.arange(len(ids)) + b.doc
                 stream[shifted] = ids
                 machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                sample = np.unique(where[phrase[b.back]])
-                runs = np.unique(ids[sample[:, None] + np.arange(anchor)], axis=0)
-                for k, run_ in enumerate(runs.tolist()):
-                    machine.add_word(tuple(run_), k)
+                for k, words in enumerate(ids[runs].tolist()):
+                    machine.add_word(tuple(words), k)
                 machine.make_automaton()
                 hit = np.zeros(len(stream), bool)
-                found = np.fromiter((end for end, _ in machine.iter(tuple(stream.tolist()))), np.int64)
+                found = np.array([end for end, _ in machine.iter(tuple(stream.tolist()))], np.int64)
                 hit[found - (anchor - 1)] = True
                 # the windows around an anchor found, looked up among the phrases
                 near = np.flatnonzero(hit[shifted[where]])
                 of = b.back[near]
                 gone = near[elsewhere[of] | (several[of] & (rank[near] > b.least[of]))]
-                np.add.at(covered, b.at[gone], 1)
-                np.add.at(covered, b.at[gone] + window, -1)
+                covered += np.bincount(b.at[gone], minlength=len(covered)) - np.bincount(b.at[gone] + window, minlength=len(covered))
         keep = np.cumsum(covered)[:-1] == 0
         n_words, n_removed, kept = [], [], []
-        for k, words in enumerate(b.words):
-            mask = keep[b.begin[k] : b.begin[k + 1]]
-            n_words.append(len(words))
-            n_removed.append(len(words) - int(mask.sum()))
-            kept.append(b" ".join(words if mask.all() else compress(words, mask.tolist())))
+        left = np.concatenate(([0], np.cumsum(keep)))
+        for k, raw in enumerate(b.raws):
+            lo, hi = b.begin[k], b.begin[k + 1]
+            n, stay = int(hi - lo), int(left[hi] - left[lo])
+            n_words.append(n)
+            n_removed.append(n - stay)
+            kept.append(b" ".join(raw.split() if stay == n else compress(raw.split(), keep[lo:hi].tolist())) if stay else b"")
         back = pa.array(np.argsort(b.order))
         out = pa.table({"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array([x.decode() for x in kept], pa.string())}).take(back)
         return pa.table({"doc_id": docs["doc_id"].combine_chunks(), **{c: out[c].combine_chunks() for c in out.column_names}})
