@@ -18,7 +18,7 @@ form a neighbourhood.
    region need no further look.  After the last level the open nodes of a neighbourhood are replicated
    to all its regions that their triangle, size and position windows reach, and these pairs, like all
    others between regions, are verified exactly.
-5  A symmetric-difference bound on 512-bit parity sketches discards pairs before their sets are fetched.
+5  A symmetric-difference bound on 512-bit parity sketches discards pairs before their sets are made.
 
 Every bound is a necessary condition, so no link is lost, and the links reported are exact up to
 collisions of 64-bit shingle hashes.
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, forget, written
-from .words import WordHashes, shingle_set
+from .words import shingle_sets
 
 SKETCH = 8  # longs of a parity sketch
 _TOP = np.uint64(1 << 63)
@@ -50,9 +50,13 @@ def _signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(20)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity sketches: a bit per hash class, set if the set holds an odd number of that class."""
+    width = 64 * SKETCH
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cell = (np.concatenate(sets) >> np.uint64(20)) % np.uint64(width)
+    bits = np.bincount(of * width + cell.astype(np.int64), minlength=len(sets) * width) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(len(sets), SKETCH)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -65,7 +69,7 @@ def _scan(docs: DataFrame, k: int, min_local: int) -> DataFrame:
     names = ["kind", "id", "n", "sig", *(f"b{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, sets, size = WordHashes(), set(), [], 0
+        seen, sets, size = set(), [], 0
 
         def counted() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(sets), return_counts=True)
@@ -75,22 +79,21 @@ def _scan(docs: DataFrame, k: int, min_local: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(_signed(values)), pa.array(times.astype(np.int32)), *[none] * (1 + SKETCH)], names=names)
 
         for batch in batches:
-            n, sig, sketch = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), hashes, k)
-                n.append(len(s))
-                sig.append(_signature(s))
-                sketch.append(_sketch(s))
-                if len(s) and (sig[-1], len(s)) not in seen:
-                    seen.add((sig[-1], len(s)))
-                    sets.append(s)
-                    size += len(s)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                here = list(shingle_sets(part.column(1).to_pylist(), k))
+                n, sig = [len(s) for s in here], [_signature(s) for s in here]
+                for s, node in zip(here, zip(sig, n)):
+                    if len(s) and node not in seen:
+                        seen.add(node)
+                        sets.append(s)
+                        size += len(s)
+                b = _sketches(here)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), *[pa.array(b[:, i]) for i in range(SKETCH)]], names=names)
                 if size > 4_000_000:
                     yield counted()
                     sets, size = [], 0
                     seen.clear()
-            b = np.array(sketch, np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), *[pa.array(b[:, i]) for i in range(SKETCH)]], names=names)
         if sets:
             yield counted()
 
@@ -121,12 +124,10 @@ def _prefixes(docs: DataFrame, k: int, per_cent: int, frequent, buckets: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = frequent.value
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 seen, nodes, sh, of, pos = set(), [], [], [], []
-                for text in batch.column(0).slice(at, 2048):
-                    s = shingle_set(text.as_py(), hashes, k)
+                for s in shingle_sets(batch.column(0).slice(at, 2048).to_pylist(), k):
                     node = (_signature(s), len(s))
                     if not len(s) or node in seen:
                         continue
@@ -240,35 +241,52 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
     return both.filter((100 + per_cent) * differ <= (100 - per_cent) * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb", "ra", "rb")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int, broadcast_limit: int) -> DataFrame:
-    """(sig, n, s) of the wanted nodes (sig, n, rep): the documents are read once more for them."""
-    few = wanted.select(F.col("rep").alias("_rep")).distinct()
-    if few.count() <= broadcast_limit:  # 8 bytes an id
-        few = F.broadcast(few)
-    rows = docs.join(few, docs["doc_id"] == few["_rep"], "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                sets = [shingle_set(t.as_py(), hashes, k) for t in batch.column(1).slice(at, 512)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_signature, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "n", "s"])
-
-    made = rows.mapInArrow(run, "sig long, n int, s binary")
-    return made.join(wanted.select("sig", "n"), ["sig", "n"], "left_semi").groupBy("sig", "n").agg(F.first("s").alias("s"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with the size of their sets' intersection."""
-    side = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias("n" + x), F.col("s").alias("s" + x))
-    both = pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).select("a", "na", "b", "nb", "ra", "rb", "sa", "sb")
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, per_region: int = 500) -> DataFrame:
+    """Pairs with the size of their sets' intersection.
+
+    a is the pivot of a region, the bs its members; a region of many members is split, and each part
+    gets the pivot.  The documents are read once more; only the sets of nodes in a pair move, once
+    for each region they are in.
+    """
+    parts = pairs.groupBy("a", "na").agg(F.ceil(F.count("*") / per_region).cast("int").alias("parts"))
+    member = pairs.join(parts, ["a", "na"])
+    region = lambda part, role: F.struct(F.col("a"), F.col("na"), part.alias("part"), F.lit(role).alias("role"))
+    split = F.pmod(F.xxhash64("b", "nb"), F.col("parts")).cast("int")
+    seats = member.select(F.col("rb").alias("_rep"), F.col("b").alias("sig"), F.col("nb").alias("n"), region(split, 1).alias("r"))
+    heads = member.select("a", "na", "ra", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    seats = seats.unionByName(heads.select(F.col("ra").alias("_rep"), F.col("a").alias("sig"), F.col("na").alias("n"), region(F.col("part"), 0).alias("r")))
+    seats = written(seats.groupBy("_rep", "sig", "n").agg(F.collect_list("r").alias("r")), "seats")
+    if seats.count() <= broadcast_limit:  # some 50 bytes a seat
+        rows = docs.join(F.broadcast(seats), docs["doc_id"] == seats["_rep"])
+    else:
+        rows = docs.join(seats.hint("merge"), docs["doc_id"] == seats["_rep"])
+    names = ["a", "na", "part", "role", "sig", "n", "rep", "s"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(6), batch.column(7))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(common, pa.int32())], names=[*batch.schema.names[:6], "common"])
-
-    return both.mapInArrow(run, "a long, na int, b long, nb int, ra long, rb long, common int")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for s, row in zip(shingle_sets(part.column(0).to_pylist(), k), part.drop_columns("text").to_pylist()):
+                    if (row["sig"], row["n"]) == (_signature(s), len(s)):  # else another text of that id
+                        out += [(r["a"], r["na"], r["part"], r["role"], row["sig"], row["n"], row["_rep"], s.tobytes()) for r in row["r"]]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
+
+    def common(key: tuple, group: pa.Table) -> pa.Table:
+        head, got = None, {}
+        for role, sig, n, rep, s in zip(*(group[c].to_pylist() for c in ("role", "sig", "n", "rep")), group["s"]):
+            if role:
+                got[sig, n, rep] = s
+            else:
+                head = (np.frombuffer(s.as_py(), np.uint64), rep)
+        a, na = key[0].as_py(), key[1].as_py()
+        found = [(a, na, sig, n, head[1], rep, len(np.intersect1d(head[0], np.frombuffer(s.as_py(), np.uint64), assume_unique=True))) for (sig, n, rep), s in got.items()] if head else []
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names=["a", "na", "b", "nb", "ra", "rb", "common"])
+
+    made = rows.select("text", "_rep", "sig", "n", "r").mapInArrow(sets, "a long, na int, part int, role int, sig long, n int, rep long, s binary")
+    return made.groupBy("a", "na", "part").applyInArrow(common, "a long, na int, b long, nb int, ra long, rb long, common int")
 
 
 def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, large: int = 64, levels: int = 2, most_frequent: int = 500_000, broadcast_limit: int = 1_000_000) -> DataFrame:
@@ -295,10 +313,6 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, la
     big = big.join(nodes.select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("rep").alias("rx")), ["x", "nx"])
     big = written(big, "neighbourhoods")
 
-    wanted = open_pairs.select(F.col("a").alias("sig"), F.col("na").alias("n"), F.col("ra").alias("rep")).unionByName(open_pairs.select(F.col("b").alias("sig"), F.col("nb").alias("n"), F.col("rb").alias("rep")))
-    wanted = wanted.unionByName(big.select(F.col("x").alias("sig"), F.col("nx").alias("n"), F.col("rx").alias("rep"))).distinct()
-    sets = written(_sets(docs, wanted, shingle_words, broadcast_limit), "sets")
-
     windows = f"(100 + {per_cent}) * least(nx - px, ny - py) >= {per_cent} * (nx + ny) and 100 * least(nx, ny) >= {per_cent} * greatest(nx, ny)"
     linked = f"100 * common >= {per_cent} * (na + nb - common)"
     region: DataFrame | None = None  # (node, component) of what is united so far
@@ -342,7 +356,8 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, la
         pairs = _ordered(stars.select(F.col("x").alias("a"), F.col("nx").alias("na"), F.col("y").alias("b"), F.col("ny").alias("nb")).unionByName(first))
         if checked is not None:
             pairs = pairs.join(checked.select("a", "na", "b", "nb"), ["a", "na", "b", "nb"], "left_anti")
-        now = written(_verified(_sketched(pairs, nodes, per_cent), sets), f"level{level}")
+        now = written(_sketched(pairs, nodes, per_cent), "asked")
+        now = written(_verified(now, docs, shingle_words, broadcast_limit), f"level{level}")
         checked = now if checked is None else checked.unionByName(now)
         if now.isEmpty():
             continue
