@@ -54,7 +54,7 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), pattern())
+    files = write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return read_token_files(spark, files)
 
 

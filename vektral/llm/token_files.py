@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chunks import Chunks, NotCut, values
 from .common import new_path, written
 
 MAGIC = b"VKTOK1\0\0"
@@ -101,55 +102,85 @@ class TokenFile:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct piece of its own pre-tokenizer's pattern.
+    """The tokenizers library over whole texts, asked once for each distinct chunk.
 
-    Pieces are encoded apart from each other by the library anyway, so the ids are those of the whole
-    text; the table of pieces is bounded and starts anew when full.
+    The library itself encodes a text's pieces apart from each other; chunks end where pieces always
+    end, so their ids end to end are the ids of the text.  Texts that can't be cut so go to the library
+    whole.  The table of chunks is bounded and starts anew when full.
     """
 
-    def __init__(self, path: str, pattern: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.split = regex.compile(pattern)
         self.bits = bits_for(self.library.get_vocab_size())
         self.kind = "<u2" if self.bits <= 16 else "<u4"
-        self.max_pieces, self.pieces = max_pieces, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > self.max_pieces:
-            self.pieces.clear()
-        table, kind = self.pieces, self.kind
-        cut = [self.split.findall(t) for t in texts]
-        new = {p for c in cut for p in c if p not in table}
-        # words with their space before them split again in the same places when joined
-        words, rest = [], []
-        for p in new:
-            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
-        for e, part in zip(self.library.encode_batch(["".join(words[k : k + 500]) for k in range(0, len(words), 500)], add_special_tokens=False), range(0, len(words), 500)):
-            ids, of = np.array(e.ids, kind), np.array(e.word_ids)
-            ends = np.flatnonzero(np.diff(of, append=-1)) + 1
-            part = words[part : part + 500]
-            if len(ends) != len(part):
+        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.new: set[str] = set()
+        self.heads = Chunks(lambda chunk: self.whole([chunk])[0], limit // 16)
+        self.tails = Chunks(self._later, limit)
+        self.line_feed = self.whole(["\n"])[0]
+
+    def _later(self, chunk: str) -> bytes:
+        """Chunks met first are encoded together, after the batch has been cut; an empty value till then."""
+        self.new.add(chunk)
+        return b""
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Encodes the new chunks.  Joined with a space before each they are cut in the same places
+        again, and only the first id of each begins with the space."""
+        new, table = list(self.new), self.tails
+        self.new.clear()
+        parts, rest = [new[k : k + 500] for k in range(0, len(new), 500)], []
+        for e, part in zip(self.library.encode_batch_fast([" " + " ".join(x) for x in parts], add_special_tokens=False), parts):
+            ids = np.array(e.ids, self.kind)
+            starts = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(starts) != len(part):
                 rest += part
                 continue
             data, width = ids.tobytes(), ids.itemsize
-            for p, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
+            for p, a, b in zip(part, starts, [*starts[1:], len(ids)]):
                 table[p] = data[a * width : b * width]
-        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            table[p] = np.array(e.ids, kind).tobytes()
-        return [b"".join(map(table.__getitem__, c)) for c in cut]
-
+        for p, x in zip(rest, self.whole([" " + p for p in rest])):
+            table[p] = x
 
-_encoders: dict[tuple[str, str], LibraryEncoder] = {}
-
-
-def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, docs_per_file: int = 4000, block: int = 4096) -> DataFrame:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.tails) > self.tails.limit:
+            self.tails.clear()
+        out: list[bytes | None] = []
+        again, uncut = [], []
+        for k, text in enumerate(texts):
+            try:
+                found = values(text, self.heads, self.tails, self.line_feed) if text else []
+                out.append(b"".join(found))
+                if not all(found):
+                    again.append(k)
+            except NotCut:
+                out.append(None)
+                uncut.append(k)
+        long = [p for p in self.new if len(p) > 64]  # not kept beyond this batch
+        self._learn()
+        for k in again:
+            out[k] = b"".join(values(texts[k], self.heads, self.tails, self.line_feed))
+        for p in long:
+            self.tails.pop(p, None)
+        for k, x in zip(uncut, self.whole([texts[k] for k in uncut])):
+            out[k] = x
+        return out
+
+
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, docs_per_file: int = 4000, block: int = 4096) -> DataFrame:
     """Writes the files of docs (doc_id, text); gives one row per file, itself a written table:
     path, first_doc, n_docs, n_tokens.  Files of lost or repeated attempts aren't listed."""
     spark = docs.sparkSession
@@ -160,10 +191,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        key = (tokenizer_path, pattern)
-        if key not in _encoders:
-            _encoders[key] = LibraryEncoder(*key)
-        encoder = _encoders[key]
+        if tokenizer_path not in _encoders:
+            _encoders[tokenizer_path] = LibraryEncoder(tokenizer_path)
+        encoder = _encoders[tokenizer_path]
         end = np.array([end_id], encoder.kind).tobytes()
         width = len(end)
         ids, lengths, data = [], [], []
