@@ -21,10 +21,13 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .chunks import Chunks, NotCut, values
+
 
 def load_ranks(path: str) -> list[bytes]:
     """Token bytes by id from a rank file (base64 token, rank)."""
@@ -39,19 +42,18 @@ def load_ranks(path: str) -> list[bytes]:
 class BpeTransducer:
     """The transducer of one vocabulary; see the module's text.
 
-    max_states and max_pieces bound the tables; when one is full it starts anew.
+    max_states bounds the tables; when they are full they start anew.
     """
 
-    def __init__(self, tokens: list[bytes], max_states: int = 400_000, max_pieces: int = 500_000):
+    def __init__(self, tokens: list[bytes], max_states: int = 400_000):
         self.tokens = tokens
         self.ids = {b: i for i, b in enumerate(tokens) if b}
         self.sizes = [len(b) for b in tokens]
         self.longest = max(self.sizes)
         self.begins = {b[:k] for b in self.ids for k in range(1, len(b))}
-        self.max_states, self.max_pieces = max_states, max_pieces
+        self.max_states = max_states
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, int] = {}
-        self._pieces: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -111,15 +113,15 @@ class BpeTransducer:
         return [(ids[x], n - k) for k in range(max(0, n - self.longest), n) if (x := data[k:]) in ids]
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, data, chain, cuts = self._states[state]
+        before, data, ends, cuts = self._states[state]
         data += bytes((byte,))
         n, start, t, known = len(data), 0, -1, self._pairs.get
         for t, size in self._ending(data):
             start = n - size
-            left = chain[start - 1] if start else before
+            left = ends[start - 1] if start else before
             if left < 0 or (known(left << 32 | t) or self.stays(left, t)) > 0:
                 break
-        chain += (t,)
+        ends += (t,)
         cuts += ((cuts[start - 1] if start else 0) | 1 << n,)
         # a later token can only start where the bytes since then begin some longer token
         shared, begins = cuts[-1], self.begins
@@ -135,17 +137,17 @@ class BpeTransducer:
             at = cut = shared.bit_length() - 1
             ids = []
             while at > 0:
-                ids.append(chain[at - 1])
+                ids.append(ends[at - 1])
                 at -= self.sizes[ids[-1]]
             out = tuple(reversed(ids))
             # the emitted token only matters while a token can start right behind it
-            data, chain, cuts = data[cut:], chain[cut:], tuple([c >> cut for c in cuts[cut:]])
+            data, ends, cuts = data[cut:], ends[cut:], tuple([c >> cut for c in cuts[cut:]])
             before = -2 if data and data not in begins else out[-1]
         key = (before, data)
         to = self._state_ids.get(key)
         if to is None:
             to = self._state_ids[key] = len(self._states)
-            self._states.append((before, data, chain, cuts))
+            self._states.append((before, data, ends, cuts))
         self._next[state << 8 | byte] = step = (to, out)
         return step
 
@@ -164,20 +166,17 @@ class BpeTransducer:
 
     def _final(self, state: int) -> list[int]:
         """The ids still pending when a piece ends in this state."""
-        chain, rest = self._states[state][2], []
-        at = len(chain)
+        ends, rest = self._states[state][2], []
+        at = len(ends)
         while at > 0:
-            rest.append(chain[at - 1])
+            rest.append(ends[at - 1])
             at -= self.sizes[rest[-1]]
         return rest[::-1]
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """All ids of a piece.  Short pieces are remembered: their path through the states as one edge."""
-        known = self._pieces.get(piece)
-        if known is not None:
-            return known
+    def encode_piece(self, piece: str) -> list[int]:
+        """All ids of a piece."""
         if len(piece) > 64:
-            return tuple(self.transduce(piece.encode()))
+            return list(self.transduce(piece.encode()))
         if len(self._states) > self.max_states:
             self._reset()
         state, ids, step = 0, [], self._next.get
@@ -185,21 +184,43 @@ class BpeTransducer:
             state, out = step(state << 8 | byte) or self._step(state, byte)
             if out:
                 ids += out
-        ids += self._final(state)
-        if len(self._pieces) >= self.max_pieces:
-            self._pieces.clear()
-        known = self._pieces[piece] = tuple(ids)
-        return known
+        return ids + self._final(state)
+
+
+class TextEncoder:
+    """Ids of whole texts: each match of the pattern goes through the transducer by itself.  Chunks met
+    before are remembered, their path through the states as one edge, in tables of bounded size."""
+
+    def __init__(self, fst: BpeTransducer, pattern: str, limit: int = 1_000_000):
+        import regex
+
+        self.fst, self.split = fst, regex.compile(pattern)
+        self.heads = Chunks(self.pieces, limit // 16)
+        self.tails = Chunks(lambda chunk: self.pieces(" " + chunk), limit)
+        self.line_feed = self.pieces("\n")
+
+    def pieces(self, text: str) -> tuple[int, ...]:
+        ids: list[int] = []
+        for m in self.split.finditer(text):
+            ids += self.fst.encode_piece(m.group())
+        return tuple(ids)
+
+    def encode(self, text: str) -> list[int]:
+        try:
+            return list(chain.from_iterable(values(text, self.heads, self.tails, self.line_feed))) if text else []
+        except NotCut:
+            return list(self.pieces(text))
 
 
 #: Of this Python process, so that a reused worker keeps its states from task to task.
-_compiled: dict[str, BpeTransducer] = {}
+_compiled: dict[tuple[str, str], TextEncoder] = {}
 
 
-def compiled(ranks_path: str) -> BpeTransducer:
-    if ranks_path not in _compiled:
-        _compiled[ranks_path] = BpeTransducer(load_ranks(ranks_path))
-    return _compiled[ranks_path]
+def compiled(ranks_path: str, pattern: str) -> TextEncoder:
+    key = (ranks_path, pattern)
+    if key not in _compiled:
+        _compiled[key] = TextEncoder(BpeTransducer(load_ranks(ranks_path)), pattern)
+    return _compiled[key]
 
 
 class Utf8Stream:
@@ -222,18 +243,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column:
     schema = f"{id_column} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        fst, split = compiled(ranks_path), regex.compile(pattern)
-        tokens, known = fst.tokens, fst._pieces.get
+        encoder = compiled(ranks_path, pattern)
+        tokens = encoder.fst.tokens
         decimal = [str(i) for i in range(len(tokens))]
         for batch in batches:
             rows = []
             for value in batch.column(1):
-                ids: list[int] = []
-                text = value.as_py() or ""
-                for piece in split.findall(text) if len(text) < 1 << 22 else (m.group() for m in split.finditer(text)):
-                    ids += known(piece) or fst.encode_piece(piece)
+                ids = encoder.encode(value.as_py() or "")
                 stream, seen = Utf8Stream(tokens), hashlib.sha256()
                 for at in range(0, len(ids), 65536):
                     seen.update(stream.feed(ids[at : at + 65536]).encode())
