@@ -18,7 +18,7 @@ form a neighbourhood.
    region need no further look.  After the last level the open nodes of a neighbourhood are replicated
    to all its regions that their triangle, size and position windows reach, and these pairs, like all
    others between regions, are verified exactly.
-5  A symmetric-difference bound on 512-bit parity sketches discards pairs before their sets are made.
+5  A symmetric-difference bound on parity sketches of the sets discards pairs before their sets are made.
 
 Every bound is a necessary condition, so no link is lost, and the links reported are exact up to
 collisions of 64-bit shingle hashes.
@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 from .common import connected_components, forget, written
 from .words import shingle_sets
 
-SKETCH = 8  # longs of a parity sketch
 _TOP = np.uint64(1 << 63)
 
 
@@ -50,13 +49,21 @@ def _signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity sketches: a bit per hash class, set if the set holds an odd number of that class."""
-    width = 64 * SKETCH
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    cell = (np.concatenate(sets) >> np.uint64(20)) % np.uint64(width)
-    bits = np.bincount(of * width + cell.astype(np.int64), minlength=len(sets) * width) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(len(sets), SKETCH)
+def _sketch(s: np.ndarray, least: int = 512) -> bytes:
+    """Parity sketch: a bit per hash class, set if the set holds an odd number of that class.  As wide
+    as the set is large (a power of two), so that it tells large sets apart too."""
+    width = max(least, 1 << max(0, len(s) - 1).bit_length())
+    bits = np.bincount(((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one set only; a wider sketch is folded to the narrower's width."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) != len(b):
+        width = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -66,7 +73,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _scan(docs: DataFrame, k: int, min_local: int) -> DataFrame:
     """kind 0: a document's id, set size, signature and sketch; kind 1: a shingle that min_local
     documents or more of one chunk hold (equal sets counted once), with their number."""
-    names = ["kind", "id", "n", "sig", *(f"b{i}" for i in range(SKETCH))]
+    names = ["kind", "id", "n", "sig", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sets, size = set(), [], 0
@@ -76,7 +83,7 @@ def _scan(docs: DataFrame, k: int, min_local: int) -> DataFrame:
             often = times >= min_local
             values, times = values[often], times[often]
             none = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(_signed(values)), pa.array(times.astype(np.int32)), *[none] * (1 + SKETCH)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(_signed(values)), pa.array(times.astype(np.int32)), none, pa.nulls(len(values), pa.binary())], names=names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -88,8 +95,7 @@ def _scan(docs: DataFrame, k: int, min_local: int) -> DataFrame:
                         seen.add(node)
                         sets.append(s)
                         size += len(s)
-                b = _sketches(here)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), *[pa.array(b[:, i]) for i in range(SKETCH)]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(map(_sketch, here), pa.binary())], names=names)
                 if size > 4_000_000:
                     yield counted()
                     sets, size = [], 0
@@ -97,7 +103,7 @@ def _scan(docs: DataFrame, k: int, min_local: int) -> DataFrame:
         if sets:
             yield counted()
 
-    return docs.mapInArrow(run, "kind int, id long, n int, sig long, " + ", ".join(f"b{i} long" for i in range(SKETCH)))
+    return docs.mapInArrow(run, "kind int, id long, n int, sig long, sketch binary")
 
 
 def _frequent(scan: DataFrame, least: int, most_shingles: int) -> tuple[np.ndarray, int]:
@@ -234,11 +240,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _sketched(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
     """Pairs whose sketches allow a link, with the documents (ra, rb) of their nodes."""
-    side = lambda x: nodes.select(F.col("sig").alias(x), F.col("n").alias("n" + x), F.col("rep").alias("r" + x), *[F.col(f"b{i}").alias(f"{x}{i}") for i in range(SKETCH)])
-    both = pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"])
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)
-    return both.filter((100 + per_cent) * differ <= (100 - per_cent) * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb", "ra", "rb")
+    side = lambda x: nodes.select(F.col("sig").alias(x), F.col("n").alias("n" + x), F.col("rep").alias("r" + x), F.col("sketch").alias("k" + x))
+    both = pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).select("a", "na", "b", "nb", "ra", "rb", "ka", "kb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)
+            sizes = np.asarray(batch.column(1), np.int64) + np.asarray(batch.column(3), np.int64)
+            differ = np.array([_differ(x, y) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())], np.int64)
+            yield batch.select(range(6)).filter(pa.array((100 + per_cent) * differ <= (100 - per_cent) * sizes))
+
+    return both.mapInArrow(run, "a long, na int, b long, nb int, ra long, rb long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, per_region: int = 500) -> DataFrame:
@@ -292,11 +304,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, p
 def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, large: int = 64, levels: int = 2, most_frequent: int = 500_000, broadcast_limit: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): documents are linked when
     100 * |x & y| >= per_cent * |x | y|."""
-    spark = docs.sparkSession
+    spark, levels = docs.sparkSession, max(1, levels)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     scan = written(_scan(docs, shingle_words, 4), "scan")
-    rows = scan.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", *[f"b{i}" for i in range(SKETCH)])
-    nodes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(SKETCH)])
+    rows = scan.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "sketch")
+    nodes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
     nodes = written(nodes.filter("rep is not null"), "nodes")
     n_rows = rows.count()
     frequent, limit = _frequent(scan, large, most_frequent)
