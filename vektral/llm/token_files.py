@@ -177,9 +177,16 @@ class LibraryEncoder:
         return out
 
 
+#: Of this Python process, so that a reused worker keeps its tables from task to task.
 _encoders: dict[str, LibraryEncoder] = {}
 
 
+def encoder_of(path: str) -> LibraryEncoder:
+    if path not in _encoders:
+        _encoders[path] = LibraryEncoder(path)
+    return _encoders[path]
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, docs_per_file: int = 4000, block: int = 4096) -> DataFrame:
     """Writes the files of docs (doc_id, text); gives one row per file, itself a written table:
     path, first_doc, n_docs, n_tokens.  Files of lost or repeated attempts aren't listed."""
@@ -191,9 +198,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = LibraryEncoder(tokenizer_path)
-        encoder = _encoders[tokenizer_path]
+        encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], encoder.kind).tobytes()
         width = len(end)
         ids, lengths, data = [], [], []
