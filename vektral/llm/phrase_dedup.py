@@ -155,13 +155,19 @@ def _locate(window: int, anchor: int, buckets: int):
                 stream = np.zeros(len(ids) + len(b.count), np.int64)
                 shifted = np.arange(len(ids)) + b.doc
                 stream[shifted] = ids
-                machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                for k, words in enumerate(ids[runs].tolist()):
-                    machine.add_word(tuple(words), k)
+                # a word is a few letters of a small alphabet, the first of them marked: the automaton's
+                # nodes have few children, and it matches at words only
+                digits = max(1, -(-int(len(known)).bit_length() // 6))
+                letters = (stream[:, None] >> (6 * np.arange(digits))) & 63
+                letters[:, 0] += 64
+                text = letters.astype(np.uint8).tobytes().decode("latin-1")
+                machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+                for at in shifted[places[one]].tolist():
+                    machine.add_word(text[at * digits : (at + anchor) * digits], at)
                 machine.make_automaton()
                 hit = np.zeros(len(stream), bool)
-                found = np.array([end for end, _ in machine.iter(tuple(stream.tolist()))], np.int64)
-                hit[found - (anchor - 1)] = True
+                found = np.array([end for end, _ in machine.iter(text)], np.int64)
+                hit[(found + 1) // digits - anchor] = True
                 # the windows around an anchor found, looked up among the phrases
                 near = np.flatnonzero(hit[shifted[where]])
                 of = b.back[near]
@@ -192,7 +198,7 @@ def _digested(locate):
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 13, anchor: int = 5, docs_per_block: int = 2000, digest: bool = False) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = 13, anchor: int = 4, docs_per_block: int = 2000, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by a space) of every row of docs;
     with digest the sha256 of kept instead of it, so that no text leaves the task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
