@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from string import punctuation as PUNCTUATION
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +110,7 @@ class LibraryEncoder:
     whole.  The table of chunks is bounded and starts anew when full.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 1_600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -122,12 +123,21 @@ class LibraryEncoder:
         self.spaced = np.zeros(self.library.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
         self.new: set[str] = set()
+        self.open: list[str] = []
         self.heads = Chunks(lambda chunk: self.whole([chunk])[0], limit // 16)
-        self.tails = Chunks(self._later, limit)
+        self.limit = limit
+        self.tails = Chunks(self._later, 1 << 62)  # cleared between batches only: values come late
         self.line_feed = self.whole(["\n"])[0]
 
     def _later(self, chunk: str) -> bytes:
-        """Chunks met first are encoded together, after the batch has been cut; an empty value till then."""
+        """Chunks met first are encoded together, after the batch has been cut; an empty value till then.
+        Letters and punctuation after them are always pieces of their own, and put together here."""
+        word = chunk.rstrip(PUNCTUATION)
+        if word != chunk and word.isalpha():
+            known = self.tails[word]
+            if not known:
+                self.open.append(chunk)
+            return known and known + self.heads[chunk[len(word) :]]
         self.new.add(chunk)
         return b""
 
@@ -153,12 +163,12 @@ class LibraryEncoder:
             table[p] = x
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.tails) > self.tails.limit:
+        if len(self.tails) > self.limit:
             self.tails.clear()
         out: list[bytes | None] = []
         again, uncut = [], []
         for k, text in enumerate(texts):
-            try:
+            try:  # chunks without a value yet are empty
                 found = values(text, self.heads, self.tails, self.line_feed) if text else []
                 out.append(b"".join(found))
                 if not all(found):
@@ -168,6 +178,9 @@ class LibraryEncoder:
                 uncut.append(k)
         long = [p for p in self.new if len(p) > 64]  # not kept beyond this batch
         self._learn()
+        for p in [p for p in self.open if not self.tails.get(p)]:
+            self.tails.pop(p, None)
+        self.open.clear()
         for k in again:
             out[k] = b"".join(values(texts[k], self.heads, self.tails, self.line_feed))
         for p in long:
