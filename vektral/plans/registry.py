@@ -1,10 +1,526 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries over the driver's tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import dataset as D
+from ..operators import images as I
+from ..operators import learning as L
+from ..operators import neighbours as N
+from ..operators import statistics as S
+from ..operators import windows as W
+from ..sources.tables import image_name, natural_key, samples, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The dataset that most queries run over.
+SAMPLES = """samples AS (SELECT vec_id AS sample_id, CAST(label + 1 AS INTEGER) AS cls,
+  CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS col_idx, CAST(embedding AS DOUBLE[]) AS feat FROM embeddings)"""
+LONG = "long AS (SELECT sample_id, cls, unnest(feat) AS x, generate_subscripts(feat, 1) - 1 AS pos FROM samples)"
+
+
+def query(sql: str | None = None, base: bool = True):
+    """Registers a query by its function's name; base puts the dataset before the SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {SAMPLES}{sql}" if base else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def flat(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Vectors as rounded arrays."""
+    return df.withColumn("feat", F.transform("feat", lambda x: F.round(x, digits)))
+
+
+# -- class index, slices and sets
+
+
+@query(" SELECT cls, count(*) AS n FROM samples GROUP BY cls")
+def class_histogram(spark, d):
+    return samples(spark, d).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+@query(", n AS (SELECT cls, count(*) AS n_per_class FROM samples GROUP BY cls), s AS (SELECT *, CAST(coalesce(sum(n_per_class) OVER (ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS cls_st FROM n) SELECT sample_id, cls, col_idx, n_per_class, cls_st FROM samples JOIN s USING (cls)")
+def class_index(spark, d):
+    return D.class_index(samples(spark, d)).select("sample_id", "cls", "col_idx", "n_per_class", "cls_st")
+
+
+@query("SELECT o_orderpriority, row_number() OVER (ORDER BY m, o_orderpriority) AS id FROM (SELECT o_orderpriority, min(o_orderkey) AS m FROM orders GROUP BY 1)", base=False)
+def stable_class_ids(spark, d):
+    return D.stable_ids(table(spark, d, "orders"), "o_orderpriority", "o_orderkey")
+
+
+@query(" SELECT sample_id, cls, CAST(count(*) OVER (PARTITION BY cls) + 1 - col_idx AS INTEGER) AS col_idx FROM samples")
+def class_flip(spark, d):
+    return D.flip_classes(samples(spark, d)).select("sample_id", "cls", "col_idx")
+
+
+SELECTION = D.Selection(tr=[1, 2, 3, 3, 5], val=[6, 7], te=[8, 9, 10, 11, 12], tr_out=[1, 1, 1, 1, 1], classes=[1, 2, 3, 4, 5, 6], te_classes=[5, 6, 7])
+
+
+@query(""", spec AS (SELECT 'TR' AS split, c AS cls, p AS col_idx, k AS dup FROM (VALUES (1,1),(2,1),(3,1),(3,2),(5,1)) v(p,k), range(1,7) r(c)
+ UNION ALL SELECT 'VAL', c, p, 1 FROM (VALUES (6),(7)) v(p), range(1,7) r(c) UNION ALL SELECT 'TE', c, p, 1 FROM range(8,13) v(p), range(5,8) r(c)
+ UNION ALL SELECT 'TR_OUT', c, 1, k FROM range(1,6) v(k), range(1,7) r(c))
+ SELECT split, cls, col_idx, CAST(dup AS INTEGER) AS dup, sample_id FROM spec JOIN samples USING (cls, col_idx)""")
+def slice_splits(spark, d):
+    return D.slice_dataset(samples(spark, d), SELECTION).select("split", "cls", "col_idx", "dup", "sample_id")
+
+
+@query(", spec(cls, col_idx) AS (VALUES (2,1),(2,4),(3,2),(3,3),(3,9),(5,7)) SELECT 'TR' AS split, cls, col_idx, sample_id FROM spec JOIN samples USING (cls, col_idx)")
+def slice_ragged(spark, d):
+    return D.slice_dataset(samples(spark, d), D.Selection(tr=[[1, 4], [2, 3, 9], [7]], classes=[2, 3, 5])).select("split", "cls", "col_idx", "sample_id")
+
+
+@query(""", i AS (SELECT cls, row_number() OVER (PARTITION BY cls ORDER BY col_idx, dup) AS k, sample_id FROM samples JOIN (VALUES (1,1),(2,1),(3,1),(3,2),(5,1)) v(col_idx,dup) USING (col_idx) WHERE cls <= 6)
+ SELECT i.cls, CAST(k AS INTEGER) AS k, i.sample_id AS input_id, s.sample_id AS target_id FROM i JOIN samples s ON s.cls = i.cls AND s.col_idx = 1""")
+def slice_target_pairs(spark, d):
+    return D.target_pairs(D.slice_dataset(samples(spark, d), SELECTION))
+
+
+@query(" SELECT sample_id, cls, col_idx FROM (SELECT *, count(*) OVER (PARTITION BY cls) AS n FROM samples) WHERE col_idx <= ceil(0.6 * n)")
+def select_percent(spark, d):
+    return D.select_share(samples(spark, d), 0.6).select("sample_id", "cls", "col_idx")
+
+
+@query(", spec AS (SELECT 'TE' AS split, c AS cls, p AS col_idx FROM (VALUES (1),(45),(52),(300),(100000)) v(p), (SELECT DISTINCT cls AS c FROM samples)) SELECT split, cls, col_idx FROM spec ANTI JOIN samples USING (cls, col_idx)")
+def slice_missing(spark, d):
+    return D.missing_places(samples(spark, d), D.Selection(te=[1, 45, 52, 300, 100000]))
+
+
+@query(" SELECT sample_id, cls, CAST(row_number() OVER (PARTITION BY cls ORDER BY src, col_idx) AS INTEGER) AS col_idx FROM (SELECT *, 0 AS src FROM samples WHERE col_idx > 5 UNION ALL SELECT *, 1 FROM samples WHERE col_idx <= 5)")
+def merge_datasets(spark, d):
+    s = samples(spark, d)
+    return D.merge_datasets(s.filter("col_idx > 5"), s.filter("col_idx <= 5")).select("sample_id", "cls", "col_idx")
+
+
+@query(" SELECT sample_id, cls, col_idx FROM samples UNION ALL SELECT sample_id, CAST(cls + (SELECT max(cls) FROM samples) AS INTEGER), col_idx FROM samples WHERE cls <= 3")
+def concat_datasets(spark, d):
+    s = samples(spark, d)
+    return D.concat_datasets(s, s.filter("cls <= 3")).select("sample_id", "cls", "col_idx")
+
+
+@query(" SELECT cls, sample_id FROM samples WHERE cls IN (1,2,3,4,5) INTERSECT SELECT cls, sample_id FROM samples WHERE cls IN (4,5,6) EXCEPT SELECT cls, sample_id FROM samples WHERE col_idx <= 3")
+def range_set_operations(spark, d):
+    s = samples(spark, d).select("cls", "sample_id", "col_idx")
+    both = s.filter(F.col("cls").isin(D.range_union([1, 2, 3], [3, 4, 5]))).join(s.filter(F.col("cls").isin(4, 5, 6)).select("sample_id"), "sample_id", "left_semi")
+    return both.join(s.filter("col_idx <= 3").select("sample_id"), "sample_id", "left_anti").select("cls", "sample_id")
+
+
+def _arrangements(ordered: bool, repeated: bool):
+    op = {(True, True): "true", (True, False): "c1 <> c2 AND c1 <> c3 AND c2 <> c3", (False, True): "c1 <= c2 AND c2 <= c3", (False, False): "c1 < c2 AND c2 < c3"}[ordered, repeated]
+
+    def f(spark, d):
+        return D.arrangements(spark, 6, 3, ordered, repeated)
+
+    f.__name__ = ("permutations" if ordered else "combinations") + ("_repeated" if repeated else "")
+    query(f"SELECT c1, c2, c3 FROM range(1,7) a(c1), range(1,7) b(c2), range(1,7) c(c3) WHERE {op}", base=False)(f)
+
+
+for _o in (True, False):
+    for _r in (True, False):
+        _arrangements(_o, _r)
+
+
+@query("""WITH m AS (SELECT [0.95, 0.9, 0.85, 0.8] AS g), r AS (
+ SELECT 0 AS case_id, 0 AS ulbl, 0 AS llbl, [1.0, 1.0, 1.0]::DOUBLE[] AS state UNION ALL
+ SELECT 1, i + 1, 1, [g[i % 4 + 1], 1.0, 1.0] FROM m, range(4) t(i) UNION ALL
+ SELECT 2, i + 5, 1, [g[i // 4 + 1], g[i % 4 + 1], 1.0] FROM m, range(16) t(i) UNION ALL
+ SELECT 3, i + 21, 1, [g[i // 4 + 1], 1.0, g[i % 4 + 1]] FROM m, range(16) t(i)) SELECT CAST(case_id AS INTEGER) AS case_id, CAST(ulbl AS BIGINT) AS ulbl, CAST(llbl AS INTEGER) AS llbl, state FROM r""", base=False)
+def damage_grid(spark, d):
+    return D.damage_grid(spark, [[1], [1, 2], [1, 3]], [0.95, 0.9, 0.85, 0.8], 3)
+
+
+@query("SELECT CAST(i + 1 AS BIGINT) AS ulbl, CAST(i // 4 + 1 AS INTEGER) AS llbl, CAST([0.95, 0.9, 0.85, 0.8][i % 4 + 1] AS DOUBLE) AS magnitude FROM range(280) t(i)", base=False)
+def single_element_grid(spark, d):
+    return D.single_element_grid(spark, 70, [0.95, 0.9, 0.85, 0.8])
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS ordinal, CAST((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 128 AS BIGINT) AS batch FROM orders", base=False)
+def mini_batches(spark, d):
+    return D.mini_batches(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), 128, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "ordinal", "batch")
+
+
+# -- projections of vectors
+
+
+@query(" SELECT sample_id, [round(x / greatest(sqrt(list_dot_product(feat, feat)), 1e-14), 6) FOR x IN feat] AS feat FROM samples WHERE cls = 2")
+def class_features_normalized(spark, d):
+    s = samples(spark, d).filter("cls = 2")
+    return flat(s.select("sample_id", V.l2_normalized(F.col("feat")).alias("feat")))
+
+
+@query(f", {LONG}, m AS (SELECT pos, avg(x) AS m FROM long GROUP BY pos), a AS (SELECT list(m ORDER BY pos) AS m FROM m) SELECT sample_id, [round(feat[i] - m[i], 6) FOR i IN range(1, len(feat) + 1)] AS feat FROM samples, a")
+def features_minus_mean(spark, d):
+    s = samples(spark, d)
+    both = s.join(F.broadcast(S.mean_vector(s)))
+    return flat(both.select("sample_id", V.subtract(F.col("feat"), F.col("mean")).alias("feat")))
+
+
+@query(f", {LONG}, m AS (SELECT cls, pos, avg(x) AS m FROM long GROUP BY cls, pos), a AS (SELECT cls, list(m ORDER BY pos) AS m FROM m GROUP BY cls) SELECT sample_id, round(sqrt(list_sum([(feat[i] - m[i]) * (feat[i] - m[i]) FOR i IN range(1, len(feat) + 1)])), 6) AS dist FROM samples JOIN a USING (cls)")
+def distance_to_class_mean(spark, d):
+    s = samples(spark, d)
+    both = s.join(S.mean_vector(s, "cls"), "cls")
+    return both.select("sample_id", F.round(V.distance(F.col("feat"), F.col("mean"), "euclidean"), 6).alias("dist"))
+
+
+@query(f", {LONG} SELECT cls, pos, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(stddev_pop(x), 6) AS std_pop, round(min(x), 6) AS lo, round(max(x), 6) AS hi FROM long GROUP BY cls, pos")
+def feature_statistics(spark, d):
+    return rounded(S.feature_statistics(samples(spark, d), "cls"), "mean", "std", "std_pop", "lo", "hi")
+
+
+@query(", p AS (SELECT i, j, feat[i + 1] AS x, feat[j + 1] AS y FROM samples, range(64) a(i), range(64) b(j) WHERE i <= j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_pop(x, y), 6) + 0.0 AS cov FROM p GROUP BY i, j")
+def covariance(spark, d):
+    c = S.covariance(samples(spark, d), 64)
+    return c.select("i", "j", (F.round("cov", 6) + 0.0).alias("cov"))
+
+
+@query(f", {LONG}, k AS (SELECT pos FROM long WHERE pos < 40 GROUP BY pos HAVING min(x) <> max(x)) SELECT CAST(pos AS INTEGER) AS pos FROM k")
+def varying_features(spark, d):
+    s = samples(spark, d).withColumn("feat", F.slice("feat", 1, 40))
+    return S.feature_statistics(s).filter("lo <> hi").select("pos")
+
+
+@query(" SELECT s.sample_id, [round(b.feat[i] - s.feat[i], 6) FOR i IN range(1, 65)] AS feat FROM samples s JOIN samples b ON b.cls = s.cls AND b.col_idx = 1")
+def difference_to_first(spark, d):
+    s = samples(spark, d)
+    base = s.filter("col_idx = 1").select("cls", F.col("feat").alias("_b"))
+    return flat(s.join(base, "cls").select("sample_id", V.subtract(F.col("_b"), F.col("feat")).alias("feat")))
+
+
+@query(" SELECT sample_id, CAST(cls - 1 AS INTEGER) AS label0, [CAST(k = cls AS INTEGER) FOR k IN range(1, 11)] AS one_hot FROM samples")
+def one_hot_labels(spark, d):
+    hot = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: (k == F.col("cls")).cast("int"))
+    return samples(spark, d).select("sample_id", (F.col("cls") - 1).alias("label0"), hot.alias("one_hot"))
+
+
+@query(f", {LONG}, m AS (SELECT pos, avg(x) AS a, stddev_pop(x) AS b FROM long JOIN samples USING (sample_id) WHERE col_idx <= 20 GROUP BY pos), a AS (SELECT list(a ORDER BY pos) AS a, list(b ORDER BY pos) AS b FROM m) SELECT sample_id, [round((feat[i] - a[i]) / b[i], 5) FOR i IN range(1, 65)] AS feat FROM samples, a")
+def standardized_by_training(spark, d):
+    s = samples(spark, d)
+    return flat(S.apply_scaler(s, S.fit_scaler(s.filter("col_idx <= 20"), "zscore")).select("sample_id", "feat"), 5)
+
+
+@query(f", {LONG}, m AS (SELECT pos, min(x) AS a, max(x) - min(x) AS b FROM long GROUP BY pos), a AS (SELECT list(a ORDER BY pos) AS a, list(b ORDER BY pos) AS b FROM m) SELECT sample_id, [round((feat[i] - a[i]) / b[i], 6) FOR i IN range(1, 65)] AS feat FROM samples, a")
+def scaled_to_range(spark, d):
+    s = samples(spark, d)
+    return flat(S.apply_scaler(s, S.fit_scaler(s, "minmax")).select("sample_id", "feat"))
+
+
+# -- distances, kernels, recognition
+
+_RECOGNIZED = """, g AS (SELECT * FROM samples WHERE col_idx <= 8), p AS (SELECT * FROM samples WHERE col_idx BETWEEN 9 AND 12),
+ d AS (SELECT p.sample_id, p.cls, g.cls AS predicted, g.sample_id AS gid, list_sum([(p.feat[i] - g.feat[i]) * (p.feat[i] - g.feat[i]) FOR i IN range(1, 65)]) AS d2 FROM p, g),
+ r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d2, gid) AS k FROM d)"""
+
+
+@query(_RECOGNIZED + " SELECT sample_id, cls, predicted, round(d2, 6) AS d2 FROM r WHERE k = 1")
+def recognition(spark, d):
+    s = samples(spark, d)
+    return rounded(N.recognize(s.filter("col_idx between 9 and 12"), s.filter("col_idx <= 8")), "d2")
+
+
+@query(_RECOGNIZED + " SELECT count(*) AS n, round(100 * avg(CAST(predicted = cls AS INTEGER)), 6) AS accuracy FROM r WHERE k = 1")
+def recognition_accuracy(spark, d):
+    s = samples(spark, d)
+    r = N.recognize(s.filter("col_idx between 9 and 12"), s.filter("col_idx <= 8"))
+    return r.agg(F.count("*").alias("n"), F.round(100 * F.avg((F.col("predicted") == F.col("cls")).cast("int")), 6).alias("accuracy"))
+
+
+_KNN = """, s AS (SELECT sample_id, feat FROM samples WHERE cls <= 4), d AS (SELECT a.sample_id AS src, b.sample_id AS dst, list_sum([(a.feat[i] - b.feat[i]) * (a.feat[i] - b.feat[i]) FOR i IN range(1, 65)]) AS d2 FROM s a JOIN s b ON a.sample_id <> b.sample_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM d), e AS (SELECT src, dst, d2 FROM r WHERE k <= 5), u AS (SELECT src, dst, min(d2) AS d2 FROM (SELECT * FROM e UNION ALL SELECT dst, src, d2 FROM e) GROUP BY src, dst)"""
+
+
+@query(_KNN + " SELECT src, dst, round(d2, 6) AS d2 FROM u")
+def neighbour_graph(spark, d):
+    return rounded(N.neighbour_graph(samples(spark, d).filter("cls <= 4"), 5), "d2")
+
+
+@query(_KNN + " SELECT src, dst, round(exp(-d2 / 2), 6) AS w FROM u")
+def heat_affinity(spark, d):
+    return rounded(N.affinity(N.neighbour_graph(samples(spark, d).filter("cls <= 4"), 5), "heat"), "w")
+
+
+@query(" SELECT a.sample_id AS src, b.sample_id AS dst, round(1.0 / n, 9) AS w FROM samples a JOIN samples b ON a.cls = b.cls AND a.sample_id <> b.sample_id JOIN (SELECT cls, count(*) AS n FROM samples GROUP BY cls) c ON c.cls = a.cls WHERE a.cls <= 2")
+def supervised_affinity(spark, d):
+    return rounded(N.supervised_affinity(samples(spark, d).filter("cls <= 2")), "w", digits=9)
+
+
+_PAIRS = ", p AS (SELECT a.sample_id AS a_id, b.sample_id AS b_id, a.feat AS a, b.feat AS b FROM samples a JOIN samples b ON b.cls = a.cls AND b.col_idx = 1 WHERE a.col_idx <= 6), q AS (SELECT *, [a[i] - b[i] FOR i IN range(1, 65)] AS e, list_avg(a) AS ma, list_avg(b) AS mb FROM p)"
+
+
+def _pairs(spark, d):
+    s = samples(spark, d).filter("col_idx <= 6")
+    first = s.filter("col_idx = 1").select("cls", F.col("sample_id").alias("b_id"), F.col("feat").alias("b"))
+    return s.select("cls", F.col("sample_id").alias("a_id"), F.col("feat").alias("a")).join(first, "cls")
+
+
+@query(_PAIRS + """ SELECT a_id, b_id, round(sqrt(list_dot_product(e, e)), 6) AS euclidean, round(list_dot_product(e, e), 6) AS sqeuclidean, round(list_sum([abs(x) FOR x IN e]), 6) AS cityblock,
+ round(list_max([abs(x) FOR x IN e]), 6) AS chebychev, round(pow(list_sum([pow(abs(x), 3.0) FOR x IN e]), 1.0 / 3), 6) AS minkowski, round(1 - list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 6) + 0.0 AS cosine,
+ round(1 - list_sum([(a[i] - ma) * (b[i] - mb) FOR i IN range(1, 65)]) / sqrt(list_sum([(x - ma) * (x - ma) FOR x IN a]) * list_sum([(x - mb) * (x - mb) FOR x IN b])), 6) + 0.0 AS correlation FROM q""")
+def distance_metrics(spark, d):
+    names = ["euclidean", "sqeuclidean", "cityblock", "chebychev", "minkowski", "cosine", "correlation"]
+    return _pairs(spark, d).select("a_id", "b_id", *[(F.round(V.distance(F.col("a"), F.col("b"), m), 6) + 0.0).alias(m) for m in names])
+
+
+@query(_PAIRS + """ SELECT a_id, b_id, round(exp(-list_dot_product(e, e) / 2), 6) AS gaussian, round(exp(-list_dot_product(e, e)), 6) AS rbf, round(list_dot_product(a, b), 6) + 0.0 AS linear,
+ round(pow(list_dot_product(a, b), 2), 6) AS polynomial, round(pow(list_dot_product(a, b) + 1, 2), 6) AS polyplus, round(tanh(list_dot_product(a, b)), 6) + 0.0 AS sigmoid FROM q""")
+def kernels(spark, d):
+    names = ["gaussian", "rbf", "linear", "polynomial", "polyplus", "sigmoid"]
+    return _pairs(spark, d).select("a_id", "b_id", *[(F.round(V.kernel(F.col("a"), F.col("b"), m), 6) + 0.0).alias(m) for m in names])
+
+
+@query(_PAIRS + " SELECT a_id, b_id, round(pow(list_dot_product(a, b) + 1, 2) / sqrt(pow(list_dot_product(a, a) + 1, 2) * pow(list_dot_product(b, b) + 1, 2)), 6) AS k FROM q")
+def normalized_kernel(spark, d):
+    k = lambda x, y: V.kernel(F.col(x), F.col(y), "polyplus")
+    return _pairs(spark, d).select("a_id", "b_id", F.round(k("a", "b") / F.sqrt(k("a", "a") * k("b", "b")), 6).alias("k"))
+
+
+# -- metrics
+
+
+@query("SELECT quality AS truth, toxic AS predicted, count(*) AS n FROM labels GROUP BY 1, 2", base=False)
+def confusion_matrix(spark, d):
+    return S.confusion(table(spark, d, "labels"), "quality", "toxic")
+
+
+@query("WITH c AS (SELECT quality, avg(CAST(quality = toxic AS DOUBLE)) AS a, count(*) AS n FROM labels GROUP BY 1) SELECT round(sum(a * n) / sum(n), 9) AS accuracy, round(avg(a), 9) AS balanced_accuracy FROM c", base=False)
+def accuracies(spark, d):
+    return rounded(S.accuracies(table(spark, d, "labels"), "quality", "toxic"), "accuracy", "balanced_accuracy", digits=9)
+
+
+@query("""WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT a, b, n / sum(n) OVER () AS p FROM c),
+ q AS (SELECT *, sum(p) OVER (PARTITION BY a) AS pa, sum(p) OVER (PARTITION BY b) AS pb FROM p) SELECT round(sum(p * log2(p / (pa * pb))) / greatest(-sum(p * log2(pa)), -sum(p * log2(pb))), 9) AS nmi FROM q""", base=False)
+def normalized_mutual_information(spark, d):
+    return rounded(S.mutual_information(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"), "nmi", digits=9)
+
+
+@query("WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_linenumber AS winner FROM c QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_linenumber) = 1", base=False)
+def majority_vote(spark, d):
+    return S.vote(table(spark, d, "lineitem"), "l_suppkey", "l_linenumber")
+
+
+@query("WITH c AS (SELECT l_suppkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) AS n FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_linenumber AS winner FROM c QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_linenumber) = 1", base=False)
+def weighted_vote(spark, d):
+    return S.vote(table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long")), "l_suppkey", "l_linenumber", "q")
+
+
+@query("SELECT c_mktsegment, round(exp(avg(ln(c_acctbal)) FILTER (c_acctbal > 0)), 4) AS gmean FROM customer GROUP BY 1", base=False)
+def geometric_mean(spark, d):
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.round(S.geometric_mean(F.col("c_acctbal")), 4).alias("gmean"))
+
+
+@query(f", {LONG} SELECT cls, round(avg(CAST(abs(x) <= 0.01 AS INTEGER)), 9) AS sparsity FROM long GROUP BY cls")
+def sparsity(spark, d):
+    return S.long_form(samples(spark, d), "cls").groupBy("cls").agg(F.round(F.avg((F.abs("x") <= 0.01).cast("int")), 9).alias("sparsity"))
+
+
+@query("SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS avg_rank FROM part", base=False)
+def average_ranks(spark, d):
+    return S.average_rank(table(spark, d, "part"), "p_brand", "p_size").select("p_partkey", "p_brand", "avg_rank")
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_shipmode_no, n FROM (SELECT l_suppkey, l_linenumber AS l_shipmode_no, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2)),
+ f AS (SELECT * FROM c WHERE l_suppkey IN (SELECT l_suppkey FROM c GROUP BY 1 HAVING count(*) = 4)), k AS (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY n) + (count(*) OVER (PARTITION BY l_suppkey, n) - 1) / 2 AS r FROM f),
+ t AS (SELECT l_shipmode_no, avg(r) AS r, count(*) AS n FROM k GROUP BY 1), s AS (SELECT count(*) AS k, max(n) AS n, sum(r * r) AS s FROM t),
+ x AS (SELECT k, n, 12 * n / (k * k + k) * (s - k * (k + 1) * (k + 1) / 4) AS chi2 FROM s) SELECT k, n, round(chi2, 6) AS chi2, round((n - 1) * chi2 / (n * (k - 1) - chi2), 6) AS f FROM x""", base=False)
+def friedman_test(spark, d):
+    c = table(spark, d, "lineitem").filter("l_linenumber <= 4").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
+    full = c.groupBy("l_suppkey").count().filter("count = 4").select("l_suppkey")
+    ranked = S.average_rank(c.join(full, "l_suppkey", "left_semi"), "l_suppkey", "n", "r")
+    return rounded(S.friedman(ranked, "l_suppkey", "l_linenumber", "r"), "chi2", "f")
+
+
+@query(" SELECT sample_id, cls, ntile(5) OVER (PARTITION BY cls ORDER BY md5(CAST(sample_id AS VARCHAR)), sample_id) AS fold FROM samples")
+def stratified_folds(spark, d):
+    return S.folds(samples(spark, d), 5).select("sample_id", "cls", "fold")
+
+
+# -- windows over series
+
+_SEG = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS row, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+ b AS (SELECT *, ceil(n * (0.8::DOUBLE + 0.1::DOUBLE)) AS r1 FROM r), s AS (SELECT *, CASE WHEN row <= ceil(r1 / (0.8::DOUBLE + 0.1::DOUBLE) * 0.8::DOUBLE) THEN 'TR' WHEN row <= r1 THEN 'VAL' WHEN row <= r1 + floor(n * 0.1::DOUBLE) THEN 'TE' END AS split FROM b),
+ g AS (SELECT event_id, event_type, split, value, row_number() OVER (PARTITION BY event_type, split ORDER BY event_id) AS pos FROM s WHERE split IS NOT NULL)"""
+
+
+def _segments(spark, d):
+    return W.segments(table(spark, d, "events").select("event_id", "event_type", "value"), "event_type", "event_id", 0.8, 0.1, 0.1)
+
+
+@query(_SEG + " SELECT event_id, event_type, split, CAST(pos AS INTEGER) AS pos FROM g", base=False)
+def block_segments(spark, d):
+    return _segments(spark, d).select("event_id", "event_type", "split", "pos")
+
+
+@query(_SEG + """, l AS (SELECT event_type, split, count(*) AS length FROM g GROUP BY 1, 2), w AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((length - 40) / 18)) AS BIGINT) + 1)) AS k FROM l),
+ x AS (SELECT event_type, split, k * 18 + 1 AS st, least(k * 18 + 40, length) AS en FROM w),
+ y AS (SELECT x.event_type, x.split, st, en, count(*) AS n, sum(value) AS total, max(value) AS m FROM x JOIN g ON g.event_type = x.event_type AND g.split = x.split AND pos BETWEEN st AND en GROUP BY 1, 2, 3, 4)
+ SELECT event_type, split, st, en, n, round(total, 4) AS total, round(m / nullif(max(m) OVER (PARTITION BY event_type, split), 0), 6) AS scaled_max FROM y""", base=False)
+def moving_windows(spark, d):
+    out = W.moving_windows(_segments(spark, d), "event_type", "value", 40, 18)
+    return out.select("event_type", "split", F.col("st").cast("long").alias("st"), F.col("en").cast("long").alias("en"), "n", F.round("total", 4).alias("total"), F.round("scaled_max", 6).alias("scaled_max"))
+
+
+@query("SELECT event_id, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) + 0.0 AS z FROM events WINDOW w AS (PARTITION BY event_type)", base=False)
+def z_scores(spark, d):
+    return W.z_scores(table(spark, d, "events"), "event_type", "value").select("event_id", (F.round("z", 6) + 0.0).alias("z"))
+
+
+# -- images: 8 x 8 x 1 or 4 x 4 x 4
+
+
+@query(" SELECT sample_id, y || '_' || x || '_4_4' AS patch_id, [feat[(x - 1 + j) * 8 + (y - 1 + i) + 1] FOR j IN range(0, 4) FOR i IN range(0, 4)] AS patch FROM samples, (VALUES (1),(3),(5)) a(y), (VALUES (1),(3),(5)) b(x)".replace("[feat[(x - 1 + j) * 8 + (y - 1 + i) + 1] FOR j IN range(0, 4) FOR i IN range(0, 4)]", "[feat[(x - 1 + k // 4) * 8 + (y - 1 + k % 4) + 1] FOR k IN range(0, 16)]"))
+def image_patches(spark, d):
+    return I.patches(samples(spark, d), 8, 8, 1, 4, 4, 2, 2)
+
+
+@query(" SELECT sample_id, [feat[(k // 4) * 16 + (k % 4) * 2 + 1] FOR k IN range(0, 16)] AS feat FROM samples")
+def image_downsample(spark, d):
+    return samples(spark, d).select("sample_id", I.downsample(F.col("feat"), 8, 8, 2).alias("feat"))
+
+
+@query(" SELECT sample_id, [feat[(k // 16) * 16 + (k % 4) * 4 + (k % 16) // 4 + 1] FOR k IN range(0, 64)] AS chw, [feat[(k % 4) * 16 + ((k // 4) % 4) * 4 + k // 16 + 1] FOR k IN range(0, 64)] AS hwc FROM samples")
+def image_export(spark, d):
+    f = F.col("feat")
+    return samples(spark, d).select("sample_id", I.export_order(f, 4, 4, 4, "CHW").alias("chw"), I.export_order(f, 4, 4, 4, "HWC").alias("hwc"))
+
+
+@query(" SELECT sample_id, [round(0.2989 * feat[i] + 0.587 * feat[i + 16] + 0.114 * feat[i + 32], 6) FOR i IN range(1, 17)] AS feat FROM samples")
+def image_grey(spark, d):
+    return flat(samples(spark, d).select("sample_id", I.grey(F.col("feat"), 4, 4).alias("feat")))
+
+
+@query(""" SELECT sample_id, [CASE WHEN (i - 1) % 8 + 1 BETWEEN 6 AND 8 THEN 0.0 ELSE feat[i] END FOR i IN range(1, 65)] AS bottom, [CASE WHEN (i - 1) // 8 + 1 BETWEEN 4 AND 6 THEN 0.0 ELSE feat[i] END FOR i IN range(1, 65)] AS right_off,
+ [CASE WHEN (i - 1) % 8 + 1 BETWEEN 1 AND 2 THEN 0.0 ELSE feat[i] END FOR i IN range(1, 65)] AS top, [CASE WHEN (i - 1) // 8 + 1 BETWEEN 3 AND 4 THEN 0.0 ELSE feat[i] END FOR i IN range(1, 65)] AS left_off FROM samples""")
+def image_occlusion(spark, d):
+    f = F.col("feat")
+    o = lambda *a: I.occlusion(f, 8, 8, *a)
+    return samples(spark, d).select("sample_id", o("b", 0.3).alias("bottom"), o("r", 0.3, 0.25).alias("right_off"), o("t", 0.3).alias("top"), o("l", 0.3, 0.25).alias("left_off"))
+
+
+@query(", p AS (SELECT sample_id, s, y, x, list_avg([feat[(x * s + k // s) * 8 + y * s + k % s + 1] FOR k IN range(0, s * s)]) AS m FROM samples, (VALUES (8),(4)) a(s), range(0, 2) b(y), range(0, 2) c(x) WHERE y < 8 // s AND x < 8 // s) SELECT sample_id, list(round(m, 6) + 0.0 ORDER BY s DESC, y, x) AS feat FROM p GROUP BY sample_id")
+def patch_pooling(spark, d):
+    pooled = samples(spark, d).select("sample_id", I.pooled(F.col("feat"), 8, 8, [8, 4]).alias("feat"))
+    return pooled.withColumn("feat", F.transform("feat", lambda x: F.round(x, 6) + 0.0))
+
+
+@query(", b AS (SELECT sample_id, [CAST(least(63, floor(round((x + 1) * 127) / 256.0 * 64)) AS INTEGER) FOR x IN feat] AS c FROM samples) SELECT sample_id, [round(len(list_filter(c, lambda y: y <= x)) / 64.0, 6) FOR x IN c] AS feat FROM b")
+def histogram_equalization(spark, d):
+    s = samples(spark, d).select("sample_id", F.transform("feat", lambda x: F.round((x + 1) * 127)).alias("feat"))
+    return flat(I.equalized(s).select("sample_id", "feat"))
+
+
+@query(" SELECT sample_id, (o - 1) // 16 AS row, (o - 1) % 16 AS col, ((o - 1) // 16) * 10 + 1 AS y0, ((o - 1) % 16) * 9 + 1 AS x0 FROM (SELECT sample_id, row_number() OVER (ORDER BY cls, col_idx) AS o FROM samples)")
+def image_grid(spark, d):
+    s = D.with_ordinal(samples(spark, d).select("sample_id", "cls", "col_idx"), ["cls", "col_idx"])
+    return I.image_grid(s, 16, 8, 8, 2, 1)
+
+
+@query()
+def illumination(spark, d):
+    s = samples(spark, d).select("sample_id", F.transform("feat", lambda x: F.round((x + 1) * 127)).alias("feat"))
+    return s.select("sample_id", I.illumination(F.col("feat"), 8, 8, (3, 5), (4, 6)).alias("feat"))
+
+
+@query(" SELECT sample_id, format('{}_{}.jpg', cls, col_idx) AS name FROM samples")
+def image_names(spark, d):
+    return samples(spark, d).select("sample_id", image_name(F.col("cls"), F.col("col_idx")).alias("name"))
+
+
+# -- order
+
+
+@query("""WITH p AS (SELECT c_custkey, 'v' || (c_custkey % 97) || '.' || (c_custkey % 13) || '.txt' AS name FROM customer) SELECT c_custkey, name, array_to_string([CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END FOR x IN regexp_extract_all(name, '[0-9]+|[^0-9]+')], '') AS key FROM p""", base=False)
+def natural_order(spark, d):
+    name = F.concat(F.lit("v"), F.col("c_custkey") % 97, F.lit("."), F.col("c_custkey") % 13, F.lit(".txt"))
+    return table(spark, d, "customer").select("c_custkey", name.alias("name")).withColumn("key", natural_key(F.col("name")))
+
+
+@query("SELECT c_custkey, c_nationkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 3", base=False)
+def top_scores(spark, d):
+    order = Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey")
+    return table(spark, d, "customer").withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("c_custkey", "c_nationkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query(" SELECT sample_id, cls FROM samples QUALIFY row_number() OVER (PARTITION BY cls ORDER BY md5('7' || sample_id), sample_id) <= 3")
+def random_picks(spark, d):
+    order = Window.partitionBy("cls").orderBy(F.md5(F.concat(F.lit("7"), F.col("sample_id")).cast("binary")), "sample_id")
+    return samples(spark, d).withColumn("k", F.row_number().over(order)).filter("k <= 3").select("sample_id", "cls")
+
+
+# -- learners (numeric, checked by tests)
+
+
+@query()
+def pca_spectrum(spark, d):
+    _, values, _ = L.pca(samples(spark, d), 10)
+    return spark.createDataFrame([(i + 1, round(float(v), 6)) for i, v in enumerate(values)], "component int, eigenvalue double")
+
+
+@query(f", {LONG}, m AS (SELECT pos, avg(x) AS m FROM long GROUP BY pos) SELECT round(sum((x - m) * (x - m)), 4) AS total FROM long JOIN m USING (pos)")
+def pca_total_variance(spark, d):
+    _, values, _ = L.pca(samples(spark, d))
+    return spark.createDataFrame([(round(float(values.sum()), 4),)], "total double")
+
+
+@query()
+def lda_recognition(spark, d):
+    s = samples(spark, d)
+    w = L.lda(s.filter("col_idx <= 8"))
+    p = L.project(s, w)
+    r = N.recognize(p.filter("col_idx between 9 and 12"), p.filter("col_idx <= 8"))
+    return S.accuracies(r, "cls", "predicted")
+
+
+@query()
+def kmeans_clusters(spark, d):
+    return L.kmeans(samples(spark, d), 10)[1]
+
+
+@query()
+def kernel_pca(spark, d):
+    return L.kernel_pca(samples(spark, d).filter("col_idx <= 20"))
+
+
+@query()
+def classical_scaling(spark, d):
+    return L.classical_scaling(samples(spark, d).filter("col_idx <= 20"))
+
+
+@query()
+def isomap(spark, d):
+    return L.isomap(L.manifold(spark, "swiss", 400))
+
+
+@query()
+def laplacian_eigenmaps(spark, d):
+    return L.laplacian_eigenmaps(L.manifold(spark, "helix", 400))
+
+
+@query()
+def locally_linear_embedding(spark, d):
+    return L.locally_linear(L.manifold(spark, "twinpeaks", 400))
+
+
+@query()
+def sparse_recognition(spark, d):
+    s = samples(spark, d)
+    return L.sparse_recognition(s.filter("col_idx between 9 and 12"), s.filter("col_idx <= 8"))
+
+
+@query("SELECT i AS sample_id, round(1 - 2 * (i % 20) / 20, 9) AS x, round(1 - 2 * (i // 20) / 20, 9) AS y, round(sin(pi() * (1 - 2 * (i % 20) / 20)) * tanh(3 * (1 - 2 * (i // 20) / 20)) * 10, 6) + 0.0 AS z FROM range(400) t(i)", base=False)
+def manifold_twinpeaks(spark, d):
+    at = lambda i: F.element_at("feat", i)
+    return L.manifold(spark, "twinpeaks", 400).select("sample_id", F.round(at(1), 9).alias("x"), F.round(at(2), 9).alias("y"), (F.round(at(3), 6) + 0.0).alias("z"))
