@@ -106,7 +106,10 @@ class Graph:
     def _back_links(self, new: np.ndarray, chosen: np.ndarray, level: int) -> None:
         near = self.near[level]
         to, by = chosen.ravel(), np.repeat(new, chosen.shape[1]).astype(np.int32)
-        to, by = to[to >= 0], by[to >= 0]
+        ok = to >= 0
+        to, by = to[ok], by[ok]
+        ok = ~(near[to] == by[:, None]).any(1)  # two new nodes may have chosen each other
+        to, by = to[ok], by[ok]
         order = np.argsort(to, kind="stable")
         to, by = to[order], by[order]
         nodes, start, times = np.unique(to, return_index=True, return_counts=True)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASS = np.zeros(256, np.int64)  # 0 other control, 1 space, 2 line feed, 3 lower, 4 upper, 5 digit, 6 high, 7.. punctuation
@@ -184,7 +185,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, passa
     """doc_id, held_out, score, predicted of every row (all columns of docs before score and
     predicted, if keep_columns)."""
     fields = docs.drop("score", "predicted") if keep_columns else docs.select("doc_id", "text")
-    schema = fields.schema.add("score", "double") if keep_columns else "doc_id long, score double"
+    schema = T.StructType([*fields.schema.fields, T.StructField("score", T.DoubleType())]) if keep_columns else "doc_id long, score double"
     at, ids = fields.columns.index("text"), fields.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
