@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import Chunks, NotCut, values
+from .common import held
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -212,15 +213,9 @@ class TextEncoder:
             return list(self.pieces(text))
 
 
-#: Of this Python process, so that a reused worker keeps its states from task to task.
-_compiled: dict[tuple[str, str], TextEncoder] = {}
-
-
 def compiled(ranks_path: str, pattern: str) -> TextEncoder:
-    key = (ranks_path, pattern)
-    if key not in _compiled:
-        _compiled[key] = TextEncoder(BpeTransducer(load_ranks(ranks_path)), pattern)
-    return _compiled[key]
+    """The encoder of this Python worker, so that its states last from task to task."""
+    return held(("bpe", ranks_path, pattern), lambda: TextEncoder(BpeTransducer(load_ranks(ranks_path)), pattern))
 
 
 class Utf8Stream:

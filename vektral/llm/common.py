@@ -88,3 +88,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         last = now
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+#: Large tables that a Python worker keeps from task to task, of one operator at a time.
+_held: dict = {}
+
+
+def held(key, make):
+    """The tables under this key, made when the worker first needs them; those of other keys go."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Operators without such tables call this first in a task: a worker may come from another operator."""
+    if _held:
+        import ctypes
+        import gc
+
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: the memory is free for reuse, if not returned

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forget, written
+from .common import connected_components, forget, release, written
 from .words import shingle_sets
 
 _TOP = np.uint64(1 << 63)
@@ -76,6 +76,7 @@ def _scan(docs: DataFrame, k: int, min_local: int) -> DataFrame:
     names = ["kind", "id", "n", "sig", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen, sets, size = set(), [], 0
 
         def counted() -> pa.RecordBatch:
@@ -96,7 +97,7 @@ def _scan(docs: DataFrame, k: int, min_local: int) -> DataFrame:
                         sets.append(s)
                         size += len(s)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(map(_sketch, here), pa.binary())], names=names)
-                if size > 4_000_000:
+                if size > 3_000_000:
                     yield counted()
                     sets, size = [], 0
                     seen.clear()
@@ -129,6 +130,7 @@ def _prefixes(docs: DataFrame, k: int, per_cent: int, frequent, buckets: int) ->
     stand apart (kind 1), spread over the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         heavy = frequent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -190,6 +192,7 @@ _JOINED = "kind int, s long, a long, na int, b long, nb int, pos int"
 
 def _join_bucket(per_cent: int, large: int, buckets: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        release()
         got = [_unpacked(k, x) for k, x in zip(group["nodes"].to_pylist(), group["data"].to_pylist())]
         sh, sig, n, pos = (np.concatenate([g[i] for g in got]) for i in range(4))
         apart = key[0].as_py() >= buckets
@@ -275,6 +278,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, p
     names = ["a", "na", "part", "role", "sig", "n", "rep", "s"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -315,7 +319,7 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, la
     sent = spark.sparkContext.broadcast(frequent)
 
     # neighbourhoods: small ones are joined in their bucket, large ones become rows
-    buckets = max(8, -(-n_rows // 6000))
+    buckets = max(8, -(-n_rows // 4000))
     packed = _prefixes(docs.select("text"), shingle_words, per_cent, sent, buckets)
     joined = written(packed.groupBy("bucket").applyInArrow(_join_bucket(per_cent, limit, buckets), _JOINED), "joined")
     open_pairs = _sketched(_ordered(joined.filter("kind = 0").select("a", "na", "b", "nb")), nodes, per_cent)

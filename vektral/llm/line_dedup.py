@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import release, written
 
 
 def line_keys(text: str | None) -> tuple[list[bytes], list[bytes]]:
@@ -47,6 +47,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, text: str = "
     """(key, n_docs) of the line hashes found in min_docs documents or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 counts: Counter[bytes] = Counter()
@@ -68,6 +69,7 @@ def _apply(docs: DataFrame, hot_of, text: str, min_chars: int) -> DataFrame:
     at, keep = docs.columns.index(text), [i for i, c in enumerate(docs.columns) if c != "_hot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hot = hot_of()
         for batch in batches:
             out, n_lines, n_dropped = [], [], []

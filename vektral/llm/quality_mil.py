@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release
+
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASS = np.zeros(256, np.int64)  # 0 other control, 1 space, 2 line feed, 3 lower, 4 upper, 5 digit, 6 high, 7.. punctuation
 _CLASS[[9, 11, 12, 13, 32]] = 1
@@ -168,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     rows = docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             x, first = passages(batch.column(1).to_pylist(), passage_words)
             parts = np.split(x.astype(np.float32), first[1:])
@@ -189,6 +192,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, passa
     at, ids = fields.columns.index("text"), fields.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import Chunks, NotCut, values
-from .common import new_path, written
+from .common import held, new_path, written
 
 MAGIC = b"VKTOK1\0\0"
 HEADER = struct.Struct("<8sIIQQ")
@@ -190,14 +190,9 @@ class LibraryEncoder:
         return out
 
 
-#: Of this Python process, so that a reused worker keeps its tables from task to task.
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def encoder_of(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    """The encoder of this Python worker, so that its table lasts from task to task."""
+    return held(("tokens", path), lambda: LibraryEncoder(path))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, docs_per_file: int = 4000, block: int = 4096) -> DataFrame:
