@@ -102,3 +102,161 @@ def test_high_pass_filter(spark):
     df = spark.createDataFrame([("a", i, 1.0) for i in range(4)], "k string, i int, v double")
     got = [r["v"] for r in T.high_pass_series(df, "k", "i", "v", [1.0, -1.0], [1.0, -0.5]).orderBy("i").collect()]
     assert np.allclose(got, [1.0, 0.5, 0.25, 0.125])
+
+
+def test_robust_components_ignore_outliers(spark):
+    from vektral.operators import discriminants as R
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 5)) * [5, 1, 0.1, 0.1, 0.1]
+    x[:5] = [20, 0, 0, 0, 30]  # tilt the plain component
+    ds = spark.createDataFrame([(i, 1 + i % 2, [float(v) for v in r]) for i, r in enumerate(x)], "sample_id long, cls int, feat array<double>")
+    plain = L.pca(ds, 1)[0][:, 0]
+    robust = R.correntropy_pca(ds, 1)[0][:, 0]
+    assert abs(robust[0]) > 0.99 > abs(plain[0])
+
+
+def test_discriminants_separate(spark):
+    from vektral.operators import discriminants as R
+    from vektral.operators import manifolds as M
+
+    rng = np.random.default_rng(1)
+    y = np.repeat([1, 2, 3], 40)
+    x = rng.normal(size=(120, 6)) * [0.3, 0.3, 3, 3, 3, 3]
+    x[:, 0] += 3 * (y == 2)
+    x[:, 1] += 3 * (y == 3)
+    ds = spark.createDataFrame([(i, int(k), [float(v) for v in r]) for i, (k, r) in enumerate(zip(y, x))], "sample_id long, cls int, feat array<double>")
+
+    def separation(w):
+        z = x @ w
+        means = np.array([z[y == k].mean(0) for k in (1, 2, 3)])
+        return (((z[:, None] - means) ** 2).sum(2).argmin(1) + 1 == y).mean()
+
+    assert separation(L.lda(ds)) > 0.97
+    assert separation(R.fisher(ds)[0]) > 0.97
+    assert separation(R.direct_lda(ds, most_within=1e9)) > 0.9
+    assert separation(R.robust_lda(ds, dims=2, alpha=0.1)) > 0.9
+    assert separation(M.neighbourhood_components(ds, 2, 60)[0]) > 0.9
+
+
+def test_whitening_and_reconstruction(spark):
+    from vektral.operators import discriminants as R
+
+    s = T.samples(spark, SMALL)
+    w, mean = R.whitening(s)
+    x, _ = _matrix(spark)
+    z = (x - mean) @ w
+    assert np.allclose(z.T @ z, np.eye(z.shape[1]), atol=1e-4)
+    got = R.masked_reconstruction(s.select("sample_id", "cls", "feat"), list(range(64)), 64)
+    back = np.array([r["feat"] for r in got.orderBy("sample_id").collect()])
+    assert np.allclose(back, x, atol=1e-6)
+
+
+def test_partial_least_squares_is_nipals(spark):
+    from vektral.operators import discriminants as R
+
+    x, y = _matrix(spark)
+    w, mean = R.partial_least_squares(T.samples(spark, SMALL), 3)
+    z, hot = x - x.mean(0), (y[:, None] == np.unique(y)).astype(float)
+    hot -= hot.mean(0)
+    scores = []
+    for _ in range(3):
+        v = np.linalg.svd(z.T @ hot, full_matrices=False)[0][:, 0]
+        t = z @ v
+        scores.append(t)
+        z = z - np.outer(t, z.T @ t) / (t @ t)
+        hot = hot - np.outer(t, hot.T @ t) / (t @ t)
+    got = (x - mean) @ w
+    for k in range(3):
+        assert abs(np.corrcoef(got[:, k], scores[k])[0, 1]) > 0.999
+
+
+def test_sparse_solvers_agree():
+    from vektral.operators import classifiers as C
+
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(30, 60))
+    a /= np.linalg.norm(a, axis=0)
+    x = np.zeros(60)
+    x[[3, 40, 7]] = 2, -1, 0.5
+    b = (a @ x)[:, None]
+    assert np.allclose(C.basis_pursuit(a, b)[:, 0], x, atol=1e-4)
+    assert np.allclose(C.shrinkage(a, b, 0.01, 20000), L.lasso(a, b, 0.01, steps=20000), atol=0.05)
+    assert np.allclose(C.nonnegative_least_squares(a[:, :20], a[:, :20] @ np.arange(20.0)[:, None], 20000)[:, 0], np.arange(20.0), atol=1e-3)
+
+
+def test_dictionaries_rebuild(spark):
+    from vektral.operators import classifiers as C
+
+    rng = np.random.default_rng(2)
+    atoms = rng.normal(size=(4, 12))
+    x = np.stack([atoms[i % 4] * (1 + i % 3) for i in range(60)])
+    ds = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "sample_id long, feat array<double>")
+    for kind in ("ksvd", "mod"):
+        d, codes = C.learned_dictionary(ds, 8, 1, 10, kind)
+        z = np.array([r["feat"] for r in codes.orderBy("sample_id").collect()])
+        assert np.linalg.norm(z @ d.T - x) / np.linalg.norm(x) < 0.2, kind
+
+
+def test_nonnegative_factors_rebuild(spark):
+    from vektral.operators import classifiers as C
+
+    rng = np.random.default_rng(3)
+    x = rng.random((80, 3)) @ rng.random((3, 10))
+    ds = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "sample_id long, feat array<double>")
+    h, codes = C.nonnegative_factors(ds, 3, 40)
+    z = np.array([r["feat"] for r in codes.orderBy("sample_id").collect()])
+    assert np.linalg.norm(z @ h - x) / np.linalg.norm(x) < 0.05
+
+
+def test_learning_curve():
+    from vektral.operators import classifiers as C
+
+    n = np.array([10, 20, 40, 80, 160, 320])
+    a, b, alpha = C.learning_curve(n, 0.1 + 2 * n**-0.7)
+    assert abs(a - 0.1) < 0.01 and abs(b - 2) < 0.1 and abs(alpha - 0.7) < 0.03
+
+
+def test_embeddings_keep_neighbours(spark):
+    from vektral.operators import manifolds as M
+
+    ds = L.manifold(spark, "twinpeaks", 400)
+    x = np.array([r["feat"] for r in ds.orderBy("sample_id").collect()])
+    near = M.neighbours(M.squared_distances(x), 8)
+    for f in (M.tangent_alignment, M.hessian_embedding, M.landmark_isomap, M.sammon, M.stochastic_neighbours):
+        y = np.array([r["feat"] for r in f(ds).orderBy("sample_id").collect()])
+        assert y.shape == (400, 2) and np.isfinite(y).all()
+        kept = np.mean([len(set(a) & set(b)) / 8 for a, b in zip(near, M.neighbours(M.squared_distances(y), 8))])
+        assert kept > 0.3, (f.__name__, kept)
+
+
+def test_image_resize_and_filters(spark):
+    from vektral.operators import images as I
+
+    w = np.array(I.resize_weights(8, 4))
+    assert np.allclose(w.sum(1), 1) and np.allclose(np.array(I.resize_weights(5, 5)), np.eye(5))
+    ds = spark.createDataFrame([(1, [3.0] * 64)], "sample_id long, feat array<double>")
+    assert np.allclose(I.resized(ds, 8, 8, 1, 4, 4).first()["feat"], [3.0] * 16)
+    assert np.allclose(I.frequency_filtered(ds, 8, 8, 0.2, 2, "high").first()["feat"], 0)
+    assert np.allclose(I.frequency_filtered(ds, 8, 8, 0.2, 2, "low").first()["feat"], 3)
+
+
+def test_noise_is_normal_and_repeatable(spark):
+    from pyspark.sql import functions as F
+
+    from vektral.operators import statistics as S
+
+    r = spark.range(20000).select(S.gaussian_noise(F.col("id"), seed=4).alias("x"))
+    row = r.agg(F.avg("x").alias("m"), F.stddev("x").alias("s")).first()
+    assert abs(row["m"]) < 0.03 and abs(row["s"] - 1) < 0.03
+    assert r.exceptAll(r).count() == 0
+
+
+def test_parts_of_a_long_path_and_a_hub(spark):
+    from vektral.operators import graphs as G
+
+    path = [(i, i + 1) for i in range(1, 60)]
+    hub = [(100, k) for k in range(101, 400)]
+    edges = spark.createDataFrame([*path, *hub, (7, 7), (500, 500), (None, 3)], "src long, dst long")
+    got = {r["node"]: r["part"] for r in G.connected_parts(edges).collect()}
+    assert all(got[i] == 1 for i in range(1, 61)) and all(got[k] == 100 for k in range(100, 400)) and got[500] == 500

@@ -103,3 +103,110 @@ def illumination(feat: Column, h: int, w: int, pos: tuple[float, float], var: tu
     room = F.when(F.size(inside) > 0, 255 - total / F.size(inside)).otherwise(255.0)
     out = lambda p: p["v"] + bright * room * light(p) - F.when(light(p) >= threshold, 0.0).otherwise(255.0 * dark)
     return F.transform(px, lambda p: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(out(p)))))
+
+
+#: Red, green, blue to other colour spaces, one row per new channel.
+COLOURS = {
+    "XYZ": [[0.607, 0.174, 0.201], [0.299, 0.587, 0.114], [0.0, 0.066, 1.117]],
+    "YIQ": [[0.29, 0.587, 0.114], [0.5957, -0.2744, -0.3213], [0.2115, -0.5226, 0.3111]],
+    "III": [[1 / 3, 1 / 3, 1 / 3], [1 / 2, 0.0, -1 / 2], [-1 / 2, 1.0, -1 / 2]],
+    "YUV": [[0.299, 0.587, 0.114], [-0.1471, -0.2888, 0.4359], [0.6148, -0.5148, -0.1]],
+    "nRGB": [[1.0, 0.0, 0.0], [-1 / 3, 2 / 3, -1 / 3], [-1 / 3, -1 / 3, 2 / 3]],
+    "nXYZ": [[0.607, 0.174, 0.2], [-0.0343, 0.2537, -0.2193], [-0.394, -0.328, 0.722]],
+}
+
+
+def recoloured(feat: Column, h: int, w: int, space: str) -> Column:
+    """The first three channels in another colour space."""
+    n = h * w
+    channel = lambda m: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: m[0] * F.element_at(feat, i) + m[1] * F.element_at(feat, i + n) + m[2] * F.element_at(feat, i + 2 * n))
+    return F.concat(*[channel(m) for m in COLOURS[space]])
+
+
+def resize_weights(size: int, new: int) -> list[list[float]]:
+    """Rows of cubic (a = -0.5) weights of a one-dimensional resize; shrinking widens the kernel, and
+    pixels outside are the mirrored ones inside."""
+    import numpy as np
+
+    scale = new / size
+    wide = min(scale, 1.0)
+    reach = int(np.ceil(4 / wide)) + 2
+    out = np.zeros((new, size))
+    for k in range(new):
+        centre = (k + 0.5) / scale - 0.5
+        at = np.floor(centre - 2 / wide).astype(int) + np.arange(reach)
+        x = np.abs((centre - at) * wide)
+        v = np.where(x <= 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x <= 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0))
+        v /= v.sum()
+        turn = np.mod(at, 2 * size)
+        np.add.at(out[k], np.where(turn < size, turn, 2 * size - 1 - turn), v)
+    return out.tolist()
+
+
+def resized(ds: DataFrame, h: int, w: int, ch: int, new_h: int, new_w: int) -> DataFrame:
+    """Images of another size: one product with the (constant) weights of rows and columns."""
+    import numpy as np
+
+    from .learning import project
+
+    both = np.kron(resize_weights(w, new_w), resize_weights(h, new_h))
+    return project(ds, np.kron(np.eye(ch), both).T)
+
+
+def matched(feat: Column, reference: Column) -> Column:
+    """Values replaced by the reference's value of the same rank share."""
+    ranked = F.array_sort(reference)
+    share = lambda x: F.size(F.filter(feat, lambda y: y <= x)) / F.size(feat)
+    return F.transform(feat, lambda x: F.element_at(ranked, F.ceil(share(x) * F.size(ranked) - 1e-9).cast("int")))
+
+
+def frequency_mask(h: int, w: int, cutoff: float, order: int, kind: str = "low", boost: float = 1.0):
+    """Butterworth gains, zero frequency first: low, high, or high with everything else kept at
+    1 / boost (highboost)."""
+    import numpy as np
+
+    y, x = np.meshgrid(np.fft.fftfreq(h), np.fft.fftfreq(w), indexing="ij")
+    low = 1 / (1 + (np.hypot(y, x) / cutoff) ** (2 * order))
+    if kind == "low":
+        return low
+    return 1 - low if kind == "high" else (1 - 1 / boost) * (1 - low) + 1 / boost
+
+
+def frequency_filtered(ds: DataFrame, h: int, w: int, cutoff: float, order: int, kind: str = "low", boost: float = 1.0) -> DataFrame:
+    """One-channel images after a frequency filter."""
+    import numpy as np
+    import pyarrow as pa
+
+    mask = frequency_mask(h, w, cutoff, order, kind, boost)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("feat")
+            x = np.asarray(batch.column(at).flatten(), float).reshape(-1, w, h).transpose(0, 2, 1)
+            y = np.fft.ifft2(np.fft.fft2(x) * mask).real.transpose(0, 2, 1)
+            feat = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, h * w, dtype=np.int32)), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([feat if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return ds.mapInArrow(run, ds.schema)
+
+
+def truncated(feat: Column, low: float, high: float) -> Column:
+    """The lowest and highest shares of the values clipped, the rest stretched to 0..255."""
+    ranked, n = F.array_sort(feat), F.size(feat)
+    lo = F.element_at(ranked, F.least(n, F.floor(n * F.lit(low)).cast("int") + 1))
+    hi = F.element_at(ranked, F.greatest(F.lit(1), n - F.floor(n * F.lit(high)).cast("int")))
+    return F.transform(feat, lambda x: F.when(hi == lo, F.lit(0.0)).otherwise((F.least(hi, F.greatest(lo, x)) - lo) / (hi - lo) * 255))
+
+
+def dotted_block(feat: Column, key: Column, h: int, w: int, rate: float, seed: int = 0) -> Column:
+    """A block of rate * h by rate * w at a place drawn from the key, half of its pixels (drawn too) white."""
+    bh, bw = int(rate * h), int(rate * w)
+    pick = lambda n, *k: F.pmod(F.xxhash64(key, F.lit(seed), *k), F.lit(n))
+    y, x = pick(h - bh + 1, F.lit(1)) + 1, pick(w - bw + 1, F.lit(2)) + 1
+    hit = lambda p: (p["y"] >= y) & (p["y"] < y + bh) & (p["x"] >= x) & (p["x"] < x + bw)
+    return F.transform(pixels(feat, h, w), lambda p: F.when(hit(p), 255.0 * pick(2, p["y"], p["x"], F.lit(3))).otherwise(p["v"]))
+
+
+def masked(feat: Column, mask: list[float]) -> Column:
+    """Multiplied by a constant mask."""
+    return F.zip_with(feat, F.array(*[F.lit(float(m)) for m in mask]), lambda x, m: x * m)

@@ -93,3 +93,105 @@ def apply_scaler(ds: DataFrame, scaler: DataFrame) -> DataFrame:
     both = ds.join(F.broadcast(scaler))
     scaled = F.transform(F.arrays_zip("feat", "a", "b"), lambda r: (r["feat"] - r["a"]) / r["b"])
     return both.withColumn("feat", scaled).drop("a", "b")
+
+
+def quantiles(df: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+    """(by, share, value): quantiles where the i-th of n sorted values stands at (i - 0.5) / n, linear
+    between.  Each is a sum over the two values beside it, so no group is gathered."""
+    row, n = F.row_number().over(Window.partitionBy(by).orderBy(value)), F.count("*").over(Window.partitionBy(by))
+    ranked = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_x"), row.alias("_k"), n.alias("_n"))
+    each = ranked.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
+    at = F.least(F.col("_n").cast("double"), F.greatest(F.lit(1.0), F.col("share") * F.col("_n") + 0.5))
+    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_k") - at))
+    return each.groupBy(by, "share").agg(F.sum(F.col("_x") * weight).alias(value))
+
+
+def bandwidth(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, bandwidth): 1.06 min(std, iqr / 1.34) n^-0.2."""
+    q = quantiles(df, by, value, [0.25, 0.75]).groupBy(by).agg((F.max(value) - F.min(value)).alias("iqr"))
+    s = df.groupBy(by).agg(F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
+    return s.join(q, by).select(by, (1.06 * F.least("std", F.col("iqr") / 1.34) * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth"))
+
+
+def two_sample_t(ds: DataFrame, first: int, second: int) -> DataFrame:
+    """(pos, t): how far two classes' means lie apart, component by component (unequal variances)."""
+    side = lambda k: [f(F.when(F.col("cls") == k, F.col("x"))) for f in (F.avg, F.var_samp, F.count)]
+    (m1, v1, n1), (m2, v2, n2) = side(first), side(second)
+    return long_form(ds.filter(F.col("cls").isin(first, second)), "cls").groupBy("pos").agg(((m1 - m2) / F.sqrt(v1 / n1 + v2 / n2)).alias("t"))
+
+
+def permutation_accuracy(df: DataFrame, key: str, truth: str, predicted: str, times: int, seed: int = 1) -> DataFrame:
+    """(replicate, accuracy): accuracies when predictions are dealt out anew, by hashes of the key; 0 is
+    as given.  Ranks are taken inside replicates, so work spreads over them."""
+    each = df.select(key, truth, predicted).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(times))))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("replicate").orderBy(*by, key))
+    order = F.when(F.col("replicate") == 0, F.lit(0)).otherwise(F.xxhash64(key, "replicate", F.lit(seed)))
+    kept = each.select("replicate", truth, rank().alias("_k"))
+    dealt = each.select("replicate", predicted, rank(order).alias("_k"))
+    return kept.join(dealt, ["replicate", "_k"]).groupBy("replicate").agg(F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"))
+
+
+def latex_rows(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """One row: the (report-sized) table as the body of a LaTeX tabular, rows by `order`."""
+    line = F.concat(F.concat_ws(" & ", *[F.col(c).cast("string") for c in columns]), F.lit(r" \\"))
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line"))))
+    return df.agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("latex"))
+
+
+def gaussian_noise(*keys: Column | str, seed: int = 0) -> Column:
+    """A standard normal number made from hashes of the keys: reruns and lost tasks give the same."""
+    uniform = lambda k: (F.pmod(F.xxhash64(*keys, F.lit(seed * 2 + k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * 3.141592653589793 * uniform(1))
+
+
+def noisy(ds: DataFrame, level: Column | float, replicas: int, seed: int = 0) -> DataFrame:
+    """replicas rows per sample (replica from 1): each component times 1 + level * noise."""
+    each = ds.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
+    level = level if isinstance(level, Column) else F.lit(float(level))
+    return each.withColumn("feat", F.transform("feat", lambda x, i: x * (1 + level * gaussian_noise(F.col("sample_id"), F.col("replica"), i, seed=seed))))
+
+
+def augmented(ds: DataFrame, ratio: float, per_class: int, seed: int = 0) -> DataFrame:
+    """per_class samples (cls, replica, feat) around each class mean, ratio deviations wide."""
+    s = feature_statistics(ds, "cls").withColumn("s", F.struct("pos", "mean", "std"))
+    rows = s.groupBy("cls").agg(F.array_sort(F.collect_list("s")).alias("s")).withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(per_class))))
+    made = F.transform("s", lambda p: p["mean"] + ratio * F.coalesce(p["std"], F.lit(0.0)) * gaussian_noise(F.col("cls"), F.col("replica"), p["pos"], seed=seed))
+    return rows.select("cls", "replica", made.alias("feat"))
+
+
+def same_vectors(ds: DataFrame) -> DataFrame:
+    """(sample_id, first_id): the smallest id with the same vector."""
+    first = ds.groupBy("feat").agg(F.min("sample_id").alias("first_id"))
+    return ds.select("sample_id", "feat").join(first, "feat").select("sample_id", "first_id")
+
+
+def sign_aligned(ds: DataFrame) -> DataFrame:
+    """Vectors flipped so that they agree in sign with their class's first sample where that one is
+    greatest in size (first place on ties)."""
+    size = F.transform("_b", F.abs)
+    at = F.array_position(size, F.array_max(size)).cast("int")
+    base = ds.filter("col_idx = 1").select("cls", F.col("feat").alias("_b"))
+    flip = F.element_at("feat", at) * F.element_at("_b", at) < 0
+    return ds.join(base, "cls").withColumn("feat", F.when(flip, F.transform("feat", lambda x: -x)).otherwise(F.col("feat"))).drop("_b")
+
+
+def similarity_alignment(ds: DataFrame, points: int) -> DataFrame:
+    """(sample_id, scale, angle): the least-squares similarity that maps a sample's landmarks (x1..xn,
+    y1..yn first in feat) onto those of its class's first sample."""
+    base = ds.filter("col_idx = 1").select("cls", F.col("feat").alias("_b"))
+    part = lambda c, y: F.slice(F.col(c), 1 + points * y, points)
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / points
+    both = ds.join(base, "cls")
+    for name, c, y in (("_px", "feat", 0), ("_py", "feat", 1), ("_qx", "_b", 0), ("_qy", "_b", 1)):
+        both = both.withColumn(name + "m", mean(part(c, y)))
+        m = F.col(name + "m")
+        both = both.withColumn(name, F.transform(part(c, y), lambda x: x - m))  # noqa: B023
+    dot = lambda a, b: F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    size = dot("_px", "_px") + dot("_py", "_py")
+    a, b = (dot("_px", "_qx") + dot("_py", "_qy")) / size, (dot("_px", "_qy") - dot("_py", "_qx")) / size
+    return both.select("sample_id", F.sqrt(a * a + b * b).alias("scale"), F.atan2(b, a).alias("angle"))
+
+
+def percent_ranked(feat: Column) -> Column:
+    """Each value's share of values of its vector that are not above it."""
+    return F.transform(feat, lambda x: F.size(F.filter(feat, lambda y: y <= x)) / F.size(feat))

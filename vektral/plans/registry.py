@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import classifiers as C
 from ..operators import dataset as D
+from ..operators import discriminants as R
+from ..operators import graphs as G
 from ..operators import images as I
 from ..operators import learning as L
+from ..operators import manifolds as M
 from ..operators import neighbours as N
 from ..operators import statistics as S
 from ..operators import windows as W
@@ -524,3 +528,375 @@ def sparse_recognition(spark, d):
 def manifold_twinpeaks(spark, d):
     at = lambda i: F.element_at("feat", i)
     return L.manifold(spark, "twinpeaks", 400).select("sample_id", F.round(at(1), 9).alias("x"), F.round(at(2), 9).alias("y"), (F.round(at(3), 6) + 0.0).alias("z"))
+
+
+# -- graphs, reports, noise
+
+
+@query(_KNN.replace("k <= 5", "k <= 2").replace("cls <= 4", "cls <= 6") + ", reach AS (SELECT src AS node, src AS part FROM u UNION SELECT u.dst, reach.part FROM reach JOIN u ON u.src = reach.node) SELECT node, min(part) AS part FROM reach GROUP BY node")
+def connected_parts(spark, d):
+    return G.connected_parts(N.neighbour_graph(samples(spark, d).filter("cls <= 6"), 2))
+
+
+ORACLES["connected_parts"] = ORACLES["connected_parts"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_KNN.replace("k <= 5", "k <= 2") + ", reach AS (SELECT sample_id AS node, 0 AS hops FROM s WHERE sample_id % 50 = 0 UNION SELECT u.dst, hops + 1 FROM reach JOIN u ON u.src = reach.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM reach GROUP BY node")
+def hops(spark, d):
+    s = samples(spark, d).filter("cls <= 4")
+    return G.hops(N.neighbour_graph(s, 2), s.filter("sample_id % 50 = 0").select(F.col("sample_id").alias("node")), 3)
+
+
+ORACLES["hops"] = ORACLES["hops"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+_QUANTILES = """WITH r AS (SELECT l_returnflag, l_extendedprice AS x, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice)),
+ p AS (SELECT l_returnflag, n, share, least(n, greatest(1, share * n + 0.5)) AS place FROM (SELECT DISTINCT l_returnflag, n FROM r), (VALUES (0.25::DOUBLE), (0.5), (0.75)) v(share)),
+ q AS (SELECT p.l_returnflag, share, p.n, max(x) FILTER (k = floor(place)) + (any_value(place) - floor(any_value(place))) * (max(x) FILTER (k = ceil(place)) - max(x) FILTER (k = floor(place))) AS v FROM p JOIN r ON r.l_returnflag = p.l_returnflag AND k IN (floor(place), ceil(place)) GROUP BY 1, 2, 3)"""
+
+
+@query(_QUANTILES + " SELECT l_returnflag, share, round(v, 4) AS l_extendedprice FROM q", base=False)
+def quantiles(spark, d):
+    return rounded(S.quantiles(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", [0.25, 0.5, 0.75]), "l_extendedprice", digits=4)
+
+
+@query(_QUANTILES + ", i AS (SELECT l_returnflag, max(v) FILTER (share = 0.75) - max(v) FILTER (share = 0.25) AS iqr FROM q GROUP BY 1), s AS (SELECT l_returnflag, stddev_samp(l_extendedprice) AS sd, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_returnflag, round(1.06 * least(sd, iqr / 1.34) * pow(n, -0.2), 3) AS bandwidth FROM s JOIN i USING (l_returnflag)", base=False)
+def bandwidth(spark, d):
+    return rounded(S.bandwidth(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice"), "bandwidth", digits=3)
+
+
+@query(f", {LONG}, m AS (SELECT pos, cls, avg(x) AS m, var_samp(x) AS v, count(*) AS n FROM long WHERE cls IN (1, 2) GROUP BY ALL) SELECT CAST(a.pos AS INTEGER) AS pos, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) + 0.0 AS t FROM m a JOIN m b ON a.pos = b.pos AND a.cls = 1 AND b.cls = 2")
+def two_sample_t(spark, d):
+    return S.two_sample_t(samples(spark, d), 1, 2).select("pos", (F.round("t", 6) + 0.0).alias("t"))
+
+
+@query()
+def permutation_accuracy(spark, d):
+    return S.permutation_accuracy(table(spark, d, "labels"), "doc_id", "quality", "toxic", 50)
+
+
+@query("SELECT string_agg(r_regionkey || ' & ' || r_name || ' \\\\', chr(10) ORDER BY r_regionkey) AS latex FROM region", base=False)
+def latex_table(spark, d):
+    return S.latex_rows(table(spark, d, "region"), "r_regionkey", ["r_regionkey", "r_name"])
+
+
+@query(" SELECT sample_id, CAST(r AS INTEGER) AS replica, feat FROM samples, range(1, 4) t(r)")
+def noise_replicas(spark, d):
+    return S.noisy(samples(spark, d), 0.0, 3).select("sample_id", "replica", "feat")
+
+
+@query()
+def measurement_noise(spark, d):
+    return S.noisy(samples(spark, d), 0.05, 2, seed=3).select("sample_id", "replica", "feat")
+
+
+@query(f", {LONG}, m AS (SELECT cls, pos, avg(x) AS m FROM long GROUP BY cls, pos), a AS (SELECT cls, list(round(m, 6) + 0.0 ORDER BY pos) AS feat FROM m GROUP BY cls) SELECT cls, CAST(r AS INTEGER) AS replica, feat FROM a, range(1, 4) t(r)")
+def augmented_means(spark, d):
+    return S.augmented(samples(spark, d), 0.0, 3).withColumn("feat", F.transform("feat", lambda x: F.round(x, 6) + 0.0))
+
+
+@query()
+def augmented_samples(spark, d):
+    return S.augmented(samples(spark, d), 0.5, 20, seed=1)
+
+
+@query(" SELECT sample_id, min(sample_id) OVER (PARTITION BY feat) AS first_id FROM samples")
+def same_vectors(spark, d):
+    return S.same_vectors(samples(spark, d))
+
+
+@query(", b AS (SELECT cls, feat AS b, list_position([abs(x) FOR x IN feat], list_max([abs(x) FOR x IN feat])) AS place FROM samples WHERE col_idx = 1) SELECT sample_id, CASE WHEN feat[place] * b[place] < 0 THEN [round(-x, 6) + 0.0 FOR x IN feat] ELSE [round(x, 6) + 0.0 FOR x IN feat] END AS feat FROM samples JOIN b USING (cls)")
+def sign_aligned(spark, d):
+    return S.sign_aligned(samples(spark, d)).select("sample_id", F.transform("feat", lambda x: F.round(x, 6) + 0.0).alias("feat"))
+
+
+@query(""", b AS (SELECT cls, feat AS b FROM samples WHERE col_idx = 1), c AS (SELECT sample_id, feat[1:5] AS px, feat[6:10] AS py, b[1:5] AS qx, b[6:10] AS qy FROM samples JOIN b USING (cls)),
+ m AS (SELECT sample_id, [x - list_avg(px) FOR x IN px] AS px, [x - list_avg(py) FOR x IN py] AS py, [x - list_avg(qx) FOR x IN qx] AS qx, [x - list_avg(qy) FOR x IN qy] AS qy FROM c),
+ e AS (SELECT sample_id, list_dot_product(px, px) + list_dot_product(py, py) AS s, list_dot_product(px, qx) + list_dot_product(py, qy) AS a, list_dot_product(px, qy) - list_dot_product(py, qx) AS b FROM m)
+ SELECT sample_id, round(sqrt(a * a + b * b) / s, 6) AS scale, round(atan2(b, a), 6) + 0.0 AS angle FROM e""")
+def landmark_alignment(spark, d):
+    return S.similarity_alignment(samples(spark, d), 5).select("sample_id", F.round("scale", 6).alias("scale"), (F.round("angle", 6) + 0.0).alias("angle"))
+
+
+@query(" SELECT sample_id, cls FROM samples WHERE feat[1] BETWEEN -0.1 AND 0.1 AND feat[2] BETWEEN -0.2 AND 0.1 AND feat[3] BETWEEN -0.1 AND 0.2")
+def pose_filter(spark, d):
+    at = lambda i: F.element_at("feat", i)
+    return samples(spark, d).filter(at(1).between(-0.1, 0.1) & at(2).between(-0.2, 0.1) & at(3).between(-0.1, 0.2)).select("sample_id", "cls")
+
+
+@query(" SELECT cls, any_value(n) AS n FROM (SELECT cls, count(*) AS n FROM samples GROUP BY cls) GROUP BY cls HAVING cls IN (SELECT label + 1 FROM embeddings WHERE vec_id < 20) AND cls NOT IN (SELECT label + 1 FROM embeddings WHERE vec_id < 3)")
+def classes_except(spark, d):
+    s = samples(spark, d)
+    some = lambda n: s.filter(F.col("sample_id") < n).select("cls").distinct()
+    return s.join(some(20), "cls", "left_semi").join(some(3), "cls", "left_anti").groupBy("cls").agg(F.count("*").alias("n"))
+
+
+# -- more images
+
+
+_SPACES = ["XYZ", "YIQ", "III", "YUV", "nRGB", "nXYZ"]
+
+
+@query(" SELECT sample_id, " + ", ".join("[" + "round(" + " + ".join(f"CASE k // 16 WHEN 0 THEN {I.COLOURS[c][0][j]!r} WHEN 1 THEN {I.COLOURS[c][1][j]!r} ELSE {I.COLOURS[c][2][j]!r} END * feat[k % 16 + {1 + 16 * j}]" for j in range(3)) + f", 6) + 0.0 FOR k IN range(0, 48)] AS {c}" for c in _SPACES) + " FROM samples")
+def colour_spaces(spark, d):
+    each = [F.transform(I.recoloured(F.col("feat"), 4, 4, c), lambda x: F.round(x, 6) + 0.0).alias(c) for c in _SPACES]
+    return samples(spark, d).select("sample_id", *each)
+
+
+@query(", b AS (SELECT cls, list_sort(feat) AS b FROM samples WHERE col_idx = 1) SELECT sample_id, [b[CAST(len(list_filter(feat, lambda y: y <= x)) AS INTEGER)] FOR x IN feat] AS feat FROM samples JOIN b USING (cls)")
+def histogram_matching(spark, d):
+    s = samples(spark, d)
+    base = s.filter("col_idx = 1").select("cls", F.col("feat").alias("_b"))
+    return s.join(base, "cls").select("sample_id", I.matched(F.col("feat"), F.col("_b")).alias("feat"))
+
+
+@query(" SELECT sample_id, [round(len(list_filter(feat, lambda y: y <= x)) / 64.0, 6) FOR x IN feat] AS feat FROM samples")
+def rank_normalized(spark, d):
+    return flat(samples(spark, d).select("sample_id", S.percent_ranked(F.col("feat")).alias("feat")))
+
+
+@query(", t AS (SELECT sample_id, feat, list_sort(feat)[7] AS lo, list_sort(feat)[58] AS hi FROM samples) SELECT sample_id, [round((least(hi, greatest(lo, x)) - lo) / (hi - lo) * 255, 4) FOR x IN feat] AS feat FROM t")
+def histogram_truncation(spark, d):
+    return flat(samples(spark, d).select("sample_id", I.truncated(F.col("feat"), 0.1, 0.1).alias("feat")), 4)
+
+
+@query(" SELECT sample_id, y || '_' || x || '_3_3' AS patch_id, [feat[(x - 1 + k // 3) * 8 + (y - 1 + k % 3) + 1] FOR k IN range(0, 9)] AS patch FROM samples, range(1, 7) a(y), range(1, 7) b(x)")
+def sliding_columns(spark, d):
+    return I.patches(samples(spark, d), 8, 8, 1, 3, 3, 1, 1)
+
+
+@query(" SELECT sample_id, [CASE WHEN (i - 1) % 8 < 4 - (i - 1) // 8 THEN 0.0 ELSE feat[i] END FOR i IN range(1, 65)] AS feat FROM samples")
+def triangle_mask(spark, d):
+    mask = [0.0 if k % 8 < 4 - k // 8 else 1.0 for k in range(64)]
+    return samples(spark, d).select("sample_id", F.transform(I.masked(F.col("feat"), mask), lambda x: x + 0.0).alias("feat"))
+
+
+@query()
+def image_resize(spark, d):
+    return I.resized(samples(spark, d), 8, 8, 1, 4, 4).select("sample_id", "feat")
+
+
+@query()
+def frequency_filter(spark, d):
+    return I.frequency_filtered(samples(spark, d), 8, 8, 0.25, 2, "high").select("sample_id", "feat")
+
+
+@query()
+def block_noise(spark, d):
+    return samples(spark, d).select("sample_id", I.dotted_block(F.col("feat"), F.col("sample_id"), 8, 8, 0.5).alias("feat"))
+
+
+# -- more learners
+
+
+_GALLERY = f", g AS (SELECT * FROM samples WHERE col_idx <= 8), p AS (SELECT * FROM samples WHERE col_idx BETWEEN 9 AND 12), {LONG.replace('FROM samples', 'FROM g')}, ms AS (SELECT cls, pos, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM long GROUP BY cls, pos), a AS (SELECT cls, list(m ORDER BY pos) AS m, list(v ORDER BY pos) AS v, max(n) AS n FROM ms GROUP BY cls)"
+
+
+def _split(spark, d):
+    s = samples(spark, d)
+    return s.filter("col_idx <= 8"), s.filter("col_idx between 9 and 12")
+
+
+@query(_GALLERY + " SELECT sample_id, p.cls, a.cls AS predicted FROM p, a QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY list_sum([(feat[i] - m[i]) * (feat[i] - m[i]) FOR i IN range(1, 65)]), a.cls) = 1")
+def nearest_centroid(spark, d):
+    return C.nearest_centroid(*_split(spark, d))
+
+
+@query(_GALLERY + " SELECT sample_id, p.cls, a.cls AS predicted FROM p, a QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ln(n) - 0.5 * list_sum([ln(2 * pi() * v[i]) + (feat[i] - m[i]) * (feat[i] - m[i]) / v[i] FOR i IN range(1, 65)]) DESC, a.cls) = 1")
+def naive_bayes(spark, d):
+    return C.naive_bayes(*_split(spark, d))
+
+
+@query(_RECOGNIZED + ", v AS (SELECT c.k AS k, sample_id, predicted, count(*) AS n FROM r, (VALUES (1), (3), (5)) c(k) WHERE r.k <= c.k GROUP BY ALL) SELECT k, sample_id, predicted FROM v QUALIFY row_number() OVER (PARTITION BY k, sample_id ORDER BY n DESC, predicted) = 1")
+def neighbour_votes(spark, d):
+    return C.vote_of_neighbours(*_split(spark, d), [1, 3, 5])
+
+
+@query(_RECOGNIZED + " SELECT DISTINCT gid AS sample_id FROM r WHERE k <= 3")
+def selected_gallery(spark, d):
+    gallery, probes = _split(spark, d)
+    return N.nearest(probes, gallery, 3).select(F.col("gallery_id").alias("sample_id")).distinct()
+
+
+@query()
+def linear_regression_classifier(spark, d):
+    return C.linear_regression_classifier(*_split(spark, d))
+
+
+@query()
+def nonnegative_recognition(spark, d):
+    return C.nonnegative_recognition(*_split(spark, d))
+
+
+@query()
+def forward_selection(spark, d):
+    chosen, scores = C.forward_selection(*_split(spark, d), [list(range(k, k + 8)) for k in range(0, 64, 8)])
+    return spark.createDataFrame(list(zip(range(1, len(chosen) + 1), chosen, scores)), "step int, feature_group int, accuracy double")
+
+
+@query()
+def dictionary_codes(spark, d):
+    return C.learned_dictionary(samples(spark, d), 20, 3, 5, most=400)[1]
+
+
+@query()
+def optimal_directions_codes(spark, d):
+    return C.learned_dictionary(samples(spark, d), 20, 3, 5, "mod", most=400)[1]
+
+
+@query()
+def nonnegative_factors(spark, d):
+    s = samples(spark, d).withColumn("feat", F.transform("feat", lambda x: x + 1))
+    return C.nonnegative_factors(s, 4, 5)[1]
+
+
+def _projected(spark, d, learn):
+    """Accuracy of the probes in a space learned from the gallery."""
+    gallery, probes = _split(spark, d)
+    got = learn(gallery)
+    w, mean = got if isinstance(got, tuple) else (got, None)
+    return S.accuracies(N.recognize(L.project(probes, w, mean), L.project(gallery, w, mean)), "cls", "predicted")
+
+
+@query()
+def whitened(spark, d):
+    s = samples(spark, d)
+    return L.project(s.select("sample_id", "feat"), *R.whitening(s))
+
+
+@query()
+def fisher_recognition(spark, d):
+    return _projected(spark, d, R.fisher)
+
+
+@query()
+def direct_discriminants(spark, d):
+    return _projected(spark, d, R.direct_lda)
+
+
+@query()
+def robust_discriminants(spark, d):
+    return _projected(spark, d, lambda g: R.robust_lda(g, steps=5))
+
+
+@query()
+def correntropy_discriminants(spark, d):
+    return _projected(spark, d, lambda g: R.robust_lda(g, steps=5, kind="correntropy"))
+
+
+@query()
+def correntropy_components(spark, d):
+    return _projected(spark, d, lambda g: R.correntropy_pca(g, 10, 5))
+
+
+@query()
+def partial_least_squares(spark, d):
+    return _projected(spark, d, lambda g: R.partial_least_squares(g, 5))
+
+
+@query()
+def masked_reconstruction(spark, d):
+    return R.masked_reconstruction(samples(spark, d).select("sample_id", "cls", "feat"), list(range(48)), 10)
+
+
+@query()
+def kernel_discriminants(spark, d):
+    return R.kernel_discriminant(samples(spark, d).filter("col_idx <= 20"))
+
+
+@query()
+def locality_preserving_recognition(spark, d):
+    return _projected(spark, d, lambda g: M.locality_preserving(g, 5, 1.0, 8))
+
+
+@query()
+def neighbourhood_preserving_recognition(spark, d):
+    return _projected(spark, d, lambda g: M.neighbourhood_preserving(g, 5, 8))
+
+
+@query()
+def neighbourhood_components(spark, d):
+    return _projected(spark, d, lambda g: M.neighbourhood_components(g, 8, 30))
+
+
+@query()
+def factor_loadings(spark, d):
+    load, noise, _ = M.factor_analysis(samples(spark, d), 3)
+    return spark.createDataFrame([(i, float(n), [float(x) for x in r]) for i, (r, n) in enumerate(zip(load, noise))], "pos int, noise double, loadings array<double>")
+
+
+@query()
+def probabilistic_components(spark, d):
+    load, noise, _ = M.factor_analysis(samples(spark, d), 3, shared=True)
+    return spark.createDataFrame([(i, float(n), [float(x) for x in r]) for i, (r, n) in enumerate(zip(load, noise))], "pos int, noise double, loadings array<double>")
+
+
+@query(_KNN.replace("cls <= 4", "true") + ", t AS (SELECT src, max(d2) AS last FROM r WHERE k <= 6 GROUP BY src), m AS (SELECT src, 1 / avg(0.5 * ln(last / d2)) AS m FROM r JOIN t USING (src) WHERE k < 6 AND d2 > 0 GROUP BY src) SELECT round(avg(m), 6) AS mle FROM m")
+def intrinsic_dimension(spark, d):
+    s = samples(spark, d)
+    return rounded(M.intrinsic_dimension(N.nearest(s, s, 6, skip_self=True), 6), "mle")
+
+
+@query(_KNN.replace("cls <= 4", "true") + ", n AS (SELECT d2 FROM r WHERE k <= 6), m AS (SELECT quantile_cont(d2, 0.5) AS mid, max(d2) AS far FROM n) SELECT round(ln(count(*) / count(*) FILTER (d2 <= mid)) / (0.5 * ln(any_value(far) / any_value(mid))), 6) AS dimension FROM n, m")
+def correlation_dimension(spark, d):
+    s = samples(spark, d)
+    return rounded(M.correlation_dimension(N.nearest(s, s, 6, skip_self=True)), "dimension")
+
+
+@query()
+def t_stochastic_neighbours(spark, d):
+    return M.stochastic_neighbours(samples(spark, d).filter("col_idx <= 20"), steps=250)
+
+
+@query()
+def symmetric_stochastic_neighbours(spark, d):
+    return M.stochastic_neighbours(samples(spark, d).filter("col_idx <= 20"), steps=250, heavy=False)
+
+
+@query()
+def sammon_mapping(spark, d):
+    return M.sammon(L.manifold(spark, "helix", 300), 2, 100)
+
+
+@query()
+def diffusion_map(spark, d):
+    return M.diffusion_map(L.manifold(spark, "helix", 300))
+
+
+@query()
+def tangent_alignment(spark, d):
+    return M.tangent_alignment(L.manifold(spark, "twinpeaks", 400))
+
+
+@query()
+def hessian_embedding(spark, d):
+    return M.hessian_embedding(L.manifold(spark, "twinpeaks", 400))
+
+
+@query()
+def landmark_isomap(spark, d):
+    return M.landmark_isomap(L.manifold(spark, "swiss", 500))
+
+
+@query()
+def proximity_embedding(spark, d):
+    return M.proximity_embedding(L.manifold(spark, "helix", 300))
+
+
+@query()
+def broken_swiss_roll(spark, d):
+    return M.surface(spark, "broken_swiss", 500)
+
+
+@query()
+def cluster_surface(spark, d):
+    return M.surface(spark, "clusters", 300)
+
+
+@query()
+def crossing_surface(spark, d):
+    return M.surface(spark, "intersect", 400)
+
+
+@query()
+def difficult_surface(spark, d):
+    return M.surface(spark, "difficult", 243)
