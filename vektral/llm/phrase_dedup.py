@@ -198,11 +198,15 @@ def _digested(locate):
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 13, anchor: int = 4, docs_per_block: int = 2000, digest: bool = False) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = 13, anchor: int = 4, docs_per_block: int = 2000, bytes_per_block: int = 8_000_000, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by a space) of every row of docs;
-    with digest the sha256 of kept instead of it, so that no text leaves the task."""
+    with digest the sha256 of kept instead of it, so that no text leaves the task.
+
+    There are as many blocks as the number or the length of the documents asks for, so that a block of
+    long texts is no larger than one of short ones."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    blocks = max(1, -(-docs.count() // docs_per_block))
+    n, length = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // docs_per_block), -(-length // bytes_per_block))
     buckets = max(1, -(-blocks // 4))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     sent = rows.groupBy("block").applyInArrow(_send(window, buckets), "block int, bucket int, docs binary, data binary")
