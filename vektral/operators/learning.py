@@ -83,27 +83,71 @@ def lda(ds: DataFrame, alpha: float = 0.1, dims: int = 0) -> np.ndarray:
     return w / np.linalg.norm(w, axis=0)
 
 
-def kmeans(ds: DataFrame, k: int, iterations: int = 50, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
-    """Lloyd's steps; each is one pass that sends k sums.  Starts from the k least hashes of ids."""
-    start = ds.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(k).collect()
-    centres, old = np.array([r["feat"] for r in start]), None
-
-    def labelled(c: np.ndarray) -> DataFrame:
+def kmeans(ds: DataFrame, k: int, iterations: int = 50, seed: int = 1, start: np.ndarray | None = None, cosine: bool = False) -> tuple[np.ndarray, DataFrame]:
+    """(centres, (sample_id, cluster)) by Lloyd's steps, from the k least hashes of ids or given centres.
+
+    Each step is one pass: a task returns its count and sum of each cluster, k * (dims + 1) numbers.
+    Ties go to the smaller cluster.  A cluster that lost its samples restarts at the sample farthest
+    from its centre.  With cosine, vectors and centres have unit length.
+    """
+    rows = ds.select("sample_id", "feat").persist()
+    if start is None:
+        first = rows.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(k).collect()
+        start = np.array([r["feat"] for r in first])
+    centres, k = np.asarray(start, float), len(start)
+
+    def assigned(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors as compared, their clusters (from 0) and squared distances, in blocks."""
+        if cosine:
+            x, c = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-14) for v in (x, c))
+        step = max(1, 4_000_000 // max(1, c.size))
+        found, far = [], []
+        for lo in range(0, len(x), step):
+            d = ((x[lo : lo + step, None] - c) ** 2).sum(2)
+            found.append(d.argmin(1))
+            far.append(d.min(1))
+        return x, np.concatenate(found), np.concatenate(far)
+
+    def step(c: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, worst, at = np.zeros((k, c.shape[1] + 1)), -1.0, None
             for batch in batches:
-                x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
-                d = ((x[:, None, :] - c) ** 2).sum(2) if len(x) * len(c) < 1e6 else (c * c).sum(1) - 2 * x @ c.T
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d.argmin(1).astype(np.int32) + 1), batch.column(1)], names=["sample_id", "cls", "feat"])
-
-        return ds.select("sample_id", "feat").mapInArrow(run, "sample_id long, cls int, feat array<double>")
+                if batch.num_rows:
+                    x, own, d = assigned(np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1), c)
+                    total[:, 0] += np.bincount(own, minlength=k)
+                    np.add.at(total[:, 1:], own, x)
+                    if d.max() > worst:
+                        worst, at = float(d.max()), x[d.argmax()]
+            if at is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([worst]), pa.array([at.tolist()], pa.list_(pa.float64())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["worst", "at", "total"])
+
+        parts = rows.select("feat").mapInArrow(run, "worst double, at array<double>, total array<double>")
+        summed = parts.select(F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+        total = np.array([r["x"] for r in summed]).reshape(k, -1)
+        new, empty = total[:, 1:] / np.maximum(total[:, :1], 1), np.flatnonzero(total[:, 0] == 0)
+        if len(empty):
+            outer = parts.orderBy(F.desc("worst"), "at").limit(len(empty)).collect()
+            for j, r in zip(empty, outer):
+                new[j] = r["at"]
+            for j in empty[len(outer) :]:
+                new[j] = c[j]
+        return new
 
     for _ in range(iterations):
-        s = sums(labelled(centres))
-        new = np.array([s[j + 1][1] / s[j + 1][0] if j + 1 in s else centres[j] for j in range(k)])
-        if old is not None and np.allclose(new, centres, atol=1e-9):
+        new = step(centres)
+        done = np.allclose(new, centres, atol=1e-9)
+        centres = new
+        if done:
             break
-        old, centres = centres, new
-    return centres, labelled(centres).withColumnRenamed("cls", "cluster").drop("feat")
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = assigned(np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1), centres)[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((own + 1).astype(np.int32))], names=["sample_id", "cluster"])
+
+    rows.unpersist()
+    return centres, ds.select("sample_id", "feat").mapInArrow(label, "sample_id long, cluster int")
 
 
 def gram_matrix(ds: DataFrame, kernel: str, t: float = 1.0, degree: int = 2, most: int = 5000) -> tuple[list[int], np.ndarray]:

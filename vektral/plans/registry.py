@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -739,7 +740,7 @@ def dictionary_codes(spark, d):
 
 
 @query()
-def optimal_directions_codes(spark, d):
+def directions_codes(spark, d):
     return C.learned_dictionary(samples(spark, d), 20, 3, 5, "mod", most=400)[1]
 
 
@@ -900,3 +901,20 @@ def crossing_surface(spark, d):
 @query()
 def difficult_surface(spark, d):
     return M.surface(spark, "difficult", 243)
+
+
+_STEP = """, c AS (SELECT cls AS c, feat AS m FROM samples WHERE col_idx = 1),
+ a AS (SELECT sample_id, feat, c FROM samples, c QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY list_sum([(feat[i] - m[i]) * (feat[i] - m[i]) FOR i IN range(1, 65)]), c) = 1),
+ l AS (SELECT c, unnest(feat) AS x, generate_subscripts(feat, 1) AS pos FROM a), n AS (SELECT c, pos, avg(x) AS m FROM l GROUP BY c, pos), b AS (SELECT c, list(m ORDER BY pos) AS m FROM n GROUP BY c)"""
+
+
+@query(_STEP + " SELECT sample_id, CAST(b.c AS INTEGER) AS cluster FROM samples, b QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY list_sum([(feat[i] - m[i]) * (feat[i] - m[i]) FOR i IN range(1, 65)]), b.c) = 1")
+def kmeans_step(spark, d):
+    s = samples(spark, d)
+    start = [r["feat"] for r in s.filter("col_idx = 1").orderBy("cls").collect()]
+    return L.kmeans(s, 10, 1, start=np.array(start))[1]
+
+
+@query()
+def cosine_clusters(spark, d):
+    return L.kmeans(samples(spark, d), 10, 10, cosine=True)[1]
