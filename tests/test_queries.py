@@ -260,3 +260,44 @@ def test_parts_of_a_long_path_and_a_hub(spark):
     edges = spark.createDataFrame([*path, *hub, (7, 7), (500, 500), (None, 3)], "src long, dst long")
     got = {r["node"]: r["part"] for r in G.connected_parts(edges).collect()}
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[k] == 100 for k in range(100, 400)) and got[500] == 500
+
+
+def test_high_pass_design():
+    sections = T.high_pass_sections(50, 0.4, 0.8)
+    gain = lambda hz: np.prod([abs(np.polyval(b[::-1], z) / np.polyval(a[::-1], z)) for b, a in sections for z in [np.exp(-2j * np.pi * hz / 50)]])
+    db = lambda hz: 20 * np.log10(gain(hz))
+    assert max(db(f) for f in np.linspace(0.01, 0.4, 50)) <= -59.99
+    assert -1.01 <= min(db(f) for f in np.linspace(0.8, 24.9, 200)) and max(db(f) for f in np.linspace(0.8, 24.9, 200)) < 0.01
+    assert all(max(abs(np.roots(a))) < 1 for _, a in sections)
+
+
+def test_image_denoising(spark):
+    from vektral.operators import images as I
+
+    rng = np.random.default_rng(5)
+    clean = np.zeros((16, 16))
+    clean[:, 8:] = 1
+    noisy = clean + rng.normal(0, 0.15, clean.shape)
+    ds = spark.createDataFrame([(1, [float(v) for v in noisy.T.ravel()])], "sample_id long, feat array<double>")
+    for out in (I.total_variation(ds, 16, 16, 0.2, 300), I.nonlocal_means(ds, 16, 16, 3, 1, 0.3)):
+        got = np.array(out.first()["feat"]).reshape(16, 16).T
+        assert ((got - clean) ** 2).mean() < 0.6 * ((noisy - clean) ** 2).mean()
+
+
+def test_brightness_keeps_hue(spark):
+    from vektral.operators import images as I
+
+    x = np.random.default_rng(6).integers(1, 256, (3, 16)).astype(float)
+    ds = spark.createDataFrame([(1, x.ravel().tolist())], "sample_id long, feat array<double>")
+    got = np.array(I.brightness_equalized(ds, 4, 4).first()["feat"]).reshape(3, 16)
+    assert np.allclose(got / got.max(0), x / x.max(0)) and got.max() == 255
+
+
+def test_autoencoder_rebuilds(spark):
+    from vektral.operators import classifiers as C
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 6))
+    ds = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "sample_id long, feat array<double>")
+    encode, decode = C.autoencoder(ds, 4, 800)
+    assert ((decode(encode(x)) - x) ** 2).sum() < 0.1 * ((x - x.mean(0)) ** 2).sum()

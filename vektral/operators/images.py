@@ -175,19 +175,14 @@ def frequency_mask(h: int, w: int, cutoff: float, order: int, kind: str = "low",
 def frequency_filtered(ds: DataFrame, h: int, w: int, cutoff: float, order: int, kind: str = "low", boost: float = 1.0) -> DataFrame:
     """One-channel images after a frequency filter."""
     import numpy as np
-    import pyarrow as pa
 
     mask = frequency_mask(h, w, cutoff, order, kind, boost)
 
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("feat")
-            x = np.asarray(batch.column(at).flatten(), float).reshape(-1, w, h).transpose(0, 2, 1)
-            y = np.fft.ifft2(np.fft.fft2(x) * mask).real.transpose(0, 2, 1)
-            feat = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, h * w, dtype=np.int32)), pa.array(y.ravel()))
-            yield pa.RecordBatch.from_arrays([feat if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+    def run(x):
+        img = x.reshape(-1, w, h).transpose(0, 2, 1)
+        return np.fft.ifft2(np.fft.fft2(img) * mask).real.transpose(0, 2, 1).reshape(len(x), -1)
 
-    return ds.mapInArrow(run, ds.schema)
+    return mapped(ds, run)
 
 
 def truncated(feat: Column, low: float, high: float) -> Column:
@@ -210,3 +205,86 @@ def dotted_block(feat: Column, key: Column, h: int, w: int, rate: float, seed: i
 def masked(feat: Column, mask: list[float]) -> Column:
     """Multiplied by a constant mask."""
     return F.zip_with(feat, F.array(*[F.lit(float(m)) for m in mask]), lambda x, m: x * m)
+
+
+def mapped(ds: DataFrame, f) -> DataFrame:
+    """feat through a numpy function of a batch of vectors (rows)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.schema.get_field_index("feat")
+                y = f(np.asarray(batch.column(at).flatten(), float).reshape(batch.num_rows, -1))
+                feat = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([feat if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return ds.mapInArrow(run, ds.schema)
+
+
+def brightness_equalized(ds: DataFrame, h: int, w: int, bins: int = 64) -> DataFrame:
+    """Colour images (0..255) whose brightness, the greatest of the three channels, is equalised; hue and
+    saturation stay, since all channels of a pixel grow by one factor."""
+    import numpy as np
+
+    def run(x):
+        rgb = x.reshape(len(x), 3, h * w)
+        v = rgb.max(1)
+        cell = np.minimum(bins - 1, np.floor(v / 256 * bins)).astype(int)
+        out = np.empty_like(rgb)
+        for k in range(len(x)):
+            share = np.cumsum(np.bincount(cell[k], minlength=bins)) / (h * w)
+            out[k] = rgb[k] * np.divide(share[cell[k]] * 255, v[k], out=np.zeros(h * w), where=v[k] > 0)
+        return out.reshape(len(x), -1)
+
+    return mapped(ds, run)
+
+
+def nonlocal_means(ds: DataFrame, h: int, w: int, reach: int = 2, patch: int = 1, strength: float = 0.5) -> DataFrame:
+    """One-channel images: each pixel becomes a mean of the pixels within reach, weighed by how alike
+    the patches around them are."""
+    import numpy as np
+
+    def run(x):
+        img = x.reshape(len(x), w, h).transpose(0, 2, 1)
+        wide = np.pad(img, ((0, 0), *[(reach + patch, reach + patch)] * 2), "symmetric")
+        total, weight = np.zeros_like(img), np.zeros_like(img)
+        cut = lambda dy, dx, extra: wide[:, reach + patch + dy - extra : reach + patch + dy + h + extra, reach + patch + dx - extra : reach + patch + dx + w + extra]
+        here = cut(0, 0, patch)
+        for dy in range(-reach, reach + 1):
+            for dx in range(-reach, reach + 1):
+                d = (here - cut(dy, dx, patch)) ** 2
+                near = sum(d[:, a : a + h, b : b + w] for a in range(2 * patch + 1) for b in range(2 * patch + 1)) / (2 * patch + 1) ** 2
+                g = np.exp(-near / strength**2)
+                total += g * cut(dy, dx, 0)
+                weight += g
+        return (total / weight).transpose(0, 2, 1).reshape(len(x), -1)
+
+    return mapped(ds, run)
+
+
+def total_variation(ds: DataFrame, h: int, w: int, penalty: float, steps: int = 100) -> DataFrame:
+    """One-channel images u of least |u - x|^2 / 2 + penalty TV(u), by projected steps on the dual."""
+    import numpy as np
+
+    def run(x):
+        img = x.reshape(len(x), w, h).transpose(0, 2, 1)
+        p, q = np.zeros_like(img), np.zeros_like(img)
+
+        def back(p, q):
+            out = p + q
+            out[:, 1:] -= p[:, :-1]
+            out[:, :, 1:] -= q[:, :, :-1]
+            return out
+
+        for _ in range(steps):
+            u = back(p, q) - img / penalty
+            dy, dx = np.zeros_like(img), np.zeros_like(img)
+            dy[:, :-1] = u[:, 1:] - u[:, :-1]
+            dx[:, :, :-1] = u[:, :, 1:] - u[:, :, :-1]
+            size = 1 + 0.125 * np.hypot(dy, dx)
+            p, q = (p + 0.125 * dy) / size, (q + 0.125 * dx) / size
+        return (img - penalty * back(p, q)).transpose(0, 2, 1).reshape(len(x), -1)
+
+    return mapped(ds, run)

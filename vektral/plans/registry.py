@@ -19,7 +19,7 @@ from ..operators import manifolds as M
 from ..operators import neighbours as N
 from ..operators import statistics as S
 from ..operators import windows as W
-from ..sources.tables import image_name, natural_key, samples, table
+from ..sources.tables import high_pass_sections, high_passed, image_name, natural_key, samples, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -918,3 +918,47 @@ def kmeans_step(spark, d):
 @query()
 def cosine_clusters(spark, d):
     return L.kmeans(samples(spark, d), 10, 10, cosine=True)[1]
+
+
+_PARTS = """, f AS (SELECT sample_id, cls, feat, ntile(5) OVER (PARTITION BY cls ORDER BY md5(CAST(sample_id AS VARCHAR)), sample_id) AS fold FROM samples),
+ d AS (SELECT p.sample_id, p.cls, g.cls AS predicted, g.sample_id AS gid, list_sum([(p.feat[i] - g.feat[i]) * (p.feat[i] - g.feat[i]) FOR i IN range(1, 65)]) AS d2 FROM f p JOIN f g ON p.fold <> g.fold),
+ r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d2, gid) AS k FROM d), v AS (SELECT c.k AS k, sample_id, cls, predicted, count(*) AS n FROM r, (VALUES (1), (3), (7)) c(k) WHERE r.k <= c.k GROUP BY ALL),
+ w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY k, sample_id ORDER BY n DESC, predicted) = 1)"""
+
+
+@query(_PARTS + " SELECT k, count(*) AS n, round(avg(CAST(predicted = cls AS DOUBLE)), 9) AS accuracy FROM w GROUP BY k")
+def cross_validated_votes(spark, d):
+    return rounded(C.cross_validated_votes(S.folds(samples(spark, d), 5), 5, [1, 3, 7]), "accuracy", digits=9)
+
+
+@query(f", {LONG} SELECT CAST(pos AS INTEGER) AS pos, sample_id, x FROM long")
+def features_first(spark, d):
+    return S.long_form(samples(spark, d), "sample_id").select("pos", "sample_id", "x").repartitionByRange("pos").sortWithinPartitions("pos", "sample_id")
+
+
+@query()
+def high_pass(spark, d):
+    return high_passed(table(spark, d, "events"), "event_type", "event_id", "value", high_pass_sections(50, 0.4, 0.8))
+
+
+@query()
+def brightness_equalization(spark, d):
+    s = samples(spark, d).select("sample_id", F.transform(F.slice("feat", 1, 48), lambda x: F.round((x + 1) * 127)).alias("feat"))
+    return I.brightness_equalized(s, 4, 4)
+
+
+@query()
+def nonlocal_means(spark, d):
+    return I.nonlocal_means(samples(spark, d).select("sample_id", "feat"), 8, 8)
+
+
+@query()
+def total_variation(spark, d):
+    return I.total_variation(samples(spark, d).select("sample_id", "feat"), 8, 8, 0.1)
+
+
+@query()
+def autoencoded(spark, d):
+    s = samples(spark, d)
+    encode, _ = C.autoencoder(s, 8, 100)
+    return I.mapped(s.select("sample_id", "feat"), encode)

@@ -88,3 +88,36 @@ def high_pass_series(df: DataFrame, key: str, order: str, value: str, b: list[fl
         return pdf.assign(**{value: y})
 
     return df.select(key, order, value).groupBy(key).applyInPandas(run, schema)
+
+
+def high_pass_sections(rate: float, stop: float, passed: float, stop_db: float = 60.0, pass_db: float = 1.0) -> list[tuple[list[float], list[float]]]:
+    """(b, a) of the second-order sections of a Chebyshev type II high-pass: at least stop_db below
+    `stop` Hz, at most pass_db lost above `passed` Hz."""
+    import numpy as np
+
+    ws, wp = np.tan(np.pi * stop / rate), np.tan(np.pi * passed / rate)
+    n = int(np.ceil(np.arccosh(np.sqrt((10 ** (stop_db / 10) - 1) / (10 ** (pass_db / 10) - 1))) / np.arccosh(wp / ws)))
+    eps = 1 / np.sqrt(10 ** (stop_db / 10) - 1)
+    theta = np.pi * (2 * np.arange(1, n + 1) - 1) / (2 * n)
+    mu = np.arcsinh(1 / eps) / n
+    poles = 1 / (-np.sinh(mu) * np.sin(theta) + 1j * np.cosh(mu) * np.cos(theta))
+    # low to high pass: s becomes ws / s; then the bilinear map
+    to_z = lambda s: (1 + s) / (1 - s)
+    out = []
+    for k in range(n // 2):
+        pole, zero = to_z(ws / poles[k]), to_z(-1j * ws * np.cos(theta[k]))
+        b = np.array([1, -2 * zero.real, abs(zero) ** 2])
+        a = np.array([1, -2 * pole.real, abs(pole) ** 2])
+        out.append((b, a))
+    if n % 2:
+        pole = to_z(ws / poles[n // 2]).real
+        out.append((np.array([1.0, -1.0]), np.array([1.0, -pole])))
+    sign = lambda c: (c * (-1.0) ** np.arange(len(c))).sum()  # noqa: E731  the value at half the rate
+    return [((b * sign(a) / sign(b)).tolist(), a.tolist()) for b, a in out]
+
+
+def high_passed(df: DataFrame, key: str, order: str, value: str, sections: list[tuple[list[float], list[float]]]) -> DataFrame:
+    """The sections one after the other over each key's ordered samples."""
+    for b, a in sections:
+        df = high_pass_series(df, key, order, value, b, a)
+    return df
