@@ -192,7 +192,7 @@ class TextEncoder:
     """Ids of whole texts: each match of the pattern goes through the transducer by itself.  Chunks met
     before are remembered, their path through the states as one edge, in tables of bounded size."""
 
-    def __init__(self, fst: BpeTransducer, pattern: str, limit: int = 1_000_000):
+    def __init__(self, fst: BpeTransducer, pattern: str, limit: int = 400_000):
         import regex
 
         self.fst, self.split = fst, regex.compile(pattern)

@@ -103,14 +103,18 @@ def held(key, make):
 
 
 def release() -> None:
-    """Operators without such tables call this first in a task: a worker may come from another operator."""
-    if _held:
-        import ctypes
-        import gc
+    """Called first in a task, since a worker may come from another operator: tables it keeps go, and
+    memory that is free in the process goes back to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
 
+    if _held:
         _held.clear()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library: the memory is free for reuse, if not returned
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: the memory is free for reuse, if not returned
