@@ -249,7 +249,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column:
                 for at in range(0, len(ids), 65536):
                     seen.update(stream.feed(ids[at : at + 65536]).encode())
                 seen.update(stream.close().encode())
-                rows.append((len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), seen.hexdigest(), ids))
+                rows.append((len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), seen.hexdigest(), ids if keep_ids else None))
             out = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
             if keep_ids:
                 out.append(pa.array([r[3] for r in rows], pa.list_(pa.int32())))
