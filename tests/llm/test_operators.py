@@ -297,6 +297,19 @@ def test_near_embeddings(spark, shard, block):
     assert all(got[i] == (0, i, True) for i in range(300, 305))
 
 
+def test_near_embeddings_audit_tests_links():
+    """Queries of which few have links in the shard, and none of those that are evenly spaced."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = unit(rng.normal(size=(4000, 64)))
+    q = unit(rng.normal(size=(3000, 64)))
+    at = np.setdiff1d(np.arange(7, 3000, 10), np.linspace(0, 2999, 24).astype(int))
+    q[at] = unit(x[at] + 0.2 / 64 * rng.normal(size=(len(at), 64)))
+    truth = np.argwhere(q @ x.T >= 0.95)
+    got = {(int(i), int(j)) for a, b in near_embeddings.Graph(x).links(q, 0.95, 1) for i, j in zip(a, b)}
+    assert len(truth) > 200 and np.mean([(int(i), int(j)) in got for i, j in truth]) >= 0.99
+
+
 def test_near_embeddings_edges(spark):
     assert near_embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     rows = [(7, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (9, [1.0, 0.01], 0), (3, [1.0, 0.0, 0.0], 0)]

@@ -3,9 +3,11 @@
 Equal vectors collapse first.  The distinct ones are dealt to shards by a hash; each shard builds a
 layered graph, and every vector queries every shard.  A query's beam starts at beam; it widens, by
 doubling, for each query whose beam is full of links, and for the whole block of queries until an
-audit (queries compared with all vectors of the shard) finds every link.  Hits are verified by cosine
-in double precision on the original vectors; a task unites its own links, and distributed
-star contraction unites those of all tasks.
+audit (queries compared with all vectors of the shard) finds every link.  The audit always tests
+links, however many shards there are: it takes queries of the block that have links, and vectors of
+the shard moved to similarities down to the threshold.  Hits are verified by cosine in double
+precision on the original vectors; a link found from either end counts for both, once.  A task
+unites its own links, and distributed star contraction unites those of all tasks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing (n_links 0, their own component); copies link with each other and share all other links; a
@@ -188,14 +190,14 @@ class Graph:
             entry = self.beam(q, entry, 8, level, len(self.x))[0][:, :4]
         return self.beam(q, entry, width, 0, len(self.x))
 
-    def links(self, q: np.ndarray, least: float, beam: int, audit: int = 24, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, q: np.ndarray, least: float, beam: int, audit: int = 24, linked: int = 128, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, row) pairs with a similarity of least or more, in parts."""
         n = len(self.x)
-        asked = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
-        full = [np.flatnonzero(self.x @ q[k] >= least) for k in asked]
+        tests = self._audit(q, least, audit, linked)
+        full = [np.flatnonzero(self.x @ t >= least) for t in tests]
         width = min(beam, n)
         while True:  # widen until the audit finds every link
-            found = self._within(q[asked], least, width)
+            found = self._within(tests, least, width)
             if width >= n or all(np.isin(f, found[1][found[0] == i]).all() for i, f in enumerate(full)):
                 break
             width = min(2 * width, n)
@@ -203,6 +205,28 @@ class Graph:
             a, b = self._within(q[lo : lo + step], least, width)
             yield a + lo, b
 
+    def _audit(self, q: np.ndarray, least: float, audit: int, linked: int, step: int = 256, tries: int = 8) -> np.ndarray:
+        """Queries to audit: audit evenly spaced ones, linked ones with a link besides themselves as far as
+        a few steps of queries hold them, and linked rows of x, each moved to a similarity between least and 1."""
+        out = [q[np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)]]
+        rng = np.random.default_rng(5)
+        order, missing = rng.permutation(len(q)), linked
+        for lo in range(0, min(len(q), tries * step), step):
+            part = q[order[lo : lo + step]]
+            sims = part @ self.x.T
+            has = part[((sims >= least) & (sims < 1 - 1e-6)).any(1)][:missing]
+            out.append(has)
+            missing -= len(has)
+            if not missing:
+                break
+        own = self.x[np.linspace(0, len(self.x) - 1, min(linked, len(self.x))).astype(int)]
+        away = rng.normal(size=own.shape).astype(np.float32)
+        away -= np.einsum("ij,ij->i", away, own)[:, None] * own
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+        cosine = np.linspace(min(1.0, least + 1e-3), 1, len(own), dtype=np.float32)[:, None]
+        out.append(cosine * own + np.sqrt(1 - cosine**2) * away)
+        return np.concatenate(out).astype(np.float32)
+
     def _within(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         todo, out = np.arange(len(q)), []
         while len(todo):
@@ -227,7 +251,7 @@ def _build(key: tuple, group: pa.Table) -> pa.Table:
     g = Graph(unit)
     near = pa.array([[x.tobytes() for x in g.near]], pa.list_(pa.binary()))
     one = lambda x, t: pa.array([x], t)
-    return pa.table({"shard": one(key[0].as_py(), pa.int32()), "dim": one(key[1].as_py(), pa.int32()), "ids": one(np.asarray(group["id"], np.int64).tobytes(), pa.binary()), "copies": one(np.asarray(group["copies"], np.int64).tobytes(), pa.binary()), "v": one(v.tobytes(), pa.binary()), "levels": one(g.levels.tobytes(), pa.binary()), "near": near})
+    return pa.table({"shard": one(key[0].as_py(), pa.int32()), "dim": one(key[1].as_py(), pa.int32()), "ids": one(np.asarray(group["id"], np.int64).tobytes(), pa.binary()), "copies": one(np.asarray(group["copies"], np.int64).tobytes(), pa.binary()), "hashed": one(np.asarray(group["hashed"], np.int64).tobytes(), pa.binary()), "v": one(v.tobytes(), pa.binary()), "levels": one(g.levels.tobytes(), pa.binary()), "near": near})
 
 
 class _Roots:
@@ -249,33 +273,43 @@ class _Roots:
             self.up[max(a, b)] = min(a, b)
 
 
+#: A link of two nodes, the lesser id first: ids, hashes and copies; or, with 0 copies, an id and its root in the task.
+LINK = "a long, b long, ha long, hb long, ca long, cb long"
+
+
 def _query(threshold: float, beam: int):
     def run(key: tuple, queries: pa.Table, graphs: pa.Table) -> pa.Table:
-        empty = pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        names = ["a", "b", "ha", "hb", "ca", "cb"]
         if not queries.num_rows or not graphs.num_rows:
-            return empty
+            return pa.table([pa.array([], pa.int64())] * 6, names=names)
         g = graphs.to_pylist()[0]
         dim = g["dim"]
         v = np.frombuffer(g["v"], np.float64).reshape(-1, dim)
-        ids, copies = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["copies"], np.int64)
+        ids, copies, hashed = (np.frombuffer(g[c], np.int64) for c in ("ids", "copies", "hashed"))
         norm = np.linalg.norm(v, axis=1)
         near = [np.frombuffer(x, np.int32).reshape(len(v), -1) for x in g["near"]]
         graph = Graph((v / norm[:, None]).astype(np.float32), neighbours=near, levels=np.frombuffer(g["levels"], np.int8))
-        q, q_ids = matrix(queries["v"]), np.asarray(queries["id"], np.int64)
+        q = matrix(queries["v"])
+        q_ids, q_copies, q_hashed = (np.asarray(queries[c], np.int64) for c in ("id", "copies", "hashed"))
         q_norm = np.linalg.norm(q, axis=1)
-        n_links = np.zeros(len(q), np.int64)
+        found = []
         roots = _Roots()
         for a, b in graph.links((q / q_norm[:, None]).astype(np.float32), threshold - 1e-4, beam):
             ok = q_ids[a] != ids[b]
             a, b = a[ok], b[ok]
             cosine = np.einsum("ij,ij->i", q[a], v[b]) / (q_norm[a] * norm[b])
             a, b = a[cosine >= threshold], b[cosine >= threshold]
-            np.add.at(n_links, a, copies[b])
-            for x, y in zip(q_ids[a].tolist(), ids[b].tolist()):
-                roots.join(x, y)
-        nodes = list(roots.up)
-        count = dict(zip(q_ids.tolist(), n_links.tolist()))
-        return pa.table({"id": pa.array(nodes, pa.int64()), "n": pa.array([count.get(x, 0) for x in nodes], pa.int64()), "root": pa.array([roots.root(x) for x in nodes], pa.int64())})
+            x, y = np.stack((q_ids[a], q_hashed[a], q_copies[a])), np.stack((ids[b], hashed[b], copies[b]))
+            first = x[0] < y[0]
+            lo, hi = np.where(first, x, y), np.where(first, y, x)
+            found.append(np.stack((lo[0], hi[0], lo[1], hi[1], lo[2], hi[2])))
+            for s, t in zip(q_ids[a].tolist(), ids[b].tolist()):
+                roots.join(s, t)
+        links = np.concatenate(found, 1)
+        links = links[:, np.lexsort(links[:4])]
+        links = links[:, np.r_[True, (links[:4, 1:] != links[:4, :-1]).any(0)][: links.shape[1]]]
+        ends = np.array([(x, roots.root(x), 0, 0, 0, 0) for x in list(roots.up)], np.int64).reshape(-1, 6).T
+        return pa.table([pa.array(c, pa.int64()) for c in np.concatenate((links, ends), 1)], names=names)
 
     return run
 
@@ -290,17 +324,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, beam: int = 24,
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // block_rows))
     hashed = F.xxhash64("v")
     # a vector whose ids are all null is named by a hash of it, below all others
-    nodes = nodes.withColumn("id", F.coalesce("id", -F.abs(hashed / 2).cast("long") - 2**40))
+    nodes = nodes.withColumn("hashed", hashed).withColumn("id", F.coalesce("id", -F.abs(hashed / 2).cast("long") - 2**40))
     dealt = nodes.withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int"))
-    graphs = dealt.groupBy("shard", "dim").applyInArrow(_build, "shard int, dim int, ids binary, copies binary, v binary, levels binary, near array<binary>")
+    graphs = dealt.groupBy("shard", "dim").applyInArrow(_build, "shard int, dim int, ids binary, copies binary, hashed binary, v binary, levels binary, near array<binary>")
     graphs = written(graphs, "graphs")
     every_block = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else graphs.withColumn("block", F.lit(0))
-    every_shard = dealt.select("id", "v", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    every_shard = dealt.select("id", "copies", "hashed", "v", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     keys = ["shard", "dim", "block"]
-    found = every_shard.groupBy(*keys).cogroup(every_block.groupBy(*keys)).applyInArrow(_query(threshold, beam), "id long, n long, root long")
+    found = every_shard.groupBy(*keys).cogroup(every_block.groupBy(*keys)).applyInArrow(_query(threshold, beam), LINK)
     found = written(found, "links")
-    links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    united = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    # both ends of a link may have found it: once for each
+    links = found.filter("ca > 0").groupBy("a", "b", "ha", "hb").agg(F.max("ca").alias("ca"), F.max("cb").alias("cb"))
+    links = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("cb").alias("n")), F.struct(F.col("b").alias("id"), F.col("ca").alias("n")))).alias("e"))
+    links = links.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.n").alias("n"))
+    united = connected_components(found.filter("ca = 0").select("a", "b"))
     named = nodes.select("v", "id", "copies").join(links, "id", "left").join(united.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
     out = rows.join(named, "v", "left")
