@@ -19,6 +19,16 @@ def test_gives_rows(name, spark):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_whole_queries_see_every_row(spark):
+    s = T.samples(spark, SMALL)
+    ids = {r["sample_id"] for r in s.select("sample_id").collect()}
+    for name, column in {"neighbour_graph": "src", "heat_affinity": "src", "supervised_affinity": "src", "connected_parts": "node", "distance_metrics": "a_id", "kernels": "a_id"}.items():
+        assert {r[0] for r in QUERIES[f"{name}_whole"](spark, SMALL).select(column).collect()} == ids, name
+    seeds = {i for i in ids if i % 50 == 0}
+    assert seeds <= {r["node"] for r in QUERIES["hops_whole"](spark, SMALL).filter("hops = 0").collect()}
+    assert QUERIES["varying_features_whole"](spark, SMALL).count() == 64
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -962,3 +962,63 @@ def autoencoded(spark, d):
     s = samples(spark, d)
     encode, _ = C.autoencoder(s, 8, 100)
     return I.mapped(s.select("sample_id", "feat"), encode)
+
+
+# -- whole tables: the queries above of the same names see the subset that their SQL defines
+
+_KNN_WHOLE = _KNN.replace(" WHERE cls <= 4", "")
+_PAIRS_WHOLE = _PAIRS.replace(" WHERE a.col_idx <= 6", "")
+_REACH = ", reach AS (SELECT src AS node, src AS part FROM u UNION SELECT u.dst, reach.part FROM reach JOIN u ON u.src = reach.node) SELECT node, min(part) AS part FROM reach GROUP BY node"
+
+
+def _whole_pairs(spark, d):
+    s = samples(spark, d)
+    first = s.filter("col_idx = 1").select("cls", F.col("sample_id").alias("b_id"), F.col("feat").alias("b"))
+    return s.select("cls", F.col("sample_id").alias("a_id"), F.col("feat").alias("a")).join(first, "cls")
+
+
+@query(f", {LONG} SELECT CAST(pos AS INTEGER) AS pos FROM long GROUP BY pos HAVING min(x) <> max(x)")
+def varying_features_whole(spark, d):
+    return S.feature_statistics(samples(spark, d)).filter("lo <> hi").select("pos")
+
+
+@query(_KNN_WHOLE + " SELECT src, dst, round(d2, 6) AS d2 FROM u")
+def neighbour_graph_whole(spark, d):
+    return rounded(N.neighbour_graph(samples(spark, d), 5), "d2")
+
+
+@query(_KNN_WHOLE + " SELECT src, dst, round(exp(-d2 / 2), 6) AS w FROM u")
+def heat_affinity_whole(spark, d):
+    return rounded(N.affinity(N.neighbour_graph(samples(spark, d), 5), "heat"), "w")
+
+
+@query(" SELECT a.sample_id AS src, b.sample_id AS dst, round(1.0 / n, 9) AS w FROM samples a JOIN samples b ON a.cls = b.cls AND a.sample_id <> b.sample_id JOIN (SELECT cls, count(*) AS n FROM samples GROUP BY cls) c ON c.cls = a.cls")
+def supervised_affinity_whole(spark, d):
+    return rounded(N.supervised_affinity(samples(spark, d)), "w", digits=9)
+
+
+@query(_PAIRS_WHOLE + ORACLES["distance_metrics"].split(_PAIRS)[1])
+def distance_metrics_whole(spark, d):
+    names = ["euclidean", "sqeuclidean", "cityblock", "chebychev", "minkowski", "cosine", "correlation"]
+    return _whole_pairs(spark, d).select("a_id", "b_id", *[(F.round(V.distance(F.col("a"), F.col("b"), m), 6) + 0.0).alias(m) for m in names])
+
+
+@query(_PAIRS_WHOLE + ORACLES["kernels"].split(_PAIRS)[1])
+def kernels_whole(spark, d):
+    names = ["gaussian", "rbf", "linear", "polynomial", "polyplus", "sigmoid"]
+    return _whole_pairs(spark, d).select("a_id", "b_id", *[(F.round(V.kernel(F.col("a"), F.col("b"), m), 6) + 0.0).alias(m) for m in names])
+
+
+@query(_KNN_WHOLE.replace("k <= 5", "k <= 2") + _REACH)
+def connected_parts_whole(spark, d):
+    return G.connected_parts(N.neighbour_graph(samples(spark, d), 2))
+
+
+@query(_KNN_WHOLE.replace("k <= 5", "k <= 2") + ", reach AS (SELECT sample_id AS node, 0 AS hops FROM s WHERE sample_id % 50 = 0 UNION SELECT u.dst, hops + 1 FROM reach JOIN u ON u.src = reach.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM reach GROUP BY node")
+def hops_whole(spark, d):
+    s = samples(spark, d)
+    return G.hops(N.neighbour_graph(s, 2), s.filter("sample_id % 50 = 0").select(F.col("sample_id").alias("node")), 3)
+
+
+for _name in ("connected_parts_whole", "hops_whole"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
