@@ -375,6 +375,15 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_marks_keep_no_main_text_out():
+    long = ("This is the text of the page, and it has a lot of words that are in the list of stop words. " * 3).strip()
+    card = "<article><a href=x>Another story of the day</a></article>"
+    assert html_text.main_text(f"<div><p>{long}</p><p>Short.</p><p>{long}</p></div>{card}") == f"{long}\n\nShort.\n\n{long}"
+    assert html_text.main_text(f"<article><p>{long}</p><p>Zzz qqq.</p></article><div>{long}</div>") == f"{long}\n\nZzz qqq.\n\n{long}"
+    assert html_text.main_text(f"<div>Outside</div><article><p>{long}</p><p>see <a>there</a></p></article><div><a>more</a></div>") == f"{long}\n\nsee there"
+    assert html_text.main_text(card) == "Another story of the day"
+
+
 def test_short_blocks_take_their_neighbours_label():
     long = "This is the text of the article, and it has a lot of words that are in the list of stop words. " * 3
     page = f"<div><p>Short one.</p><p>{long}</p></div><div><a href=x>link</a> <a>other link</a></div>"

@@ -4,10 +4,13 @@ The page is cut into tags and text; block tags begin and end blocks.  What stand
 styles, forms, menus, headers, footers, sidebars, notices, adverts or reader comments -- by tag, role
 or a word of the class or id -- is never main text.  In pass one each other block is decided from its
 length, the share of its characters in links and its share of stop words: long running text is good,
-link lists and long texts without stop words are bad unless the page itself marks them as its
-article, short ones stay open.  In pass two an open block takes the label of its nearest decided
-neighbour, good on a tie.  Inside a marked article (article, main, or such a role) every block that
-isn't excluded is good: nothing of it is dropped for being short or noisy.
+link lists and long texts without stop words are bad, short ones stay open.  In pass two an open block
+takes the label of its nearest decided neighbour, good on a tie.  The page's own mark of its article
+(article, main, or such a role or class) is evidence: it decides marked blocks that pass one would leave
+open and overrules a bad verdict on their words, so that of the rules only the one on links is tested on
+them.  Marked blocks that are mostly links stay open.  On a page with a mark, open blocks look at
+neighbours on their own side of it; without any, a marked block is good unless pass one finds main text
+outside the mark, an unmarked one is bad.
 
 Defined results: null, empty and tag-only pages give an empty text; unclosed, stray and wrongly nested
 tags are mended by closing what is open; character references are decoded once; white space inside a
@@ -153,40 +156,39 @@ def labels(found: list[Block], short: int = 70, long: int = 200, max_links: floa
     decided: list[bool | None] = []
     for b in found:
         density = b.linked / max(1, len(b.text))
-        if b.article:
-            decided.append(True)
-        elif density > max_links:
-            decided.append(False)
-        elif len(b.text) < short:
-            decided.append(None)
-        else:
+        good: bool | None = None
+        if density > max_links:
+            decided.append(None if b.article else False)
+            continue
+        if not b.article and len(b.text) >= short:
             words = [w.lower() for w in WORD.findall(b.text)]
             share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
             if share >= stop_high:
-                decided.append(True if len(b.text) >= long or density == 0 else None)
+                good = True if len(b.text) >= long or density == 0 else None
             elif share >= stop_low:
-                decided.append(True if len(b.text) >= long else None)
+                good = True if len(b.text) >= long else None
             else:
-                decided.append(False if len(b.text) >= long else None)
-    # an article that the page marks leaves nothing outside it open
+                good = False if len(b.text) >= long else None
+        decided.append(True if b.article else good)
     marked = any(b.article for b in found)
+    plain = any(d and not b.article for b, d in zip(found, decided))
     n, inf = len(found), 1 << 30
     before, after = [inf] * n, [inf] * n
-    for k in range(n):
-        before[k] = k if decided[k] is not None else (before[k - 1] if k else inf)
-    for k in range(n - 1, -1, -1):
-        after[k] = k if decided[k] is not None else (after[k + 1] if k + 1 < n else inf)
+    for side, steps in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        last = {False: inf, True: inf}
+        for k in steps:
+            if decided[k] is not None:
+                last[found[k].article] = k
+            side[k] = last[found[k].article]
     out = []
     for k in range(n):
-        if marked:
-            out.append(found[k].article)
-        elif decided[k] is not None:
+        if decided[k] is not None:
             out.append(bool(decided[k]))
         else:
             left = k - before[k] if before[k] < inf else inf
             right = after[k] - k if after[k] < inf else inf
             if left == right == inf:
-                out.append(True)
+                out.append(not plain if found[k].article else not marked)
             elif left == right:
                 out.append(bool(decided[before[k]] or decided[after[k]]))
             else:
