@@ -29,6 +29,12 @@ def test_whole_queries_see_every_row(spark):
     assert QUERIES["varying_features_whole"](spark, SMALL).count() == 64
 
 
+@pytest.mark.parametrize("name", ["kernel_pca", "classical_scaling", "kernel_discriminants", "t_stochastic_neighbours", "symmetric_stochastic_neighbours"])
+def test_embeddings_hold_every_sample(name, spark):
+    got = QUERIES[name](spark, SMALL).select("sample_id").collect()
+    assert sorted(r[0] for r in got) == sorted(r["sample_id"] for r in T.samples(spark, SMALL).collect())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -496,12 +496,12 @@ def kmeans_clusters(spark, d):
 
 @query()
 def kernel_pca(spark, d):
-    return L.kernel_pca(samples(spark, d).filter("col_idx <= 20"))
+    return L.kernel_pca(samples(spark, d))
 
 
 @query()
 def classical_scaling(spark, d):
-    return L.classical_scaling(samples(spark, d).filter("col_idx <= 20"))
+    return L.classical_scaling(samples(spark, d))
 
 
 @query()
@@ -801,7 +801,7 @@ def masked_reconstruction(spark, d):
 
 @query()
 def kernel_discriminants(spark, d):
-    return R.kernel_discriminant(samples(spark, d).filter("col_idx <= 20"))
+    return R.kernel_discriminant(samples(spark, d))
 
 
 @query()
@@ -845,12 +845,12 @@ def correlation_dimension(spark, d):
 
 @query()
 def t_stochastic_neighbours(spark, d):
-    return M.stochastic_neighbours(samples(spark, d).filter("col_idx <= 20"), steps=250)
+    return M.stochastic_neighbours(samples(spark, d), steps=250)
 
 
 @query()
 def symmetric_stochastic_neighbours(spark, d):
-    return M.stochastic_neighbours(samples(spark, d).filter("col_idx <= 20"), steps=250, heavy=False)
+    return M.stochastic_neighbours(samples(spark, d), steps=250, heavy=False)
 
 
 @query()
