@@ -1,10 +1,9 @@
 """Exact Jaccard join of documents' word shingles as a metric-space join.
 
-d(x, y) = 1 - |x & y| / |x | y| is a metric, and documents link when d <= radius (0.2).  Pivots are
-documents; a pivot's region holds the documents it is the nearest pivot of, and the triangle
-inequality bounds what has to be looked at beyond: x and y can only link if |d(x, p) - d(y, p)| <=
-radius for every pivot p.  Texts that share no shingle with a pivot are all at distance 1 from it, so
-distances alone would replicate each of them to each region.  The regions therefore live inside
+d(x, y) = 1 - |x & y| / |x | y| is a metric, and documents link when d <= radius (0.2).  x and y can
+only link if |d(x, p) - d(y, p)| <= radius for every pivot p.  Texts that share no shingle with a pivot
+are all at distance 1 from it, so regions of nearest pivots would replicate each of them to each region.
+Candidates come from a prefix-filter join instead, and a region is what links have united so far, inside
 *neighbourhoods* that no link leaves: under one order of all shingles (frequent ones last) linked sets
 share a shingle among their first n - ceil(0.8 n) + 1, so the documents with the same shingle there
 form a neighbourhood.
