@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektral.llm.bpe_fst import encode_documents
-from vektral.llm.common import new_path, table
+from vektral.llm.common import new_path, table, written
 from vektral.llm.jaccard_join import jaccard_join
 from vektral.llm.line_dedup import dedup_lines
 from vektral.llm.mixing import mixed_documents
@@ -27,10 +29,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: the one with the smallest doc_id."""
-    groups = jaccard_join(docs)
-    goes = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of similar texts: one with the smallest doc_id, null after all others.
+    Rows are told apart by a number of their own, so null and repeated doc_ids lose nothing."""
+    row = f"_row{uuid.uuid4().hex}"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    groups = groups.join(rows.select(row, "doc_id"), row)
+    least = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("_least"), F.count("*").alias("_n"))
+    goes = groups.join(least.filter("_n > 1"), "component_id").filter(F.col(row) != F.col("_least")[row]).select(row)
+    return rows.join(goes, row, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

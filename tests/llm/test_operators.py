@@ -102,6 +102,28 @@ def test_jaccard_join_edges(spark, nothing):
     assert got == Counter({(None, 2, 3): 1, (4, 2, 3): 2, (3, 2, 3): 1, (None, 0, None): 1})
 
 
+def test_jaccard_join_null_ids_bridge(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(words[:53] + [f"{x}{i}" for i in range(k)]) for x, k in (("x", 4), ("", 0), ("y", 9)))
+    rows = [(5, a), (None, b), (2, c), (None, "only one of its kind is here"), (None, None), (8, "")]
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert {(i, n) for i, n, _ in got} == {(5, 53), (None, 49), (2, 58), (None, 3), (None, 0), (8, 0)}
+    alone = jaccard_join.jaccard_join(spark.createDataFrame([r for r in rows if r[1] != b], "doc_id long, text string")).collect()
+    assert {r[0]: r[2] for r in alone if r[0] in (2, 5)} == {2: 2, 5: 5}
+    assert {(i, g) for i, n, g in got if n > 40} == {(5, 2), (None, 2), (2, 2)} and all(g == i for i, n, g in got if n < 40)
+
+
+def test_pipeline_stage_tells_rows_apart(spark):
+    import corpus_pipeline as C
+
+    long = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = [(None, long), (None, long + " more"), (3, "a b c d e f"), (3, "a b c d e f"), (1, other), (6, other + " x"), (6, "a clean text of its own"), (None, None), (7, "")]
+    got = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(r[0] for r in got) == Counter({None: 2, 3: 1, 1: 1, 6: 1, 7: 1})
+    assert {r[1] for r in got if r[0] == 6} == {"a clean text of its own"} and len([r for r in got if r[0] is None and r[1]]) == 1
+
+
 def passages_expected(texts, k=13):
     words = {i: (t or "").encode().split() for i, t in texts.items()}
     first = {}

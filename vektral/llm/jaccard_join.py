@@ -307,12 +307,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, p
 def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, large: int = 64, levels: int = 2, most_frequent: int = 500_000, broadcast_limit: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): documents are linked when
     100 * |x & y| >= per_cent * |x | y|."""
-    spark, levels = docs.sparkSession, max(1, levels)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    how = (shingle_words, per_cent, large, levels, most_frequent, broadcast_limit)
+    if docs.filter("doc_id is null").isEmpty():
+        return _join(docs, *how)
+    # rows without an id are named by a hash of their text until the groups are known
+    own = F.xxhash64(F.lit("no doc_id"), F.coalesce("text", F.lit("")))
+    nameless = docs.filter("doc_id is null").select(own.alias("doc_id")).distinct().withColumn("_own", F.lit(True))
+    nameless = written(nameless, "nameless")
+    out = _join(docs.withColumn("doc_id", F.coalesce("doc_id", own)), *how).join(nameless, "doc_id", "left")
+    out = written(out.select(F.when(F.col("_own").isNull(), F.col("doc_id")).alias("doc_id"), "n_shingles", "component_id"), "named")
+    least = out.join(nameless.select(F.col("doc_id").alias("component_id")), "component_id").groupBy("component_id").agg(F.min("doc_id").alias("_least"), F.lit(True).alias("_own"))
+    out = out.join(least, "component_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("_own").isNull(), F.col("component_id")).otherwise(F.col("_least")).alias("component_id"))
+
+
+def _join(docs: DataFrame, shingle_words: int, per_cent: int, large: int, levels: int, most_frequent: int, broadcast_limit: int) -> DataFrame:
+    """jaccard_join of docs whose ids aren't null."""
+    spark, levels = docs.sparkSession, max(1, levels)
     scan = written(_scan(docs, shingle_words, 4), "scan")
     rows = scan.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "sketch")
     nodes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
-    nodes = written(nodes.filter("rep is not null"), "nodes")
+    nodes = written(nodes, "nodes")
     n_rows = rows.count()
     frequent, limit = _frequent(scan, large, most_frequent)
     sent = spark.sparkContext.broadcast(frequent)
@@ -323,7 +339,6 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, la
     joined = written(packed.groupBy("bucket").applyInArrow(_join_bucket(per_cent, limit, buckets), _JOINED), "joined")
     open_pairs = _sketched(_ordered(joined.filter("kind = 0").select("a", "na", "b", "nb")), nodes, per_cent)
     open_pairs = written(open_pairs, "pairs")
-    # nodes without an id can't be fetched or named; they were left out of nodes above
     big = joined.filter("kind = 1").select("s", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("pos").alias("px")).distinct()
     big = big.join(nodes.select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("rep").alias("rx")), ["x", "nx"])
     big = written(big, "neighbourhoods")
