@@ -171,6 +171,14 @@ def test_line_dedup(docs, limit):
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()} == lines_expected(texts(), 6)
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_line_dedup_keeps_columns_named_as_its_own(docs, limit):
+    given = clashing(docs).withColumn("_id", F.lit("clash"))
+    got = line_dedup.dedup_lines(given, min_docs=6, broadcast_limit=limit)
+    assert set(given.columns) <= set(got.columns) and {(r["_hot"], r["_id"]) for r in got.collect()} == {("clash", "clash")}
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()} == lines_expected(texts(), 6)
+
+
 def test_line_dedup_edges(spark, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
     rows = [(1, "a\nb"), (1, "a\nb"), (None, "a"), (2, None)]

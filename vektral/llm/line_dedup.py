@@ -16,6 +16,7 @@ empty one.  All other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -60,13 +61,13 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, text: str = "
     return parts.groupBy("key").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
-def _apply(docs: DataFrame, hot_of, text: str, min_chars: int) -> DataFrame:
+def _apply(docs: DataFrame, hot_of, text: str, min_chars: int, helper: str = "") -> DataFrame:
     """docs with text rewritten, n_lines and n_dropped last.  hot_of() makes, on the executor, a
-    function from a batch to the hot hashes (a set) of each row; columns named _hot are taken off."""
-    fields = [f for f in docs.schema.fields if f.name != "_hot"]
+    function from a batch to the hot hashes (a set) of each row; the column named helper is taken off."""
+    fields = [f for f in docs.schema.fields if f.name != helper]
     schema = T.StructType([T.StructField(f.name, T.StringType(), True) if i == [g.name for g in fields].index(text) else f for i, f in enumerate(fields)])
     schema = schema.add("n_lines", T.LongType()).add("n_dropped", T.LongType())
-    at, keep = docs.columns.index(text), [i for i, c in enumerate(docs.columns) if c != "_hot"]
+    at, keep = docs.columns.index(text), [i for i, c in enumerate(docs.columns) if c != helper]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -107,9 +108,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
                 yield pa.RecordBatch.from_arrays([pa.array([d.as_py()] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["_id", "key"])
 
     # a hash of the row's id and text: rows that share it share their lines
-    tagged = docs.withColumn("_id", F.sha2(F.concat_ws("\x01", F.col(doc_id).cast("string"), F.col(text)), 256))
-    mine = tagged.select("_id", F.col(text).alias("text")).mapInArrow(own, "_id string, key long").join(hot.select("key"), "key")
-    mine = mine.groupBy("_id").agg(F.collect_set("key").alias("_hot"))
-    joined = tagged.join(mine, "_id", "left").drop("_id")
-    where = joined.columns.index("_hot")
-    return _apply(joined, lambda: lambda batch: [set(x.as_py() or ()) for x in batch.column(where)], text, min_chars)
+    row, helper = f"_id{uuid.uuid4().hex}", f"_hot{uuid.uuid4().hex}"  # no column of docs has these names
+    tagged = docs.withColumn(row, F.sha2(F.concat_ws("\x01", F.col(doc_id).cast("string"), F.col(text)), 256))
+    mine = tagged.select(row, F.col(text).alias("text")).mapInArrow(own, "_id string, key long").join(hot.select("key"), "key")
+    mine = mine.groupBy(F.col("_id").alias(row)).agg(F.collect_set("key").alias(helper))
+    joined = tagged.join(mine, row, "left").drop(row)
+    where = joined.columns.index(helper)
+    return _apply(joined, lambda: lambda batch: [set(x.as_py() or ()) for x in batch.column(where)], text, min_chars, helper)
