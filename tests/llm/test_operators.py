@@ -231,13 +231,38 @@ def test_transducer_is_bpe():
     path = P.path("byte_bpe_50k.tiktoken")
     tokens = bpe_fst.load_ranks(path)
     library = _tiktoken({b: i for i, b in enumerate(tokens)})
-    for states in (400_000, 50):  # the second: tables that start anew all the time
-        mine = bpe_fst.TextEncoder(bpe_fst.BpeTransducer(tokens, states), P.PATTERN, 100)
-        for t in odd_texts():
-            ids = mine.encode(t)
-            assert ids == library.encode_ordinary(t)
-            stream = bpe_fst.Utf8Stream(tokens)
-            assert "".join(stream.feed([i]) for i in ids) + stream.close() == t
+    spelled = bpe_fst.Spelling(tokens)
+    for states, room in ((400_000, 1 << 20), (50, 100)):  # the second: tables that start anew all the time
+        mine = bpe_fst.TextEncoder(bpe_fst.BpeTransducer(tokens, states), P.PATTERN, room)
+        every = odd_texts()
+        for lo in range(0, len(every), 40):
+            for t, coded in zip(every[lo : lo + 40], mine.encode(every[lo : lo + 40])):
+                ids = np.frombuffer(coded, "<u2").tolist()
+                assert ids == library.encode_ordinary(t)
+                stream = bpe_fst.Utf8Stream(spelled)
+                assert "".join(stream.feed([i]) for i in ids) + stream.close() == t
+
+
+def test_digests_of_any_length(monkeypatch):
+    tokens = bpe_fst.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = _tiktoken({b: i for i, b in enumerate(tokens)})
+    every = odd_texts()
+    ids = [library.encode_ordinary(t) for t in every]
+    for run in (7, 1 << 18):  # the first: most documents are longer than a run
+        monkeypatch.setattr(bpe_fst, "RUN", run)
+        got = bpe_fst.Digests(tokens).of(np.array([i for x in ids for i in x]), np.cumsum([len(x) for x in ids]).tolist())
+        for t, x, (a, b) in zip(every, ids, got):
+            assert a == hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() and b == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_chunks_keep_pieces():
+    """Line feeds and spaces around the cuts: ids as the library's, whatever stands there."""
+    tokens = bpe_fst.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = _tiktoken({b: i for i, b in enumerate(tokens)})
+    mine = bpe_fst.TextEncoder(bpe_fst.BpeTransducer(tokens), P.PATTERN)
+    every = ["".join(x) for n in range(1, 7) for x in itertools.product("a\n .", repeat=n)]
+    for t, coded in zip(every, mine.encode(every)):
+        assert np.frombuffer(coded, "<u2").tolist() == library.encode_ordinary(t), repr(t)
 
 
 def test_bpe_query(docs, nothing):

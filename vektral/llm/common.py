@@ -102,9 +102,11 @@ def held(key, make):
     return _held[key]
 
 
-def release() -> None:
-    """Called first in a task, since a worker may come from another operator: tables it keeps go, and
-    memory that is free in the process goes back to the machine."""
+def release(keep=None) -> None:
+    """Called first in a task, since a worker may come from another operator: tables it keeps go, unless
+    they are held under keep, and memory that is free in the process goes back to the machine."""
+    if keep is not None and keep in _held:
+        return
     import ctypes
     import gc
 

@@ -10,8 +10,8 @@ A file holds the ids of consecutive documents in ascending doc_id order:
 A block starts at a byte, so any id is found by one seek and unpacked by numpy without a loop.
 
 Defined results: a null or empty text holds its end id only; null doc_ids come first; rows that
-repeat a doc_id are documents of their own, in any order among themselves; an empty table gives no
-files and no rows.
+repeat a doc_id are documents of their own, in the order of their texts' hashes; texts of any length go
+whole to one file; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -20,15 +20,14 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from string import punctuation as PUNCTUATION
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import Chunks, NotCut, values
-from .common import held, new_path, written
+from .chunks import ChunkEncoder, groups
+from .common import held, new_path, release, written
 
 MAGIC = b"VKTOK1\0\0"
 HEADER = struct.Struct("<8sIIQQ")
@@ -102,15 +101,17 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-class LibraryEncoder:
+class LibraryEncoder(ChunkEncoder):
     """The tokenizers library over whole texts, asked once for each distinct chunk.
 
-    The library itself encodes a text's pieces apart from each other; chunks end where pieces always
-    end, so their ids end to end are the ids of the text.  Texts that can't be cut so go to the library
-    whole.  The table of chunks is bounded and starts anew when full.
+    The library itself encodes a text's pieces apart from each other; chunks end where the pieces of the
+    byte-level pattern always end, so their ids end to end are the ids of the text.  Texts that can't be
+    cut so go to the library whole, and so do all texts where the file names another pre-tokenizer or
+    normaliser.  The table of chunks is bounded in bytes.
     """
 
-    def __init__(self, path: str, limit: int = 1_600_000):
+    def __init__(self, path: str, room: int = 128 << 20):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -120,36 +121,26 @@ class LibraryEncoder:
         self.library.encode_special_tokens = True  # such strings in a text are ordinary text
         self.bits = bits_for(self.library.get_vocab_size())
         self.kind = "<u2" if self.bits <= 16 else "<u4"
-        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
-        self.spaced[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.new: set[str] = set()
-        self.open: list[str] = []
-        self.heads = Chunks(lambda chunk: self.whole([chunk])[0], limit // 16)
-        self.limit = limit
-        self.tails = Chunks(self._later, 1 << 62)  # cleared between batches only: values come late
-        self.line_feed = self.whole(["\n"])[0]
-
-    def _later(self, chunk: str) -> bytes:
-        """Chunks met first are encoded together, after the batch has been cut; an empty value till then.
-        Letters and punctuation after them are always pieces of their own, and put together here."""
-        word = chunk.rstrip(PUNCTUATION)
-        if word != chunk and word.isalpha():
-            known = self.tails[word]
-            if not known:
-                self.open.append(chunk)
-            return known and known + self.heads[chunk[len(word) :]]
-        self.new.add(chunk)
-        return b""
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        before = rules.get("pre_tokenizer") or {}
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rules.get("normalizer")
+        if self.cuts:
+            self.spaced = np.zeros(self.library.get_vocab_size(), bool)
+            self.spaced[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
+            super().__init__(self.whole(["\n"])[0], room)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        """Encodes the new chunks.  Joined with a space before each they are cut in the same places
-        again, and only the first id of each begins with the space."""
-        new, table = list(self.new), self.tails
-        self.new.clear()
-        parts, rest = [new[k : k + 500] for k in range(0, len(new), 500)], []
+    def fresh(self, chunks: list[str]) -> list[bytes]:
+        """Joined with a space before each, chunks are cut in the same places again, and only the first id
+        of each begins with the space."""
+        out: dict[str, bytes] = {}
+        begins, rest = [c for c in chunks if c[0] == "\n"], []
+        out.update(zip(begins, self.whole(begins)))
+        ask = [c for c in chunks if c[0] != "\n"]
+        parts = [ask[k : k + 500] for k in range(0, len(ask), 500)]
         for e, part in zip(self.library.encode_batch_fast([" " + " ".join(x) for x in parts], add_special_tokens=False), parts):
             ids = np.array(e.ids, self.kind)
             starts = np.flatnonzero(self.spaced[ids]).tolist()
@@ -158,36 +149,13 @@ class LibraryEncoder:
                 continue
             data, width = ids.tobytes(), ids.itemsize
             for p, a, b in zip(part, starts, [*starts[1:], len(ids)]):
-                table[p] = data[a * width : b * width]
-        for p, x in zip(rest, self.whole([" " + p for p in rest])):
-            table[p] = x
+                out[p] = data[a * width : b * width]
+        out.update(zip(rest, self.whole([" " + p for p in rest])))
+        return [out[c] for c in chunks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.tails) > self.limit:
-            self.tails.clear()
-        out: list[bytes | None] = []
-        again, uncut = [], []
-        for k, text in enumerate(texts):
-            try:  # chunks without a value yet are empty
-                found = values(text, self.heads, self.tails, self.line_feed) if text else []
-                out.append(b"".join(found))
-                if not all(found):
-                    again.append(k)
-            except NotCut:
-                out.append(None)
-                uncut.append(k)
-        long = [p for p in self.new if len(p) > 64]  # not kept beyond this batch
-        self._learn()
-        for p in [p for p in self.open if not self.tails.get(p)]:
-            self.tails.pop(p, None)
-        self.open.clear()
-        for k in again:
-            out[k] = b"".join(values(texts[k], self.heads, self.tails, self.line_feed))
-        for p in long:
-            self.tails.pop(p, None)
-        for k, x in zip(uncut, self.whole([texts[k] for k in uncut])):
-            out[k] = x
-        return out
+        """The ids of each text, as bytes."""
+        return super().encode(texts) if self.cuts else self.whole(texts)
 
 
 def encoder_of(path: str) -> LibraryEncoder:
@@ -195,47 +163,60 @@ def encoder_of(path: str) -> LibraryEncoder:
     return held(("tokens", path), lambda: LibraryEncoder(path))
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, docs_per_file: int = 4000, block: int = 4096) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, docs_per_file: int = 4000, bytes_per_file: int = 32_000_000, block: int = 4096) -> DataFrame:
     """Writes the files of docs (doc_id, text); gives one row per file, itself a written table:
-    path, first_doc, n_docs, n_tokens.  Files of lost or repeated attempts aren't listed."""
+    path, first_doc, first_key, n_docs, n_tokens.  A task writes a file whenever it holds as many bytes of
+    ids, so that very long texts don't add up.  Files of lost or repeated attempts aren't listed."""
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # rows of one doc_id stand in the order of their texts' hashes, so that they can be dealt to several tasks
+    rows = rows.withColumn("key", F.xxhash64("text"))
     n_files = max(1, -(-docs.count() // docs_per_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        release(("tokens", tokenizer_path))
         encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], encoder.kind).tobytes()
         width = len(end)
-        ids, lengths, data = [], [], []
+        store, at = fs.FileSystem.from_uri(folder)
+
+        def write(ids: list[int | None], key: int, lengths: list[int], data: list[bytes]) -> pa.RecordBatch:
+            store.create_dir(at, recursive=True)
+            name = uuid.uuid4().hex
+            with store.open_output_stream(f"{at}/{name}.part") as out:
+                for piece in file_bytes(ids, lengths, np.frombuffer(b"".join(data), encoder.kind), encoder.bits, block):
+                    out.write(piece)
+            store.move(f"{at}/{name}.part", f"{at}/{name}.tok")
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}.tok"], "first_doc": pa.array([ids[0]], pa.int64()), "first_key": pa.array([key], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([sum(lengths)], pa.int64())})
+
+        ids, key, lengths, data, size = [], 0, [], [], 0
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            for at in range(0, batch.num_rows, 256):
-                for x in encoder.encode(batch.column(1).slice(at, 256).to_pylist()):
+            for lo, texts in groups(batch.column(1)):
+                if not ids:
+                    key = batch.column(2)[lo].as_py()
+                ids += batch.column(0).slice(lo, len(texts)).to_pylist()
+                for x in encoder.encode(texts):
                     data.append(x + end)
                     lengths.append(len(data[-1]) // width)
-        if not ids:
-            return
-        store, at = fs.FileSystem.from_uri(folder)
-        store.create_dir(at, recursive=True)
-        name = f"{at}/{uuid.uuid4().hex}"
-        with store.open_output_stream(f"{name}.part") as out:
-            for piece in file_bytes(ids, lengths, np.frombuffer(b"".join(data), encoder.kind), encoder.bits, block):
-                out.write(piece)
-        store.move(f"{name}.part", f"{name}.tok")
-        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rsplit('/', 1)[1]}.tok"], "first_doc": pa.array([ids[0]], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([sum(lengths)], pa.int64())})
+                    size += len(data[-1])
+                if size >= bytes_per_file:
+                    yield write(ids, key, lengths, data)
+                    ids, lengths, data, size = [], [], [], 0
+        if ids:
+            yield write(ids, key, lengths, data)
 
-    ranged = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id")
-    return written(ranged.mapInArrow(run, "path string, first_doc long, n_docs long, n_tokens long"), "manifest")
+    ranged = rows.repartitionByRange(n_files, "doc_id", "key").sortWithinPartitions("doc_id", "key")
+    return written(ranged.mapInArrow(run, "path string, first_doc long, first_key long, n_docs long, n_tokens long"), "manifest")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files: start counts the ids of
     all documents before it, ids_crc32 is the crc32 of its ids as little-endian uint32."""
     # one row per file, so this single ordered pass stays small
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "first_key").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     n = max(1, min(10_000, manifest.count()))
 
