@@ -46,8 +46,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, as counts and digests; documents repeated in the mix stay repeated."""
-    return encode_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern())
+    """Token ids of what is left, with their counts and digests; documents repeated in the mix stay repeated.
+    Small tables a worker: the executors' heaps have grown in the stages before."""
+    return encode_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), keep_ids=True, room=48 << 20)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mixture), ("byte-level BPE", tokens)]
