@@ -1,117 +1,77 @@
 """Line dedup: lines found in many documents are dropped from every document.
 
-One pass over the texts gives each line's key a 64-bit hash and counts, per batch, the documents
-that hold it; the counts are summed by hash.  Lines of a hash at or over the threshold go, the
-others stay in their order.  The hashes over the threshold are few beside the lines; they are sent
-to every task while they are at most broadcast_limit, and beyond that each document fetches its own
-by joins.
+Texts are split at \\n, the lines' keys hashed and exploded, distinct documents counted per hash, and the
+lines of a hash at or over the threshold dropped; the others are put together again in their order.  All
+of it is DataFrame functions.  Counting goes by (hash, document) first and by hash then, so a line that a
+third of all documents hold is summed up from partial counts.  Frequent hashes up to literal_limit are
+looked up as a set inside the scan; beyond that the lines' hashes and positions are joined with them (sent
+to every task up to broadcast_limit rows, 8 bytes each), and a document is put together from the
+positions that stay.
 
 A line's key is the line without [\\x20\\x09-\\x0D] at its ends, A-Z in lower case.
 
 Defined results: a null or empty text is one empty line, kept, and comes back as an empty text; a
-key shorter than min_chars code points is never dropped; a document is a row, so rows that repeat a
-doc_id count as documents each; a repeated line counts once per document; an empty table gives an
+key shorter than min_chars code points is never dropped; a document is a doc_id, so rows that repeat one
+count once, and rows without one count for none, though they lose frequent lines like others; a
+repeated line counts once per document; texts of any length are taken whole; an empty table gives an
 empty one.  All other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import string
 import uuid
-from collections import Counter
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import release, written
+from .common import written
 
+SPACE = " \t\n\x0b\x0c\r"
 
-def line_keys(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    lines = (text or "").encode().split(b"\n")
-    return lines, [line.strip(b" \t\n\x0b\x0c\r").lower() for line in lines]
 
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-def key_hash(key: bytes) -> int:
-    import xxhash
 
-    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
+def line_key(line: Column) -> Column:
+    return F.translate(F.btrim(line, F.lit(SPACE)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _long_enough(key: bytes, min_chars: int) -> bool:
-    return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars)
-
-
-def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, text: str = "text") -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(key, n_docs) of the line hashes found in min_docs documents or more."""
+    keys = F.transform(lines_of(F.col(text)), line_key)
+    hashes = F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_chars), lambda k: F.xxhash64(k))
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(hashes)).alias("key"))
+    return each.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                counts: Counter[bytes] = Counter()
-                for value in batch.column(0).slice(at, 4096):
-                    counts.update(set(line_keys(value.as_py())[1]))
-                keys = [k for k in counts if _long_enough(k, min_chars)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(key_hash, keys), pa.int64()), pa.array([counts[k] for k in keys], pa.int64())], names=["key", "n"])
-
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, n long")
-    return parts.groupBy("key").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-
-
-def _apply(docs: DataFrame, hot_of, text: str, min_chars: int, helper: str = "") -> DataFrame:
-    """docs with text rewritten, n_lines and n_dropped last.  hot_of() makes, on the executor, a
-    function from a batch to the hot hashes (a set) of each row; the column named helper is taken off."""
-    fields = [f for f in docs.schema.fields if f.name != helper]
-    schema = T.StructType([T.StructField(f.name, T.StringType(), True) if i == [g.name for g in fields].index(text) else f for i, f in enumerate(fields)])
-    schema = schema.add("n_lines", T.LongType()).add("n_dropped", T.LongType())
-    at, keep = docs.columns.index(text), [i for i, c in enumerate(docs.columns) if c != helper]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        hot = hot_of()
-        for batch in batches:
-            out, n_lines, n_dropped = [], [], []
-            for value, drop in zip(batch.column(at), hot(batch)):
-                lines, keys = line_keys(value.as_py())
-                kept = [line for line, k in zip(lines, keys) if not (drop and key_hash(k) in drop and _long_enough(k, min_chars))]
-                out.append(b"\n".join(kept).decode())
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(kept))
-            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id", broadcast_limit: int = 1_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id", literal_limit: int = 10_000, broadcast_limit: int = 1_000_000) -> DataFrame:
     """docs with frequent lines dropped from text, and the columns n_lines and n_dropped (replaced
     where docs has such columns)."""
-    spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    hot = written(frequent_lines(docs, min_docs, min_chars, text), "hot-lines")
-    if hot.count() <= broadcast_limit:  # 8 bytes a hash: at most 8 MB
-        sent = spark.sparkContext.broadcast(np.array([r[0] for r in hot.select("key").toLocalIterator()], np.int64))
-
-        def hot_of():
-            everywhere = set(sent.value.tolist())
-            return lambda batch: [everywhere] * batch.num_rows
-
-        return _apply(docs, hot_of, text, min_chars)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, value in zip(batch.column(0), batch.column(1)):
-                keys = list({key_hash(k) for k in line_keys(value.as_py())[1]})
-                yield pa.RecordBatch.from_arrays([pa.array([d.as_py()] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["_id", "key"])
-
-    # a hash of the row's id and text: rows that share it share their lines
-    row, helper = f"_id{uuid.uuid4().hex}", f"_hot{uuid.uuid4().hex}"  # no column of docs has these names
-    tagged = docs.withColumn(row, F.sha2(F.concat_ws("\x01", F.col(doc_id).cast("string"), F.col(text)), 256))
-    mine = tagged.select(row, F.col(text).alias("text")).mapInArrow(own, "_id string, key long").join(hot.select("key"), "key")
-    mine = mine.groupBy(F.col("_id").alias(row)).agg(F.collect_set("key").alias(helper))
-    joined = tagged.join(mine, row, "left").drop(row)
-    where = joined.columns.index(helper)
-    return _apply(joined, lambda: lambda batch: [set(x.as_py() or ()) for x in batch.column(where)], text, min_chars, helper)
+    lines = lines_of(F.col(text))
+    hot = written(frequent_lines(docs, min_docs, min_chars, text, doc_id).select("key"), "hot-lines")
+    n_hot = hot.count()
+    if n_hot <= literal_limit:
+        found = [r[0] for r in hot.collect()]
+        kept = F.filter(lines, lambda x: ~F.xxhash64(line_key(x)).isin(found)) if found else lines
+        n_dropped = F.size(lines) - F.size(kept)
+        rows = docs
+    else:
+        row, at = f"_row{uuid.uuid4().hex}", f"_at{uuid.uuid4().hex}"  # no column of docs has these names
+        # rows that share both hashes are equal in id and text, and lose the same lines
+        name = F.struct(F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), text, doc_id))
+        docs = docs.withColumn(row, name)
+        places = docs.select(F.col(row), F.posexplode(F.transform(lines, lambda x: F.xxhash64(line_key(x)))).alias("_at", "key"))
+        gone = places.join(F.broadcast(hot) if n_hot <= broadcast_limit else hot, "key", "left_semi")
+        gone = gone.groupBy(row).agg(F.collect_set("_at").alias(at))
+        rows = docs.join(gone, row, "left")
+        # the split lines are read more than once below, so that they stay a column and are split once
+        rows = rows.withColumn(at + "l", lines)
+        lines = F.col(at + "l")
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(F.col(at), F.array().cast("array<int>")))
+        kept = F.transform(stay, lambda k: F.get(lines, k))
+        n_dropped = F.coalesce(F.size(F.col(at)), F.lit(0))
+    columns = [F.array_join(kept, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if n_hot <= literal_limit or c != row]
+    return rows.select(*columns, F.size(lines).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
