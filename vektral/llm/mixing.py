@@ -1,10 +1,13 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Each document gets a key from a hash of its id; within its source the documents stand in the order
-of their keys.  Key ranges of about rows_per_range documents are summed, the sums are summed up
-within the source, and inside a range a window adds the rest: a prefix sum of which no step holds
-more than one range, however large a source is.  The source's target is then cut off exactly: so
-many whole epochs, and of the last one the words before the cut.
+of their keys.  Rows equal in source, id and size are one row with a count from the start on, so that an
+id that a third of all rows share is no larger than its number of sizes.  Key ranges of about
+rows_per_range documents are summed, and so are runs of RUN ranges; the runs are summed up within the
+source, the ranges within their run, and inside a range a window adds the rest: a prefix sum of three
+levels, of which no step but the topmost holds more than one range or run, however large a source is
+(the topmost has a row for each two million documents).  The source's target is then cut off exactly:
+so many whole epochs, and of the last one the words before the cut.
 
 Sizes are the numbers of runs of other characters than [\\x20\\x09-\\x0D].
 
@@ -22,6 +25,10 @@ from .common import written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
+#: ranges to a run, a power of two
+RUN = 1024
+#: copies that one row is expanded to in its own task
+COPIES = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -39,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int
     Targets are min(max_epochs * source_size, level * weight); the level is found from the sources
     in the order in which they reach their limit.  The windows run over the sources only.
     """
-    totals = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("source_size"))
     by_code = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") - 1) % len(weights) + 1)
     s = totals.withColumn("rank", F.row_number().over(by_code)).withColumn("weight", w)
@@ -59,17 +66,30 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, rows_per_range: int = 2_000, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of docs."""
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    sizes = sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies"))
     sizes = written(sizes.withColumn("key", hash_key(F.col("doc_id"))), "sizes")
     targets = source_targets(sizes, weights, max_epochs)
     rows = sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # as many equal key ranges as the source needs
     ranges = F.ceil(F.col("n") / rows_per_range)
-    rows = rows.withColumn("range", F.floor(F.col("key") / (F.lit(2**KEY_BITS) / ranges)).cast("long"))
-    sums = rows.groupBy("rank", "range").agg(F.sum("size").alias("_sum"))
-    up_to = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("rank", "range", F.coalesce(F.sum("_sum").over(up_to), F.lit(0)).alias("base"))
+    rows = rows.withColumn("range", F.floor(F.col("key") / (F.lit(2**KEY_BITS) / ranges)).cast("long")).withColumn("words", F.col("copies") * F.col("size"))
+    sums = rows.groupBy("rank", "range").agg(F.sum("words").alias("_sum")).withColumn("run", F.shiftright("range", RUN.bit_length() - 1))
+    earlier = lambda *keys, by: F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sums.groupBy("rank", "run").agg(F.sum("_sum").alias("_sum")).select("rank", "run", earlier("rank", by="run").alias("_base"))
+    sums = sums.select("rank", "run", "range", earlier("rank", "run", by="range").alias("_in_run")).join(runs, ["rank", "run"])
+    sums = sums.select("rank", "range", (F.col("_base") + F.col("_in_run")).alias("base"))
     inside = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(sums, ["rank", "range"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(sums, ["rank", "range"]).withColumn("before", F.col("base") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    # equal rows stand one after the other; very many of them are dealt to several tasks first
+    few = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    if (sizes.agg(F.max("copies")).first()[0] or 0) > COPIES:
+        many = rows.filter(F.col("copies") > COPIES).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+        many = many.repartition("doc_id", "_c")
+        many = many.withColumn("_k", F.explode(F.sequence(F.col("_c") * COPIES, F.least(F.col("copies") - 1, F.col("_c") * COPIES + (COPIES - 1))))).drop("_c")
+        rows = rows.filter(F.col("copies") <= COPIES).withColumn("_k", few).unionByName(many)
+    else:
+        rows = rows.withColumn("_k", few)
+    rows = rows.withColumn("before", F.col("before") + F.col("_k") * F.col("size"))
     whole = F.floor(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size")).cast("long")).otherwise(0)
     cut = whole - epochs * F.col("source_size")
