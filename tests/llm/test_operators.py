@@ -165,25 +165,40 @@ def lines_expected(texts, least):
     return out
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+LIMITS = [{}, {"literal_limit": 0}, {"literal_limit": 0, "broadcast_limit": 0}]
+
+
+@pytest.mark.parametrize("limit", LIMITS)
 def test_line_dedup(docs, limit):
-    got = line_dedup.dedup_lines(clashing(docs).drop("_hot"), min_docs=6, broadcast_limit=limit)
+    got = line_dedup.dedup_lines(clashing(docs), min_docs=6, **limit)
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()} == lines_expected(texts(), 6)
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+@pytest.mark.parametrize("limit", LIMITS)
 def test_line_dedup_keeps_columns_named_as_its_own(docs, limit):
     given = clashing(docs).withColumn("_id", F.lit("clash"))
-    got = line_dedup.dedup_lines(given, min_docs=6, broadcast_limit=limit)
+    got = line_dedup.dedup_lines(given, min_docs=6, **limit)
     assert set(given.columns) <= set(got.columns) and {(r["_hot"], r["_id"]) for r in got.collect()} == {("clash", "clash")}
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()} == lines_expected(texts(), 6)
 
 
 def test_line_dedup_edges(spark, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
-    rows = [(1, "a\nb"), (1, "a\nb"), (None, "a"), (2, None)]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3).collect()
-    assert Counter(tuple(r) for r in got) == Counter({(1, "b", 2, 1): 2, (None, "", 1, 1): 1, (2, "", 1, 0): 1})
+    # a document is a doc_id: rows that repeat one count once, those without one for none
+    rows = [(1, "a\nb"), (1, "a\nb"), (1, "b"), (3, " A\n\tc"), (None, "a\nd"), (None, "c"), (2, None), (4, "")]
+    expected = Counter({(1, "b", 2, 1): 2, (1, "b", 1, 0): 1, (3, "\tc", 2, 1): 1, (None, "d", 2, 1): 1, (None, "c", 1, 0): 1, (2, "", 1, 0): 1, (4, "", 1, 0): 1})
+    for limit in LIMITS:
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2, **limit).collect()
+        assert Counter(tuple(r) for r in got) == expected
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long = "\n".join(f"line {k % 7000}" for k in range(60_000))
+    rows = [(1, long), (2, "line 3\nline x"), (3, "line 3")]
+    for limit in LIMITS:
+        got = {r[0]: tuple(r)[1:] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2, **limit).collect()}
+        n = sum(k % 7000 == 3 for k in range(60_000))
+        assert got[2] == ("line x", 2, 1) and got[3] == ("", 1, 1) and got[1] == ("\n".join(x for x in long.split("\n") if x != "line 3"), 60_000, n)
 
 
 def test_mixing(docs, nothing):
@@ -203,7 +218,34 @@ def test_mixing(docs, nothing):
     assert {(r["doc_id"], r["taken"]) for r in got} == {(r["doc_id"], r["taken"]) for r in again}
     assert mixing.mix_sources(nothing).count() == 0
     mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns and abs(sum(size[r["doc_id"]] for r in mixed.collect()) - sum(size.values())) < 0.5 * sum(size.values())
+    assert mixed.columns == docs.columns and abs(sum(size[r["doc_id"]] for r in mixed.collect()) - sum(target.values())) <= len(target) * max(size.values())
+
+
+def mixed_by_hand(rows, target):
+    """taken of each row (doc_id, size, source): the source's rows in the order of their keys, cut at the target."""
+    out = []
+    for s in {r[2] for r in rows}:
+        mine = sorted((int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16), i is not None, i or 0, n) for i, n, x in rows if x == s)
+        total, left = sum(m[3] for m in mine), int(target[s])
+        epochs = left // total if total else 0
+        left -= epochs * total
+        for _, has, i, n in mine:
+            now = min(n, left)
+            left -= now
+            out.append((i if has else None, s, n, epochs * n + now))
+    return Counter(out)
+
+
+def test_mixing_cuts_where_it_says(spark, monkeypatch):
+    """Which documents the cut takes, with runs of ranges, repeated and null ids and copies over several tasks."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, 7, rnd.randrange(500)]), " ".join(["w"] * rnd.randrange(9)), rnd.choice(["a", "a", "a", "b", None])) for _ in range(1500)]
+    monkeypatch.setattr(mixing, "RUN", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for copies in (4096, 3):
+        monkeypatch.setattr(mixing, "COPIES", copies)
+        got = mixing.mix_sources(df, rows_per_range=20).collect()
+        assert Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in got) == mixed_by_hand([(i, len(t.split()), s) for i, t, s in rows], {r["source"]: r["target"] for r in got})
 
 
 def test_mixing_edges(spark):

@@ -3,22 +3,28 @@
 A window is `window` consecutive words of one document.  A word goes if a window over it is also
 found in a document with a smaller doc_id.
 
-1  Confirm recurring passages.  The documents are dealt into blocks by a hash of their id.  A block
-   hashes all its windows and sends, bucket by bucket, each distinct hash once with the least
-   document that holds it, packed.  A bucket answers each block with one bit per hash: whether some
-   other block holds it in a smaller document.
-2  Compile.  Recurring windows of a block -- answered so, or held by several of its own documents --
-   are its phrases.  Of each phrase only its anchor goes into the block's Aho-Corasick automaton: the
-   run of `anchor` words with the least hash, which is the same wherever the phrase stands.
-3  Locate.  All documents of the block stream through its automaton; around each anchor found, the
-   windows that have it as their anchor are looked up among the phrases.
-
-The texts move once (both steps read one exchange), the hashes once at 8 bytes a distinct window of a
-block; no step holds more than a block or a bucket, whose numbers grow with the table.
+1  Confirm recurring passages.  The documents are dealt into blocks by a hash of the row.  A block
+   hashes all its windows and sends, bucket by bucket, each distinct hash once with the least doc_id
+   that holds it, packed.  A bucket finds the hashes that several blocks hold, and asks the block with
+   the least doc_id of each, the holder, to send that phrase to the others.
+2  Send phrases.  The holder sends their words: windows that follow each other in a document go to a
+   block as one passage, once, with the holder's doc_id.
+3  Compile.  A block's phrases are the passages it was sent and those that several of its own documents
+   share.  The anchor of each phrase -- its run of `anchor` words with the least hash, which is the same
+   wherever the phrase stands -- goes into the block's Aho-Corasick automaton: the automata are sharded
+   as the documents are, and each holds the phrases that may occur there and no others.
+4  Locate.  All documents of the block stream through its automaton.  At each hit the phrases of that
+   anchor are compared with the words around it, word by word, and what they cover goes if the holder's
+   doc_id is smaller.
+
+The texts move once (all steps read one exchange), the hashes once at some 8 to 12 bytes a distinct
+window of a block, recurring words once for each other block that holds them; no step holds more than a
+block or a bucket, whose numbers grow with the table.
 
 Defined results: null, empty and short texts have no window and stay whole; rows that repeat a doc_id
-are equal in rank, so they don't remove each other's words; null doc_ids rank last; an empty table
-gives an empty one.  Windows are compared by 64-bit hashes.
+are equal in rank, so they don't remove each other's words; null doc_ids rank last; a text of any length
+is taken whole and must fit a task; an empty table gives an empty one.  Phrases are confirmed by 64-bit
+hashes, and words go only where they are equal.
 """
 
 from __future__ import annotations
@@ -42,9 +48,8 @@ class Block:
 
     def __init__(self, doc_ids: list[int | None], texts: list[str | None], window: int):
         ids = np.array([_LAST if d is None else d for d in doc_ids], np.int64)
-        self.order = np.argsort(ids, kind="stable")
+        self.window, self.order = window, np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
-        self.rank = np.unique(self.ids, return_inverse=True)[1]  # equal ids share a rank
         self.raws = encoded([texts[k] for k in self.order], False)
         self.hashed, self.count = hash_words(self.raws)
         self.begin = np.concatenate(([0], np.cumsum(self.count)))
@@ -52,10 +57,25 @@ class Block:
         every = sequences(self.hashed, window)
         self.at = np.flatnonzero(self.doc[: len(every)] == self.doc[window - 1 :][: len(every)])
         self.windows = every[self.at]
-        # distinct hashes in order; documents stand in the order of their ids, so first is least
+        # distinct hashes in order; documents stand in the order of their ids, so the first place has the least
         self.distinct, first, self.back = np.unique(self.windows, return_index=True, return_inverse=True)
-        self.least = self.rank[self.doc[self.at[first]]]
-        self.ids_by_rank = np.unique(self.ids)
+        self.first = self.at[first]
+        self.least = self.ids[self.doc[self.first]]
+        self._words: dict[int, list[bytes]] = {}
+
+    def passages(self, places: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The documents' ids and words of the windows that begin at these places, windows that follow each
+        other as one."""
+        places = np.sort(places)
+        new = np.flatnonzero(np.r_[True, places[1:] != places[:-1] + 1][: len(places)])
+        starts, ends = places[new], np.r_[places[new[1:] - 1], places[-1:]] + self.window
+        docs = self.doc[starts]
+        out = []
+        for d, lo, hi in zip(docs.tolist(), (starts - self.begin[docs]).tolist(), (ends - self.begin[docs]).tolist()):
+            if d not in self._words:
+                self._words[d] = self.raws[d].split()
+            out.append(b" ".join(self._words[d][lo:hi]))
+        return self.ids[docs], out
 
 
 def _cuts(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -64,55 +84,93 @@ def _cuts(values: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(values, edges), len(values))
 
 
-def _pack(values: np.ndarray, least: np.ndarray) -> bytes:
-    """Sorted hashes as their low 48 bits and the numbers of values under each high 16 bits met."""
+def _pack(values: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted hashes, as their low 48 bits and the numbers of values under each high 16 bits met, and the id
+    of each, as its place among the distinct ids and the steps between these."""
     high, times = np.unique((values >> np.uint64(48)).astype(np.uint16), return_counts=True)
     low = values.view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.uint32(len(high)).tobytes() + high.tobytes() + times.astype(np.uint32).tobytes() + least.astype(np.uint16).tobytes() + low.tobytes()
+    names, which = np.unique(ids, return_inverse=True)
+    steps = (names[1:].view(np.uint64) - names[:-1].view(np.uint64)) if len(names) > 1 else np.zeros(0, np.uint64)
+    size = next(w for w in (1, 2, 4, 8) if not len(steps) or int(steps.max()) >> (8 * w) == 0)
+    head = np.array([len(values), len(high), len(names), size], np.uint32)
+    which = which.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
+    return b"".join([head.tobytes(), names[:1].tobytes(), high.tobytes(), times.astype(np.uint32).tobytes(), steps.astype(f"<u{size}").tobytes(), which.tobytes(), low.tobytes()])
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = int(np.frombuffer(data, np.uint32, 1)[0])
-    high = np.repeat(np.frombuffer(data, np.uint16, k, 4), times := np.frombuffer(data, np.uint32, k, 4 + 2 * k))
-    n = int(times.sum())
-    least = np.frombuffer(data, np.uint16, n, 4 + 6 * k)
+    n, k, m, size = np.frombuffer(data, np.uint32, 4).tolist()
+    at = 16
+
+    def take(kind, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, count, at)
+        at += out.nbytes
+        return out
+
+    first = take(np.int64, 1)
+    high = np.repeat(take(np.uint16, k), take(np.uint32, k))
+    names = np.concatenate((first.view(np.uint64), take(f"<u{size}", m - 1).astype(np.uint64))).cumsum(dtype=np.uint64).view(np.int64)
+    which = take(np.uint16 if m <= 1 << 16 else np.uint32, n)
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 4 + 6 * k + 2 * n).reshape(n, 6)
-    return wide.view(np.uint64)[:, 0] | high.astype(np.uint64) << np.uint64(48), least
+    wide[:, :6] = take(np.uint8, 6 * n).reshape(n, 6)
+    return wide.view(np.uint64)[:, 0] | high.astype(np.uint64) << np.uint64(48), names[which]
 
 
 def _send(window: int, buckets: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         b = Block(group["doc_id"].to_pylist(), group["text"].to_pylist(), window)
         cut = _cuts(b.distinct, buckets)
-        if len(b.ids_by_rank) > 65_536:
-            raise ValueError("a block holds more than 65536 documents")
-        names = b.ids_by_rank.astype("<i8").tobytes()
         rows = [(k, _pack(b.distinct[lo:hi], b.least[lo:hi])) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
         n = len(rows)
-        return pa.table({"block": pa.array([key[0].as_py()] * n, pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "docs": pa.array([names] * n, pa.binary()), "data": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()] * n, pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
 
-def _answer(key: tuple, group: pa.Table) -> pa.Table:
-    """For each block of a bucket one bit per hash: held by a smaller document of another block."""
-    values, least, sizes = [], [], []
-    for docs, data in zip(group["docs"], group["data"]):
+_ASKED = np.dtype([("value", "<u8"), ("to", "<i4")])
+
+
+def _ask(key: tuple, group: pa.Table) -> pa.Table:
+    """For each block of a bucket the hashes that it shall send, and to which blocks: it holds them in the
+    least document of all, and the other block in larger ones only."""
+    values, least, blocks = [], [], []
+    for block, data in zip(group["block"].to_pylist(), group["data"]):
         v, d = _unpack(data.as_py())
         values.append(v)
-        least.append(np.frombuffer(docs.as_py(), "<i8")[d])
-        sizes.append(len(v))
-    value, doc = np.concatenate(values), np.concatenate(least)
-    order = np.lexsort((doc, value))
-    value, doc = value[order], doc[order]
-    new = np.concatenate(([True], value[1:] != value[:-1]))
-    smallest = doc[new][np.cumsum(new) - 1]
-    held = np.zeros(len(value), bool)
-    held[order] = smallest < doc
-    ends = np.cumsum(sizes)
-    bits = [np.packbits(held[e - s : e]).tobytes() for s, e in zip(sizes, ends)]
-    return pa.table({"block": group["block"].combine_chunks(), "bucket": group["bucket"].combine_chunks(), "bits": pa.array(bits, pa.binary())})
+        least.append(d)
+        blocks.append(np.full(len(v), block, np.int32))
+    value, doc, block = np.concatenate(values), np.concatenate(least), np.concatenate(blocks)
+    order = np.lexsort((block, doc, value))
+    value, doc, block = value[order], doc[order], block[order]
+    group_of = np.cumsum(np.concatenate(([True], value[1:] != value[:-1]))) - 1
+    holder = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))[group_of]
+    wants = np.flatnonzero(doc[holder] < doc)
+    by = block[holder[wants]]
+    order = np.argsort(by, kind="stable")
+    wants, by = wants[order], by[order]
+    asked = np.empty(len(wants), _ASKED)
+    asked["value"], asked["to"] = value[wants], block[wants]
+    names, starts = np.unique(by, return_index=True)
+    ends = [*starts[1:].tolist(), len(by)]
+    return pa.table({"block": pa.array(names, pa.int32()), "data": pa.array([asked[lo:hi].tobytes() for lo, hi in zip(starts.tolist(), ends)], pa.binary())})
+
+
+def _passages(window: int):
+    """The words of the phrases asked for: a row for each block they go to."""
+
+    def run(key: tuple, docs: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = []
+        if asked.num_rows and docs.num_rows:
+            b = Block(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), window)
+            wanted = np.frombuffer(b"".join(x.as_py() for x in asked["data"]), _ASKED)
+            wanted = wanted[np.argsort(wanted["to"], kind="stable")]
+            names, starts = np.unique(wanted["to"], return_index=True)
+            for to, lo, hi in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(wanted)]):
+                ids, words = b.passages(b.first[np.searchsorted(b.distinct, wanted["value"][lo:hi])])
+                rows.append((to, ids.tobytes(), b"\n".join(words)))
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "ids": pa.array([r[1] for r in rows], pa.binary()), "words": pa.array([r[2] for r in rows], pa.large_binary()).cast(pa.binary())})
+
+    return run
 
 
 def anchors(hashed: np.ndarray, at: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -127,52 +185,88 @@ def anchors(hashed: np.ndarray, at: np.ndarray, window: int, anchor: int) -> np.
     return where
 
 
-def _locate(window: int, anchor: int, buckets: int):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+class Phrases:
+    """Passages compiled: an automaton of their anchors, and the phrases that each anchor stands for."""
+
+    def __init__(self, holders: np.ndarray, passages: list[bytes], window: int, anchor: int):
         import ahocorasick
 
+        self.window, self.anchor = window, anchor
+        self.numbers: dict[bytes, int] = {}  # of the words, from 1
+        number = self.numbers.setdefault
+        ids = [number(w, len(self.numbers) + 1) for x in passages for w in x.split(b" ")]
+        self.ids = np.array(ids, np.int32)
+        hashed, count = hash_words(passages)
+        of = np.repeat(np.arange(len(passages)), count)
+        every = sequences(hashed, window)
+        at = np.flatnonzero(of[: len(every)] == of[window - 1 :][: len(every)])
+        # each phrase once, with the least holder
+        order = np.lexsort((holders[of[at]], every[at]))
+        new = np.concatenate(([True], every[at][order][1:] != every[at][order][:-1]))
+        self.at = at[order][new]
+        self.values, self.holder = every[self.at], holders[of[self.at]]
+        # a word is a few letters of a small alphabet, the first of them marked: the automaton's nodes have
+        # few children, and it matches at words only
+        self.digits = max(1, -(-len(self.numbers).bit_length() // 6))
+        text, where = self.letters(self.ids), anchors(hashed, self.at, window, anchor)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        patterns: dict[str, int] = {}
+        self.pattern = np.empty(len(where), np.int64)
+        for k, place in enumerate(where.tolist()):
+            word = text[place * self.digits : (place + anchor) * self.digits]
+            known = patterns.get(word)
+            if known is None:
+                known = patterns[word] = len(patterns)
+                self.machine.add_word(word, known)
+            self.pattern[k] = known
+        self.machine.make_automaton()
+
+    def letters(self, ids: np.ndarray) -> str:
+        letters = (ids[:, None] >> (6 * np.arange(self.digits))) & 63
+        letters[:, 0] += 64
+        return letters.astype(np.uint8).tobytes().decode("latin-1")
+
+    def locate(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of b that are phrases, and the phrases' holders."""
+        known = self.numbers.get
+        ids = np.array([known(w, 0) for raw in b.raws for w in raw.split()], np.int32)
+        place = np.arange(len(ids)) + b.doc  # 0, no word of a phrase, stands between documents
+        stream = np.zeros(len(ids) + len(b.count), np.int32)
+        stream[place] = ids
+        hit = np.full(len(stream), -1, np.int64)
+        for end, pattern in self.machine.iter(self.letters(stream)):
+            hit[(end + 1) // self.digits - self.anchor] = pattern
+        # at each hit the phrases of its anchor, compared word by word
+        found = hit[place[anchors(b.hashed, b.at, self.window, self.anchor)]]
+        near = np.flatnonzero(found >= 0)
+        phrase = np.minimum(np.searchsorted(self.values, b.windows[near]), len(self.values) - 1)
+        same = (self.values[phrase] == b.windows[near]) & (self.pattern[phrase] == found[near])
+        near, phrase = near[same], phrase[same]
+        equal = np.ones(len(near), bool)
+        for j in range(self.window):
+            equal &= ids[b.at[near] + j] == self.ids[self.at[phrase] + j]
+        return near[equal], self.holder[phrase[equal]]
+
+
+def _locate(window: int, anchor: int):
+    def run(key: tuple, docs: pa.Table, sent: pa.Table) -> pa.Table:
         b = Block(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), window)
         covered = np.zeros(len(b.hashed) + 1, np.int64)
+        holders, passages = [], []
+        for ids, words in zip(sent["ids"], sent["words"]):
+            holders.append(np.frombuffer(ids.as_py(), np.int64))
+            passages += words.as_py().split(b"\n")
         if len(b.windows):
-            cut = _cuts(b.distinct, buckets)
-            elsewhere = np.zeros(len(b.distinct), bool)
-            for k, bits in zip(answers["bucket"].to_pylist(), answers["bits"]):
-                elsewhere[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=int(cut[k + 1] - cut[k]))
-            rank = b.rank[b.doc[b.at]]
             several = np.zeros(len(b.distinct), bool)
-            several[b.back[rank != b.least[b.back]]] = True
-            phrase = elsewhere | several
-            where = anchors(b.hashed, b.at, window, anchor)
-            if phrase.any():
-                # one place for each anchor of a phrase
-                places = np.unique(where[phrase[b.back]])
-                _, one = np.unique(mixed(sequences(b.hashed, anchor))[places], return_index=True)
-                runs = places[one][:, None] + np.arange(anchor)
-                # ids of the anchors' words; 0 is any other word, and stands between documents
-                known = np.unique(b.hashed[runs])
-                ids = np.searchsorted(known, b.hashed)
-                ids = np.where(known[np.minimum(ids, len(known) - 1)] == b.hashed, ids + 1, 0)
-                stream = np.zeros(len(ids) + len(b.count), np.int64)
-                shifted = np.arange(len(ids)) + b.doc
-                stream[shifted] = ids
-                # a word is a few letters of a small alphabet, the first of them marked: the automaton's
-                # nodes have few children, and it matches at words only
-                digits = max(1, -(-int(len(known)).bit_length() // 6))
-                letters = (stream[:, None] >> (6 * np.arange(digits))) & 63
-                letters[:, 0] += 64
-                text = letters.astype(np.uint8).tobytes().decode("latin-1")
-                machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                for at in shifted[places[one]].tolist():
-                    machine.add_word(text[at * digits : (at + anchor) * digits], at)
-                machine.make_automaton()
-                hit = np.zeros(len(stream), bool)
-                found = np.array([end for end, _ in machine.iter(text)], np.int64)
-                hit[(found + 1) // digits - anchor] = True
-                # the windows around an anchor found, looked up among the phrases
-                near = np.flatnonzero(hit[shifted[where]])
-                of = b.back[near]
-                gone = near[elsewhere[of] | (several[of] & (rank[near] > b.least[of]))]
-                covered += np.bincount(b.at[gone], minlength=len(covered)) - np.bincount(b.at[gone] + window, minlength=len(covered))
+            several[b.back[b.ids[b.doc[b.at]] != b.least[b.back]]] = True
+            if several.any():
+                ids, words = b.passages(b.first[several])
+                holders.append(ids)
+                passages += words
+        if passages:
+            at, holder = Phrases(np.concatenate(holders), passages, window, anchor).locate(b)
+            gone = b.at[at[holder < b.ids[b.doc[b.at[at]]]]]
+            covered += np.bincount(gone, minlength=len(covered)) - np.bincount(gone + window, minlength=len(covered))
         keep = np.cumsum(covered)[:-1] == 0
         n_words, n_removed, kept = [], [], []
         left = np.concatenate(([0], np.cumsum(keep)))
@@ -190,8 +284,8 @@ def _locate(window: int, anchor: int, buckets: int):
 
 
 def _digested(locate):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out = locate(key, docs, answers)
+    def run(key: tuple, docs: pa.Table, sent: pa.Table) -> pa.Table:
+        out = locate(key, docs, sent)
         digest = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in out["kept"]]
         return pa.table({"doc_id": out["doc_id"], "n_words": out["n_words"], "n_removed": out["n_removed"], "kept_sha256": pa.array(digest, pa.string())})
 
@@ -208,11 +302,12 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, anchor: int = 4,
     n, length = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // docs_per_block), -(-length // bytes_per_block))
     buckets = max(1, -(-blocks // 4))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    sent = rows.groupBy("block").applyInArrow(_send(window, buckets), "block int, bucket int, docs binary, data binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, bits binary")
-    locate = _locate(window, anchor, buckets)
-    pairs = rows.groupBy("block").cogroup(answers.groupBy("block"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    hashes = rows.groupBy("block").applyInArrow(_send(window, buckets), "block int, bucket int, data binary")
+    asked = hashes.groupBy("bucket").applyInArrow(_ask, "block int, data binary")
+    sent = rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_passages(window), "block int, ids binary, words binary")
+    locate = _locate(window, anchor)
+    pairs = rows.groupBy("block").cogroup(sent.groupBy("block"))
     if digest:
         return pairs.applyInArrow(_digested(locate), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return pairs.applyInArrow(locate, "doc_id long, n_words long, n_removed long, kept string")
