@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import SMALL
 
 from vektral.operators import learning as L
@@ -317,3 +318,41 @@ def test_autoencoder_rebuilds(spark):
     ds = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "sample_id long, feat array<double>")
     encode, decode = C.autoencoder(ds, 4, 800)
     assert ((decode(encode(x)) - x) ** 2).sum() < 0.1 * ((x - x.mean(0)) ** 2).sum()
+
+
+def test_ordinals_of_many_wide_rows(spark):
+    """More rows than one partition holds, once merged and once not: every row, each number once, in order."""
+    from vektral.operators.dataset import with_ordinal
+
+    n = 300_000
+    wide = spark.range(n, numPartitions=8).select(((F.col("id") * 7919) % n).alias("k"), F.array(*[F.lit(float(j)) for j in range(40)]).alias("feat"))
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            got = with_ordinal(wide, ["k"]).agg(F.count("*"), F.countDistinct("k"), F.sum((F.col("ordinal") == F.col("k") + 1).cast("long"))).first()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert tuple(got) == (n, n, n)
+
+
+def test_nearest_of_copies_and_odd_rows(spark):
+    """Copies in the order of their ids, whatever the block; vectors that hold no numbers take no part."""
+    from vektral.operators.neighbours import nearest
+
+    x = [0.1 * j for j in range(7)]
+    gallery = [(i, x) for i in range(40)] + [(100 + i, [v + 1e-3 * (i + 1) for v in x]) for i in range(30)] + [(200, None), (201, [float("nan")] * 7), (202, [1.0])]
+    ds = spark.createDataFrame(gallery, "sample_id long, feat array<double>")
+    for block in (4096, 9):
+        got = nearest(ds.filter("sample_id in (0, 25, 201, 202)"), ds, 3, block=block, skip_self=True).orderBy("probe_id", "rank").collect()
+        assert [(r["probe_id"], r["gallery_id"]) for r in got] == [(0, 1), (0, 2), (0, 3), (25, 0), (25, 1), (25, 2)]
+
+
+def test_places_of_a_class_in_many_runs(spark, monkeypatch):
+    from vektral.sources import tables
+
+    monkeypatch.setattr(tables, "RUN", 4)
+    rows = spark.range(50).select((F.col("id") * 3 % 50).alias("i"), (F.col("id") % 2).alias("c"), F.array(F.lit(0.5)).alias("v"))
+    got = tables.labelled(rows, "i", F.col("c"), "v").orderBy("cls", "col_idx").collect()
+    for c in (0, 1):
+        mine = [(r["sample_id"], r["col_idx"]) for r in got if r["cls"] == c]
+        assert [x[0] for x in mine] == sorted(x[0] for x in mine) and [x[1] for x in mine] == list(range(1, len(mine) + 1))

@@ -8,6 +8,8 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graphs import cut
+
 
 def class_index(ds: DataFrame) -> DataFrame:
     """Adds n_per_class and cls_st, the number (from 1) of the class's first sample when classes follow
@@ -115,11 +117,15 @@ def mini_batches(ds: DataFrame, size: int, order: list[str]) -> DataFrame:
 
 def with_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """Global row numbers (from 1) by unique sort columns: a range partitioning, the partitions' counts
-    summed up, and row numbers inside the partitions."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_at", F.monotonically_increasing_id())
+    summed up, and row numbers inside the partitions.
+
+    The ranged rows are written once with their partition and place, and counts and rows both come from
+    there: a second evaluation could draw other ranges."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition: no more than spark.sql.shuffle.partitions
     parts = parts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return ranged.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")
 

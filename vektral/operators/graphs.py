@@ -19,7 +19,7 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         found = context.getConf().get("spark.checkpoint.dir", None)
         if not found:
-            if not context.master.startswith("local"):
+            if not (context.master == "local" or context.master.startswith("local[")):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             if not _own:
                 _own.append(tempfile.mkdtemp(prefix="vektral-cut-"))

@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 def nearest(probes: DataFrame, gallery: DataFrame, k: int = 1, block: int = 4096, skip_self: bool = False) -> DataFrame:
     """(probe_id, rank, gallery_id, d2): the k gallery samples of least squared Euclidean distance, ties
     to the smaller id.  Both sides are dealt into blocks; each pair of blocks is one matrix product and
-    keeps k rows a probe, so neither side has to fit a task or a broadcast."""
+    keeps k rows a probe, so neither side has to fit a task or a broadcast.  Of the product all within its
+    rounding error of the k-th are compared exactly, so copies keep the order of their ids.
+
+    Vectors that are null or empty or hold null or non-finite components take no part; probes meet
+    gallery samples of their own length only."""
+    whole = F.forall("feat", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("feat") > 0)
+    gallery, probes = gallery.filter(whole), probes.filter(whole)
     n_g, n_p = max(1, -(-gallery.count() // block)), max(1, -(-probes.count() // block))
     deal = lambda df, n: F.pmod(F.xxhash64("sample_id"), F.lit(n)).cast("int")
-    g = gallery.select("sample_id", "feat").withColumn("gb", deal(gallery, n_g)).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
-    p = probes.select("sample_id", "feat").withColumn("pb", deal(probes, n_p)).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))))
+    # columns of its own, as both sides may be one dataset
+    g = gallery.select(F.col("sample_id").alias("sample_id"), F.col("feat").alias("feat"), F.size("feat").alias("dim")).withColumn("gb", deal(gallery, n_g)).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
+    p = probes.select("sample_id", "feat", F.size("feat").alias("dim")).withColumn("pb", deal(probes, n_p)).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
@@ -23,14 +30,14 @@ def nearest(probes: DataFrame, gallery: DataFrame, k: int = 1, block: int = 4096
             flat = lambda t: np.asarray(t["feat"].combine_chunks().flatten(), float).reshape(t.num_rows, -1)
             x, y = flat(left), flat(right)
             xi, yi = np.asarray(left["sample_id"]), np.asarray(right["sample_id"])
-            y2 = (y * y).sum(1)
+            y2, error = (y * y).sum(1), 8 * np.finfo(float).eps * (y.shape[1] + 2)
             for lo in range(0, len(x), 256):
                 q = x[lo : lo + 256]
                 d = (q * q).sum(1)[:, None] + y2 - 2 * q @ y.T
-                keep = min(len(y), k + 1 + skip_self)
-                near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < len(y) else np.tile(np.arange(len(y)), (len(q), 1))
+                last = min(len(y), k + skip_self) - 1
+                far = np.partition(d, last, axis=1)[:, last] + error * ((q * q).sum(1) + y2.max())
                 for r in range(len(q)):
-                    c = near[r]
+                    c = np.flatnonzero(d[r] <= far[r])
                     if skip_self:
                         c = c[yi[c] != xi[lo + r]]
                     exact = ((q[r] - y[c]) ** 2).sum(1)
@@ -41,7 +48,7 @@ def nearest(probes: DataFrame, gallery: DataFrame, k: int = 1, block: int = 4096
         cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
         return pa.table({"probe_id": cat(out[0], pa.int64()), "gallery_id": cat(out[1], pa.int64()), "d2": cat(out[2], pa.float64())})
 
-    found = p.groupBy("pb", "gb").cogroup(g.groupBy("pb", "gb")).applyInArrow(run, "probe_id long, gallery_id long, d2 double")
+    found = p.groupBy("pb", "gb", "dim").cogroup(g.groupBy("pb", "gb", "dim")).applyInArrow(run, "probe_id long, gallery_id long, d2 double")
     order = Window.partitionBy("probe_id").orderBy("d2", "gallery_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("probe_id", F.col("rank").cast("int").alias("rank"), "gallery_id", "d2")
 

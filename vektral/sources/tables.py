@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: ids to a run, a power of two
+RUN = 1 << 16
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,11 +24,18 @@ def load_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
 
 
 def labelled(df: DataFrame, sample_id: str, cls: Column, feat: str) -> DataFrame:
-    """A dataset from any rows: classes as given, samples in the order of their ids.  The window is
-    keyed by class, so no step sees more than one class."""
-    place = Window.partitionBy("cls").orderBy("sample_id")
+    """A dataset from any rows: classes as given, samples in the order of their (whole) ids.  Places are
+    counted inside runs of RUN ids and the runs' counts are summed up within the class, so no window
+    sees more than one run, however large a class is."""
     rows = df.select(F.col(sample_id).alias("sample_id"), cls.cast("int").alias("cls"), F.col(feat).cast("array<double>").alias("feat"))
-    return rows.withColumn("col_idx", F.row_number().over(place))
+    rows = rows.withColumn("_run", F.shiftright(F.col("sample_id").cast("long"), RUN.bit_length() - 1))
+    before = Window.partitionBy("_cls").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(F.col("cls").alias("_cls"), F.col("_run").alias("_of")).agg(F.count("*").alias("_n"))
+    runs = runs.select("_cls", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = Window.partitionBy("cls", "_run").orderBy("sample_id")
+    rows = rows.withColumn("_at", F.row_number().over(place))
+    both = F.col("cls").eqNullSafe(F.col("_cls")) & F.col("_run").eqNullSafe(F.col("_of"))
+    return rows.join(runs, both).select("sample_id", "cls", "feat", (F.col("_before") + F.col("_at")).cast("int").alias("col_idx"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
