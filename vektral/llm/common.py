@@ -50,9 +50,48 @@ def forget(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_vektral_path", None)
         if path:
-            spark = t.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            forget_path(t.sparkSession, path)
+
+
+def forget_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def store_of(folder: str):
+    """The file system of a folder in the shared one, for tasks, and the folder's place in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
+def put_file(folder: str, name: str, rows) -> None:
+    """Writes an Arrow table as one file of a shared folder.  An attempt writes beside it and moves it there
+    when it is whole; attempts of one task write the same."""
+    import pyarrow as pa
+
+    store, at = store_of(folder)
+    store.create_dir(at, recursive=True)
+    part = f"{at}/{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out, pa.ipc.new_file(out, rows.schema) as to:
+        to.write_table(rows)
+    store.move(part, f"{at}/{name}.arrow")
+
+
+def get_file(folder: str, name: str):
+    import pyarrow as pa
+
+    store, at = store_of(folder)
+    with store.open_input_file(f"{at}/{name}.arrow") as source:
+        return pa.ipc.open_file(source).read_all()
+
+
+def every_pair(left: DataFrame, right: DataFrame, most: int = 10_000) -> DataFrame:
+    """(a, b, dim) for each file a of left and b of right (part, dim) of one dimension: names of files, not
+    rows.  Pairs of one a stand together, dealt to tasks by ranges."""
+    pairs = written(left.select(F.col("part").alias("a"), "dim").join(right.select(F.col("part").alias("b"), "dim"), "dim"), "pairs")
+    n = max(1, min(most, pairs.count()))
+    return pairs.repartitionByRange(n, "dim", "a", "b").sortWithinPartitions("dim", "a", "b").select("a", "b", "dim")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors collapse first.  The distinct ones are dealt to shards by a hash; each shard builds a
-layered graph, and every vector queries every shard.  A query's beam starts at beam; it widens, by
+layered graph, once, as a file of the shared folder, and every vector queries every shard: blocks of
+vectors are files too, and a task takes one pair of a block and a shard after the other, so neither side
+is copied by a shuffle.  A query's beam starts at beam; it widens, by
 doubling, for each query whose beam is full of links, and for the whole block of queries until an
 audit (queries compared with all vectors of the shard) finds every link.  The audit always tests
 links, however many shards there are: it takes queries of the block that have links, and vectors of
 the shard moved to similarities down to the threshold.  Hits are verified by cosine in double
-precision on the original vectors; a link found from either end counts for both, once.  A task
+precision on the original vectors, each scaled by a power of two (which is exact), so that very large and
+very small components neither overflow nor vanish; a link found from either end counts for both, once.  A task
 unites its own links, and distributed star contraction unites those of all tasks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, every_pair, forget_path, get_file, new_path, put_file, release, written
 
 
 def clean(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -41,6 +44,15 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, the largest component between a half and one."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0))[1][:, None])
+
+
+def normed(v: np.ndarray) -> np.ndarray:
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
 class Graph:
     """A layered small-world graph over the unit rows of x, built in growing batches."""
 
@@ -166,19 +178,25 @@ class Graph:
             nb = near[ids[active, best]]
             ok = nb >= 0
             ok &= ~seen[active[:, None], np.maximum(nb, 0)]
+            some = ok.any(1)
+            if not some.all():
+                nb, ok, quiet = nb[some], ok[some], active
+                active = active[some]
+                if not len(active):
+                    active = quiet
+                    continue
+            else:
+                quiet = active
             r, c = np.nonzero(ok)
-            if not len(r):
-                continue
-            got = nb[r, c]
-            who = active[r]
-            seen[who, got] = True
-            s = np.full(nb.shape, -np.inf, np.float32)
-            s[r, c] = np.einsum("bd,bd->b", q[who], self.x[got])
+            seen[active[r], nb[r, c]] = True
+            s = np.matmul(self.x[np.maximum(nb, 0)], q[active][:, :, None])[:, :, 0]
+            s[~ok] = -np.inf
             all_s = np.concatenate((sims[active], s), 1)
             keep = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
             ids[active] = np.take_along_axis(np.concatenate((ids[active], nb), 1), keep, 1)
             open_[active] = np.take_along_axis(np.concatenate((open_[active], ok), 1), keep, 1)
             sims[active] = np.take_along_axis(all_s, keep, 1)
+            active = quiet
         order = np.argsort(-sims, axis=1, kind="stable")
         sims = np.take_along_axis(sims, order, 1)
         ids = np.where(sims > -np.inf, np.take_along_axis(ids, order, 1), -1)
@@ -244,14 +262,33 @@ class Graph:
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def _build(key: tuple, group: pa.Table) -> pa.Table:
-    """A shard's graph as one row."""
-    v = matrix(group["v"])
-    unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    g = Graph(unit)
-    near = pa.array([[x.tobytes() for x in g.near]], pa.list_(pa.binary()))
-    one = lambda x, t: pa.array([x], t)
-    return pa.table({"shard": one(key[0].as_py(), pa.int32()), "dim": one(key[1].as_py(), pa.int32()), "ids": one(np.asarray(group["id"], np.int64).tobytes(), pa.binary()), "copies": one(np.asarray(group["copies"], np.int64).tobytes(), pa.binary()), "hashed": one(np.asarray(group["hashed"], np.int64).tobytes(), pa.binary()), "v": one(v.tobytes(), pa.binary()), "levels": one(g.levels.tobytes(), pa.binary()), "near": near})
+def _vectors(rows: pa.Table) -> dict[str, pa.Array]:
+    """A part's vectors, scaled, as one row."""
+    one = lambda x: pa.array([x.tobytes()], pa.large_binary())
+    return {"ids": one(np.asarray(rows["id"], np.int64)), "copies": one(np.asarray(rows["copies"], np.int64)), "hashed": one(np.asarray(rows["hashed"], np.int64)), "v": one(scaled(matrix(rows["v"])))}
+
+
+def _read(row: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (*(np.frombuffer(row[c], np.int64) for c in ("ids", "copies", "hashed")), np.frombuffer(row["v"], np.float64).reshape(-1, dim))
+
+
+PART = "part int, dim int"
+
+
+def _keep(folder: str, kind: str):
+    """Writes a part as a file; a shard with its graph."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        part, dim = key[0].as_py(), key[1].as_py()
+        columns = _vectors(rows)
+        if kind == "shard":
+            g = Graph(normed(np.frombuffer(columns["v"][0].as_py(), np.float64).reshape(-1, dim)))
+            columns["levels"] = pa.array([g.levels.tobytes()], pa.large_binary())
+            columns["near"] = pa.array([[x.tobytes() for x in g.near]], pa.list_(pa.large_binary()))
+        put_file(folder, f"{kind}-{part}-{dim}", pa.table(columns))
+        return pa.table({"part": pa.array([part], pa.int32()), "dim": pa.array([dim], pa.int32())})
+
+    return run
 
 
 class _Roots:
@@ -277,24 +314,15 @@ class _Roots:
 LINK = "a long, b long, ha long, hb long, ca long, cb long"
 
 
-def _query(threshold: float, beam: int):
-    def run(key: tuple, queries: pa.Table, graphs: pa.Table) -> pa.Table:
-        names = ["a", "b", "ha", "hb", "ca", "cb"]
-        if not queries.num_rows or not graphs.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 6, names=names)
-        g = graphs.to_pylist()[0]
-        dim = g["dim"]
-        v = np.frombuffer(g["v"], np.float64).reshape(-1, dim)
-        ids, copies, hashed = (np.frombuffer(g[c], np.int64) for c in ("ids", "copies", "hashed"))
-        norm = np.linalg.norm(v, axis=1)
-        near = [np.frombuffer(x, np.int32).reshape(len(v), -1) for x in g["near"]]
-        graph = Graph((v / norm[:, None]).astype(np.float32), neighbours=near, levels=np.frombuffer(g["levels"], np.int8))
-        q = matrix(queries["v"])
-        q_ids, q_copies, q_hashed = (np.asarray(queries[c], np.int64) for c in ("id", "copies", "hashed"))
-        q_norm = np.linalg.norm(q, axis=1)
+def _query(folder: str, threshold: float, beam: int):
+    """Links of a block's vectors with a shard's, for each pair of the two in a task."""
+
+    def pair(graph: Graph, shard: tuple, block: tuple) -> pa.RecordBatch:
+        (ids, copies, hashed, v), (q_ids, q_copies, q_hashed, q) = shard, block
+        norm, q_norm = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
         found = []
         roots = _Roots()
-        for a, b in graph.links((q / q_norm[:, None]).astype(np.float32), threshold - 1e-4, beam):
+        for a, b in graph.links(normed(q), threshold - 1e-4, beam):
             ok = q_ids[a] != ids[b]
             a, b = a[ok], b[ok]
             cosine = np.einsum("ij,ij->i", q[a], v[b]) / (q_norm[a] * norm[b])
@@ -309,13 +337,27 @@ def _query(threshold: float, beam: int):
         links = links[:, np.lexsort(links[:4])]
         links = links[:, np.r_[True, (links[:4, 1:] != links[:4, :-1]).any(0)][: links.shape[1]]]
         ends = np.array([(x, roots.root(x), 0, 0, 0, 0) for x in list(roots.up)], np.int64).reshape(-1, 6).T
-        return pa.table([pa.array(c, pa.int64()) for c in np.concatenate((links, ends), 1)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate((links, ends), 1)], names=["a", "b", "ha", "hb", "ca", "cb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        at = None
+        for batch in batches:
+            for a, b, dim in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (a, dim):
+                    at, row = (a, dim), get_file(folder, f"shard-{a}-{dim}").to_pylist()[0]
+                    shard = _read(row, dim)
+                    near = [np.frombuffer(x, np.int32).reshape(len(shard[0]), -1) for x in row["near"]]
+                    graph = Graph(normed(shard[3]), neighbours=near, levels=np.frombuffer(row["levels"], np.int8))
+                yield pair(graph, shard, _read(get_file(folder, f"block-{b}-{dim}").to_pylist()[0], dim))
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, beam: int = 24, shard_rows: int = 32_768, block_rows: int = 8_192) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding)."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, beam: int = 24, shard_rows: int = 65_536, block_rows: int = 8_192) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).  Work grows with
+    the number of vectors times that of shards, so shards are as large as a task holds well."""
+    spark = vectors.sparkSession
     rows = written(clean(vectors), "vectors")
     # a node is a distinct vector, named by the least vec_id that has it
     nodes = rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
@@ -326,13 +368,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, beam: int = 24,
     # a vector whose ids are all null is named by a hash of it, below all others
     nodes = nodes.withColumn("hashed", hashed).withColumn("id", F.coalesce("id", -F.abs(hashed / 2).cast("long") - 2**40))
     dealt = nodes.withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int"))
-    graphs = dealt.groupBy("shard", "dim").applyInArrow(_build, "shard int, dim int, ids binary, copies binary, hashed binary, v binary, levels binary, near array<binary>")
-    graphs = written(graphs, "graphs")
-    every_block = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else graphs.withColumn("block", F.lit(0))
-    every_shard = dealt.select("id", "copies", "hashed", "v", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    keys = ["shard", "dim", "block"]
-    found = every_shard.groupBy(*keys).cogroup(every_block.groupBy(*keys)).applyInArrow(_query(threshold, beam), LINK)
-    found = written(found, "links")
+    folder = new_path(spark, "graphs")
+    graphs = written(dealt.withColumnRenamed("shard", "part").groupBy("part", "dim").applyInArrow(_keep(folder, "shard"), PART), "shards")
+    asking = written(dealt.withColumnRenamed("block", "part").groupBy("part", "dim").applyInArrow(_keep(folder, "block"), PART), "blocks")
+    found = written(every_pair(graphs, asking).mapInArrow(_query(folder, threshold, beam), LINK), "links")
+    forget_path(spark, folder)
     # both ends of a link may have found it: once for each
     links = found.filter("ca > 0").groupBy("a", "b", "ha", "hb").agg(F.max("ca").alias("ca"), F.max("cb").alias("cb"))
     links = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("cb").alias("n")), F.struct(F.col("b").alias("id"), F.col("ca").alias("n")))).alias("e"))
