@@ -407,6 +407,28 @@ def test_near_embeddings_audit_tests_links():
     assert len(truth) > 200 and np.mean([(int(i), int(j)) in got for i, j in truth]) >= 0.99
 
 
+def test_near_embeddings_of_any_size(spark):
+    """Links planted among many others, and components that overflow or vanish when squared."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    pairs = [(i, i + 1500) for i in range(0, 200, 2)]
+    for i, j in pairs:
+        x[j] = x[i] + 0.1 * rng.normal(size=32)
+    x[:2] *= 1e200
+    x[1500:1502] *= 1e-200
+    x[4] *= 1e-300
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    rows += [(5000, [1e200, 1e200], 0), (5001, [1e200, 1.0001e200], 0), (5002, [1e-200, 1e-200], 0), (5003, [5e-324, -5e-324], 0)]
+    got = {r[0]: tuple(r)[1:] for r in near_embeddings.near_duplicates(spark.createDataFrame(rows, VECTORS), shard_rows=1000, block_rows=700).collect()}
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert all(link[i, j] for i, j in pairs)
+    assert all(got[i][0] == link[i].sum() for i in range(3000)) and all(got[j][1] == min(i, j) for i, j in pairs)
+    assert {i: got[i][0] for i in range(5000, 5004)} == {5000: 2, 5001: 2, 5002: 2, 5003: 0}
+
+
 def test_near_embeddings_edges(spark):
     assert near_embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     rows = [(7, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (9, [1.0, 0.01], 0), (3, [1.0, 0.0, 0.0], 0)]
@@ -440,6 +462,27 @@ def test_nearest_edges(spark):
     assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("n", [31, 69, 334, 335])
+def test_nearest_keeps_ties_in_order(n):
+    """Copies at odd places of matrices of odd heights: equal scores, smaller vec_id first."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 37))
+    x[::3] = x[0]
+    ids = rng.permutation(n)
+    forest = ann_forest.Forest(x, ids, 4, 8)
+    for near, score in forest.search(x[:20], ids[:20], 15, n):
+        assert [tuple(t) for t in sorted(zip(-score, ids[near]))] == list(zip(-score, ids[near]))
+        assert len({s for s, r in zip(score, near) if r % 3 == 0}) <= 1
+    again = ann_forest.Forest(x, ids, grown=forest.stored())
+    assert all((forest.candidates(q, 20) == again.candidates(q, 20)).all() and len(forest.candidates(q, 20)) >= 20 for q in x[:9])
+
+
+def test_nearest_of_a_repeated_id(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0], 0), (0, [0.0, 1.0], 0), (0, [0.0, 1.0], 0), (3, [2.0, 1.0], 0), (4, [1.0, 3.0], 0)], VECTORS)
+    got = sorted(tuple(r) for r in ann_forest.nearest(rows, rows.filter("vec_id = 0")).collect())
+    assert got == [(0, 1, 3, 2.0), (0, 1, 4, 3.0), (0, 2, 3, 1.0), (0, 2, 4, 1.0)]
+
+
 def test_recall_on_the_table(spark):
     v = queries.table(spark, SMALL, "embeddings")
     rows = v.orderBy("vec_id").collect()

@@ -1,58 +1,84 @@
 """Approximate nearest neighbours: a forest of random-projection trees with a shared priority queue.
 
-The rows are dealt to shards by a hash.  A shard's task grows its trees over all its rows (a node
-splits them by a random direction between two of them, at the median), and searches them for a block
-of queries: every leaf of every tree gets the least margin with which the query's path would enter
-it, one queue over all trees hands out leaves by margin until enough candidates are met, and these
-are ranked by the exact measure on the original vectors in double precision.  How many candidates are
-enough is found by an audit: queries searched by brute force in the shard; the number doubles until
-the recall asked for is reached.  The shards' best are merged by a window per query.
+The rows are dealt to shards by a hash.  A shard grows its trees over all its rows, once, as a file of
+the shared folder (a node splits its rows by a random direction between two of them, at the median).
+Queries are dealt to blocks, files too, and a task takes one pair of a shard and a block after the other,
+so neither side is copied by a shuffle.  A query's search begins at the roots of all trees: one queue
+over all of them hands out the node with the greatest margin, an inner node gives its two children back
+with the lesser of its own margin and theirs, and a leaf gives its rows, until enough candidates are met.
+These are ranked by the exact measure on the original vectors in double precision.  How many candidates
+are enough is found by an audit for each pair: queries searched by brute force in the shard; the number
+doubles until the recall asked for is reached.  The shards' best are merged by a window per query.
 
 Inner products are turned into angles by one more component that fills each row up to the greatest
 norm of the shard.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components are neither
-queries nor candidates; with fewer than k candidates all are returned; ties go to the smaller vec_id;
-rows that repeat a vec_id are candidates of their own, but none of its own query; a null vec_id is
-neither; a query is compared with vectors of its own length; an empty table gives an empty one.
+queries nor candidates; with fewer than k candidates all are returned; ties go to the smaller vec_id,
+and equal vectors have equal scores wherever they stand; rows that repeat a vec_id are candidates of
+their own, but none of a query of that vec_id; different vectors that share a vec_id are queries of their
+own, with ranks of their own; a null vec_id is neither; a query is compared with vectors of its own
+length; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .near_embeddings import clean, matrix
+from .common import every_pair, forget_path, get_file, new_path, put_file, release, written
+from .near_embeddings import PART, clean, matrix
 
 
-class Tree:
-    """Random-projection splits: normals and offsets of the inner nodes, rows of the leaves."""
+class Forest:
+    """Trees over the rows of v.  Inner nodes of all trees are numbered from 0, leaf k is node -1 - k."""
 
-    def __init__(self, x: np.ndarray, leaf: int, rng: np.random.Generator):
-        self.normals: list[np.ndarray] = []
-        self.offsets: list[float] = []
-        self.children: list[list[int]] = []  # >= 0 an inner node, else leaf -1 - k
-        self.leaves: list[np.ndarray] = []
-        todo = [(np.arange(len(x)), -1, 0)]
-        while todo:
-            rows, parent, side = todo.pop()
-            split = self._split(x, rows, rng) if len(rows) > leaf else None
-            if split is None:
-                node = -1 - len(self.leaves)
-                self.leaves.append(rows)
-            else:
-                node = len(self.normals)
-                normal, offset, right = split
-                self.normals.append(normal)
-                self.offsets.append(offset)
-                self.children.append([0, 0])
-                todo += [(rows[~right], node, 0), (rows[right], node, 1)]
-            if parent >= 0:
-                self.children[parent][side] = node
-            else:
-                self.root = node
+    ARRAYS = {"normals": np.float32, "offsets": np.float32, "children": np.int32, "roots": np.int32, "rows": np.int32, "ends": np.int64, "radius": np.float32}
+
+    def __init__(self, v: np.ndarray, ids: np.ndarray, trees: int = 0, leaf: int = 64, seed: int = 17, grown: dict | None = None):
+        self.v, self.ids = v, ids
+        if grown:
+            for name, kind in self.ARRAYS.items():
+                setattr(self, name, np.frombuffer(grown[name], kind))
+            self.normals, self.children = self.normals.reshape(-1, v.shape[1] + 1), self.children.reshape(-1, 2)
+        else:
+            self._grow(trees, leaf, np.random.default_rng(seed))
+        self.ways = self.children.tolist()
+
+    def _grow(self, trees: int, leaf: int, rng: np.random.Generator) -> None:
+        size = np.abs(self.v).max(initial=0)
+        v = self.v / (size or 1.0)  # very large and very small components neither overflow nor vanish
+        norm2 = np.einsum("ij,ij->i", v, v)
+        self.radius = np.array([np.sqrt(norm2.max(initial=0))])
+        x = np.concatenate((v, np.sqrt(np.maximum(0.0, norm2.max(initial=0) - norm2))[:, None]), 1).astype(np.float32)
+        normals, offsets, children, roots, leaves = [], [], [], [], []
+        for _ in range(trees):
+            todo = [(np.arange(len(x)), -1, 0)]
+            while todo:
+                rows, parent, side = todo.pop()
+                split = self._split(x, rows, rng) if len(rows) > leaf else None
+                if split is None:
+                    node = -1 - len(leaves)
+                    leaves.append(rows)
+                else:
+                    node = len(normals)
+                    normals.append(split[0])
+                    offsets.append(split[1])
+                    children.append([0, 0])
+                    todo += [(rows[~split[2]], node, 0), (rows[split[2]], node, 1)]
+                if parent < 0:
+                    roots.append(node)
+                else:
+                    children[parent][side] = node
+        self.normals = np.array(normals, np.float32).reshape(-1, x.shape[1])
+        self.offsets, self.children = np.array(offsets, np.float32), np.array(children, np.int32).reshape(-1, 2)
+        self.roots, self.rows = np.array(roots, np.int32), np.concatenate(leaves).astype(np.int32)
+        self.ends = np.cumsum([len(r) for r in leaves])
 
     @staticmethod
     def _split(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator):
@@ -70,36 +96,12 @@ class Tree:
                 return normal, offset, right
         return None  # all alike: an oversized leaf, searched as a whole
 
-    def margins(self, q: np.ndarray) -> np.ndarray:
-        """For each query and leaf the least signed margin on the way to it."""
-        out = np.empty((len(q), len(self.leaves)), np.float32)
-        if not self.normals:
-            out[:] = np.inf
-            return out
-        side = q @ np.array(self.normals, q.dtype).T - np.array(self.offsets, q.dtype)
-        todo = [(self.root, np.full(len(q), np.inf, np.float32))]
-        while todo:
-            node, way = todo.pop()
-            if node < 0:
-                out[:, -1 - node] = way
-            else:
-                todo += [(self.children[node][0], np.minimum(way, -side[:, node])), (self.children[node][1], np.minimum(way, side[:, node]))]
-        return out
-
-
-class Forest:
-    def __init__(self, v: np.ndarray, ids: np.ndarray, trees: int, leaf: int, seed: int = 17):
-        self.v, self.ids = v, ids
-        norm2 = np.einsum("ij,ij->i", v, v)
-        fill = np.sqrt(np.maximum(0.0, norm2.max() - norm2))
-        self.x = np.concatenate((v, fill[:, None]), 1).astype(np.float32)
-        rng = np.random.default_rng(seed)
-        self.trees = [Tree(self.x, leaf, rng) for _ in range(trees)]
-        self.leaves = [rows for t in self.trees for rows in t.leaves]
-        self.sizes = np.array([len(r) for r in self.leaves])
+    def stored(self) -> dict[str, bytes]:
+        return {name: np.ascontiguousarray(getattr(self, name), kind).tobytes() for name, kind in self.ARRAYS.items()}
 
     def _best(self, rows: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        score = self.v[rows] @ q
+        # summed row by row: a product of matrices may round equal rows differently by their places
+        score = (self.v[rows] * q).sum(1)
         score[self.ids[rows] == own] = -np.inf
         if len(rows) > 4 * k:
             least = np.partition(score, len(score) - k)[len(score) - k]
@@ -109,24 +111,29 @@ class Forest:
         order = order[score[order] > -np.inf]
         return rows[order], score[order]
 
+    def candidates(self, q: np.ndarray, enough: int) -> np.ndarray:
+        """At least `enough` rows (or all) from the leaves with the greatest margins."""
+        point = np.append(q / (np.abs(q).max(initial=0) or 1.0), 0.0).astype(np.float32)
+        point *= self.radius[0] / np.linalg.norm(point)  # as far out as the filled rows
+        queue = [(-np.inf, int(r)) for r in self.roots]
+        met = np.zeros(len(self.v), bool)
+        taken, want = 0, min(enough, len(self.v))
+        while queue and taken < want:
+            way, node = heapq.heappop(queue)
+            if node < 0:
+                leaf = self.rows[(self.ends[-2 - node] if node < -1 else 0) : self.ends[-1 - node]]
+                taken += len(leaf) - int(np.count_nonzero(met[leaf]))
+                met[leaf] = True
+            else:
+                side = float(self.normals[node] @ point) - float(self.offsets[node])
+                left, right = self.ways[node]
+                heapq.heappush(queue, (max(way, side), left))
+                heapq.heappush(queue, (max(way, -side), right))
+        return np.flatnonzero(met)
+
     def search(self, q: np.ndarray, q_ids: np.ndarray, k: int, enough: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The k best of at least `enough` candidates for each query."""
-        out = []
-        for lo in range(0, len(q), 256):
-            part = np.concatenate((q[lo : lo + 256], np.zeros((len(q[lo : lo + 256]), 1))), 1).astype(np.float32)
-            queue = np.concatenate([t.margins(part) for t in self.trees], 1)
-            order = np.argsort(-queue, axis=1, kind="stable")  # one queue over the leaves of all trees
-            for i in range(len(part)):
-                met = np.zeros(len(self.v), bool)
-                upto, taken, want = 0, 0, min(enough, len(self.v))
-                while taken < want and upto < order.shape[1]:
-                    step = max(1, int((want - taken) / max(1.0, self.sizes.mean())))
-                    for leaf in order[i, upto : upto + step]:
-                        met[self.leaves[leaf]] = True
-                    upto += step
-                    taken = int(met.sum())
-                out.append(self._best(np.flatnonzero(met), q[lo + i], int(q_ids[lo + i]), k))
-        return out
+        return [self._best(self.candidates(x, enough), x, int(i), k) for x, i in zip(q, q_ids)]
 
     def enough(self, q: np.ndarray, q_ids: np.ndarray, k: int, recall: float, audit: int = 32) -> int:
         """The number of candidates with which the audited queries reach the recall."""
@@ -143,34 +150,53 @@ class Forest:
         return want
 
 
-def _search(k: int, trees: int, leaf: int, recall: float):
-    def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        ids, found, scores = [], [], []
-        if rows.num_rows and queries.num_rows:
-            forest = Forest(matrix(rows["v"]), np.asarray(rows["vec_id"], np.int64), trees, leaf)
-            q, q_ids = matrix(queries["v"]), np.asarray(queries["vec_id"], np.int64)
-            want = forest.enough(q, q_ids, k, recall)
-            for i, (near, score) in zip(q_ids, forest.search(q, q_ids, k, want)):
-                ids.append(np.full(len(near), i))
-                found.append(forest.ids[near])
-                scores.append(score)
-        cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-        return pa.table({"query_id": cat(ids, pa.int64()), "vec_id": cat(found, pa.int64()), "score": cat(scores, pa.float64())})
+def _keep(folder: str, kind: str, trees: int = 0, leaf: int = 64):
+    """Writes a part as a file; a shard with its forest."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        part, dim = key[0].as_py(), key[1].as_py()
+        rows = rows.sort_by([("vec_id", "ascending"), ("hashed", "ascending")])  # the same forest on every attempt
+        v, ids, hashed = matrix(rows["v"]), np.asarray(rows["vec_id"], np.int64), np.asarray(rows["hashed"], np.int64)
+        data = {"v": v.tobytes(), "ids": ids.tobytes(), "hashed": hashed.tobytes()} | (Forest(v, ids, trees, leaf).stored() if kind == "shard" else {})
+        put_file(folder, f"{kind}-{part}-{dim}", pa.table({c: pa.array([x], pa.large_binary()) for c, x in data.items()}))
+        return pa.table({"part": pa.array([part], pa.int32()), "dim": pa.array([dim], pa.int32())})
+
+    return run
+
+
+def _search(folder: str, k: int, recall: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        at = None
+        read = lambda row, dim: (np.frombuffer(row["v"], np.float64).reshape(-1, dim), np.frombuffer(row["ids"], np.int64))
+        for batch in batches:
+            for a, b, dim in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (a, dim):
+                    at, row = (a, dim), get_file(folder, f"shard-{a}-{dim}").to_pylist()[0]
+                    forest = Forest(*read(row, dim), grown=row)
+                row = get_file(folder, f"block-{b}-{dim}").to_pylist()[0]
+                (q, q_ids), hashed = read(row, dim), np.frombuffer(row["hashed"], np.int64)
+                found = forest.search(q, q_ids, k, forest.enough(q, q_ids, k, recall))
+                times = [len(rows) for rows, _ in found]
+                columns = [np.repeat(q_ids, times), np.repeat(hashed, times), forest.ids[np.concatenate([rows for rows, _ in found])]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.concatenate([score for _, score in found]), pa.float64())], names=["query_id", "hashed", "vec_id", "score"])
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 16_384, block_queries: int = 4_096, trees: int = 10, leaf: int = 64, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query (vec_id, embedding)."""
-    rows = clean(vectors).filter("v is not null and vec_id is not null").withColumn("dim", F.size("v"))
-    asked = clean(queries).filter("v is not null and vec_id is not null").withColumn("dim", F.size("v"))
-    shards = max(1, -(-vectors.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // block_queries))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    keys = ["shard", "block", "dim"]
-    found = rows.groupBy(*keys).cogroup(asked.dropDuplicates(["vec_id", "shard"]).groupBy(*keys)).applyInArrow(_search(k, trees, leaf, recall), "query_id long, vec_id long, score double")
+    spark = vectors.sparkSession
+    whole = lambda df: clean(df).filter("v is not null and vec_id is not null").withColumn("dim", F.size("v")).withColumn("hashed", F.xxhash64("v"))
+    shards, blocks = max(1, -(-vectors.count() // shard_rows)), max(1, -(-queries.count() // block_queries))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id", "hashed"), F.lit(n)).cast("int")
+    folder = new_path(spark, "forests")
+    grown = whole(vectors).withColumn("part", deal(shards)).groupBy("part", "dim").applyInArrow(_keep(folder, "shard", trees, leaf), PART)
+    asked = whole(queries).dropDuplicates(["vec_id", "v"]).withColumn("part", deal(blocks)).groupBy("part", "dim").applyInArrow(_keep(folder, "block"), PART)
+    pairs = every_pair(written(grown, "shards"), written(asked, "blocks"))
+    found = written(pairs.mapInArrow(_search(folder, k, recall), "query_id long, hashed long, vec_id long, score double"), "found")
+    forget_path(spark, folder)
     # one query's rows here are at most k a shard
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id", "hashed").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
