@@ -420,7 +420,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column:
         encoder = compiled(ranks_path, pattern, room)
         width, digests = encoder.fst.width, Digests(encoder.fst.tokens)
         for batch in batches:
-            for at, texts in groups(batch.column(1), 512):
+            for at, texts in groups(batch.column(1), 256):
                 coded = encoder.encode(texts)
                 lengths = np.array([len(x) // width for x in coded], np.int64)
                 ids = np.frombuffer(b"".join(coded), f"<u{width}").astype(np.int32)

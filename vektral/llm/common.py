@@ -94,6 +94,15 @@ def every_pair(left: DataFrame, right: DataFrame, most: int = 10_000) -> DataFra
     return pairs.repartitionByRange(n, "dim", "a", "b").sortWithinPartitions("dim", "a", "b").select("a", "b", "dim")
 
 
+def small_batches(spark: SparkSession, rows: int = 2048, size: str = "8m") -> None:
+    """Arrow batches of a few MB, however long the texts, unless the session says otherwise: a task holds
+    one on either side of its Python worker."""
+    for key, value, default in (("maxRecordsPerBatch", str(rows), "10000"), ("maxBytesPerBatch", size, "64MB")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key).upper() in (default, str(64 << 20), f"{64 << 20}B"):
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, mixing, phrase_dedup
 from .ann_forest import nearest
 from .bpe_fst import encode_documents
-from .common import table
+from .common import small_batches, table
 from .html_text import extract_pages
 from .jaccard_join import jaccard_join
 from .near_embeddings import near_duplicates
@@ -73,7 +75,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_mix_sources, op3_ngram_jaccard_join, op4_approximate_neighbours, op5_substring_dedup, op6_bpe_transducer, op7_token_files, op8_line_dedup, op9_html_extraction, op10_quality_classifier)}
+def _with_small_batches(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_embedding_near_dedup, op2_mix_sources, op3_ngram_jaccard_join, op4_approximate_neighbours, op5_substring_dedup, op6_bpe_transducer, op7_token_files, op8_line_dedup, op9_html_extraction, op10_quality_classifier)}
 
 LINES_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
