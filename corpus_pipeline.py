@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektral.llm.bpe_fst import encode_documents
-from vektral.llm.common import new_path, table, written
+from vektral.llm.common import new_path, small_batches, table, written
 from vektral.llm.jaccard_join import jaccard_join
 from vektral.llm.line_dedup import dedup_lines
 from vektral.llm.mixing import mixed_documents
@@ -48,10 +49,21 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with their counts and digests; documents repeated in the mix stay repeated.
     Small tables a worker: the executors' heaps have grown in the stages before."""
-    return encode_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), keep_ids=True, room=48 << 20)
+    return encode_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), keep_ids=True, room=32 << 20)
 
 
-STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mixture), ("byte-level BPE", tokens)]
+def _stage(f):
+    """f in a session with small Arrow batches, so that what the stages leave behind stays small."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _stage(f)) for name, f in (("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mixture), ("byte-level BPE", tokens))]
 
 #: SQL has no model and no tokenizer: tests/llm checks run() against a brute-force version.
 ORACLE_SQL = None
