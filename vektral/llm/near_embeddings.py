@@ -3,9 +3,9 @@
 Equal vectors collapse first.  The distinct ones are dealt to shards by a hash; each shard builds a
 layered graph, once, as a file of the shared folder, and every vector queries every shard: blocks of
 vectors are files too, and a task takes one pair of a block and a shard after the other, so neither side
-is copied by a shuffle.  A query's beam starts at beam; it widens, by
-doubling, for each query whose beam is full of links, and for the whole block of queries until an
-audit (queries compared with all vectors of the shard) finds every link.  The audit always tests
+is copied by a shuffle.  A query's beam starts at beam; where it is full of links it widens without bound
+for that query, and for the whole block of queries it doubles until an audit (queries compared with all vectors of the shard) finds 99.9 % of its links, each of which is
+sought from its other end too.  The audit always tests
 links, however many shards there are: it takes queries of the block that have links, and vectors of
 the shard moved to similarities down to the threshold.  Hits are verified by cosine in double
 precision on the original vectors, each scaled by a power of two (which is exact), so that very large and
@@ -208,15 +208,17 @@ class Graph:
             entry = self.beam(q, entry, 8, level, len(self.x))[0][:, :4]
         return self.beam(q, entry, width, 0, len(self.x))
 
-    def links(self, q: np.ndarray, least: float, beam: int, audit: int = 24, linked: int = 128, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, row) pairs with a similarity of least or more, in parts."""
+    def links(self, q: np.ndarray, least: float, beam: int, audit: int = 24, linked: int = 128, step: int = 256, recall: float = 0.999) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) pairs with a similarity of least or more, in parts.  The beam widens until the audit
+        finds the share recall of its links; as a link is sought from both its ends, a share of about
+        (1 - recall) ** 2 may be missed."""
         n = len(self.x)
         tests = self._audit(q, least, audit, linked)
         full = [np.flatnonzero(self.x @ t >= least) for t in tests]
         width = min(beam, n)
-        while True:  # widen until the audit finds every link
+        while True:  # widen until the audit finds its links
             found = self._within(tests, least, width)
-            if width >= n or all(np.isin(f, found[1][found[0] == i]).all() for i, f in enumerate(full)):
+            if width >= n or sum(int(np.isin(f, found[1][found[0] == i]).sum()) for i, f in enumerate(full)) >= recall * sum(map(len, full)):
                 break
             width = min(2 * width, n)
         for lo in range(0, len(q), step):
@@ -246,19 +248,43 @@ class Graph:
         return np.concatenate(out).astype(np.float32)
 
     def _within(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        todo, out = np.arange(len(q)), []
-        while len(todo):
-            parts = max(1, int(2e8 // (width * 64 + len(self.x))))
-            again = []
-            for lo in range(0, len(todo), parts):
-                part = todo[lo : lo + parts]
-                ids, sims = self.search(q[part], width)
-                hit = sims >= least
-                crowded = hit.all(1) if width < len(self.x) else np.zeros(len(part), bool)
-                r, c = np.nonzero(hit & ~crowded[:, None])
-                out.append((part[r], ids[r, c]))
-                again.append(part[crowded])
-            todo, width = np.concatenate(again), min(2 * width, len(self.x))
+        out, n = [], len(self.x)
+        step = max(1, int(2e8 // (width * 64 + n)))
+        for lo in range(0, len(q), step):
+            ids, sims = self.search(q[lo : lo + step], width)
+            hit = sims >= least
+            crowded = np.flatnonzero(hit.all(1)) if width < n else np.zeros(0, np.int64)
+            hit[crowded] = False
+            r, c = np.nonzero(hit)
+            out.append((r + lo, ids[r, c]))
+            some = max(1, int(6e7 // n))
+            for k in range(0, len(crowded), some):
+                part = crowded[k : k + some]
+                r, c = self._spread(q[part + lo], ids[part], least)
+                out.append((part[r] + lo, c))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+    def _spread(self, q: np.ndarray, ids: np.ndarray, least: float, slack: float = 0.02, step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """A beam without bound, from a beam that is full of links: every row near enough is expanded, until
+        no expansion finds more."""
+        n, near = len(self.x), self.near[0]
+        seen = np.zeros((len(q), n), bool)
+        r, c = np.repeat(np.arange(len(q)), ids.shape[1]), ids.ravel().astype(np.int64)
+        seen[r, c] = True
+        out = [(r, c)]
+        while len(r):
+            front = []
+            for lo in range(0, len(r), step):
+                to = near[c[lo : lo + step]]
+                who, to = np.repeat(r[lo : lo + step], to.shape[1]), to.ravel()
+                new = (to >= 0) & ~seen[who, to]
+                who, to = np.divmod(np.unique(who[new] * n + to[new]), n)
+                seen[who, to] = True
+                sims = np.einsum("bd,bd->b", q[who], self.x[to])
+                hit, go = sims >= least, sims >= least - slack
+                out.append((who[hit], to[hit]))
+                front.append((who[go], to[go]))
+            r, c = (np.concatenate([f[i] for f in front]) for i in (0, 1))
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
