@@ -102,6 +102,34 @@ def test_jaccard_join_edges(spark, nothing):
     assert got == Counter({(None, 2, 3): 1, (4, 2, 3): 2, (3, 2, 3): 1, (None, 0, None): 1})
 
 
+def test_jaccard_join_repeated_ids_are_one_document(spark):
+    t = [" ".join(f"{x}{i}" for i in range(20)) for x in "abc"]
+    rows = [(1, t[0]), (2, t[0]), (2, t[1]), (3, t[1]), (4, t[2]), (5, t[2]), (5, None), (6, None)]
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 16, 1), (2, 16, 1), (2, 16, 1), (3, 16, 1), (4, 16, 4), (5, 0, 4), (5, 16, 4), (6, 0, 6)]
+
+
+@pytest.mark.parametrize("how", [{}, {"large": 4, "salt": 7, "rest": 0}, {"large": 4, "salt": 7, "levels": 1, "broadcast_limit": 0}])
+def test_jaccard_join_one_passage_in_every_document(spark, how):
+    """A passage that all documents share and little else, clusters of near copies among them."""
+    rnd = random.Random(21)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for c in range(12):
+        own = [f"c{c}_{i}" for i in range(rnd.choice([4, 9, 14]))]
+        for _ in range(12):
+            w = passage + own + [f"x{rnd.randrange(10**6)}" for _ in range(rnd.choice([0, 1, 3]))]
+            if rnd.random() < 0.3:
+                w[rnd.randrange(60)] = "changed"
+            rows.append((len(rows), " ".join(w)))
+    got = {r[0]: tuple(r)[1:] for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **how).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    up = list(range(len(rows)))
+    link = [[j for j in range(len(rows)) if 100 * len(a & sets[j]) >= 80 * len(a | sets[j])] for a in sets]
+    for _ in rows:
+        up = [min(up[j] for j in link[i]) for i in range(len(rows))]
+    assert len(set(up)) > 2 and got == {i: (len(sets[i]), up[i]) for i in range(len(rows))}
+
+
 def test_jaccard_join_null_ids_bridge(spark):
     words = [f"w{i}" for i in range(60)]
     a, b, c = (" ".join(words[:53] + [f"{x}{i}" for i in range(k)]) for x, k in (("x", 4), ("", 0), ("y", 9)))

@@ -11,12 +11,13 @@ form a neighbourhood.
 1  Equal sets collapse to one node, whose document is the smallest doc_id.
 2  Frequent shingles are counted over all documents; the order puts them last.
 3  Small neighbourhoods are joined directly within the windows of size and position, in buckets.
-   Large ones (a frequent passage, a big group of near copies) become rows (neighbourhood, node).
+   Large ones (a frequent passage, a big group of near copies) become rows (neighbourhood, node), dealt
+   out by a salt.
 4  Level by level: each large neighbourhood takes its most central open node as pivot, each node its
    least neighbour; those pairs get exact distances; what links is united.  Pairs within one united
-   region need no further look.  After the last level the open nodes of a neighbourhood are replicated
-   to all its regions that their triangle, size and position windows reach, and these pairs, like all
-   others between regions, are verified exactly.
+   region need no further look.  Levels go on until few pairs are left or no longer half as many.  Then
+   the open nodes of a neighbourhood are replicated to all its regions that their triangle, size and
+   position windows reach, and these pairs, like all others between regions, are verified exactly.
 5  A symmetric-difference bound on parity sketches of the sets discards pairs before their sets are made.
 
 Every bound is a necessary condition, so no link is lost, and the links reported are exact up to
@@ -106,7 +107,7 @@ def _scan(docs: DataFrame, k: int, min_local: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, n int, sig long, sketch binary")
 
 
-def _frequent(scan: DataFrame, least: int, most_shingles: int) -> tuple[np.ndarray, int]:
+def _frequent(scan: DataFrame, least: int, most_shingles: int) -> np.ndarray:
     """The shingles in `limit` documents or more, where limit is the least power of two times
     `least` that leaves at most most_shingles of them (8 bytes each, so the bound of what is sent)."""
     counts = written(scan.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("df")).filter(F.col("df") >= least), "frequent")
@@ -117,7 +118,7 @@ def _frequent(scan: DataFrame, least: int, most_shingles: int) -> tuple[np.ndarr
     limit = least << e
     found = np.array([r[0] for r in counts.filter(F.col("df") >= limit).select("id").toLocalIterator()], np.int64)
     forget(counts)
-    return np.sort(found.view(np.uint64)), limit
+    return np.sort(found.view(np.uint64))
 
 
 def prefix_length(n: int, per_cent: int) -> int:
@@ -255,12 +256,12 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, na int, b long, nb int, ra long, rb long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, per_region: int = 500) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, per_region: int = 500, per_row: int = 256) -> DataFrame:
     """Pairs with the size of their sets' intersection.
 
     a is the pivot of a region, the bs its members; a region of many members is split, and each part
     gets the pivot.  The documents are read once more; only the sets of nodes in a pair move, once
-    for each region they are in.
+    for each region they are in.  A document's seats are rows of per_row or so, whatever their number.
     """
     parts = pairs.groupBy("a", "na").agg(F.ceil(F.count("*") / per_region).cast("int").alias("parts"))
     member = pairs.join(parts, ["a", "na"])
@@ -269,11 +270,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, p
     seats = member.select(F.col("rb").alias("_rep"), F.col("b").alias("sig"), F.col("nb").alias("n"), region(split, 1).alias("r"))
     heads = member.select("a", "na", "ra", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     seats = seats.unionByName(heads.select(F.col("ra").alias("_rep"), F.col("a").alias("sig"), F.col("na").alias("n"), region(F.col("part"), 0).alias("r")))
-    seats = written(seats.groupBy("_rep", "sig", "n").agg(F.collect_list("r").alias("r")), "seats")
+    seats = written(seats, "seats")
+    many = seats.groupBy("_rep", "sig", "n").agg(F.ceil(F.count("*") / per_row).cast("int").alias("rows")).filter("rows > 1")
+    if many.isEmpty():
+        lists = seats.withColumn("row", F.lit(0))
+    else:
+        lists = seats.join(many, ["_rep", "sig", "n"], "left").withColumn("row", F.pmod(F.xxhash64("r"), F.coalesce("rows", F.lit(1))).cast("int"))
+    lists = written(lists.groupBy("_rep", "sig", "n", "row").agg(F.collect_list("r").alias("r")), "lists")
     if seats.count() <= broadcast_limit:  # some 50 bytes a seat
-        rows = docs.join(F.broadcast(seats), docs["doc_id"] == seats["_rep"])
+        rows = docs.join(F.broadcast(lists), docs["doc_id"] == lists["_rep"])
     else:
-        rows = docs.join(seats.hint("merge"), docs["doc_id"] == seats["_rep"])
+        rows = docs.join(lists.hint("merge"), docs["doc_id"] == lists["_rep"])
+    forget(seats)
     names = ["a", "na", "part", "role", "sig", "n", "rep", "s"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,11 +312,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, p
     return made.groupBy("a", "na", "part").applyInArrow(common, "a long, na int, b long, nb int, ra long, rb long, common int")
 
 
-def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, large: int = 64, levels: int = 2, most_frequent: int = 500_000, broadcast_limit: int = 1_000_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, large: int = 64, levels: int = 12, rest: int = 32, salt: int = 1000, most_frequent: int = 500_000, broadcast_limit: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): documents are linked when
-    100 * |x & y| >= per_cent * |x | y|."""
+    100 * |x & y| >= per_cent * |x | y|.  Neighbourhoods of more than large nodes get pivots, level after
+    level, until no more than rest pairs a node are left to be joined, or a level leaves more than half of
+    them.  A neighbourhood's rows are dealt out by salt."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    how = (shingle_words, per_cent, large, levels, most_frequent, broadcast_limit)
+    how = (shingle_words, per_cent, large, levels, rest, salt, most_frequent, broadcast_limit)
     if docs.filter("doc_id is null").isEmpty():
         return _join(docs, *how)
     # rows without an id are named by a hash of their text until the groups are known
@@ -322,30 +332,40 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, la
     return out.select("doc_id", "n_shingles", F.when(F.col("_own").isNull(), F.col("component_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
-def _join(docs: DataFrame, shingle_words: int, per_cent: int, large: int, levels: int, most_frequent: int, broadcast_limit: int) -> DataFrame:
+def _join(docs: DataFrame, shingle_words: int, per_cent: int, large: int, levels: int, rest: int, salt: int, most_frequent: int, broadcast_limit: int) -> DataFrame:
     """jaccard_join of docs whose ids aren't null."""
-    spark, levels = docs.sparkSession, max(1, levels)
+    spark = docs.sparkSession
     scan = written(_scan(docs, shingle_words, 4), "scan")
     rows = scan.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "sketch")
     nodes = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
     n_rows = rows.count()
-    frequent, limit = _frequent(scan, large, most_frequent)
+    frequent = _frequent(scan, large, most_frequent)
     sent = spark.sparkContext.broadcast(frequent)
 
     # neighbourhoods: small ones are joined in their bucket, large ones become rows
     buckets = max(8, -(-n_rows // 4000))
     packed = _prefixes(docs.select("text"), shingle_words, per_cent, sent, buckets)
-    joined = written(packed.groupBy("bucket").applyInArrow(_join_bucket(per_cent, limit, buckets), _JOINED), "joined")
+    joined = written(packed.groupBy("bucket").applyInArrow(_join_bucket(per_cent, large, buckets), _JOINED), "joined")
     open_pairs = _sketched(_ordered(joined.filter("kind = 0").select("a", "na", "b", "nb")), nodes, per_cent)
     open_pairs = written(open_pairs, "pairs")
     big = joined.filter("kind = 1").select("s", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("pos").alias("px")).distinct()
     big = big.join(nodes.select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("rep").alias("rx")), ["x", "nx"])
     big = written(big, "neighbourhoods")
+    sizes = written(big.groupBy("s").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / salt).cast("int")), "sizes")
+    part = F.pmod(F.xxhash64("x", "nx"), F.col("parts")).cast("int")
+    dealt = written(big.join(sizes.select("s", "parts"), "s").withColumn("part", part).drop("parts"), "dealt")
+    # what a whole neighbourhood meets goes to each of its parts
+    to_parts = lambda df: df.join(sizes.select("s", "parts"), "s").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     windows = f"(100 + {per_cent}) * least(nx - px, ny - py) >= {per_cent} * (nx + ny) and 100 * least(nx, ny) >= {per_cent} * greatest(nx, ny)"
     linked = f"100 * common >= {per_cent} * (na + nb - common)"
-    region: DataFrame | None = None  # (node, component) of what is united so far
+    # a doc_id of several texts unites their nodes
+    several = rows.groupBy("doc_id").agg(F.min(F.struct("sig", "n")).alias("lo"), F.max(F.struct("sig", "n")).alias("hi")).filter("lo <> hi").select("doc_id")
+    several = rows.join(several, "doc_id").join(nodes.select("sig", "n", "rep"), ["sig", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    several = written(several, "several")
+    #: (node, component) of what is united so far
+    region: DataFrame | None = None if several.isEmpty() else written(connected_components(several), "regions")
     checked: DataFrame | None = None
     pivots: DataFrame | None = None
 
@@ -354,28 +374,32 @@ def _join(docs: DataFrame, shingle_words: int, per_cent: int, large: int, levels
             return df.withColumn(to, F.col(of))
         return df.join(region.select(F.col("node").alias(of), F.col("component").alias("_c")), of, "left").withColumn(to, F.coalesce("_c", of)).drop("_c")
 
-    for level in range(levels + 1):
-        here = with_region(big, "rx", "cx")
-        if level < levels:
+    def homes() -> DataFrame:
+        """(s, part, _home): the regions of a neighbourhood's pivots."""
+        return to_parts(with_region(pivots, "ry", "cy").select("s", F.col("cy").alias("_home")).distinct())
+
+    def outside(here: DataFrame) -> DataFrame:
+        return here if pivots is None else here.join(homes().withColumnRenamed("_home", "cx"), ["s", "part", "cx"], "left_anti")
+
+    left, level, last = None, 0, False
+    while True:
+        here = with_region(dealt, "rx", "cx")
+        if not last:
             # each neighbourhood's pivot: of the nodes outside the regions of its pivots so far, the one
             # whose shared shingle stands first (edited copies have rare shingles before it)
-            outside = here
-            if pivots is not None:
-                held = with_region(pivots, "ry", "cy").select("s", F.col("cy").alias("cx")).distinct()
-                outside = here.join(held, ["s", "cx"], "left_anti")
-            pick = outside.groupBy("s").agg(F.min(F.struct("px", "nx", "x", "rx")).alias("p")).select("s", F.col("p.px").alias("py"), F.col("p.nx").alias("ny"), F.col("p.x").alias("y"), F.col("p.rx").alias("ry"))
+            pick = outside(here).groupBy("s").agg(F.min(F.struct("px", "nx", "x", "rx")).alias("p")).select("s", F.col("p.px").alias("py"), F.col("p.nx").alias("ny"), F.col("p.x").alias("y"), F.col("p.rx").alias("ry"))
             pick = written(pick, "pivots")
             pivots = pick if pivots is None else pivots.unionByName(pick)
-            stars = with_region(here.join(pick, "s"), "ry", "cy").filter("cx <> cy").filter(windows)
+            stars = with_region(here.join(to_parts(pick), ["s", "part"]), "ry", "cy").filter("cx <> cy").filter(windows)
             # and each node of the open pairs takes its least neighbour
             first = with_region(with_region(open_pairs, "ra", "ca"), "rb", "cb").filter("ca <> cb")
             first = first.groupBy("b", "nb", "rb").agg(F.min(F.struct("ra", "a", "na")).alias("p")).select(F.col("p.a").alias("a"), F.col("p.na").alias("na"), "b", "nb")
         else:
-            # the rest, exactly: open nodes go to every region of the neighbourhood within their windows
+            # the rest, exactly: nodes outside the first pivot's region meet the neighbourhood within their windows
             centre = pivots.groupBy("s").agg(F.min_by("ry", "py").alias("ry"))
-            outside = here.join(with_region(centre, "ry", "cy").select("s", F.col("cy").alias("_home")), "s")
-            near = outside.filter("cx <> _home").select("s", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("rx").alias("ry"), F.col("cx").alias("cy"))
-            stars = here.join(near, "s").filter("cx <> cy").filter(windows)
+            away = here.join(to_parts(with_region(centre, "ry", "cy").select("s", F.col("cy").alias("_home"))), ["s", "part"]).filter("cx <> _home")
+            near = to_parts(away.select("s", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("rx").alias("ry"), F.col("cx").alias("cy")))
+            stars = here.join(near, ["s", "part"]).filter("cx <> cy").filter(windows)
             if checked is not None:
                 far = checked.select(F.col("ra").alias("r1"), F.col("rb").alias("r2"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
                 far = far.unionByName(far.select(F.col("r2").alias("r1"), F.col("r1").alias("r2"), "d"))
@@ -389,14 +413,22 @@ def _join(docs: DataFrame, shingle_words: int, per_cent: int, large: int, levels
         now = written(_sketched(pairs, nodes, per_cent), "asked")
         now = written(_verified(now, docs, shingle_words, broadcast_limit), f"level{level}")
         checked = now if checked is None else checked.unionByName(now)
-        if now.isEmpty():
-            continue
-        edges = now.filter(linked).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        if region is not None:
-            edges = edges.unionByName(region.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        region = written(connected_components(edges), "regions")
-
-    out = rows.select("doc_id", "n", "sig").join(nodes.select("sig", "n", "rep"), ["sig", "n"], "left")
+        if not now.isEmpty():
+            edges = now.filter(linked).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            if region is not None:
+                edges = edges.unionByName(region.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            region = written(connected_components(edges), "regions")
+        if last:
+            break
+        level += 1
+        # pairs of nodes in different regions, which the rest would have to look at
+        counts = with_region(dealt, "rx", "cx").groupBy("s", "cx").agg(F.count("*").cast("double").alias("c"))
+        counts = counts.groupBy("s").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inside"))
+        pairs_left, n_big = counts.agg(F.coalesce(F.sum(F.col("size") * F.col("size") - F.col("inside")), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
+        last = level >= 2 and (level >= levels or pairs_left <= rest * n_big or (left is not None and 2 * pairs_left > left))
+        left = pairs_left
+
+    out = rows.select("doc_id", "n", "sig").join(nodes.select("sig", "n", "rep"), ["sig", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     if region is not None:
         out = out.join(region.select(F.col("node").alias("rep"), "component"), "rep", "left")
     else:
