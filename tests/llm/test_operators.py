@@ -566,6 +566,72 @@ def test_pages_query(spark):
     assert html_text.extract_pages(empty).count() == 0
 
 
+def test_pages_of_other_scripts_and_signs():
+    russian = "Это длинный текст статьи, в котором много слов, и ни одно из них не стоит в списке частых слов. " * 4
+    italian = "Questo testo racconta qualche storia breve senza parole frequenti nostre; ogni frase resta comunque leggibile. " * 3
+    english = "This is the text of the page, and it has a lot of words that are in the list of stop words. " * 3
+    spam = "Cheap watches, cheap bags, cheap shoes, best price, free shipping, order today, limited stock, discount " * 3
+    for body in (russian, italian, f"{english}</p><p>{russian}"):
+        expected = body.replace("</p><p>", "\n\n").replace(" \n", "\n").strip()
+        assert html_text.main_text(f"<body><div><a href=/>home</a> <a href=/x>news</a></div><div><p>{body}</p></div></body>") == expected
+    assert html_text.main_text(f"<div><p>{english}</p><p>{spam}</p></div>") == english.strip()
+    assert html_text.main_text(f"<div class='legal-news'><p>{english}</p></div><div class='share-buttons'>{english}</div><div class='site-footer'>{english}</div>") == english.strip()
+    links = "".join(f"<li><a href=/{k}>story number {k}</a></li>" for k in range(5))
+    assert html_text.main_text(f"<main><p>{english}</p><p><a href=x>a link</a></p><p>{english}</p><ul>{links}</ul></main>") == f"{english.strip()}\n\na link\n\n{english.strip()}"
+
+
+def test_pages_in_time_of_their_length():
+    import time
+
+    for page in ("<div>" * 80_000, "<a '" * 80_000, "<a '" * 80_000 + ">", "<div><b>" * 40_000 + "</b>" * 40_000, "<svg>" * 80_000, "<p><b>" * 40_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 5
+
+
+def page_of_known_text(rnd):
+    """A page put together from an article and what stands around it, and the article's text."""
+    stop, own = "the of and to in is that it was for on are as with his they at be this have from".split(), [f"wo{c}d{d}" for c in "abcdefgh" for d in "xyz"]
+    sentence = lambda n: " ".join(rnd.choice(stop if rnd.random() < 0.5 else own) for _ in range(n)).capitalize() + "."
+    link = lambda: f'<a href="/{rnd.choice(own)}?a=1&b=2">{rnd.choice(own)} {rnd.choice(own)}</a>'
+    expected, body = [], []
+    for _ in range(rnd.choice([2, 5, 12])):
+        kind = rnd.choice(["p", "p", "p", "h2", "ref", "inline", "br"])
+        text = sentence(rnd.choice([40, 60, 90]))
+        if kind == "ref":
+            body.append(f"<p>{text} &amp; &lt;b&gt; &#233;</p>")
+            text += " & <b> é"
+        elif kind == "inline":
+            body.append(f"<p>{text}\n <b>{own[0]}</b>\t<i>{own[1]}</i><!-- no --></p>")
+            text += f" {own[0]} {own[1]}"
+        elif kind == "br":
+            body.append(f"<p>{text}<br>{own[2]}")
+            text += f" {own[2]}"
+        elif kind == "h2":
+            expected.append(own[3])
+            body.append(f"<h2>{own[3]}</h2><p>{text}</p>")
+        else:
+            body.append(f"<p>{text}</p>")
+        expected.append(text)
+    around = [f"<nav><ul>{''.join(f'<li>{link()}</li>' for _ in range(6))}</ul></nav>", f"<div class='sidebar'><p>{sentence(50)}</p></div>", f"<form><p>{sentence(30)}</p><input></form>", f"<script>var a = '<p>{own[0]}</p>';</script>", f"<div id=cookie-notice>{sentence(40)}</div>", f"<aside>{sentence(60)}</aside>", f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(4))}</ul>", f"<section class='comments'><p>{sentence(60)}</p></section>", f"<div class='ad'>{sentence(30)}</div>"]
+    wrap = rnd.choice(["<article>{}</article>", "<div class='entry-content'>{}</div>", "<main>{}</main>", "<div><div>{}</div></div>"])
+    before, after = rnd.sample(around, rnd.randrange(5)), rnd.sample(around, rnd.randrange(5))
+    return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><header><h1>Site</h1></header>{''.join(before)}{wrap.format(''.join(body))}{''.join(after)}<footer>f</footer></body></html>", "\n\n".join(expected)
+
+
+def test_pages_against_known_texts(spark):
+    """The operator on pages whose main text is known from how they were made, with odd rows among them."""
+    rnd = random.Random(31)
+    made = [page_of_known_text(rnd) for _ in range(300)]
+    rows = [(k, f"u{k}", page) for k, (page, _) in enumerate(made)] + [(None, None, made[0][0]), (0, "u0", made[0][0]), (900, "x", None), (901, "x", "")]
+    long = "<article>" + "<p>It is the same text of the page as before.</p>" * 20_000 + "</article>"
+    pages = spark.createDataFrame([*rows, (902, "long", long)], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(-1))
+    got = html_text.extract_pages(pages).collect()
+    want = Counter((i, u, made[i or 0][1]) for i, u, page in rows if page) + Counter({(900, "x", ""): 1, (901, "x", ""): 1})
+    want[902, "long", "\n\n".join(["It is the same text of the page as before."] * 20_000)] += 1
+    assert Counter((r["page_id"], r["url"], r["text"]) for r in got) == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op10_quality_classifier(spark, sf)

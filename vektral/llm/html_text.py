@@ -4,34 +4,42 @@ The page is cut into tags and text; block tags begin and end blocks.  What stand
 styles, forms, menus, headers, footers, sidebars, notices, adverts or reader comments -- by tag, role
 or a word of the class or id -- is never main text.  In pass one each other block is decided from its
 length, the share of its characters in links and its share of stop words: long running text is good,
-link lists and long texts without stop words are bad, short ones stay open.  In pass two an open block
+link lists and long texts without stop words are bad, short ones stay open; stop words are asked of
+Latin script only, and only on pages of which a long block has them, else length and links decide.  In pass two an open block
 takes the label of its nearest decided neighbour, good on a tie.  The page's own mark of its article
 (article, main, or such a role or class) is evidence: it decides marked blocks that pass one would leave
 open and overrules a bad verdict on their words, so that of the rules only the one on links is tested on
-them.  Marked blocks that are mostly links stay open.  On a page with a mark, open blocks look at
+them.  Marked blocks that are mostly links stay open, three or more that are nothing else are bad.  On a page with a mark, open blocks look at
 neighbours on their own side of it; without any, a marked block is good unless pass one finds main text
 outside the mark, an unmarked one is bad.
 
 Defined results: null, empty and tag-only pages give an empty text; unclosed, stray and wrongly nested
 tags are mended by closing what is open; character references are decoded once; white space inside a
-block becomes one space; blocks are joined by two line feeds.  Rows aren't combined, so repeated rows
-and null urls pass through.
+block becomes one space; blocks are joined by two line feeds.  Time grows in proportion to the page,
+however its tags are nested.  Rows aren't combined, so repeated rows, null ids and null urls pass through,
+and other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+# a quote that isn't closed within some thousand characters is an ordinary character
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,5000}+\"|'[^']{0,5000}+'|[\"'])*+)>|[^<]+|<", re.S)
+#: The same where no tag ends any more: its groups never match.
+REST = re.compile(r"(?:(?!)(.)(.))?(?:<!--.*\Z|[^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
+#: The first letter says the script.
+LATIN = re.compile(r"[\W\d_]*[a-zA-Z\u00c0-\u024f]")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noembed", "math"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -39,11 +47,15 @@ BLOCK = set("address article aside blockquote body button caption center dd deta
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 EXCLUDED = set("nav header footer aside form head script style noscript button select menu dialog iframe template object figcaption textarea fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar note".split())
-#: Words of class and id names.
-SIGNS = set("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb
-breadcrumbs header footer masthead sidebar aside widget related recommended comment comments respond replies reply disqus cookie cookies consent gdpr notice
-notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social toolbar pagination pager form search copyright
-legal disclaimer rail teaser outbrain taboola skip""".split())
+#: Words of class and id names that say so wherever they stand.
+STRONG_SIGNS = set("""ads advert adverts advertisement advertising sponsored promo promoted nav navbar navigation breadcrumb breadcrumbs footer masthead
+sidebar comments replies disqus cookie cookies consent gdpr popup modal newsletter pagination outbrain taboola""".split())
+#: Words that say so only beside each other and beside words of STRUCTURE.
+SIGNS = set("""ad banner sponsor promotion menu header aside widget related recommended comment respond reply notice notices alert overlay subscribe
+subscription signup login share sharing social toolbar pager form search copyright legal disclaimer rail teaser skip""".split())
+STRUCTURE = set("""area bar block body bottom box button buttons card center column container content cta fixed global google group holder icon icons inline inner
+item items left link links list main mobile module outer page panel popular post posts primary right section side site slot small sticky stories
+text thread title top unit widget widgets wrap wrapper""".split())
 ARTICLE_SIGNS = {"article-body", "entry-content", "post-content", "article-content", "articlebody", "story-body"}
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = set("""a an and are as at be by for from has he in is it its not of on or she that the their they this to was were which will with you
@@ -75,16 +87,30 @@ def _excluded(tag: str, attributes: str) -> tuple[bool, bool]:
                     good = True
                 elif tag not in ("article", "main"):
                     # has-sidebar and the like say what stands inside, not what the element is
-                    bad = bad or any(w in SIGNS for part in names if not re.match("(has|with|without|no|is)[-_]", part) for w in re.split(r"[-_]+|(?<=[a-z])\d+", part))
+                    bad = bad or any(_says(part) for part in names if not re.match("(has|with|without|no|is)[-_]", part))
     return bad, good
 
 
+def _says(name: str) -> bool:
+    """Whether a class or id names something that isn't main text: site-footer and share-buttons do, legal-news doesn't."""
+    words = [w for w in re.split(r"[-_]+|(?<=[a-z])\d+", name) if w]
+    return any(w in STRONG_SIGNS for w in words) or (any(w in SIGNS for w in words) and all(w in SIGNS or w in STRUCTURE for w in words))
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that aren't excluded, in page order."""
     out: list[Block] = []
     open_tags: list[tuple[str, bool, bool]] = []  # tag, excluded, article: each with what stands around it
     text: list[str] = []
     linked = links = 0
+    times: Counter[str] = Counter()  # of open tags
+    unclosed: set[str] = set()
+    last = page.rfind(">")  # no tag ends after it
+
+    def close(at: int, upto: int | None = None) -> None:
+        for t, _, _ in open_tags[at:upto]:
+            times[t] -= 1
+        del open_tags[at:upto]
 
     def end() -> None:
         nonlocal linked
@@ -97,7 +123,7 @@ def blocks(page: str) -> list[Block]:
 
     pos, n = 0, len(page)
     while pos < n:
-        m = TOKEN.match(page, pos)
+        m = TOKEN.match(page, pos) if pos <= last else REST.match(page, pos)
         pos = m.end()
         tag = m[2]
         if tag is None:
@@ -112,31 +138,33 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            at = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag), None)
+            at = next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag) if times[tag] else None
             if at is not None:
                 if any(t in BLOCK for t, _, _ in open_tags[at:]):
                     end()
                 # an inline end tag doesn't close the blocks around it
                 if tag in BLOCK or not any(t in BLOCK for t, _, _ in open_tags[at + 1 :]):
-                    del open_tags[at:]
+                    close(at)
                 else:
-                    del open_tags[at]
+                    close(at, at + 1)
             elif tag in BLOCK:
                 end()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            if close or tag in ("script", "style"):
-                pos = close.end() if close else n
+            ends = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            if ends or tag in ("script", "style"):
+                pos = ends.end() if ends else n
+            else:
+                unclosed.add(tag)
             continue
         if tag in BLOCK:
             end()
             while open_tags and tag in CLOSES.get(open_tags[-1][0], ()):
-                open_tags.pop()
-            if tag in BLOCK and any(t == "p" for t, _, _ in open_tags):
+                close(len(open_tags) - 1)
+            if times["p"]:
                 at = max(k for k, (t, _, _) in enumerate(open_tags) if t == "p")
                 if not any(t in BLOCK for t, _, _ in open_tags[at + 1 :]):
-                    del open_tags[at:]  # a paragraph holds no block, whatever inline tags are left open
+                    close(at)  # a paragraph holds no block, whatever inline tags are left open
         if tag == "br":
             text.append(" ")
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
@@ -146,26 +174,44 @@ def blocks(page: str) -> list[Block]:
             _, around_bad, around_good = open_tags[-1] if open_tags else ("", False, False)
             if bad and not around_bad and tag not in BLOCK:
                 end()
-            open_tags.append((tag, around_bad or bad, around_good or good))
+            if tag in BLOCK or bad or good:  # others change nothing
+                open_tags.append((tag, around_bad or bad, around_good or good))
+                times[tag] += 1
     end()
     return out
 
 
-def labels(found: list[Block], short: int = 70, long: int = 200, max_links: float = 0.33, stop_low: float = 0.1, stop_high: float = 0.2) -> list[bool]:
+def labels(found: list[Block], short: int = 70, long: int = 200, max_links: float = 0.33, list_links: float = 0.8, stop_low: float = 0.1, stop_high: float = 0.2) -> list[bool]:
     """Pass one and two: which blocks are main text."""
-    decided: list[bool | None] = []
+    share = []
+    asked = any(not b.article and len(b.text) >= short for b in found)
     for b in found:
-        density = b.linked / max(1, len(b.text))
+        words = [w.lower() for w in WORD.findall(b.text)] if asked and len(b.text) >= short else []
+        share.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
+    dense = [b.linked / max(1, len(b.text)) for b in found]
+    # stop words say something where the page is in one of their languages, and of blocks in its script
+    covered = any(s >= stop_low for b, s, d in zip(found, share, dense) if len(b.text) >= long and d <= max_links)
+    covered = covered or not any(len(b.text) >= long and d <= max_links for b, d in zip(found, dense))
+    decided: list[bool | None] = []
+    for k, b in enumerate(found):
         good: bool | None = None
-        if density > max_links:
-            decided.append(None if b.article else False)
+        if dense[k] > max_links:
+            # a marked block may be a sentence around a link, but not one of a list of links
+            run = k
+            while run > 0 and k - run < 3 and dense[run - 1] > list_links and found[run - 1].article:
+                run -= 1
+            upto = k
+            while upto + 1 < len(found) and upto - k < 3 and dense[upto + 1] > list_links and found[upto + 1].article:
+                upto += 1
+            listed = dense[k] > list_links and upto - run >= 2
+            decided.append(None if b.article and not listed else False)
             continue
         if not b.article and len(b.text) >= short:
-            words = [w.lower() for w in WORD.findall(b.text)]
-            share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if share >= stop_high:
-                good = True if len(b.text) >= long or density == 0 else None
-            elif share >= stop_low:
+            if not (covered and LATIN.match(b.text)):
+                good = True if len(b.text) >= long else None
+            elif share[k] >= stop_high:
+                good = True if len(b.text) >= long or dense[k] == 0 else None
+            elif share[k] >= stop_low:
                 good = True if len(b.text) >= long else None
             else:
                 good = False if len(b.text) >= long else None
