@@ -4,6 +4,7 @@ defined results for nulls, empty and long texts, ties, repeated rows, empty tabl
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -644,13 +645,73 @@ def test_quality_on_held_out_documents(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
 
 
+def score_by_hand(m, text):
+    """One document's score, passage by passage in plain loops."""
+    words = re.findall("[^\\x20\\x09-\\x0D]+", text or "")
+    parts = quality_mil.passages([text], 60)
+    assert len(parts.x) == max(1, -(-len(words) // 60)) and parts.count.tolist() == ([len(words[k : k + 60]) for k in range(0, len(words), 60)] or [0])
+    hidden, energy, at = [], [], 0
+    for x, n in zip(parts.x, parts.count.tolist()):
+        mean = sum((m.e[w].astype(float) for w in parts.words[at : at + n]), np.zeros(quality_mil.SIZE)) / max(1, n)
+        at += n
+        h = np.tanh(np.clip((x - m.mean) / m.scale, -8, 8) @ m.w + mean @ m.p + m.b)
+        hidden.append(h)
+        energy.append(sum(m.a[j] * np.tanh(h @ m.v[:, j]) / (1 + np.exp(-(h @ m.u[:, j]))) for j in range(len(m.a))))
+    weight = [np.exp(e - max(energy)) for e in energy]
+    z = sum(w * h for w, h in zip(weight, hidden)) / sum(weight)
+    return 1 / (1 + np.exp(-(z @ m.c + m.d[0])))
+
+
+def test_quality_query_by_hand(spark):
+    """The query's rows against the model's formula in plain loops, odd texts among them."""
+    docs, labels = queries.table(spark, SMALL, "documents"), queries.table(spark, SMALL, "labels")
+    model = quality_mil.train(docs, labels)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = queries.op10_quality_classifier(spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    for r in got:
+        assert abs(r["score"] - score_by_hand(model, text[r["doc_id"]])) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3)
+    odd = ["", None, " \n\t", "x", "é 日本 🙂", "w " * 59, "w " * 61, "long word " * 40_000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)] + [(3, "x")], "doc_id long, text string")
+    for r in quality_mil.score_documents(rows, model).collect():
+        assert abs(r["score"] - score_by_hand(model, odd[r["doc_id"]])) < 1e-5
+
+
+def test_quality_learns_words():
+    """Documents that differ in a few words of one passage only, alike in all that is counted."""
+    rnd = random.Random(17)
+    letters = "abcdefghij"
+    plain, good, bad = (["".join(rnd.choice(letters) for _ in range(6)) for _ in range(n)] for n in (300, 12, 12))
+    texts, y = [], []
+    for k in range(900):
+        w = [rnd.choice(plain) for _ in range(rnd.choice([120, 240]))]
+        at = rnd.randrange(len(w) - 12)
+        w[at : at + 12] = [rnd.choice(good if k % 2 else bad) for _ in range(12)]
+        texts.append(" ".join(w))
+        y.append(float(k % 2))
+    bags = [p for t in texts for p in quality_mil.passages([t], 60).texts()]
+    model = quality_mil.fit(bags[:700], np.array(y[:700]))
+    score = model.scores(quality_mil.together(bags[700:]))
+    assert np.mean((score > 0.5) == (np.array(y[700:]) > 0.5)) > 0.9
+
+
+def test_quality_bounds_and_repeats(spark):
+    long = quality_mil.passages(["a b c " * 10_000], 60)
+    assert len(long.x) == 500 and len(long.spaced(64).x) == 64 == len(long.spaced(64).count) and len(long.spaced(64).words) == long.spaced(64).count.sum()
+    rows = [(k, f"text number {k} of many") for k in range(60)] + [(5, "another text of five"), (5, "a third")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    one = quality_mil.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    two = quality_mil.train(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3), labels)
+    assert np.allclose(one.w, two.w) and np.allclose(one.e, two.e)
+
+
 def test_quality_edges(spark, docs, nothing):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = quality_mil.train(docs, labels)
     got = quality_mil.score_documents(clashing(docs), model).collect()
     assert len(got) == len(texts()) and all(0 <= r["score"] <= 1 for r in got)
     assert quality_mil.score_documents(nothing, model).count() == 0
-    assert quality_mil.train(nothing, labels).scores(*quality_mil.passages(["a", "", None], 60)).shape == (3,)
+    assert quality_mil.train(nothing, labels).scores(quality_mil.passages(["a", "", None], 60)).shape == (3,)
     two = quality_mil.score_documents(spark.createDataFrame([(None, "same"), (1, "same")], "doc_id long, text string"), model).collect()
     assert two[0]["score"] == two[1]["score"]
 

@@ -1,18 +1,22 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of passage_words words.  Every passage of the whole text is encoded
-(shares of character classes, word shapes, how much of it repeats in its document) and goes through a
-hidden layer; gated attention, learned from the documents' labels alone, weighs the passages, and the
-weighted sum of their representations is scored by a logistic unit.
+A document is a bag of passages of passage_words words.  Every passage of the whole text is encoded: its
+words' embeddings, in VOCABULARY buckets of hashed words, are averaged, and counted features (shares of
+character classes, word shapes, how much of it repeats in its document) stand beside them in a hidden
+layer.  Gated attention weighs the passages, and the weighted sum of their representations is scored by a
+logistic unit.  Embeddings, hidden layer, attention and unit are learned together, from the documents'
+labels alone.
 
-The model is fitted in numpy on the driver from the features of at most max_train labelled documents
-(those with the least hash of their id), which bounds its memory; scoring is one pass without a
-shuffle.
+The model is fitted in numpy on the driver, batch by batch, from at most max_train labelled documents
+(those with the least hash of their id and of their text) and of each at most max_passages passages, evenly
+spaced: a few hundred bytes a passage, so some 100 MB at most.  Scoring reads all passages of every text, in
+one pass without a shuffle, a bounded number of them at a time.
 
 Defined results: null, empty and blank texts are one passage without words and get a score like any
 other; the score depends on the text alone, so copies score alike; rows that repeat a doc_id are
-scored each; a null doc_id is never held out and never learned from; if several label rows share an
-id the largest label counts; without labels of both classes every score is the share of label 1
+scored each, and of different texts of a labelled doc_id the one with the least hash is learned from; a
+null doc_id is never held out and never learned from; if several label rows share an id the largest label
+counts; texts of any length are scored whole; without labels of both classes every score is the share of label 1
 (0.5 without labels).
 """
 
@@ -27,7 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunks import groups
 from .common import release
+from .words import mixed
 
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASS = np.zeros(256, np.int64)  # 0 other control, 1 space, 2 line feed, 3 lower, 4 upper, 5 digit, 6 high, 7.. punctuation
@@ -39,10 +45,45 @@ _N_CLASS = 7 + len(_PUNCT)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MULT = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 N_FEATURES = _N_CLASS + 10
+#: buckets of hashed words, and the size of an embedding
+VOCABULARY, SIZE = 1 << 14, 16
 
 
-def passages(texts: list[str | None], passage_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of the texts (rows) and the first row of each text."""
+@dataclass
+class Passages:
+    """Passages of many texts end to end: features (rows), the first row of each text, the words' buckets and
+    the number of words of each passage."""
+
+    x: np.ndarray
+    first: np.ndarray
+    words: np.ndarray
+    count: np.ndarray
+
+    def of(self) -> np.ndarray:
+        """The passage of each word."""
+        return np.repeat(np.arange(len(self.count)), self.count)
+
+    def texts(self) -> Iterator[Passages]:
+        """Each text by itself."""
+        ends, at = np.append(self.first[1:], len(self.x)), np.concatenate(([0], np.cumsum(self.count)))
+        for lo, hi in zip(self.first, ends):
+            yield Passages(self.x[lo:hi], np.zeros(1, np.int64), self.words[at[lo] : at[hi]], self.count[lo:hi])
+
+    def spaced(self, most: int) -> Passages:
+        """At most so many passages of one text, evenly spaced."""
+        if len(self.x) <= most:
+            return self
+        keep = np.linspace(0, len(self.x) - 1, most).astype(int)
+        return Passages(self.x[keep], self.first, self.words[np.isin(self.of(), keep)], self.count[keep])
+
+
+def together(parts: list[Passages]) -> Passages:
+    first = np.concatenate(([0], np.cumsum([len(p.x) for p in parts])[:-1])).astype(np.int64)
+    return Passages(np.concatenate([p.x for p in parts]), first, np.concatenate([p.words for p in parts]), np.concatenate([p.count for p in parts]))
+
+
+def passages(texts: list[str | None], passage_words: int) -> Passages:
+    """All passages of the texts."""
     raw = [(t or "").encode() for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     begin = np.zeros(len(raw), np.int64)
@@ -86,13 +127,25 @@ def passages(texts: list[str | None], passage_words: int) -> tuple[np.ndarray, n
     else:
         more = [np.zeros(total)] * 8
     whole = np.repeat(n_words, n_pass)
-    return np.column_stack([chars, *more, count / passage_words, np.log1p(whole) / 10]), first
+    words = (mixed(hashed) % np.uint64(VOCABULARY)).astype(np.uint16) if len(starts) else np.zeros(0, np.uint16)
+    return Passages(np.column_stack([chars, *more, count / passage_words, np.log1p(whole) / 10]).astype(np.float32), first, words, count)
+
+
+def _sums(rows: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows, so many for each; none gives zeros."""
+    out = np.zeros((len(count), rows.shape[1]), rows.dtype)
+    some = np.flatnonzero(count)
+    if len(some):
+        out[some] = np.add.reduceat(rows, (np.cumsum(count) - count)[some], axis=0)
+    return out
 
 
 @dataclass
 class Model:
     mean: np.ndarray
     scale: np.ndarray
+    e: np.ndarray  # buckets x embedding
+    p: np.ndarray  # embedding x hidden
     w: np.ndarray  # features x hidden
     b: np.ndarray
     v: np.ndarray  # hidden x attention, tanh
@@ -101,60 +154,76 @@ class Model:
     c: np.ndarray  # hidden, the logistic unit
     d: np.ndarray
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple:
-        """Scores of the bags of rows of x that begin at first, and what their gradients need."""
-        h = np.tanh(x @ self.w + self.b)
+    def encode(self, bags: Passages, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The passages' scaled features, mean embeddings and hidden representations; of long texts some words
+        at a time."""
+        x = np.clip((bags.x - self.mean) / self.scale, -8, 8)
+        ends, means, lo = np.cumsum(bags.count), [], 0
+        while lo < len(bags.count):
+            begin = ends[lo] - bags.count[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, begin + step, "right")))
+            means.append(_sums(self.e[bags.words[begin : ends[hi - 1]]], bags.count[lo:hi]))
+            lo = hi
+        m = np.concatenate(means) / np.maximum(1, bags.count)[:, None]
+        return x, m, np.tanh(x @ self.w + m @ self.p + self.b)
+
+    def forward(self, bags: Passages) -> tuple:
+        """Scores of the bags, and what their gradients need."""
+        x, m, h = self.encode(bags)
+        first = bags.first
         t, g = np.tanh(h @ self.v), 1 / (1 + np.exp(-(h @ self.u)))
         e = (t * g) @ self.a
         bag = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
         e = np.exp(e - np.maximum.reduceat(e, first)[bag])
         weight = e / np.add.reduceat(e, first)[bag]
         z = np.add.reduceat(weight[:, None] * h, first)
-        return 1 / (1 + np.exp(-(z @ self.c + self.d[0]))), h, t, g, weight, z, bag
+        return 1 / (1 + np.exp(-(z @ self.c + self.d[0]))), x, m, h, t, g, weight, z, bag
 
-    def scores(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.forward(np.clip((x - self.mean) / self.scale, -8, 8), first)[0]
+    def scores(self, bags: Passages) -> np.ndarray:
+        return np.round(self.forward(bags)[0], 9)
 
 
-def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int = 32, attention: int = 16, epochs: int = 15, batch: int = 128, rate: float = 0.004, decay: float = 1e-4, seed: int = 11) -> Model:
-    """Adam on the log loss of the bags' labels."""
+def fit(bags: list[Passages], y: np.ndarray, hidden: int = 32, attention: int = 16, epochs: int = 10, batch: int = 128, rate: float = 0.004, decay: float = 1e-4, word_decay: float = 0.01, seed: int = 11) -> Model:
+    """Adam on the log loss of the bags' labels; of the embeddings only those of a batch's words move, and
+    they decay faster, since most words are met in a few documents."""
     rng = np.random.default_rng(seed)
-    f = x.shape[1]
     init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-    m = Model(x.mean(0), x.std(0) + 1e-3, init(f, hidden), np.zeros(hidden), init(hidden, attention), init(hidden, attention), init(attention), init(hidden), np.array([np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))]))
+    x = np.concatenate([b.x for b in bags]) if bags else np.zeros((1, N_FEATURES))
+    share = float(y.mean()) if len(y) else 0.5
+    m = Model(x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-3, rng.normal(0, 0.01, (VOCABULARY, SIZE)), init(SIZE, hidden), init(N_FEATURES, hidden), np.zeros(hidden), init(hidden, attention), init(hidden, attention), init(attention), init(hidden), np.array([np.log((share + 1e-6) / (1 - share + 1e-6))]))
     if not len(y) or y.min() == y.max():
         m.c[:] = 0
         return m
-    x = np.clip((x - m.mean) / m.scale, -8, 8)
-    last = np.append(first[1:], len(x))
-    names = ["w", "b", "v", "u", "a", "c", "d"]
+    names = ["e", "p", "w", "b", "v", "u", "a", "c", "d"]
     state = {k: [np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))] for k in names}
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             pick = order[at : at + batch]
-            rows = np.concatenate([np.arange(first[k], last[k]) for k in pick])
-            sizes = last[pick] - first[pick]
-            begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            xb = x[rows]
-            p, h, t, g, weight, z, bag = m.forward(xb, begin)
-            dl = (p - y[pick]) / len(pick)
+            part = together([bags[k] for k in pick])
+            score, xb, mean, h, t, g, weight, z, bag = m.forward(part)
+            dl = (score - y[pick]) / len(pick)
             dz = dl[:, None] * m.c
             dh = weight[:, None] * dz[bag]
             dw = (h * dz[bag]).sum(1)
-            de = weight * (dw - np.add.reduceat(weight * dw, begin)[bag])
+            de = weight * (dw - np.add.reduceat(weight * dw, part.first)[bag])
             dt, dg = de[:, None] * m.a * g * (1 - t * t), de[:, None] * m.a * t * g * (1 - g)
             dh = (dh + dt @ m.v.T + dg @ m.u.T) * (1 - h * h)
-            grads = {"w": xb.T @ dh, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ dl, "d": np.array([dl.sum()])}
+            to_words = (dh @ m.p.T) / np.maximum(1, part.count)[:, None]
+            turn = np.argsort(part.words, kind="stable")
+            used, times = np.unique(part.words, return_counts=True)
+            grads = {"e": _sums(to_words[part.of()[turn]], times), "p": mean.T @ dh, "w": xb.T @ dh, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ dl, "d": np.array([dl.sum()])}
             step += 1
             lr = rate * min(1, 2 * (1 - epoch / epochs))
             for k in names:
+                rows = used if k == "e" else slice(None)
                 value, (m1, m2) = getattr(m, k), state[k]
-                grad = grads[k] + (decay * value if k not in ("b", "d") else 0)
-                m1 += 0.1 * (grad - m1)
-                m2 += 0.001 * (grad * grad - m2)
-                value -= lr * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+                grad = grads[k] + ((word_decay if k == "e" else decay) * value[rows] if k not in ("b", "d") else 0)
+                m1[rows] += 0.1 * (grad - m1[rows])
+                m2[rows] += 0.001 * (grad * grad - m2[rows])
+                value[rows] -= lr * (m1[rows] / (1 - 0.9**step)) / (np.sqrt(m2[rows] / (1 - 0.999**step)) + 1e-8)
+    m.e = m.e.astype(np.float32)
     return m
 
 
@@ -162,26 +231,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 5000, passage_words: int = 60, **kw) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 5000, max_passages: int = 64, passage_words: int = 60, **kw) -> Model:
     """Fits the model on the features of labelled rows that aren't held out."""
     marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_y"))
     # the bound holds before the texts are touched: least hashes first
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(marks), "doc_id")
+    # of a doc_id's texts the one with the least hash; what is compared is short, the text goes along
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "_y"), F.xxhash64("text")).alias("r")).select("doc_id", "r.text", "r._y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            x, first = passages(batch.column(1).to_pylist(), passage_words)
-            parts = np.split(x.astype(np.float32), first[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "y", "x"])
+            parts = [p.spaced(max_passages) for value in batch.column(1) for p in passages([value.as_py()], passage_words).texts()]
+            columns = [[p.x.tobytes() for p in parts], [p.words.tobytes() for p in parts], [p.count.astype(np.int32).tobytes() for p in parts]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "y", "x", "words", "count"])
 
-    got = sorted(rows.select("doc_id", "text", F.col("_y").cast("int")).mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: r[0])
-    bags = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in got]
-    x = np.concatenate(bags).astype(float) if bags else np.zeros((1, N_FEATURES))
-    y = np.array([float(r[1]) for r in got]) if bags else np.array([0.5])
-    first = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1])).astype(np.int64) if bags else np.zeros(1, np.int64)
-    return fit(x, first, y, **kw)
+    got = rows.select("doc_id", "text", F.col("_y").cast("int")).mapInArrow(run, "doc_id long, y int, x binary, words binary, count binary").collect()
+    got.sort(key=lambda r: r[0])
+    bags = [Passages(np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES), np.zeros(1, np.int64), np.frombuffer(r[3], np.uint16), np.frombuffer(r[4], np.int32).astype(np.int64)) for r in got]
+    return fit(bags, np.array([float(r[1]) for r in got]), **kw)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, passage_words: int = 60, keep_columns: bool = False) -> DataFrame:
@@ -194,9 +263,9 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, passa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                score = pa.array(model.scores(*passages(part.column(at).to_pylist(), passage_words)), pa.float64())
+            for k, texts in groups(batch.column(at)):
+                part = batch.slice(k, len(texts))
+                score = pa.array(model.scores(passages(texts, passage_words)), pa.float64())
                 if keep_columns:
                     yield pa.RecordBatch.from_arrays([*part.columns, score], names=[*part.schema.names, "score"])
                 else:
