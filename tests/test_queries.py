@@ -1,5 +1,7 @@
 """Every registered query against its SQL; learners against plain numpy."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -20,14 +22,18 @@ def test_gives_rows(name, spark):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
-def test_whole_queries_see_every_row(spark):
+def test_queries_see_every_row(spark):
     s = T.samples(spark, SMALL)
     ids = {r["sample_id"] for r in s.select("sample_id").collect()}
-    for name, column in {"neighbour_graph": "src", "heat_affinity": "src", "supervised_affinity": "src", "connected_parts": "node", "distance_metrics": "a_id", "kernels": "a_id"}.items():
-        assert {r[0] for r in QUERIES[f"{name}_whole"](spark, SMALL).select(column).collect()} == ids, name
-    seeds = {i for i in ids if i % 50 == 0}
-    assert seeds <= {r["node"] for r in QUERIES["hops_whole"](spark, SMALL).filter("hops = 0").collect()}
-    assert QUERIES["varying_features_whole"](spark, SMALL).count() == 64
+    for name, column in {"neighbour_graph": "src", "heat_affinity": "src", "supervised_affinity": "sample_id", "connected_parts": "node", "distance_metrics": "a_id", "kernels": "a_id", "class_features_normalized": "sample_id"}.items():
+        assert {r[0] for r in QUERIES[name](spark, SMALL).select(column).collect()} == ids, name
+    first = {r["sample_id"] for r in s.filter("col_idx = 1").collect()}
+    assert first == {r["node"] for r in QUERIES["hops"](spark, SMALL).filter("hops = 0").collect()}
+    assert QUERIES["varying_features"](spark, SMALL).count() == 64
+    # gallery and probes are the whole table
+    n = dict(s.groupBy("cls").count().collect())
+    probes = {c: sum(3 * k > 2 * m for k in range(1, m + 1)) for c, m in n.items()}
+    assert Counter(r["cls"] for r in QUERIES["recognition"](spark, SMALL).collect()) == probes
 
 
 @pytest.mark.parametrize("name", ["kernel_pca", "classical_scaling", "kernel_discriminants", "t_stochastic_neighbours", "symmetric_stochastic_neighbours"])

@@ -73,7 +73,7 @@ def affinity(edges: DataFrame, kind: str, t: float = 1.0) -> DataFrame:
 
 
 def supervised_affinity(ds: DataFrame) -> DataFrame:
-    """(src, dst, w): samples of one class are tied with 1 / n_c (no self edges)."""
+    """(sample_id, cls, w): samples of one class are tied with w = 1 / n_c.  The ties are given by their
+    factors, a row for each sample, since the weights of a class are all the same; no pairs are made."""
     n = ds.groupBy("cls").agg(F.count("*").alias("n"))
-    a, b = ds.select("cls", F.col("sample_id").alias("src")), ds.select("cls", F.col("sample_id").alias("dst"))
-    return a.join(b, "cls").filter("src <> dst").join(n, "cls").select("src", "dst", (1 / F.col("n")).alias("w"))
+    return ds.join(n, "cls").select("sample_id", "cls", (1 / F.col("n")).alias("w"))

@@ -162,9 +162,9 @@ def mini_batches(spark, d):
 # -- projections of vectors
 
 
-@query(" SELECT sample_id, [round(x / greatest(sqrt(list_dot_product(feat, feat)), 1e-14), 6) FOR x IN feat] AS feat FROM samples WHERE cls = 2")
+@query(" SELECT sample_id, [round(x / greatest(sqrt(list_dot_product(feat, feat)), 1e-14), 6) FOR x IN feat] AS feat FROM samples")
 def class_features_normalized(spark, d):
-    s = samples(spark, d).filter("cls = 2")
+    s = samples(spark, d)
     return flat(s.select("sample_id", V.l2_normalized(F.col("feat")).alias("feat")))
 
 
@@ -193,10 +193,9 @@ def covariance(spark, d):
     return c.select("i", "j", (F.round("cov", 6) + 0.0).alias("cov"))
 
 
-@query(f", {LONG}, k AS (SELECT pos FROM long WHERE pos < 40 GROUP BY pos HAVING min(x) <> max(x)) SELECT CAST(pos AS INTEGER) AS pos FROM k")
+@query(f", {LONG} SELECT CAST(pos AS INTEGER) AS pos FROM long GROUP BY pos HAVING min(x) <> max(x)")
 def varying_features(spark, d):
-    s = samples(spark, d).withColumn("feat", F.slice("feat", 1, 40))
-    return S.feature_statistics(s).filter("lo <> hi").select("pos")
+    return S.feature_statistics(samples(spark, d)).filter("lo <> hi").select("pos")
 
 
 @query(" SELECT s.sample_id, [round(b.feat[i] - s.feat[i], 6) FOR i IN range(1, 65)] AS feat FROM samples s JOIN samples b ON b.cls = s.cls AND b.col_idx = 1")
@@ -226,48 +225,57 @@ def scaled_to_range(spark, d):
 
 # -- distances, kernels, recognition
 
-_RECOGNIZED = """, g AS (SELECT * FROM samples WHERE col_idx <= 8), p AS (SELECT * FROM samples WHERE col_idx BETWEEN 9 AND 12),
+
+def _split(spark, d):
+    """Two thirds of each class as gallery, the rest as probes."""
+    s = samples(spark, d)
+    sizes = s.groupBy("cls").agg(F.count("*").alias("_n"))
+    part = lambda rule: s.join(sizes, "cls").filter(rule).select(*s.columns)
+    return part("3 * col_idx <= 2 * _n"), part("3 * col_idx > 2 * _n")
+
+
+_RECOGNIZED = """, sizes AS (SELECT cls, count(*) AS n FROM samples GROUP BY cls), g AS (SELECT s.* FROM samples s JOIN sizes USING (cls) WHERE 3 * col_idx <= 2 * n), p AS (SELECT s.* FROM samples s JOIN sizes USING (cls) WHERE 3 * col_idx > 2 * n),
  d AS (SELECT p.sample_id, p.cls, g.cls AS predicted, g.sample_id AS gid, list_sum([(p.feat[i] - g.feat[i]) * (p.feat[i] - g.feat[i]) FOR i IN range(1, 65)]) AS d2 FROM p, g),
  r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d2, gid) AS k FROM d)"""
 
 
 @query(_RECOGNIZED + " SELECT sample_id, cls, predicted, round(d2, 6) AS d2 FROM r WHERE k = 1")
 def recognition(spark, d):
-    s = samples(spark, d)
-    return rounded(N.recognize(s.filter("col_idx between 9 and 12"), s.filter("col_idx <= 8")), "d2")
+    gallery, probes = _split(spark, d)
+    return rounded(N.recognize(probes, gallery), "d2")
 
 
 @query(_RECOGNIZED + " SELECT count(*) AS n, round(100 * avg(CAST(predicted = cls AS INTEGER)), 6) AS accuracy FROM r WHERE k = 1")
 def recognition_accuracy(spark, d):
-    s = samples(spark, d)
-    r = N.recognize(s.filter("col_idx between 9 and 12"), s.filter("col_idx <= 8"))
+    gallery, probes = _split(spark, d)
+    r = N.recognize(probes, gallery)
     return r.agg(F.count("*").alias("n"), F.round(100 * F.avg((F.col("predicted") == F.col("cls")).cast("int")), 6).alias("accuracy"))
 
 
-_KNN = """, s AS (SELECT sample_id, feat FROM samples WHERE cls <= 4), d AS (SELECT a.sample_id AS src, b.sample_id AS dst, list_sum([(a.feat[i] - b.feat[i]) * (a.feat[i] - b.feat[i]) FOR i IN range(1, 65)]) AS d2 FROM s a JOIN s b ON a.sample_id <> b.sample_id),
+_KNN = """, s AS (SELECT sample_id, feat FROM samples), d AS (SELECT a.sample_id AS src, b.sample_id AS dst, list_sum([(a.feat[i] - b.feat[i]) * (a.feat[i] - b.feat[i]) FOR i IN range(1, 65)]) AS d2 FROM s a JOIN s b ON a.sample_id <> b.sample_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM d), e AS (SELECT src, dst, d2 FROM r WHERE k <= 5), u AS (SELECT src, dst, min(d2) AS d2 FROM (SELECT * FROM e UNION ALL SELECT dst, src, d2 FROM e) GROUP BY src, dst)"""
 
 
 @query(_KNN + " SELECT src, dst, round(d2, 6) AS d2 FROM u")
 def neighbour_graph(spark, d):
-    return rounded(N.neighbour_graph(samples(spark, d).filter("cls <= 4"), 5), "d2")
+    return rounded(N.neighbour_graph(samples(spark, d), 5), "d2")
 
 
 @query(_KNN + " SELECT src, dst, round(exp(-d2 / 2), 6) AS w FROM u")
 def heat_affinity(spark, d):
-    return rounded(N.affinity(N.neighbour_graph(samples(spark, d).filter("cls <= 4"), 5), "heat"), "w")
+    return rounded(N.affinity(N.neighbour_graph(samples(spark, d), 5), "heat"), "w")
 
 
-@query(" SELECT a.sample_id AS src, b.sample_id AS dst, round(1.0 / n, 9) AS w FROM samples a JOIN samples b ON a.cls = b.cls AND a.sample_id <> b.sample_id JOIN (SELECT cls, count(*) AS n FROM samples GROUP BY cls) c ON c.cls = a.cls WHERE a.cls <= 2")
+@query(" SELECT sample_id, cls, round(1.0 / n, 9) AS w FROM samples JOIN (SELECT cls, count(*) AS n FROM samples GROUP BY cls) USING (cls)")
 def supervised_affinity(spark, d):
-    return rounded(N.supervised_affinity(samples(spark, d).filter("cls <= 2")), "w", digits=9)
+    return rounded(N.supervised_affinity(samples(spark, d)), "w", digits=9)
 
 
-_PAIRS = ", p AS (SELECT a.sample_id AS a_id, b.sample_id AS b_id, a.feat AS a, b.feat AS b FROM samples a JOIN samples b ON b.cls = a.cls AND b.col_idx = 1 WHERE a.col_idx <= 6), q AS (SELECT *, [a[i] - b[i] FOR i IN range(1, 65)] AS e, list_avg(a) AS ma, list_avg(b) AS mb FROM p)"
+_PAIRS = ", p AS (SELECT a.sample_id AS a_id, b.sample_id AS b_id, a.feat AS a, b.feat AS b FROM samples a JOIN samples b ON b.cls = a.cls AND b.col_idx = 1), q AS (SELECT *, [a[i] - b[i] FOR i IN range(1, 65)] AS e, list_avg(a) AS ma, list_avg(b) AS mb FROM p)"
 
 
 def _pairs(spark, d):
-    s = samples(spark, d).filter("col_idx <= 6")
+    s = samples(spark, d)
     first = s.filter("col_idx = 1").select("cls", F.col("sample_id").alias("b_id"), F.col("feat").alias("b"))
     return s.select("cls", F.col("sample_id").alias("a_id"), F.col("feat").alias("a")).join(first, "cls")
 
@@ -337,13 +345,15 @@ def average_ranks(spark, d):
     return S.average_rank(table(spark, d, "part"), "p_brand", "p_size").select("p_partkey", "p_brand", "avg_rank")
 
 
-@query("""WITH c AS (SELECT l_suppkey, l_shipmode_no, n FROM (SELECT l_suppkey, l_linenumber AS l_shipmode_no, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2)),
- f AS (SELECT * FROM c WHERE l_suppkey IN (SELECT l_suppkey FROM c GROUP BY 1 HAVING count(*) = 4)), k AS (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY n) + (count(*) OVER (PARTITION BY l_suppkey, n) - 1) / 2 AS r FROM f),
+@query("""WITH c AS (SELECT l_suppkey, l_shipmode_no, n FROM (SELECT l_suppkey, l_linenumber AS l_shipmode_no, count(*) AS n FROM lineitem GROUP BY 1, 2)),
+ f AS (SELECT * FROM c WHERE l_suppkey IN (SELECT l_suppkey FROM c GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT l_linenumber) FROM lineitem))), k AS (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY n) + (count(*) OVER (PARTITION BY l_suppkey, n) - 1) / 2 AS r FROM f),
  t AS (SELECT l_shipmode_no, avg(r) AS r, count(*) AS n FROM k GROUP BY 1), s AS (SELECT count(*) AS k, max(n) AS n, sum(r * r) AS s FROM t),
  x AS (SELECT k, n, 12 * n / (k * k + k) * (s - k * (k + 1) * (k + 1) / 4) AS chi2 FROM s) SELECT k, n, round(chi2, 6) AS chi2, round((n - 1) * chi2 / (n * (k - 1) - chi2), 6) AS f FROM x""", base=False)
 def friedman_test(spark, d):
-    c = table(spark, d, "lineitem").filter("l_linenumber <= 4").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
-    full = c.groupBy("l_suppkey").count().filter("count = 4").select("l_suppkey")
+    c = table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
+    # blocks that hold every treatment; one row of the number of treatments
+    every = c.agg(F.countDistinct("l_linenumber").alias("k"))
+    full = c.groupBy("l_suppkey").count().join(F.broadcast(every), F.col("count") == F.col("k")).select("l_suppkey")
     ranked = S.average_rank(c.join(full, "l_suppkey", "left_semi"), "l_suppkey", "n", "r")
     return rounded(S.friedman(ranked, "l_suppkey", "l_linenumber", "r"), "chi2", "f")
 
@@ -482,11 +492,7 @@ def pca_total_variance(spark, d):
 
 @query()
 def lda_recognition(spark, d):
-    s = samples(spark, d)
-    w = L.lda(s.filter("col_idx <= 8"))
-    p = L.project(s, w)
-    r = N.recognize(p.filter("col_idx between 9 and 12"), p.filter("col_idx <= 8"))
-    return S.accuracies(r, "cls", "predicted")
+    return _projected(spark, d, L.lda)
 
 
 @query()
@@ -521,8 +527,8 @@ def locally_linear_embedding(spark, d):
 
 @query()
 def sparse_recognition(spark, d):
-    s = samples(spark, d)
-    return L.sparse_recognition(s.filter("col_idx between 9 and 12"), s.filter("col_idx <= 8"))
+    gallery, probes = _split(spark, d)
+    return L.sparse_recognition(probes, gallery)
 
 
 @query("SELECT i AS sample_id, round(1 - 2 * (i % 20) / 20, 9) AS x, round(1 - 2 * (i // 20) / 20, 9) AS y, round(sin(pi() * (1 - 2 * (i % 20) / 20)) * tanh(3 * (1 - 2 * (i // 20) / 20)) * 10, 6) + 0.0 AS z FROM range(400) t(i)", base=False)
@@ -534,18 +540,18 @@ def manifold_twinpeaks(spark, d):
 # -- graphs, reports, noise
 
 
-@query(_KNN.replace("k <= 5", "k <= 2").replace("cls <= 4", "cls <= 6") + ", reach AS (SELECT src AS node, src AS part FROM u UNION SELECT u.dst, reach.part FROM reach JOIN u ON u.src = reach.node) SELECT node, min(part) AS part FROM reach GROUP BY node")
+@query(_KNN.replace("k <= 5", "k <= 2") + ", reach AS (SELECT src AS node, src AS part FROM u UNION SELECT u.dst, reach.part FROM reach JOIN u ON u.src = reach.node) SELECT node, min(part) AS part FROM reach GROUP BY node")
 def connected_parts(spark, d):
-    return G.connected_parts(N.neighbour_graph(samples(spark, d).filter("cls <= 6"), 2))
+    return G.connected_parts(N.neighbour_graph(samples(spark, d), 2))
 
 
 ORACLES["connected_parts"] = ORACLES["connected_parts"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query(_KNN.replace("k <= 5", "k <= 2") + ", reach AS (SELECT sample_id AS node, 0 AS hops FROM s WHERE sample_id % 50 = 0 UNION SELECT u.dst, hops + 1 FROM reach JOIN u ON u.src = reach.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM reach GROUP BY node")
+@query(_KNN.replace("k <= 5", "k <= 2") + ", reach AS (SELECT sample_id AS node, 0 AS hops FROM samples WHERE col_idx = 1 UNION SELECT u.dst, hops + 1 FROM reach JOIN u ON u.src = reach.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM reach GROUP BY node")
 def hops(spark, d):
-    s = samples(spark, d).filter("cls <= 4")
-    return G.hops(N.neighbour_graph(s, 2), s.filter("sample_id % 50 = 0").select(F.col("sample_id").alias("node")), 3)
+    s = samples(spark, d)
+    return G.hops(N.neighbour_graph(s, 2), s.filter("col_idx = 1").select(F.col("sample_id").alias("node")), 3)
 
 
 ORACLES["hops"] = ORACLES["hops"].replace("WITH ", "WITH RECURSIVE ", 1)
@@ -689,12 +695,7 @@ def block_noise(spark, d):
 # -- more learners
 
 
-_GALLERY = f", g AS (SELECT * FROM samples WHERE col_idx <= 8), p AS (SELECT * FROM samples WHERE col_idx BETWEEN 9 AND 12), {LONG.replace('FROM samples', 'FROM g')}, ms AS (SELECT cls, pos, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM long GROUP BY cls, pos), a AS (SELECT cls, list(m ORDER BY pos) AS m, list(v ORDER BY pos) AS v, max(n) AS n FROM ms GROUP BY cls)"
-
-
-def _split(spark, d):
-    s = samples(spark, d)
-    return s.filter("col_idx <= 8"), s.filter("col_idx between 9 and 12")
+_GALLERY = f", sizes AS (SELECT cls, count(*) AS n FROM samples GROUP BY cls), g AS (SELECT s.* FROM samples s JOIN sizes USING (cls) WHERE 3 * col_idx <= 2 * n), p AS (SELECT s.* FROM samples s JOIN sizes USING (cls) WHERE 3 * col_idx > 2 * n), {LONG.replace('FROM samples', 'FROM g')}, ms AS (SELECT cls, pos, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM long GROUP BY cls, pos), a AS (SELECT cls, list(m ORDER BY pos) AS m, list(v ORDER BY pos) AS v, max(n) AS n FROM ms GROUP BY cls)"
 
 
 @query(_GALLERY + " SELECT sample_id, p.cls, a.cls AS predicted FROM p, a QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY list_sum([(feat[i] - m[i]) * (feat[i] - m[i]) FOR i IN range(1, 65)]), a.cls) = 1")
@@ -831,13 +832,13 @@ def probabilistic_components(spark, d):
     return spark.createDataFrame([(i, float(n), [float(x) for x in r]) for i, (r, n) in enumerate(zip(load, noise))], "pos int, noise double, loadings array<double>")
 
 
-@query(_KNN.replace("cls <= 4", "true") + ", t AS (SELECT src, max(d2) AS last FROM r WHERE k <= 6 GROUP BY src), m AS (SELECT src, 1 / avg(0.5 * ln(last / d2)) AS m FROM r JOIN t USING (src) WHERE k < 6 AND d2 > 0 GROUP BY src) SELECT round(avg(m), 6) AS mle FROM m")
+@query(_KNN + ", t AS (SELECT src, max(d2) AS last FROM r WHERE k <= 6 GROUP BY src), m AS (SELECT src, 1 / avg(0.5 * ln(last / d2)) AS m FROM r JOIN t USING (src) WHERE k < 6 AND d2 > 0 GROUP BY src) SELECT round(avg(m), 6) AS mle FROM m")
 def intrinsic_dimension(spark, d):
     s = samples(spark, d)
     return rounded(M.intrinsic_dimension(N.nearest(s, s, 6, skip_self=True), 6), "mle")
 
 
-@query(_KNN.replace("cls <= 4", "true") + ", n AS (SELECT d2 FROM r WHERE k <= 6), m AS (SELECT quantile_cont(d2, 0.5) AS mid, max(d2) AS far FROM n) SELECT round(ln(count(*) / count(*) FILTER (d2 <= mid)) / (0.5 * ln(any_value(far) / any_value(mid))), 6) AS dimension FROM n, m")
+@query(_KNN + ", n AS (SELECT d2 FROM r WHERE k <= 6), m AS (SELECT quantile_cont(d2, 0.5) AS mid, max(d2) AS far FROM n) SELECT round(ln(count(*) / count(*) FILTER (d2 <= mid)) / (0.5 * ln(any_value(far) / any_value(mid))), 6) AS dimension FROM n, m")
 def correlation_dimension(spark, d):
     s = samples(spark, d)
     return rounded(M.correlation_dimension(N.nearest(s, s, 6, skip_self=True)), "dimension")
@@ -962,63 +963,3 @@ def autoencoded(spark, d):
     s = samples(spark, d)
     encode, _ = C.autoencoder(s, 8, 100)
     return I.mapped(s.select("sample_id", "feat"), encode)
-
-
-# -- whole tables: the queries above of the same names see the subset that their SQL defines
-
-_KNN_WHOLE = _KNN.replace(" WHERE cls <= 4", "")
-_PAIRS_WHOLE = _PAIRS.replace(" WHERE a.col_idx <= 6", "")
-_REACH = ", reach AS (SELECT src AS node, src AS part FROM u UNION SELECT u.dst, reach.part FROM reach JOIN u ON u.src = reach.node) SELECT node, min(part) AS part FROM reach GROUP BY node"
-
-
-def _whole_pairs(spark, d):
-    s = samples(spark, d)
-    first = s.filter("col_idx = 1").select("cls", F.col("sample_id").alias("b_id"), F.col("feat").alias("b"))
-    return s.select("cls", F.col("sample_id").alias("a_id"), F.col("feat").alias("a")).join(first, "cls")
-
-
-@query(f", {LONG} SELECT CAST(pos AS INTEGER) AS pos FROM long GROUP BY pos HAVING min(x) <> max(x)")
-def varying_features_whole(spark, d):
-    return S.feature_statistics(samples(spark, d)).filter("lo <> hi").select("pos")
-
-
-@query(_KNN_WHOLE + " SELECT src, dst, round(d2, 6) AS d2 FROM u")
-def neighbour_graph_whole(spark, d):
-    return rounded(N.neighbour_graph(samples(spark, d), 5), "d2")
-
-
-@query(_KNN_WHOLE + " SELECT src, dst, round(exp(-d2 / 2), 6) AS w FROM u")
-def heat_affinity_whole(spark, d):
-    return rounded(N.affinity(N.neighbour_graph(samples(spark, d), 5), "heat"), "w")
-
-
-@query(" SELECT a.sample_id AS src, b.sample_id AS dst, round(1.0 / n, 9) AS w FROM samples a JOIN samples b ON a.cls = b.cls AND a.sample_id <> b.sample_id JOIN (SELECT cls, count(*) AS n FROM samples GROUP BY cls) c ON c.cls = a.cls")
-def supervised_affinity_whole(spark, d):
-    return rounded(N.supervised_affinity(samples(spark, d)), "w", digits=9)
-
-
-@query(_PAIRS_WHOLE + ORACLES["distance_metrics"].split(_PAIRS)[1])
-def distance_metrics_whole(spark, d):
-    names = ["euclidean", "sqeuclidean", "cityblock", "chebychev", "minkowski", "cosine", "correlation"]
-    return _whole_pairs(spark, d).select("a_id", "b_id", *[(F.round(V.distance(F.col("a"), F.col("b"), m), 6) + 0.0).alias(m) for m in names])
-
-
-@query(_PAIRS_WHOLE + ORACLES["kernels"].split(_PAIRS)[1])
-def kernels_whole(spark, d):
-    names = ["gaussian", "rbf", "linear", "polynomial", "polyplus", "sigmoid"]
-    return _whole_pairs(spark, d).select("a_id", "b_id", *[(F.round(V.kernel(F.col("a"), F.col("b"), m), 6) + 0.0).alias(m) for m in names])
-
-
-@query(_KNN_WHOLE.replace("k <= 5", "k <= 2") + _REACH)
-def connected_parts_whole(spark, d):
-    return G.connected_parts(N.neighbour_graph(samples(spark, d), 2))
-
-
-@query(_KNN_WHOLE.replace("k <= 5", "k <= 2") + ", reach AS (SELECT sample_id AS node, 0 AS hops FROM s WHERE sample_id % 50 = 0 UNION SELECT u.dst, hops + 1 FROM reach JOIN u ON u.src = reach.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM reach GROUP BY node")
-def hops_whole(spark, d):
-    s = samples(spark, d)
-    return G.hops(N.neighbour_graph(s, 2), s.filter("sample_id % 50 = 0").select(F.col("sample_id").alias("node")), 3)
-
-
-for _name in ("connected_parts_whole", "hops_whole"):
-    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
