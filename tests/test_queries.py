@@ -362,3 +362,75 @@ def test_places_of_a_class_in_many_runs(spark, monkeypatch):
     for c in (0, 1):
         mine = [(r["sample_id"], r["col_idx"]) for r in got if r["cls"] == c]
         assert [x[0] for x in mine] == sorted(x[0] for x in mine) and [x[1] for x in mine] == list(range(1, len(mine) + 1))
+
+
+def test_noise_by_place(spark):
+    """The second and third training images get blocks of their own size, the first none."""
+    from vektral.plans.registry import _bytes
+
+    before = {r["sample_id"]: r["feat"] for r in _bytes(spark, SMALL).collect()}
+    for r in QUERIES["slice_noisy"](spark, SMALL).collect():
+        side = {1: 0, 2: 4, 4: 1}[r["col_idx"]]
+        changed = [k for k in range(64) if r["feat"][k] != before[r["sample_id"]][k]]
+        rows, columns = [k % 8 for k in changed], [k // 8 for k in changed]
+        assert len(changed) <= side * side and all(r["feat"][k] in (0.0, 255.0) for k in changed)
+        assert not changed or (max(rows) - min(rows) < side and max(columns) - min(columns) < side)
+
+
+def test_batches_are_in_step(spark):
+    from vektral.operators.preparing import BatchIterator
+
+    inputs = spark.range(25).select(F.col("id").alias("sample_id"), F.array(F.col("id").cast("double")).alias("feat"))
+    targets = inputs.withColumn("feat", F.transform("feat", lambda x: -x))
+    it = BatchIterator(inputs, targets, 10, seed=3)
+    first = []
+    while not it.is_end():
+        first.append(it.next())
+    assert [len(b) for b in first] == [10, 10, 5] and it.next() == []
+    rows = [r for b in first for r in b]
+    assert sorted(r["sample_id"] for r in rows) == list(range(25)) and all(r["target"] == [-r["feat"][0]] for r in rows)
+    again = BatchIterator(inputs, None, 4).sync(BatchIterator(inputs, targets, 10, seed=3))
+    assert [r["sample_id"] for r in again.next()] == [r["sample_id"] for r in first[0]]
+    second = it.next()  # the next epoch has another order
+    assert [r["sample_id"] for r in second] != [r["sample_id"] for r in first[0]]
+    assert [r["sample_id"] for r in it.clone().set_shuffle(None).set_batch_size(3).next()] == [0, 1, 2]
+
+
+def test_image_files_come_back(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 256, (6, 2 * 3 * 5)).astype(float)
+    ds = spark.createDataFrame([(k, k % 2 + 9, k // 2 + 1, [float(v) for v in r]) for k, r in enumerate(x)], "sample_id long, cls int, col_idx int, feat array<double>")
+    one = x.reshape(6, 30)
+    assert T.save_images(ds, f"file://{tmp_path}/grey", 5, 6).count() == 6
+    got = T.image_samples(spark, f"file://{tmp_path}/grey", grey=True).collect()
+    assert {(r["cls"], r["col_idx"]): r["feat"] for r in got} == {(k % 2 + 1, k // 2 + 1): list(one[k]) for k in range(6)}
+    rgb = ds.withColumn("feat", F.slice("feat", 1, 30))
+    T.save_images(rgb, f"file://{tmp_path}/rgb", 2, 5, 3).collect()
+    got = T.image_samples(spark, f"file://{tmp_path}/rgb").collect()
+    assert {(r["cls"], r["col_idx"]): (r["h"], r["w"], r["ch"], r["feat"]) for r in got} == {(k % 2 + 1, k // 2 + 1): (2, 5, 3, list(one[k])) for k in range(6)}
+    own = T.image_samples(spark, f"file://{tmp_path}/rgb", read=lambda data: (1, 1, 1, [float(len(data))])).collect()
+    assert {r["feat"][0] for r in own} == {54.0 + 2 * 16}
+
+
+def test_sinks_by_split_and_case(spark, tmp_path):
+    from vektral.operators.dataset import damage_grid
+
+    windows = spark.createDataFrame([("TR", 1, 1, 2.0), ("VAL", 2, 5, 3.0)], "split string, cls int, st int, total double")
+    T.save_windows(windows, str(tmp_path / "w"), 4, 2)
+    assert sorted(r["path"] for r in spark.read.parquet(str(tmp_path / "w")).collect()) == ["tr/1/1_4_2_1", "val/2/2_4_2_5"]
+    T.save_cases(damage_grid(spark, [[1], [1, 2]], [0.9, 0.8], 3), str(tmp_path / "c"))
+    assert {r["case_id"]: r["count"] for r in spark.read.parquet(str(tmp_path / "c")).groupBy("case_id").count().collect()} == {0: 1, 1: 2, 2: 4}
+    for k in range(2):
+        spark.range(40).select(F.lit(k).alias("key"), F.col("id").alias("at"), F.sin(F.col("id") * 2.5).alias("v")).write.parquet(str(tmp_path / f"s{k}"))
+    sections = T.high_pass_sections(10.0, 0.2, 1.0)
+    got = T.combined_files(spark, [str(tmp_path / "s0"), str(tmp_path / "s1")], "key", "at", "v", sections).collect()
+    assert len(got) == 80 and len({round(r["v"], 9) for r in got if r["at"] == 30}) == 1
+
+
+def test_stream_windows_with_long_steps(spark, tmp_path):
+    from vektral.streaming.stages import run_stream, stream_windows
+
+    spark.range(57).select(F.col("id").alias("event_id"), F.lit("a").alias("k"), F.col("id").cast("double").alias("v")).repartition(5).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema("event_id long, k string, v double").option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in"))
+    got = run_stream(stream_windows(events, "k", "v", 4, 10), str(tmp_path / "out")).collect()
+    assert sorted((r["st"], r["en"], r["total"]) for r in got) == [(s, s + 3, float(sum(range(s - 1, s + 3)))) for s in (1, 11, 21, 31, 41, 51)]

@@ -67,3 +67,13 @@ def kernel(a: Column, b: Column, kind: str, t: float = 1.0, degree: int = 2, gam
     if kind == "sigmoid":
         return F.tanh(gamma * dot(a, b) + c)
     raise ValueError(f"unknown kernel {kind}")
+
+
+def zero_to_one(v: Column) -> Column:
+    """Bytes as shares of 255."""
+    return F.transform(v, lambda x: x / 255)
+
+
+def gauss_error(f: Column) -> Column:
+    """The weight of an error given as its square over its width."""
+    return F.exp(-f / 2)

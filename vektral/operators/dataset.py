@@ -108,6 +108,20 @@ def concat_datasets(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b.join(F.broadcast(last)).withColumn("cls", F.col("cls") + F.coalesce("_last", F.lit(0))).drop("_last"))
 
 
+def joined_galleries(*parts: DataFrame) -> DataFrame:
+    """Galleries, each projected by its own weights, as one: a row's gallery says which it came from."""
+    out = None
+    for k, part in enumerate(parts, 1):
+        part = part.withColumn("gallery", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def excerpt(ds: DataFrame, offset: int, n: int, order: list[str]) -> DataFrame:
+    """n samples from the offset-th on (from 0), in the order given: for display."""
+    return with_ordinal(ds, order).filter(F.col("ordinal").between(offset + 1, offset + n))
+
+
 def mini_batches(ds: DataFrame, size: int, order: list[str]) -> DataFrame:
     """batch numbers in a given order, short last batch.  Ordinals come from counts per range of the
     order, so no window spans all rows."""

@@ -6,26 +6,32 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.  A local session without
+    one gets a temporary folder, a cluster without one is refused."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="vektral-cut-"))
+            atexit.register(shutil.rmtree, _own[0], True)
+        found = _own[0]
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the session's spark.checkpoint.dir; a local session without one gets a
-    temporary folder, a cluster without one is refused."""
+    """df with its lineage cut in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = context.getConf().get("spark.checkpoint.dir", None)
-        if not found:
-            if not (context.master == "local" or context.master.startswith("local[")):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            if not _own:
-                _own.append(tempfile.mkdtemp(prefix="vektral-cut-"))
-                atexit.register(shutil.rmtree, _own[0], True)
-            found = _own[0]
-        context.setCheckpointDir(found)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(probes: DataFrame, gallery: DataFrame, k: int = 1, block: int = 4096, skip_self: bool = False) -> DataFrame:
+def nearest(probes: DataFrame, gallery: DataFrame, k: int = 1, block: int = 4096, skip_self: bool = False, distance: Callable | None = None) -> DataFrame:
     """(probe_id, rank, gallery_id, d2): the k gallery samples of least squared Euclidean distance, ties
     to the smaller id.  Both sides are dealt into blocks; each pair of blocks is one matrix product and
     keeps k rows a probe, so neither side has to fit a task or a broadcast.  Of the product all within its
     rounding error of the k-th are compared exactly, so copies keep the order of their ids.
 
+    distance, a numpy function of a probe and a matrix of gallery rows, replaces the Euclidean one; d2 is then
+    what it gives.
+
     Vectors that are null or empty or hold null or non-finite components take no part; probes meet
     gallery samples of their own length only."""
     whole = F.forall("feat", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("feat") > 0)
@@ -33,14 +38,14 @@ def nearest(probes: DataFrame, gallery: DataFrame, k: int = 1, block: int = 4096
             y2, error = (y * y).sum(1), 8 * np.finfo(float).eps * (y.shape[1] + 2)
             for lo in range(0, len(x), 256):
                 q = x[lo : lo + 256]
-                d = (q * q).sum(1)[:, None] + y2 - 2 * q @ y.T
+                d = (q * q).sum(1)[:, None] + y2 - 2 * q @ y.T if distance is None else np.stack([distance(v, y) for v in q])
                 last = min(len(y), k + skip_self) - 1
                 far = np.partition(d, last, axis=1)[:, last] + error * ((q * q).sum(1) + y2.max())
                 for r in range(len(q)):
                     c = np.flatnonzero(d[r] <= far[r])
                     if skip_self:
                         c = c[yi[c] != xi[lo + r]]
-                    exact = ((q[r] - y[c]) ** 2).sum(1)
+                    exact = ((q[r] - y[c]) ** 2).sum(1) if distance is None else d[r][c]
                     order = np.lexsort((yi[c], exact))[:k]
                     out[0].append(np.full(len(order), xi[lo + r]))
                     out[1].append(yi[c][order])
@@ -53,9 +58,9 @@ def nearest(probes: DataFrame, gallery: DataFrame, k: int = 1, block: int = 4096
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("probe_id", F.col("rank").cast("int").alias("rank"), "gallery_id", "d2")
 
 
-def recognize(probes: DataFrame, gallery: DataFrame) -> DataFrame:
+def recognize(probes: DataFrame, gallery: DataFrame, distance: Callable | None = None) -> DataFrame:
     """(sample_id, cls, predicted, d2) by the nearest gallery sample."""
-    hit = nearest(probes, gallery).select(F.col("probe_id").alias("sample_id"), F.col("gallery_id").alias("_g"), "d2")
+    hit = nearest(probes, gallery, distance=distance).select(F.col("probe_id").alias("sample_id"), F.col("gallery_id").alias("_g"), "d2")
     named = gallery.select(F.col("sample_id").alias("_g"), F.col("cls").alias("predicted"))
     return probes.select("sample_id", "cls").join(hit, "sample_id").join(named, "_g").select("sample_id", "cls", "predicted", "d2")
 

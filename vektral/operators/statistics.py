@@ -195,3 +195,30 @@ def similarity_alignment(ds: DataFrame, points: int) -> DataFrame:
 def percent_ranked(feat: Column) -> Column:
     """Each value's share of values of its vector that are not above it."""
     return F.transform(feat, lambda x: F.size(F.filter(feat, lambda y: y <= x)) / F.size(feat))
+
+
+def class_widths(df: DataFrame, cls: str, error: str) -> DataFrame:
+    """(cls, std, width): the standard deviation of a class's errors weighed by exp(-error / least), where least
+    is the least error that isn't 0 (the greatest if all are), and the reciprocal of the greatest such
+    deviation of all classes, at most 1."""
+    e = F.col(error).cast("double")
+    least = df.groupBy(cls).agg(F.coalesce(F.min(F.when(e >= 1e-15, e)), F.max(e)).alias("_least"))
+    weighed = df.join(least, cls).withColumn("_w", F.exp(-e / F.col("_least")))
+    sums = weighed.groupBy(cls).agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * e).alias("_s"))
+    off = F.col("_w") * F.pow(e - F.col("_m"), F.lit(2))
+    mean = sums.select(cls, (F.col("_s") / F.col("_w")).alias("_m"))
+    out = weighed.join(mean, cls).groupBy(cls).agg(F.sqrt(F.sum(off) / F.sum("_w")).alias("std"))
+    top = out.agg(F.least(F.lit(1.0), F.min(1 / F.greatest(F.lit(1.0), F.col("std")))).alias("width"))
+    return out.crossJoin(F.broadcast(top))  # one row
+
+
+def critical_difference(ranked: DataFrame, block: str, treatment: str, rank: str, q: float) -> DataFrame:
+    """(a, b, difference, differs): mean ranks of each two treatments after a Friedman test, and whether they
+    are further apart than q * sqrt(k (k + 1) / (6 n)); q is the studentised range's value over sqrt(2)."""
+    mean = ranked.groupBy(treatment).agg(F.avg(rank).alias("_m"), F.count("*").alias("_n"))
+    k = mean.agg(F.count("*").alias("_k"))
+    a, b = mean.select(F.col(treatment).alias("a"), F.col("_m").alias("_ma"), "_n"), mean.select(F.col(treatment).alias("b"), F.col("_m").alias("_mb"))
+    far = F.abs(F.col("_ma") - F.col("_mb"))
+    limit = F.lit(q) * F.sqrt(F.col("_k") * (F.col("_k") + 1) / (6 * F.col("_n")))
+    # treatments, not blocks, meet here
+    return a.join(b, F.col("a") < F.col("b")).join(F.broadcast(k)).select("a", "b", far.alias("difference"), (far > limit).alias("differs"))

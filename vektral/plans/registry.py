@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,9 +18,11 @@ from ..operators import images as I
 from ..operators import learning as L
 from ..operators import manifolds as M
 from ..operators import neighbours as N
+from ..operators import preparing as P
 from ..operators import statistics as S
 from ..operators import windows as W
-from ..sources.tables import high_pass_sections, high_passed, image_name, natural_key, samples, table
+from ..sources.tables import high_pass_sections, high_passed, image_name, natural_key, samples, stream_of, table
+from ..streaming.stages import run_stream, stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -963,3 +966,134 @@ def autoencoded(spark, d):
     s = samples(spark, d)
     encode, _ = C.autoencoder(s, 8, 100)
     return I.mapped(s.select("sample_id", "feat"), encode)
+
+
+# -- prepared slices, batches, galleries, streams
+
+_BYTES = ", bytes AS (SELECT sample_id, cls, col_idx, [round((x + 1) * 127) FOR x IN feat] AS feat FROM samples), tr AS (SELECT * FROM bytes JOIN (VALUES (1, 1), (2, 2), (4, 3)) v(col_idx, k) USING (col_idx))"
+_TRAINING = D.Selection(tr=[1, 2, 4])
+
+
+def _bytes(spark, d):
+    return samples(spark, d).withColumn("feat", F.transform("feat", lambda x: F.round((x + 1) * 127)))
+
+
+def _training(spark, d, h, w, ch, **prep):
+    out = P.prepared_slice(_bytes(spark, d), _TRAINING, P.Preparation(**prep), h, w, ch)
+    return out.select("split", "sample_id", "cls", "col_idx", "feat")
+
+
+_HALVED = str(np.kron(I.resize_weights(8, 4), I.resize_weights(8, 4)).tolist())
+
+
+@query(_BYTES + f" SELECT 'TR' AS split, sample_id, cls, col_idx, [round(list_dot_product(feat, w), 6) + 0.0 FOR w IN {_HALVED}] AS feat FROM tr")
+def slice_scaled(spark, d):
+    got = _training(spark, d, 8, 8, 1, scale=0.5)
+    return got.withColumn("feat", F.transform("feat", lambda x: F.round(x, 6) + 0.0))
+
+
+@query(_BYTES + f" SELECT 'TR' AS split, sample_id, cls, col_idx, [round(2 * list_dot_product(feat, w) + 4, 6) FOR w IN {_HALVED}] AS feat FROM tr")
+def slice_scripted(spark, d):
+    return flat(_training(spark, d, 8, 8, 1, scale=0.5, script=lambda ds, h, w, ch: ds.withColumn("feat", F.transform("feat", lambda x: 2 * x + h))))
+
+
+@query(_BYTES + ", b AS (SELECT *, CASE k WHEN 2 THEN 4 WHEN 3 THEN 1 ELSE 0 END AS hide FROM tr) SELECT 'TR' AS split, sample_id, cls, col_idx, [CASE WHEN (i - 1) % 8 < hide THEN 0.0 ELSE feat[i] END FOR i IN range(1, 65)] AS feat FROM b")
+def slice_occluded(spark, d):
+    return _training(spark, d, 8, 8, 1, occlusion=(("t", 0.0, 0.0), ("t", 0.5, 0.0), ("t", 0.2, 0.0)))
+
+
+@query(_BYTES + ", b AS (SELECT *, CASE k WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 9 END AS first, CASE k WHEN 2 THEN 6 WHEN 3 THEN 4 ELSE 8 END AS last FROM tr) SELECT 'TR' AS split, sample_id, cls, col_idx, [CASE WHEN (i - 1) % 8 + 1 BETWEEN first AND last THEN 0.0 ELSE feat[i] END FOR i IN range(1, 65)] AS feat FROM b")
+def slice_occluded_band(spark, d):
+    return _training(spark, d, 8, 8, 1, occlusion=(("t", 0.0, 0.0), ("t", 0.5, 0.25), ("t", 0.2, 0.4)))
+
+
+@query(_BYTES + " SELECT 'TR' AS split, sample_id, cls, col_idx, [CASE WHEN (i - 1) % 8 < 4 - (i - 1) // 8 THEN 0.0 ELSE feat[i] END FOR i IN range(1, 65)] AS feat FROM tr")
+def slice_masked(spark, d):
+    return _training(spark, d, 8, 8, 1, mask=tuple(0.0 if k % 8 < 4 - k // 8 else 1.0 for k in range(64)))
+
+
+@query(_BYTES + """, l AS (SELECT *, [exp(-0.5 * (pow((i - 1) % 8 + 1, 2) + pow((i - 1) // 8 + 1 - 4, 2)) / CASE k WHEN 3 THEN 10.0 ELSE 1.0 END) FOR i IN range(1, 65)] AS light FROM tr),
+ r AS (SELECT *, 255 - coalesce(list_avg([feat[i] FOR i IN range(1, 65) IF light[i] >= 1.0 / 255 AND feat[i] <> 0]), 0) AS room FROM l)
+ SELECT 'TR' AS split, sample_id, cls, col_idx, [greatest(0.0, least(255.0, round(feat[i] + room * light[i]))) FOR i IN range(1, 65)] AS feat FROM r""")
+def slice_lit(spark, d):
+    return _training(spark, d, 8, 8, 1, light=(((0, 4), (1, 1)), ((0, 4), (1, 1)), ((0, 4), (10, 10))))
+
+
+_GREY = ", g AS (SELECT *, [0.2989 * feat[i] + 0.587 * feat[i + 16] + 0.114 * feat[i + 32] FOR i IN range(1, 17)] AS grey FROM bytes), c AS (SELECT *, [least(63, floor(x / 256 * 64)) FOR x IN grey] AS cell FROM g)"
+
+
+@query(_BYTES + _GREY + """, b AS (SELECT cls, list_sort(grey) AS b FROM g WHERE col_idx = 1)
+ SELECT 'TR' AS split, sample_id, cls, col_idx, [round(b[CAST(len(list_filter(cell, lambda y: y <= x)) AS INTEGER)], 6) FOR x IN cell] AS feat FROM c JOIN b USING (cls) WHERE col_idx IN (1, 2, 4)""")
+def slice_grey_matched(spark, d):
+    return flat(_training(spark, d, 4, 4, 3, colour="grey", equalize=True, match=1))
+
+
+@query(_BYTES + " SELECT 'TR' AS split, sample_id, cls, col_idx, feat[17:32] AS feat FROM tr")
+def slice_channel(spark, d):
+    return _training(spark, d, 4, 4, 4, colour=2)
+
+
+@query(_BYTES + " SELECT sample_id, cls, col_idx, y || '_' || x || '_4_4' AS patch_id, [feat[(x - 1 + k // 4) * 8 + (y - 1 + k % 4) + 1] FOR k IN range(0, 16)] AS patch FROM tr, (VALUES (1), (5)) a(y), (VALUES (1), (5)) b(x)")
+def slice_patches(spark, d):
+    return P.patch_slices(D.slice_dataset(_bytes(spark, d), _TRAINING), 8, 8, 1, 4, 4, 4, 4).select("sample_id", "cls", "col_idx", "patch_id", "patch")
+
+
+@query()
+def slice_noisy(spark, d):
+    return _training(spark, d, 8, 8, 1, noise=(0.0, 0.5, 0.2))
+
+
+@query(" SELECT sample_id, ordinal, CAST((ordinal - 1) // 32 AS BIGINT) AS batch, round(target, 6) + 0.0 AS target FROM (SELECT sample_id, row_number() OVER (ORDER BY md5('7_1_' || sample_id), sample_id) AS ordinal, feat[1] AS target FROM samples)")
+def synced_batches(spark, d):
+    s = samples(spark, d)
+    return P.shuffled_batches(s.select("sample_id"), s, 32, seed=7, epoch=1).select("sample_id", "ordinal", "batch", (F.round(F.element_at("target", 1), 6) + 0.0).alias("target"))
+
+
+@query(" SELECT sample_id, cls, 1 AS gallery, [round(x, 6) + 0.0 FOR x IN feat[1:4]] AS feat FROM samples WHERE col_idx % 2 = 1 UNION ALL SELECT sample_id, cls, 2, [round(x, 6) + 0.0 FOR x IN feat[5:8]] FROM samples WHERE col_idx % 2 = 0")
+def joined_galleries(spark, d):
+    s, w = samples(spark, d), np.eye(64)
+    both = D.joined_galleries(L.project(s.filter("col_idx % 2 = 1"), w[:, :4]), L.project(s.filter("col_idx % 2 = 0"), w[:, 4:8]))
+    return both.select("sample_id", "cls", "gallery", F.transform("feat", lambda x: F.round(x, 6) + 0.0).alias("feat"))
+
+
+@query(" SELECT sample_id, ordinal FROM (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS ordinal FROM samples) WHERE ordinal BETWEEN 11 AND 35")
+def excerpt(spark, d):
+    return D.excerpt(samples(spark, d).select("sample_id"), 10, 25, ["sample_id"])
+
+
+@query("""WITH e AS (SELECT l_returnflag AS cls, l_quantity AS e FROM lineitem), m AS (SELECT cls, coalesce(min(e) FILTER (e >= 1e-15), max(e)) AS least FROM e GROUP BY cls), w AS (SELECT cls, e, exp(-e / least) AS w FROM e JOIN m USING (cls)),
+ c AS (SELECT cls, sum(w * e) / sum(w) AS c FROM w GROUP BY cls), s AS (SELECT cls, sqrt(sum(w * (e - c) * (e - c)) / sum(w)) AS std FROM w JOIN c USING (cls) GROUP BY cls)
+ SELECT cls AS l_returnflag, round(std, 6) AS std, round((SELECT least(1, min(1 / greatest(1, std))) FROM s), 6) AS width FROM s""", base=False)
+def class_widths(spark, d):
+    return rounded(S.class_widths(table(spark, d, "lineitem"), "l_returnflag", "l_quantity"), "std", "width")
+
+
+@query(ORACLES["friedman_test"].split(" t AS (")[0] + """ t AS (SELECT l_shipmode_no, avg(r) AS m, count(*) AS n FROM k GROUP BY 1) SELECT a.l_shipmode_no AS a, b.l_shipmode_no AS b, round(abs(a.m - b.m), 6) AS difference,
+ abs(a.m - b.m) > 2.9 * sqrt((SELECT count(*) * (count(*) + 1) FROM t) / (6.0 * a.n)) AS differs FROM t a JOIN t b ON a.l_shipmode_no < b.l_shipmode_no""", base=False)
+def critical_difference(spark, d):
+    c = table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
+    every = c.agg(F.countDistinct("l_linenumber").alias("k"))
+    full = c.groupBy("l_suppkey").count().join(F.broadcast(every), F.col("count") == F.col("k")).select("l_suppkey")
+    ranked = S.average_rank(c.join(full, "l_suppkey", "left_semi"), "l_suppkey", "n", "r")
+    return rounded(S.critical_difference(ranked, "l_suppkey", "l_linenumber", "r", 2.9), "difference")
+
+
+@query(" SELECT sample_id, [round(round((x + 1) * 127) / 255, 9) FOR x IN feat] AS feat, round(exp(-list_dot_product(feat, feat) / 2), 9) AS weight FROM samples")
+def shares_and_weights(spark, d):
+    f = F.transform("feat", lambda x: F.round((x + 1) * 127))
+    squared = F.aggregate("feat", F.lit(0.0), lambda a, x: a + x * x)
+    return samples(spark, d).select("sample_id", F.transform(V.zero_to_one(f), lambda x: F.round(x, 9)).alias("feat"), F.round(V.gauss_error(squared), 9).alias("weight"))
+
+
+@query(_RECOGNIZED.replace("(p.feat[i] - g.feat[i]) * (p.feat[i] - g.feat[i])", "abs(p.feat[i] - g.feat[i])") + " SELECT sample_id, cls, predicted, round(d2, 6) AS distance FROM r WHERE k = 1")
+def recognition_by_own_distance(spark, d):
+    gallery, probes = _split(spark, d)
+    return N.recognize(probes, gallery, distance=lambda q, y: np.abs(y - q).sum(1)).select("sample_id", "cls", "predicted", F.round("d2", 6).alias("distance"))
+
+
+@query("""WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+ w AS (SELECT event_type, unnest(range(1, any_value(n) - 98, 50)) AS st FROM e GROUP BY event_type HAVING any_value(n) >= 100)
+ SELECT event_type, st, st + 99 AS en, round(sum(value), 4) AS total FROM w JOIN e USING (event_type) WHERE k BETWEEN st AND st + 99 GROUP BY ALL""", base=False)
+def stream_moving_windows(spark, d):
+    events = stream_of(spark, d, "events").select("event_id", "event_type", "value")
+    return rounded(run_stream(stream_windows(events, "event_type", "value", 100, 50), f"{G.shared_folder(spark)}/stream-{uuid.uuid4().hex}"), "total", digits=4)

@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder as a stream of its files; a table that is one file is found by its name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    return reader.parquet(f"{sf_dir}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def load_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
     """Registers tables of a folder as temporary views."""
     for name in names:
@@ -131,3 +139,101 @@ def high_passed(df: DataFrame, key: str, order: str, value: str, sections: list[
     for b, a in sections:
         df = high_pass_series(df, key, order, value, b, a)
     return df
+
+
+def bitmap(feat, h: int, w: int, ch: int) -> bytes:
+    """An image (0..255, one or three channels) as a 24-bit bitmap file."""
+    import struct
+
+    import numpy as np
+
+    x = np.clip(np.rint(np.asarray(feat, float)), 0, 255).astype(np.uint8).reshape(ch, w, h).transpose(2, 1, 0)[:, :, ::-1]
+    rows = np.zeros((h, -(-w * 3 // 4) * 4), np.uint8)  # blue, green, red; from the last row up; in whole words
+    rows[:, : 3 * w] = np.broadcast_to(x, (h, w, 3)).reshape(h, -1)
+    data = rows[::-1].tobytes()
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(data), 0, 0, 54, 40, w, h, 1, 24, 0, len(data), 2835, 2835, 0, 0) + data
+
+
+def save_images(ds: DataFrame, path: str, h: int, w: int, ch: int = 1, folders: bool = True) -> DataFrame:
+    """Writes each sample as an image file, <cls>/<col_idx>.bmp or <cls>_<col_idx>.bmp, and gives (sample_id, path).
+    A file is moved to its name when it is whole, so repeated attempts do no harm."""
+    import uuid
+
+    import pyarrow as pa
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            names = []
+            for cls, idx, feat in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                name = f"{top}/{cls}/{idx}.bmp" if folders else f"{top}/{cls}_{idx}.bmp"
+                store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                part = f"{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(bitmap(feat.as_py(), h, w, ch))
+                store.move(part, name)
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string())], names=["sample_id", "path"])
+
+    return ds.select("sample_id", "cls", "col_idx", "feat").mapInArrow(run, "sample_id long, path string")
+
+
+def image_samples(spark: SparkSession, path: str, grey: bool = False, read=None) -> DataFrame:
+    """A dataset of image files, a folder per class in natural order: path, cls, col_idx, h, w, ch, feat.  Spark's
+    image source decodes them; read, a function of a file's bytes that gives (h, w, ch, values by column and
+    channel), does so instead where it is given."""
+    import numpy as np
+    import pyarrow as pa
+
+    schema = "path string, h int, w int, ch int, feat array<double>"
+    if read is None:
+        files = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path)
+        files = files.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+        def decoded(row) -> tuple:
+            _, h, w, ch, data = row
+            x = np.frombuffer(data, np.uint8).reshape(h, w, ch)[:, :, ::-1].astype(float)  # blue comes first
+            if ch == 4:
+                x, ch = x[:, :, 1:], 3
+            if grey:
+                x, ch = x.mean(2, keepdims=True), 1
+            return h, w, ch, x.transpose(2, 1, 0).ravel()
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+        def decoded(row) -> tuple:
+            return read(row[1])
+
+    def run(batches):
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out = [(row[0], *decoded(row)) for row in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())))], names=["path", "h", "w", "ch", "feat"])
+
+    rows = files.mapInArrow(run, schema).withColumn("_folder", F.element_at(F.split("path", "/"), -2))
+    # one row per folder is ordered here, not the files
+    order = rows.select("_folder").distinct().withColumn("cls", F.row_number().over(Window.orderBy(natural_key(F.col("_folder")))))
+    place = Window.partitionBy("cls").orderBy(natural_key(F.col("path")))
+    return rows.join(order, "_folder").withColumn("col_idx", F.row_number().over(place)).select("path", "cls", "col_idx", "h", "w", "ch", "feat")
+
+
+def save_windows(windows: DataFrame, path: str, size: int, step: int, cls: str = "cls") -> None:
+    """Windows (split, cls, st, ...) as tables by split and class, each with the name its file would have."""
+    name = F.format_string("%s/%s/%s_%s_%s_%s", F.lower("split"), F.col(cls), F.col(cls), F.lit(size), F.lit(step), F.col("st"))
+    windows.withColumn("path", name).write.mode("overwrite").partitionBy("split", cls).parquet(path)
+
+
+def save_cases(grid: DataFrame, path: str) -> None:
+    """A scenario grid with a folder for each case."""
+    grid.write.mode("overwrite").partitionBy("case_id").parquet(path)
+
+
+def combined_files(spark: SparkSession, paths: list[str], key: str, order: str, value: str, sections: list[tuple[list[float], list[float]]]) -> DataFrame:
+    """Series of several folders as one, high-passed key by key."""
+    out = None
+    for path in paths:
+        part = spark.read.parquet(path)
+        out = part if out is None else out.unionByName(part)
+    return high_passed(out, key, order, value, sections)

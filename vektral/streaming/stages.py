@@ -55,21 +55,30 @@ class Pipeline:
         return ds
 
 
-def stream_windows(events: DataFrame, key: str, value: str, size: int, step: int) -> DataFrame:
+def stream_windows(events: DataFrame, key: str, value: str, size: int, step: int, order: str = "event_id") -> DataFrame:
     """Count-based moving windows of a stream: per key the windows of the last `size` rows, every
     `step` rows.  State holds at most size rows a key."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept, start = (list(state.get[0]), state.get[1]) if state.exists else ([], 1)
+        kept, start, skip = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 1, 0)
         out = []
-        for pdf in batches:
-            for v in pdf.sort_values("event_id")[value]:
-                kept.append(float(v))
-                if len(kept) == size:
-                    out.append((k[0], start, start + size - 1, sum(kept)))
-                    kept, start = kept[step:], start + step
-        state.update((kept, start))
+        # a key's rows of one micro-batch, in order whatever the parts they come in
+        for v in pd.concat(list(batches)).sort_values(order)[value]:
+            if skip:
+                skip -= 1
+                continue
+            kept.append(float(v))
+            if len(kept) == size:
+                out.append((k[0], start, start + size - 1, sum(kept)))
+                kept, start, skip = kept[step:], start + step, max(0, step - size)
+        state.update((kept, start, skip))
         yield pd.DataFrame(out, columns=[key, "st", "en", "total"])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, st long, en long, total double", "kept array<double>, start long", "append", "NoTimeout")
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, st long, en long, total double", "kept array<double>, start long, skip long", "append", "NoTimeout")
+
+
+def run_stream(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives until it has read all that is there, as a table in folder (a shared one)."""
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
