@@ -49,6 +49,11 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def zeroed(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Vectors as rounded arrays without negative zeros."""
+    return df.withColumn("feat", F.transform("feat", lambda x: F.round(x, digits) + 0.0))
+
+
 def flat(df: DataFrame, digits: int = 6) -> DataFrame:
     """Vectors as rounded arrays."""
     return df.withColumn("feat", F.transform("feat", lambda x: F.round(x, digits)))
@@ -446,7 +451,9 @@ def image_grid(spark, d):
     return I.image_grid(s, 16, 8, 8, 2, 1)
 
 
-@query()
+@query(""", l AS (SELECT sample_id, [round((x + 1) * 127) FOR x IN feat] AS feat, [exp(-0.5 * (pow((i - 1) % 8 + 1 - 3, 2) / 4.0 + pow((i - 1) // 8 + 1 - 5, 2) / 6.0)) FOR i IN range(1, 65)] AS light FROM samples),
+ r AS (SELECT *, 255 - coalesce(list_avg([feat[i] FOR i IN range(1, 65) IF light[i] >= 1.0 / 255 AND feat[i] <> 0]), 0) AS room FROM l)
+ SELECT sample_id, [greatest(0.0, least(255.0, round(feat[i] + room * light[i] - CASE WHEN light[i] >= 1.0 / 255 THEN 0 ELSE 255 END))) FOR i IN range(1, 65)] AS feat FROM r""")
 def illumination(spark, d):
     s = samples(spark, d).select("sample_id", F.transform("feat", lambda x: F.round((x + 1) * 127)).alias("feat"))
     return s.select("sample_id", I.illumination(F.col("feat"), 8, 8, (3, 5), (4, 6)).alias("feat"))
@@ -481,6 +488,13 @@ def random_picks(spark, d):
 # -- learners (numeric, checked by tests)
 
 
+@query(f", {LONG}, m AS (SELECT pos, avg(x) AS m FROM long GROUP BY pos), c AS (SELECT sample_id, list(x - m ORDER BY pos) AS c FROM long JOIN m USING (pos) GROUP BY sample_id), p AS (SELECT i, j, sum(c[i] * c[j]) AS s FROM c, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j) SELECT round(sum(s) FILTER (i = j), 5) AS total, round(sum(s * s), 3) AS squares FROM p")
+def pca_moments(spark, d):
+    """Sum of the eigenvalues and of their squares: the trace of the scatter matrix and its squared norm."""
+    _, values, _ = L.pca(samples(spark, d))
+    return spark.createDataFrame([(round(float(values.sum()), 5), round(float((values**2).sum()), 3))], "total double, squares double")
+
+
 @query()
 def pca_spectrum(spark, d):
     _, values, _ = L.pca(samples(spark, d), 10)
@@ -680,14 +694,19 @@ def triangle_mask(spark, d):
     return samples(spark, d).select("sample_id", F.transform(I.masked(F.col("feat"), mask), lambda x: x + 0.0).alias("feat"))
 
 
-@query()
+@query(f" SELECT sample_id, [round(list_dot_product(feat, w), 6) + 0.0 FOR w IN {np.kron(I.resize_weights(8, 4), I.resize_weights(8, 4)).tolist()}] AS feat FROM samples")
 def image_resize(spark, d):
-    return I.resized(samples(spark, d), 8, 8, 1, 4, 4).select("sample_id", "feat")
+    return zeroed(I.resized(samples(spark, d), 8, 8, 1, 4, 4).select("sample_id", "feat"))
 
 
-@query()
+# the filter as a circular convolution: its answer to a point at the origin, moved to every pixel
+_ANSWER = np.fft.ifft2(I.frequency_mask(8, 8, 0.25, 2, "high")).real
+_FILTERED = [[float(_ANSWER[(k % 8 - j % 8) % 8, (k // 8 - j // 8) % 8]) for j in range(64)] for k in range(64)]
+
+
+@query(f" SELECT sample_id, [round(list_dot_product(feat, w), 6) + 0.0 FOR w IN {_FILTERED}] AS feat FROM samples")
 def frequency_filter(spark, d):
-    return I.frequency_filtered(samples(spark, d), 8, 8, 0.25, 2, "high").select("sample_id", "feat")
+    return zeroed(I.frequency_filtered(samples(spark, d), 8, 8, 0.25, 2, "high").select("sample_id", "feat"))
 
 
 @query()
@@ -762,6 +781,17 @@ def _projected(spark, d, learn):
     return S.accuracies(N.recognize(L.project(probes, w, mean), L.project(gallery, w, mean)), "cls", "predicted")
 
 
+@query(" SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS product, TRUE AS equal FROM range(0, 64) a(i), range(0, 64) b(j) WHERE i <= j")
+def whitened_products(spark, d):
+    """The whitened features' mean products are those of the identity, but for a constant factor."""
+    s = samples(spark, d)
+    c = S.covariance(L.project(s, *R.whitening(s)), 64)
+    unit = c.filter("i = j").agg(F.avg("cov").alias("_u"))
+    same = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.lit(0.0))
+    c = c.join(F.broadcast(unit))  # one row
+    return c.select("i", "j", same.alias("product"), (F.abs(F.col("cov") / F.col("_u") - same) < 1e-6).alias("equal"))
+
+
 @query()
 def whitened(spark, d):
     s = samples(spark, d)
@@ -887,24 +917,24 @@ def proximity_embedding(spark, d):
     return M.proximity_embedding(L.manifold(spark, "helix", 300))
 
 
-@query()
+@query("""SELECT i AS sample_id, [round(t * cos(t), 6) + 0.0, round(30 * v, 6), round(t * sin(t), 6) + 0.0] AS feat FROM (SELECT i, ((i * 104729) % 500) / 500.0 AS v, 1.5 * pi() * (1 + 2 * CASE WHEN u < 0.5 THEN u * 0.8 ELSE 0.6 + (u - 0.5) * 0.8 END) AS t FROM (SELECT i, ((i * 7919) % 500) / 500.0::DOUBLE AS u FROM range(500) r(i)))""", base=False)
 def broken_swiss_roll(spark, d):
-    return M.surface(spark, "broken_swiss", 500)
+    return zeroed(M.surface(spark, "broken_swiss", 500))
 
 
-@query()
+@query("""SELECT i AS sample_id, [round(10 * CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END + sin(i), 6) + 0.0, round(10 * CASE WHEN i % 3 = 1 THEN 1 ELSE 0 END + sin(i * 2), 6) + 0.0, round(10 * CASE WHEN i % 3 = 2 THEN 1 ELSE 0 END + sin(i * 3), 6) + 0.0] AS feat FROM range(300) r(i)""", base=False)
 def cluster_surface(spark, d):
-    return M.surface(spark, "clusters", 300)
+    return zeroed(M.surface(spark, "clusters", 300))
 
 
-@query()
+@query("""SELECT i AS sample_id, [round(cos(t), 6) + 0.0, round(cos(t) * sin(t), 6) + 0.0, round(3 * v, 6)] AS feat FROM (SELECT i, ((i * 104729) % 400) / 400.0::DOUBLE AS v, 2 * pi() * (((i * 7919) % 400) / 400.0::DOUBLE) AS t FROM range(400) r(i))""", base=False)
 def crossing_surface(spark, d):
-    return M.surface(spark, "intersect", 400)
+    return zeroed(M.surface(spark, "intersect", 400))
 
 
-@query()
+@query("""SELECT i AS sample_id, [round(cos(q[1]), 6), round(tanh(3 * q[2]), 6), round(q[1] + q[3], 6), round(q[4] * sin(q[2]), 6), round(sin(q[1] + q[5]), 6), round(q[5] * cos(q[2]), 6), round(q[5] + q[4], 6), q[2], q[3] * q[4], q[1]] AS feat FROM (SELECT i, [((i // CAST(pow(3, j) AS BIGINT)) % 3) / 2.0::DOUBLE FOR j IN range(0, 5)] AS q FROM range(243) r(i))""", base=False)
 def difficult_surface(spark, d):
-    return M.surface(spark, "difficult", 243)
+    return zeroed(M.surface(spark, "difficult", 243))
 
 
 _STEP = """, c AS (SELECT cls AS c, feat AS m FROM samples WHERE col_idx = 1),
@@ -945,10 +975,12 @@ def high_pass(spark, d):
     return high_passed(table(spark, d, "events"), "event_type", "event_id", "value", high_pass_sections(50, 0.4, 0.8))
 
 
-@query()
+@query(""", b AS (SELECT sample_id, [round((x + 1) * 127) FOR x IN feat[1:48]] AS f FROM samples), v AS (SELECT *, [greatest(f[i], f[i + 16], f[i + 32]) FOR i IN range(1, 17)] AS v FROM b),
+ c AS (SELECT *, [CAST(least(63, floor(x / 256 * 64)) AS INTEGER) FOR x IN v] AS c FROM v)
+ SELECT sample_id, [round(CASE WHEN v[(i - 1) % 16 + 1] > 0 THEN f[i] * len(list_filter(c, lambda y: y <= c[(i - 1) % 16 + 1])) / 16.0 * 255 / v[(i - 1) % 16 + 1] ELSE 0 END, 6) FOR i IN range(1, 49)] AS feat FROM c""")
 def brightness_equalization(spark, d):
     s = samples(spark, d).select("sample_id", F.transform(F.slice("feat", 1, 48), lambda x: F.round((x + 1) * 127)).alias("feat"))
-    return I.brightness_equalized(s, 4, 4)
+    return flat(I.brightness_equalized(s, 4, 4))
 
 
 @query()
