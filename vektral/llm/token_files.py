@@ -110,7 +110,7 @@ class LibraryEncoder(ChunkEncoder):
     normaliser.  The table of chunks is bounded in bytes.
     """
 
-    def __init__(self, path: str, room: int = 128 << 20):
+    def __init__(self, path: str, room: int = 256 << 20):
         import json
         import os
 
