@@ -100,12 +100,19 @@ def kmeans(ds: DataFrame, k: int, iterations: int = 50, seed: int = 1, start: np
         """Vectors as compared, their clusters (from 0) and squared distances, in blocks."""
         if cosine:
             x, c = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-14) for v in (x, c))
-        step = max(1, 4_000_000 // max(1, c.size))
+        step, c2 = max(1, 4_000_000 // max(1, len(c))), (c * c).sum(1)
         found, far = [], []
         for lo in range(0, len(x), step):
-            d = ((x[lo : lo + step, None] - c) ** 2).sum(2)
-            found.append(d.argmin(1))
-            far.append(d.min(1))
+            part = x[lo : lo + step]
+            x2 = (part * part).sum(1)
+            d = x2[:, None] + c2 - 2 * part @ c.T
+            own = d.argmin(1)
+            # centres within the product's rounding error of the nearest are compared exactly
+            error = 8 * np.finfo(float).eps * (c.shape[1] + 2) * (x2 + c2.max())
+            for r in np.flatnonzero((d <= (d.min(1) + error)[:, None]).sum(1) > 1):
+                own[r] = ((part[r] - c) ** 2).sum(1).argmin()
+            found.append(own)
+            far.append(((part - c[own]) ** 2).sum(1))
         return x, np.concatenate(found), np.concatenate(far)
 
     def step(c: np.ndarray) -> np.ndarray:
@@ -122,8 +129,8 @@ def kmeans(ds: DataFrame, k: int, iterations: int = 50, seed: int = 1, start: np
                 yield pa.RecordBatch.from_arrays([pa.array([worst]), pa.array([at.tolist()], pa.list_(pa.float64())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["worst", "at", "total"])
 
         parts = rows.select("feat").mapInArrow(run, "worst double, at array<double>, total array<double>")
-        summed = parts.select(F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-        total = np.array([r["x"] for r in summed]).reshape(k, -1)
+        summed = parts.select(F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+        total = np.array([x for _, x in sorted(summed)]).reshape(k, -1)
         new, empty = total[:, 1:] / np.maximum(total[:, :1], 1), np.flatnonzero(total[:, 0] == 0)
         if len(empty):
             outer = parts.orderBy(F.desc("worst"), "at").limit(len(empty)).collect()

@@ -22,10 +22,25 @@ def mean_vector(ds: DataFrame, *by: str) -> DataFrame:
 
 
 def covariance(ds: DataFrame, dims: int) -> DataFrame:
-    """(i, j, cov) of the population: the products of a vector's own components, summed up.  Pairs are
-    of components inside one row, dims * dims of them, combined before any shuffle."""
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.transform(F.sequence(i, F.lit(dims - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"), F.element_at("feat", i + 1).alias("x"), F.element_at("feat", j + 1).alias("y")))))
-    return ds.select(F.inline(pairs)).groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+    """(i, j, cov) of the population, i <= j.  The first pass gives the means (dims numbers), the second a
+    task's products of centred batches, dims * dims numbers each, summed by component."""
+    import numpy as np
+    import pyarrow as pa
+
+    first = long_form(ds).groupBy("pos").agg(F.avg("x").alias("m"), F.count("*").alias("n")).orderBy("pos").collect()
+    mean, n = np.array([r["m"] for r in first] or [0.0] * dims), first[0]["n"] if first else 0
+
+    def run(batches):
+        total, some = np.zeros((dims, dims)), False
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1) - mean
+                total, some = total + x.T @ x, True
+        if some:
+            i, j = np.triu_indices(dims)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "x"])
+
+    return ds.select("feat").mapInArrow(run, "i int, j int, x double").groupBy("i", "j").agg((F.sum("x") / max(1, n)).alias("cov"))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
