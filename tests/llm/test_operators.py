@@ -265,6 +265,26 @@ def mixed_by_hand(rows, target):
     return Counter(out)
 
 
+def targets_by_hand(rows):
+    """Each source's target: shares of all words by weight, none above three times its size, the excess shared again."""
+    total = Counter()
+    for _, n, s in rows:
+        total[s] += n
+    order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    target, left, open_ = {}, float(sum(total.values())), set(order)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * total[s]}
+        for s in full or open_:
+            target[s] = 3.0 * total[s] if full else level * weight[s]
+        if not full:
+            break
+        left -= sum(target[s] for s in full)
+        open_ -= full
+    return target
+
+
 def test_mixing_cuts_where_it_says(spark, monkeypatch):
     """Which documents the cut takes, with runs of ranges, repeated and null ids and copies over several tasks."""
     rnd = random.Random(9)
@@ -732,8 +752,50 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in kept[1]} == {i: t for i, (_, _, t) in lines_expected(first, 10).items()}
     groups = near_expected({r["doc_id"]: r["text"] for r in kept[1]})
     assert sorted(r["doc_id"] for r in kept[2]) == sorted(i for i, (_, c) in groups.items() if c == i)
-    assert {r["doc_id"] for r in kept[3]} <= {r["doc_id"] for r in kept[2]}
-    assert Counter(r["doc_id"] for r in kept[4]) == Counter(r["doc_id"] for r in kept[3])
+    # the mix: targets by filling up, the cut by hand, documents as often as they are taken
+    rows = [(r["doc_id"], len((r["text"] or "").encode().split()), r["source"]) for r in kept[2]]
+    target = targets_by_hand(rows)
+    times = Counter()
+    for (i, _, n, taken), m in mixed_by_hand(rows, target).items():
+        times[i] += m * int(taken / n + 0.5) if n else 0
+    assert Counter(r["doc_id"] for r in kept[3]) == +times
+    text = {r["doc_id"]: tuple(r[c] for c in ("text", "lang", "source")) for r in kept[2]}
+    assert all(tuple(r[c] for c in ("text", "lang", "source")) == text[r["doc_id"]] for r in kept[3])
+    # the tokens: ids, counts and digests as the library gives them
+    library = _tiktoken({b: i for i, b in enumerate(bpe_fst.load_ranks(P.path("byte_bpe_50k.tiktoken")))})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    expected = Counter()
+    for r in kept[3]:
+        ids = library.encode_ordinary(r["text"] or "")
+        expected[r["doc_id"], len(ids), sha(" ".join(map(str, ids)).encode()), sha((r["text"] or "").encode()), tuple(ids)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], tuple(r["ids"])) for r in kept[4]) == expected
     for rows in kept[:4]:
         assert set(rows[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
     assert rows_of(C.run(spark, SMALL).toPandas()) == rows_of(docs.toPandas())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows and an empty table through every stage."""
+    import corpus_pipeline as C
+
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    good = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    rows = [(k, t, "en", "web" if k % 2 else None, len(t)) for k, t in enumerate(good)]
+    rows += [(None, None, None, None, None), (None, "", "en", "web", 0), (None, good[0], None, "web", None), (3, good[3], "en", "web", len(good[3])), (3, good[3], "en", "web", len(good[3]))]
+    rows += [(100, "", "en", "web", 0), (101, None, "en", "web", None), (102, " \n\t", None, None, 3), (103, " ".join(good) * 5, "en", "web", 1)]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for k, (_, stage) in enumerate(C.STAGES):
+            out = stage(spark, docs, SMALL)
+            got = out.collect()
+            assert k == 4 or out.columns == docs.columns
+            if k == 0:  # rows stay or go whole
+                assert not Counter(map(tuple, got)) - Counter(given)
+            elif k == 1:
+                assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((r["doc_id"], r["source"]) for r in docs.collect()) and all(r["n_chars"] == len(r["text"]) for r in got)
+            elif k == 4:
+                assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in docs.collect()) and all(r["n_tokens"] == len(r["ids"]) for r in got)
+            if not given:
+                assert not got
+            if k < 4:
+                docs = spark.createDataFrame(got, out.schema)
