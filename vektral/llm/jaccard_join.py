@@ -272,10 +272,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, broadcast_limit: int, p
     seats = seats.unionByName(heads.select(F.col("ra").alias("_rep"), F.col("a").alias("sig"), F.col("na").alias("n"), region(F.col("part"), 0).alias("r")))
     seats = written(seats, "seats")
     many = seats.groupBy("_rep", "sig", "n").agg(F.ceil(F.count("*") / per_row).cast("int").alias("rows")).filter("rows > 1")
-    if many.isEmpty():
-        lists = seats.withColumn("row", F.lit(0))
-    else:
+    n_many = many.count()
+    if n_many:
+        # sent to the seats where it is small, so that these are dealt by row as well
+        many = F.broadcast(many) if n_many <= broadcast_limit else many
         lists = seats.join(many, ["_rep", "sig", "n"], "left").withColumn("row", F.pmod(F.xxhash64("r"), F.coalesce("rows", F.lit(1))).cast("int"))
+    else:
+        lists = seats.withColumn("row", F.lit(0))
     lists = written(lists.groupBy("_rep", "sig", "n", "row").agg(F.collect_list("r").alias("r")), "lists")
     if seats.count() <= broadcast_limit:  # some 50 bytes a seat
         rows = docs.join(F.broadcast(lists), docs["doc_id"] == lists["_rep"])
