@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektral.llm.bpe_fst import encode_documents
-from vektral.llm.common import new_path, small_batches, table, written
+from vektral.llm.common import forget_path, new_path, small_batches, table, written
 from vektral.llm.jaccard_join import jaccard_join
 from vektral.llm.line_dedup import dedup_lines
 from vektral.llm.mixing import mixed_documents
@@ -70,10 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each written and read again; a stage's table goes once the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            forget_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
