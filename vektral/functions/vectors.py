@@ -77,3 +77,11 @@ def zero_to_one(v: Column) -> Column:
 def gauss_error(f: Column) -> Column:
     """The weight of an error given as its square over its width."""
     return F.exp(-f / 2)
+
+
+def row_deviation(v: Column) -> Column:
+    """The sample standard deviation of a vector's own components; null for fewer than two."""
+    n = F.size(v)
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
+    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    return F.when(n > 1, F.sqrt(squares / (n - 1)))

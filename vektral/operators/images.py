@@ -46,6 +46,12 @@ def export_order(feat: Column, h: int, w: int, ch: int, order: str) -> Column:
     return gather(feat, index)
 
 
+def flipped(feat: Column, h: int, w: int, ch: int, upside: bool = False) -> Column:
+    """Mirrored left to right, or upside down."""
+    index = [c * h * w + (x if upside else w - 1 - x) * h + (h - 1 - y if upside else y) for c in range(ch) for x in range(w) for y in range(h)]
+    return gather(feat, index)
+
+
 def grey(feat: Column, h: int, w: int) -> Column:
     n = h * w
     # fixed values: luma weights

@@ -319,3 +319,17 @@ def surface(spark, kind: str, n: int, noise: float = 0.0, seed: int = 0) -> Data
         raise ValueError(f"unknown surface {kind}")
     moved = [c.cast("double") + (noise * gaussian_noise(F.col("id"), F.lit(j), seed=seed) if noise else 0.0) for j, c in enumerate(p)]
     return spark.range(n).select(F.col("id").alias("sample_id"), F.array(*moved).alias("feat"))
+
+
+def neighbour_dimension(near: DataFrame, first: int, last: int) -> DataFrame:
+    """(dimension): the reciprocal slope of the log mean distance to the k-th neighbour over log k."""
+    mean = near.filter(F.col("rank").between(first, last)).groupBy("rank").agg(F.ln(F.avg(F.sqrt("d2"))).alias("y")).withColumn("x", F.ln("rank"))
+    return mean.agg((1 / F.regr_slope("y", "x")).alias("dimension"))
+
+
+def eigen_dimension(ds: DataFrame, least: float = 0.025) -> int:
+    """The number of principal variances of at least that share of the greatest."""
+    from .learning import pca
+
+    values = pca(ds)[1]
+    return int((values >= least * values.max()).sum()) if len(values) else 0

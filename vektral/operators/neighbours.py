@@ -72,8 +72,8 @@ def neighbour_graph(ds: DataFrame, k: int) -> DataFrame:
 
 
 def affinity(edges: DataFrame, kind: str, t: float = 1.0) -> DataFrame:
-    """Weights of neighbour edges: binary, or heat exp(-d2 / 2t2)."""
-    w = F.lit(1.0) if kind == "binary" else F.exp(-F.col("d2") / (2 * t * t))
+    """Weights of neighbour edges: binary, heat exp(-d2 / 2t2), or cosine (of edges between unit vectors)."""
+    w = {"binary": F.lit(1.0), "heat": F.exp(-F.col("d2") / (2 * t * t)), "cosine": 1 - F.col("d2") / 2}[kind]
     return edges.select("src", "dst", w.alias("w"))
 
 

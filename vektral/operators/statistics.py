@@ -95,8 +95,8 @@ def folds(ds: DataFrame, k: int) -> DataFrame:
 
 
 def fit_scaler(ds: DataFrame, kind: str) -> DataFrame:
-    """(a, b) arrays so that x -> (x - a) / b: zscore (population) or minmax."""
-    s = feature_statistics(ds)
+    """(a, b) arrays so that x -> (x - a) / b: zscore (population) or minmax.  NaN counts as missing."""
+    s = feature_statistics(ds.withColumn("feat", F.transform("feat", lambda x: F.when(~F.isnan(x), x))))
     a, b = (F.col("mean"), F.col("std_pop")) if kind == "zscore" else (F.col("lo"), F.col("hi") - F.col("lo"))
     s = s.select("pos", a.alias("a"), F.when(b == 0, F.lit(1.0)).otherwise(b).alias("b"))
     rows = F.array_sort(F.collect_list(F.struct("pos", "a", "b")))

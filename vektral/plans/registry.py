@@ -21,8 +21,8 @@ from ..operators import neighbours as N
 from ..operators import preparing as P
 from ..operators import statistics as S
 from ..operators import windows as W
-from ..sources.tables import high_pass_sections, high_passed, image_name, natural_key, samples, stream_of, table
-from ..streaming.stages import run_stream, stream_windows
+from ..sources.tables import high_pass_sections, high_passed, image_name, image_samples, natural_key, samples, save_images, stream_of, table
+from ..streaming.stages import Pipeline, Scaler, run_stream, stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -781,7 +781,7 @@ def _projected(spark, d, learn):
     return S.accuracies(N.recognize(L.project(probes, w, mean), L.project(gallery, w, mean)), "cls", "predicted")
 
 
-@query(" SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS product, TRUE AS equal FROM range(0, 64) a(i), range(0, 64) b(j) WHERE i <= j")
+@query(" SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(i = j AS DOUBLE) AS product, TRUE AS equal FROM range(0, 64) a(i), range(0, 64) b(j) WHERE i <= j")
 def whitened_products(spark, d):
     """The whitened features' mean products are those of the identity, but for a constant factor."""
     s = samples(spark, d)
@@ -1129,3 +1129,76 @@ def recognition_by_own_distance(spark, d):
 def stream_moving_windows(spark, d):
     events = stream_of(spark, d, "events").select("event_id", "event_type", "value")
     return rounded(run_stream(stream_windows(events, "event_type", "value", 100, 50), f"{G.shared_folder(spark)}/stream-{uuid.uuid4().hex}"), "total", digits=4)
+
+
+# -- more of the same families
+
+_UNIT = ", s AS (SELECT sample_id, [x / sqrt(list_dot_product(feat, feat)) FOR x IN feat] AS feat FROM samples), d AS"
+
+
+@query(_KNN.replace(", s AS (SELECT sample_id, feat FROM samples), d AS", _UNIT) + " SELECT src, dst, round(1 - d2 / 2, 6) + 0.0 AS w FROM u")
+def cosine_affinity(spark, d):
+    s = samples(spark, d).withColumn("feat", V.l2_normalized(F.col("feat")))
+    return N.affinity(N.neighbour_graph(s, 5), "cosine").select("src", "dst", (F.round("w", 6) + 0.0).alias("w"))
+
+
+@query(" SELECT sample_id, round(list_aggregate(feat, 'stddev_samp'), 6) AS deviation FROM samples")
+def row_deviations(spark, d):
+    return samples(spark, d).select("sample_id", F.round(V.row_deviation(F.col("feat")), 6).alias("deviation"))
+
+
+@query(f", {LONG}, m AS (SELECT pos, avg(x) FILTER (x <= 0.25) AS a, stddev_pop(x) FILTER (x <= 0.25) AS b FROM long GROUP BY pos) SELECT sample_id, CAST(pos AS INTEGER) AS pos, round((x - a) / b, 5) + 0.0 AS z FROM long JOIN m USING (pos) WHERE x <= 0.25")
+def standardized_without_missing(spark, d):
+    s = samples(spark, d).withColumn("feat", F.transform("feat", lambda x: F.when(x > 0.25, F.lit(float("nan"))).otherwise(x)))
+    z = S.long_form(S.apply_scaler(s, S.fit_scaler(s, "zscore")), "sample_id").filter(~F.isnan("x"))
+    return z.select("sample_id", "pos", (F.round("x", 5) + 0.0).alias("z"))
+
+
+@query(_KNN + ", t AS (SELECT k, ln(avg(sqrt(d2))) AS y FROM r WHERE k BETWEEN 2 AND 8 GROUP BY k) SELECT round(1 / regr_slope(y, ln(k)), 5) AS dimension FROM t")
+def neighbour_dimension(spark, d):
+    s = samples(spark, d)
+    return rounded(M.neighbour_dimension(N.nearest(s, s, 8, skip_self=True), 2, 8), "dimension", digits=5)
+
+
+@query()
+def eigen_dimension(spark, d):
+    return spark.createDataFrame([(M.eigen_dimension(samples(spark, d)),)], "dimension int")
+
+
+@query(" SELECT sample_id, [feat[(7 - k // 8) * 8 + k % 8 + 1] FOR k IN range(0, 64)] AS mirrored, [feat[(k // 8) * 8 + 7 - k % 8 + 1] FOR k IN range(0, 64)] AS upside FROM samples")
+def flipped_images(spark, d):
+    f = F.col("feat")
+    return samples(spark, d).select("sample_id", I.flipped(f, 8, 8, 1).alias("mirrored"), I.flipped(f, 8, 8, 1, True).alias("upside"))
+
+
+@query(" SELECT cls, CAST(col_idx AS INTEGER) AS col_idx, 8 AS h, 8 AS w, [round((x + 1) * 127) FOR x IN feat] AS feat FROM samples")
+def image_files(spark, d):
+    """Written as image files, a folder a class, and read back; folders in natural order are the classes."""
+    path = f"{G.shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    save_images(_bytes(spark, d), path, 8, 8).write.format("noop").mode("overwrite").save()
+    return image_samples(spark, path, grey=True).select("cls", "col_idx", "h", "w", "feat")
+
+
+@query(f", g AS (SELECT s.* FROM samples s JOIN (SELECT cls, count(*) AS n FROM samples GROUP BY cls) USING (cls) WHERE 3 * col_idx <= 2 * n), {LONG}, m AS (SELECT pos, avg(x) AS a, stddev_pop(x) AS b FROM long WHERE sample_id IN (SELECT sample_id FROM g) GROUP BY pos), z AS (SELECT sample_id, pos, (x - a) / b AS x FROM long JOIN m USING (pos)),"
+       " l AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM z WHERE sample_id IN (SELECT sample_id FROM g) GROUP BY pos) SELECT sample_id, CAST(pos AS INTEGER) AS pos, round((x - lo) / (hi - lo), 5) + 0.0 AS x FROM z JOIN l USING (pos)")
+def fitted_stages(spark, d):
+    """Two stages fitted one after the other on the gallery, applied to every sample."""
+    gallery, probes = _split(spark, d)
+    every = gallery.withColumn("split", F.lit("TR")).unionByName(probes.withColumn("split", F.lit("TE")))
+    out = Pipeline(Scaler("zscore"), Scaler("minmax")).fit(every).transform(every)
+    return S.long_form(out, "sample_id").select("sample_id", "pos", (F.round("x", 5) + 0.0).alias("x"))
+
+
+@query(", c0 AS (SELECT cls AS k, feat AS c FROM samples WHERE col_idx = 1), n AS (SELECT sample_id, feat, k FROM samples, c0 QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY list_sum([(feat[i] - c[i]) * (feat[i] - c[i]) FOR i IN range(1, 65)]), k) = 1),"
+       " p AS (SELECT k, i, avg(feat[i]) AS m FROM n, range(1, 65) r(i) GROUP BY k, i), c1 AS (SELECT k, list(m ORDER BY i) AS c FROM p GROUP BY k)"
+       " SELECT sample_id, CAST(k AS INTEGER) AS cluster FROM samples, c1 QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY list_sum([(feat[i] - c[i]) * (feat[i] - c[i]) FOR i IN range(1, 65)]), k) = 1")
+def kmeans_step(spark, d):
+    """One step from given centres, the first sample of each class."""
+    s = samples(spark, d)
+    start = np.array([r["feat"] for r in s.filter("col_idx = 1").orderBy("cls").collect()])  # a row a class
+    return L.kmeans(s, len(start), 1, start=start)[1]
+
+
+@query()
+def singular_least_squares(spark, d):
+    return _projected(spark, d, lambda g: R.partial_least_squares(g, 5, "svd"))

@@ -161,6 +161,8 @@ def save_images(ds: DataFrame, path: str, h: int, w: int, ch: int = 1, folders:
 
     import pyarrow as pa
 
+    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+
     def run(batches):
         from pyarrow import fs
 
