@@ -977,7 +977,7 @@ def high_pass(spark, d):
 
 @query(""", b AS (SELECT sample_id, [round((x + 1) * 127) FOR x IN feat[1:48]] AS f FROM samples), v AS (SELECT *, [greatest(f[i], f[i + 16], f[i + 32]) FOR i IN range(1, 17)] AS v FROM b),
  c AS (SELECT *, [CAST(least(63, floor(x / 256 * 64)) AS INTEGER) FOR x IN v] AS c FROM v)
- SELECT sample_id, [round(CASE WHEN v[(i - 1) % 16 + 1] > 0 THEN f[i] * len(list_filter(c, lambda y: y <= c[(i - 1) % 16 + 1])) / 16.0 * 255 / v[(i - 1) % 16 + 1] ELSE 0 END, 6) FOR i IN range(1, 49)] AS feat FROM c""")
+ SELECT sample_id, [round(CASE WHEN v[(i - 1) % 16 + 1] > 0 THEN f[i] * (len(list_filter(c, lambda y: y <= c[(i - 1) % 16 + 1])) / 16.0 * 255 / v[(i - 1) % 16 + 1]) ELSE 0 END, 6) FOR i IN range(1, 49)] AS feat FROM c""")
 def brightness_equalization(spark, d):
     s = samples(spark, d).select("sample_id", F.transform(F.slice("feat", 1, 48), lambda x: F.round((x + 1) * 127)).alias("feat"))
     return flat(I.brightness_equalized(s, 4, 4))
