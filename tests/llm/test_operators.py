@@ -175,6 +175,36 @@ def test_phrase_dedup(docs, per_block):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == passages_expected(texts())
 
 
+def test_phrase_dedup_one_passage_in_every_document(spark):
+    """Blocks that all hold one passage, overlapping parts of others, a word repeated for long and a very long text."""
+    rnd = random.Random(41)
+    passage, other = [f"p{i}" for i in range(30)], [f"q{i}" for i in range(60)]
+    texts = {}
+    for k in range(70):
+        own = lambda n: [f"r{rnd.randrange(10**6)}" for _ in range(n)]
+        at = rnd.randrange(40)
+        texts[k * 3] = " ".join(own(rnd.randrange(9)) + passage + own(5) + other[at : at + rnd.randrange(10, 20)] + own(rnd.randrange(9)))
+    texts[1000], texts[1001] = " ".join(["same"] * 500), " ".join(["same"] * 12 + ["end"])
+    texts[1002] = " ".join(f"w{k % 9000}" for k in range(60_000)) + " " + " ".join(passage)
+    texts[1003] = " ".join(f"w{k}" for k in range(4000, 4100))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    for per_block in (2000, 7):
+        got = phrase_dedup.remove_repeated_passages(rows, docs_per_block=per_block, digest=True)
+        assert {r[0]: tuple(r)[1:] for r in got.collect()} == passages_expected(texts)
+
+
+def test_phrases_are_located_by_words():
+    """A document whose hashes say that it holds a phrase, but not its words, keeps them."""
+    words = [f"v{k}" for k in range(20)]
+    b = phrase_dedup.Block([1, 2], [" ".join(words), " ".join(words)], 13)
+    phrases = phrase_dedup.Phrases(np.array([1]), [" ".join(words).encode()], 13, 4)
+    at, holder = phrases.locate(b)
+    assert len(at) == 16 and set(holder.tolist()) == {1}
+    b.raws[1] = " ".join([*words[:10], "other", *words[11:]]).encode()  # the hashes stay as they were
+    at, _ = phrases.locate(b)
+    assert set(b.doc[b.at[at]].tolist()) == {0}
+
+
 def test_phrase_dedup_edges(spark, nothing):
     assert phrase_dedup.remove_repeated_passages(nothing).count() == 0
     t = " ".join(map(str, range(20)))
