@@ -434,3 +434,22 @@ def test_stream_windows_with_long_steps(spark, tmp_path):
     events = spark.readStream.schema("event_id long, k string, v double").option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in"))
     got = run_stream(stream_windows(events, "k", "v", 4, 10), str(tmp_path / "out")).collect()
     assert sorted((r["st"], r["en"], r["total"]) for r in got) == [(s, s + 3, float(sum(range(s - 1, s + 3)))) for s in (1, 11, 21, 31, 41, 51)]
+
+
+def test_layers_come_apart(spark):
+    """Sums of a gallery's sample and a few bright pixels: the pixels are found, and the class behind them."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 40))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    gallery = spark.createDataFrame([(k, k // 3, [float(v) for v in x]) for k, x in enumerate(base)], "sample_id long, cls int, feat array<double>")
+    probes, spots = [], {}
+    for k in range(12):
+        spots[100 + k] = sorted(rng.choice(40, 3, replace=False).tolist())
+        x = base[k].copy()
+        x[spots[100 + k]] += 3.0
+        probes.append((100 + k, k // 3, [float(v) for v in x]))
+    probes = spark.createDataFrame(probes, "sample_id long, cls int, feat array<double>")
+    parts = L.layered_codes(probes, [base.T, np.eye(40)], [0.01, 0.05]).filter("layer = 2").collect()
+    assert {r["sample_id"]: sorted(np.argsort(r["part"])[-3:].tolist()) for r in parts} == spots
+    got = L.layered_recognition(probes, gallery, np.eye(40)).collect()
+    assert len(got) == 12 and all(r["predicted"] == r["cls"] for r in got)

@@ -293,6 +293,51 @@ def sparse_recognition(probes: DataFrame, gallery: DataFrame, penalty: float = 0
     return probes.select("sample_id", "cls", "feat").mapInArrow(run, "sample_id long, cls int, predicted int")
 
 
+def layered_codes(probes: DataFrame, dictionaries: list[np.ndarray], penalties: list[float], rounds: int = 20, most: int = 5000) -> DataFrame:
+    """(sample_id, cls, layer, code, part): each probe as a sum of parts, one sparse over each dictionary (atoms
+    are columns); in each round a layer codes what the others leave of the probe.  A gallery and a dictionary
+    of what may hide it come apart so.  The dictionaries, at most `most` atoms together, go to every task."""
+    if sum(d.shape[1] for d in dictionaries) > most:
+        raise ValueError(f"the dictionaries take at most {most} atoms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                y = np.asarray(batch.column(2).flatten(), float).reshape(batch.num_rows, -1).T
+                parts = [np.zeros_like(y) for _ in dictionaries]
+                codes: list[np.ndarray] = [np.zeros((d.shape[1], y.shape[1])) for d in dictionaries]
+                for _ in range(rounds):
+                    for k, (d, penalty) in enumerate(zip(dictionaries, penalties)):
+                        codes[k] = lasso(d, y - sum(parts[:k] + parts[k + 1 :], np.zeros_like(y)), penalty)
+                        parts[k] = d @ codes[k]
+                for k in range(len(dictionaries)):
+                    lists = [pa.array(list(x.T), pa.list_(pa.float64())) for x in (codes[k], parts[k])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(y.shape[1], k + 1, np.int32)), *lists], names=["sample_id", "cls", "layer", "code", "part"])
+
+    return probes.select("sample_id", "cls", "feat").mapInArrow(run, "sample_id long, cls int, layer int, code array<double>, part array<double>")
+
+
+def layered_recognition(probes: DataFrame, gallery: DataFrame, hidden: np.ndarray, penalties: tuple[float, float] = (0.01, 0.05), most: int = 5000) -> DataFrame:
+    """(sample_id, cls, predicted): the class whose share of a probe's code over the gallery leaves the least of
+    the probe, once what a second dictionary (of hidden parts) explains is taken away."""
+    rows = gallery.orderBy("cls", "sample_id").limit(most + 1).collect()
+    if len(rows) + hidden.shape[1] > most:
+        raise ValueError(f"gallery and dictionary take at most {most} atoms")
+    a, c = np.array([r["feat"] for r in rows]).T, np.array([r["cls"] for r in rows])
+    classes = np.unique(c)
+    wide = layered_codes(probes, [a, hidden], list(penalties), most=most).groupBy("sample_id", "cls").agg(F.max_by("code", -F.col("layer")).alias("code"), F.max_by("part", "layer").alias("part"))
+    wide = wide.join(probes.select("sample_id", "feat"), "sample_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                code, part, y = (np.asarray(batch.column(k).flatten(), float).reshape(batch.num_rows, -1).T for k in (2, 3, 4))
+                left = np.stack([((y - part - a[:, c == k] @ code[c == k]) ** 2).sum(0) for k in classes])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes[left.argmin(0)].astype(np.int32))], names=["sample_id", "cls", "predicted"])
+
+    return wide.select("sample_id", "cls", "code", "part", "feat").mapInArrow(run, "sample_id long, cls int, predicted int")
+
+
 def manifold(spark, kind: str, n: int) -> DataFrame:
     """Noise-free points of a synthetic surface: helix, twinpeaks or swiss."""
     t = F.col("id") / F.lit(float(n))

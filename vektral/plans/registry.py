@@ -1202,3 +1202,11 @@ def kmeans_step(spark, d):
 @query()
 def singular_least_squares(spark, d):
     return _projected(spark, d, lambda g: R.partial_least_squares(g, 5, "svd"))
+
+
+@query()
+def layered_recognition(spark, d):
+    """Probes with a quarter of their rows hidden, coded over the gallery and single pixels."""
+    gallery, probes = _split(spark, d)
+    hidden = probes.withColumn("feat", I.occlusion(F.col("feat"), 8, 8, "t", 0.25))
+    return S.accuracies(L.layered_recognition(hidden, gallery, np.eye(64)), "cls", "predicted")
