@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, phrase_dedup
+from . import divergence, fill_middle, line_dedup, mixing, phrase_dedup, toxicity
 from .ann_forest import nearest
 from .bpe_fst import encode_documents
 from .common import small_batches, table
@@ -75,6 +75,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest("output"), digest("restored"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def _with_small_batches(f):
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +99,7 @@ def _with_small_batches(f):
     return run
 
 
-QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_embedding_near_dedup, op2_mix_sources, op3_ngram_jaccard_join, op4_approximate_neighbours, op5_substring_dedup, op6_bpe_transducer, op7_token_files, op8_line_dedup, op9_html_extraction, op10_quality_classifier)}
+QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_embedding_near_dedup, op2_mix_sources, op3_ngram_jaccard_join, op4_approximate_neighbours, op5_substring_dedup, op6_bpe_transducer, op7_token_files, op8_line_dedup, op9_html_extraction, op10_quality_classifier, op11_fill_in_middle, op12_source_divergence, op13_toxicity)}
 
 LINES_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
@@ -117,10 +132,23 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, c.root AS component_id, c.root = v.v
 FROM v JOIN c ON c.node = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = v.vec_id
 """
 
+MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(0, 4)] AS x FROM d),
+c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1, n - b) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
 ORACLE_SQL = {
     "op1_embedding_near_dedup": EMBEDDING_SQL,
     "op2_mix_sources": mixing.ORACLE_SQL,
     "op3_ngram_jaccard_join": JACCARD_SQL,
     "op5_substring_dedup": phrase_dedup.ORACLE_SQL,
     "op8_line_dedup": LINES_SQL,
+    "op11_fill_in_middle": MIDDLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }
