@@ -4,15 +4,15 @@ Texts are cut into sentences of at most SENTENCE_WORDS words, and sentences into
 between white space, where there are other characters inside (id*iot); and three or more single letters after
 each other, put together (i d i o t).  The kernel of two units counts the subsequences of LENGTH characters
 that they share, gaps included, each weighed by DECAY to the power of the span it takes in either of
-them (spans up to SPAN), divided by the units' norms, and raised to POWER; the kernel of two sentences is the
-sum over their units.  So inserted characters and gaps leave a unit near to what it was.
+them (spans up to SPAN), divided by the units' norms, and raised to the third power; the kernel of two sentences is the
+sum over their distinct units.  So inserted characters and gaps leave a unit near to what it was.
 
 Landmarks are units of labelled sentences: those most tied to the label, and others by hash.  The feature map
 is the kernel with the landmarks times the inverse root of their own kernel matrix, and the machine is
 linear in it (squared hinge, Newton steps), so that a sentence's decision is a sum over its units.  As labels
-stand for documents, all sentences of a toxic document begin as toxic; in each later round the one that
-scores highest stands for it, and sentences of clean documents stay clean.  A document scores as its highest
-sentence, through a logistic function fitted to the documents.
+stand for documents, all sentences of a toxic document begin as toxic; in each later round those that
+score near its highest one stand for it, and sentences of clean documents stay clean.  A document scores as its highest
+sentence, through a logistic function of the decision's logarithm fitted to the documents.
 
 Labelled documents are dealt out by Spark: units are counted, sentences' features made and gradients and
 curvatures summed in tasks; the driver sees the landmarks' counts, sums as large as their number squared, and two
@@ -41,15 +41,14 @@ from .common import forget, held, release, written
 from .quality_mil import held_out
 from .words import mixed
 
-LENGTH, SPAN, DECAY, POWER = 3, 7, 0.7, 3
+LENGTH, SPAN, DECAY = 3, 6, 0.95
 SENTENCE_WORDS = 40
 #: letters of a unit that are compared as one string; longer ones are cut, with SPAN - 1 letters shared
 UNIT = 48
 
-#: bytes by 6-bit symbols: 0 is none (lead bytes of UTF-8), 1-26 letters, 27-29 digits and other signs, 31 the
-#: begin of a unit, 32-63 what follows a lead byte
+#: bytes by 6-bit symbols: 0 is none (lead bytes of UTF-8, signs), 1-26 letters, 27-28 digits, 31 the begin of
+#: a unit, 32-63 what follows a lead byte
 _SYMBOL = np.zeros(256, np.int32)
-_SYMBOL[33:128] = 29
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[48:58] = 27 + np.arange(10) % 2
 _SYMBOL[128:192] = 32 + np.arange(64) % 32
@@ -61,7 +60,6 @@ _STOP = np.isin(np.arange(256), list(b".!?\n"))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WEIGHTS = np.random.default_rng(13).integers(1, 1 << 63, UNIT + 1, dtype=np.uint64) | np.uint64(1)
-_GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
 @dataclass
@@ -76,6 +74,13 @@ class Units:
     sentence: np.ndarray
     text: np.ndarray
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first of equal units, and of each sentence its number and the places of its distinct units among them."""
+        _, first, back = np.unique(self.hashed, return_index=True, return_inverse=True)
+        key = np.sort(self.sentence * len(first) + back)
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+        return first, *np.divmod(key, max(1, len(first)))
+
     def strings(self) -> list[bytes]:
         return [self.letters[s : s + n].tobytes() for s, n in zip(self.start.tolist(), self.length.tolist())]
 
@@ -103,7 +108,9 @@ def units(texts: list[str | None]) -> Units:
     letter, space = _LETTER[data], _SPACE[data]
     start, end = _spans(letter)
     # sentences: a stop or the text's end closes one, and so do SENTENCE_WORDS words
-    stops = np.cumsum(_STOP[data], dtype=np.int64)
+    stop = _STOP[data]
+    stop[:-1] &= ~letter[1:]  # a dot between letters closes nothing
+    stops = np.cumsum(stop | (data == 10), dtype=np.int64)
     place = stops[start] if len(start) else np.zeros(0, np.int64)
     first = np.concatenate(([True], place[1:] != place[:-1])) if len(start) else np.zeros(0, bool)
     run = np.arange(len(start)) - np.maximum.accumulate(np.where(first, np.arange(len(start)), 0)) if len(start) else place
@@ -152,80 +159,71 @@ def units(texts: list[str | None]) -> Units:
     return Units(letters, start, size, _hashes(letters, start, size), sentence, text)
 
 
+#: weights as whole numbers, so that sums don't depend on their order
+_WEIGHT = np.round(DECAY ** np.arange(8) * 2.0**30).astype(np.int64)
+
+
 def subsequences(letters: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit, code, weight) of the subsequences of the units, once for each place; a unit has its begin in front."""
+    """(unit, code, weight) of the subsequences of the units, in this order, each code once; a unit has its begin
+    in front."""
     n = length + 1
     off = np.cumsum(n) - n
-    symbols = np.zeros(int(n.sum()) + SPAN, np.int32)
     at = np.repeat(start - 1 - off, n) + np.arange(int(n.sum()))
-    symbols[: len(at)] = _SYMBOL[letters[np.maximum(at, 0)]]
+    symbols = _SYMBOL[letters[np.maximum(at, 0)]]
     symbols[off] = BEGIN
-    unit = np.repeat(np.arange(len(start), dtype=np.int32), n)
-    # lead bytes of UTF-8 aren't symbols
-    stay = symbols[: len(at)] > 0
-    unit, kept = unit[stay], symbols[: len(at)][stay]
+    unit = np.repeat(np.arange(len(start), dtype=np.int64), n)
+    # what has no symbol takes no place
+    stay = symbols > 0
+    unit, kept = unit[stay], symbols[stay].astype(np.int64)
     m = len(kept)
-    unit, kept = np.concatenate((unit, np.full(SPAN, -1, np.int32))), np.concatenate((kept, np.zeros(SPAN, np.int32)))
-    who, code, weight = [], [], []
-    for a, b in _GAPS:
+    unit, kept = np.concatenate((unit, np.full(SPAN, -1))), np.concatenate((kept, np.zeros(SPAN, np.int64)))
+    keys = []
+    for b in range(2, SPAN):
         ok = np.flatnonzero(unit[b : m + b] == unit[:m])
-        who.append(unit[ok])
-        code.append((kept[ok] << 12) | (kept[ok + a] << 6) | kept[ok + b])
-        weight.append(np.full(len(ok), DECAY ** (b + 1)))
-    return np.concatenate(who), np.concatenate(code), np.concatenate(weight)
-
-
-def _summed(who: np.ndarray, code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One row for each unit and code."""
-    key = (who.astype(np.int64) << 18) | code
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], weight[order]
-    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return (key[new] >> 18), (key[new] & 0x3FFFF), np.add.reduceat(weight, new) if len(new) else weight
+        ends = (unit[ok] << 21) | (kept[ok] << 15) | (kept[ok + b] << 3) | b
+        keys += [ends | (kept[ok + a] << 9) for a in range(1, b)]
+    key = np.sort(np.concatenate(keys))
+    if not len(key):
+        return key, key, key
+    weight, key = _WEIGHT[(key & 7) + 1], key >> 3
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[new] >> 18, key[new] & 0x3FFFF, np.add.reduceat(weight, new)
 
 
 @dataclass
 class Landmarks:
-    """Landmark units, with their subsequences as a table: the row of each code, and rows of weights."""
+    """Landmark units, with their subsequences as lists: for each code where its list begins and ends, and
+    the landmarks that hold it with their weights."""
 
     names: list[bytes]
-    row: np.ndarray
-    table: np.ndarray
+    begin: np.ndarray
+    holder: np.ndarray
+    weight: np.ndarray
 
     @classmethod
     def of(cls, names: list[bytes]) -> Landmarks:
         length = np.array([len(x) for x in names], np.int64)
-        who, code, weight = _summed(*subsequences(np.frombuffer(b"".join(names) or b" ", np.uint8), np.cumsum(length) - length, length))
-        norm = np.sqrt(np.bincount(who, weight**2, minlength=len(names)))
-        used, at = np.unique(code, return_inverse=True)
-        row = np.zeros(1 << 18, np.int32)
-        row[used] = np.arange(1, len(used) + 1)
-        table = np.zeros((len(used) + 1, len(names)), np.float32)
-        table[at + 1, who] = weight / np.maximum(norm, 1e-12)[who]
-        return cls(names, row, table)
-
-    def kernels(self, letters: np.ndarray, start: np.ndarray, length: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-        """The kernel of each unit with each landmark."""
-        out = np.zeros((len(start), len(self.names)), np.float32)
-        for lo in range(0, len(start), step):
+        who, code, weight = subsequences(np.frombuffer(b"".join(names) or b" ", np.uint8), np.cumsum(length) - length, length)
+        norm = np.sqrt(np.bincount(who, weight.astype(float) ** 2, minlength=len(names)))
+        order = np.argsort(code, kind="stable")
+        return cls(names, np.searchsorted(code[order], np.arange((1 << 18) + 1)).astype(np.int32), who[order].astype(np.int32), (weight / norm[who])[order])
+
+    def kernels(self, letters: np.ndarray, start: np.ndarray, length: np.ndarray, beta: np.ndarray | None = None, step: int = 1 << 12) -> np.ndarray:
+        """The kernel of each unit with each landmark, or its product with beta."""
+        wide = len(self.names)
+        out = np.zeros((len(start), wide) if beta is None else len(start), np.float32)
+        for lo in range(0, len(start) if wide else 0, step):
             s, n = start[lo : lo + step], length[lo : lo + step]
             who, code, weight = subsequences(letters, s, n)
-            met = np.zeros(len(s), bool)
-            met[who[self.row[code] > 0]] = True
-            ok = met[who]  # units that share nothing with any landmark need no norm
-            who, code, weight = _summed(who[ok], code[ok], weight[ok])
-            norm = np.sqrt(np.bincount(who, weight**2, minlength=len(s)))
-            hit = np.flatnonzero(self.row[code])
-            for a in range(0, len(hit), 1 << 16):
-                h = hit[a : a + (1 << 16)]
-                new = np.flatnonzero(np.concatenate(([True], who[h][1:] != who[h][:-1])))
-                out[lo + who[h][new]] += np.add.reduceat(self.table[self.row[code[h]]] * (weight[h] / norm[who[h]]).astype(np.float32)[:, None], new, axis=0)
-        return out**POWER
-
-    def distinct(self, u: Units) -> tuple[np.ndarray, np.ndarray]:
-        """Kernels of the distinct units, and the place of each unit among them."""
-        _, first, back = np.unique(u.hashed, return_index=True, return_inverse=True)
-        return self.kernels(u.letters, u.start[first], u.length[first]), back
+            norm = np.sqrt(np.bincount(who, weight.astype(float) ** 2, minlength=len(s)))
+            first, many = self.begin[code], self.begin[code + 1] - self.begin[code]
+            hit = many > 0
+            who, weight, first, many = who[hit], weight[hit] / norm[who[hit]], first[hit], many[hit]
+            at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            k = np.bincount(np.repeat(who * wide, many) + self.holder[at], np.repeat(weight, many) * self.weight[at], minlength=len(s) * wide).reshape(len(s), wide)
+            k = k * k * k
+            out[lo : lo + step] = k if beta is None else k @ beta
+        return out
 
     def root(self, floor: float = 1e-6) -> np.ndarray:
         """The inverse root of the landmarks' kernel matrix."""
@@ -238,25 +236,24 @@ class Landmarks:
 
 @dataclass
 class Model:
-    """beta: a unit's part of the decision from its kernels; bias of a sentence; slope and offset of the
-    logistic function; without landmarks every score is the offset's."""
+    """beta: a unit's part of the decision from its kernels; slope and offset of the logistic function;
+    without landmarks every score is the offset's."""
 
     landmarks: Landmarks
     beta: np.ndarray
-    bias: float
     slope: float
     offset: float
 
     def decisions(self, texts: list[str | None], known: Known | None = None) -> np.ndarray:
-        """The highest sentence of each text; one without units counts as one sentence."""
+        """Of each text's highest sentence, the logarithm; a text without units counts as one such sentence."""
         u = units(texts)
         out = np.full(len(texts), -np.inf)
-        _, first, back = np.unique(u.hashed, return_index=True, return_inverse=True)
-        look = lambda k: (self.landmarks.kernels(u.letters, u.start[first[k]], u.length[first[k]]) @ self.beta).astype(np.float32)
+        first, sentence, place = u.distinct()
+        look = lambda k: self.landmarks.kernels(u.letters, u.start[first[k]], u.length[first[k]], self.beta)
         part = known.get(u.hashed[first], look) if known else look(np.arange(len(first)))
-        total = np.round(np.bincount(u.sentence, part[back], minlength=len(u.text)), 6)
+        total = np.round(np.bincount(sentence, part[place], minlength=len(u.text)), 6)
         np.maximum.at(out, u.text, total)
-        return np.where(np.isinf(out), 0, out) + self.bias
+        return logarithm(np.where(np.isinf(out), 0, out))
 
     def scores(self, texts: list[str | None], known: Known | None = None) -> np.ndarray:
         return np.round(1 / (1 + np.exp(-np.clip(self.slope * self.decisions(texts, known) + self.offset, -30, 30))), 9)
@@ -326,13 +323,13 @@ def _parts(flat: bytes, counts: bytes, wide: int) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(flat, np.float32).reshape(-1, wide), np.frombuffer(counts, np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = 8000, tied: int = 160, others: int = 32, rounds: int = 3, steps: int = 8, penalty: float = 1.0, tasks: int = 24) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = 8000, tied: int = 160, others: int = 32, rounds: int = 3, steps: int = 8, near: float = 0.3, penalty: float = 1.0, tasks: int = 24) -> Model:
     """Fits the machine on the sentences of labelled rows that aren't held out."""
     rows = written(_labelled(docs, labels, label, max_train), "labelled")
     n = [r[0] or 0 for r in [rows.agg(F.count("*")).first(), rows.agg(F.sum("y")).first()]]
     if not 0 < n[1] < n[0]:
         share = n[1] / n[0] if n[0] else 0.5
-        return Model(Landmarks.of([]), np.zeros(0), 0.0, 0.0, float(np.log((share + 1e-12) / (1 - share + 1e-12))))
+        return Model(Landmarks.of([]), np.zeros(0), 0.0, float(np.log((share + 1e-12) / (1 - share + 1e-12))))
     landmarks = Landmarks.of(_choose(rows, tied, others))
     root = landmarks.root().astype(np.float32)
     wide = root.shape[1]
@@ -343,16 +340,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
         for batch in batches:
             for lo, texts in groups(batch.column(0), 64, 1_000_000):
                 u = units(texts)
-                k, back = landmarks.distinct(u)
-                mapped = k @ root
-                order = np.argsort(u.sentence, kind="stable")
+                first, s, place = u.distinct()
+                mapped = landmarks.kernels(u.letters, u.start[first], u.length[first]) @ root
                 sums = np.zeros((len(u.text), wide), np.float32)
-                if len(order):
-                    s = u.sentence[order]
-                    new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-                    for a in range(0, len(new), 4096):
-                        b = new[a + 4096] if a + 4096 < len(new) else len(s)
-                        sums[s[new[a : a + 4096]]] = np.add.reduceat(mapped[back[order[new[a] : b]]], new[a : a + 4096] - new[a], axis=0)
+                new = np.flatnonzero(np.diff(s, prepend=-1))
+                for a in range(0, len(new), 4096):
+                    b = new[a + 4096] if a + 4096 < len(new) else len(s)
+                    sums[s[new[a : a + 4096]]] = np.add.reduceat(mapped[place[new[a] : b]], new[a : a + 4096] - new[a], axis=0)
                 flat, counts = [], []
                 for d in range(len(texts)):
                     mine = sums[u.text == d]
@@ -378,14 +372,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
                 xs, ts, cs = [], [], []
                 for y, flat, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     x, c = _parts(flat, counts, wide)
-                    if y and not first:  # the highest stands for the document
-                        top = [int(np.argmax(x @ w[:-1]))]
-                        x, c = x[top], c[top] * 0 + 1
-                    elif y:
-                        c = c / c.sum() * min(8, c.sum())
+                    if y:
+                        f = x @ w[:-1]
+                        if not first:  # those near the highest stand for the document
+                            x, c = x[f >= near * f.max()], c[f >= near * f.max()]
+                        c = c / c.sum()
                     xs.append(x)
                     ts.append(np.full(len(x), 1.0 if y else -1.0))
-                    cs.append(c * weigh[y] if not y else c * weigh[y] * 4)
+                    cs.append(c * weigh[y])
                 x, t, c = np.concatenate(xs), np.concatenate(ts), np.concatenate(cs)
                 x = np.column_stack([x, np.ones(len(x))])
                 slack = np.maximum(0, 1 - t * (x @ w))
@@ -417,8 +411,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
 
     got = bags.select("y", "x").mapInArrow(tops, "y int, top double").collect()  # two numbers a labelled document
     forget(bags)
-    slope, offset = _logistic(np.array([r[1] for r in got]) + w[-1], np.array([r[0] for r in got], float))
-    return Model(landmarks, root.astype(float) @ w[:-1], float(w[-1]), slope, offset)
+    slope, offset = _logistic(logarithm(np.array([r[1] for r in got])), np.array([r[0] for r in got], float))
+    return Model(landmarks, root.astype(float) @ w[:-1], slope, offset)
+
+
+def logarithm(decision: np.ndarray) -> np.ndarray:
+    """Of what a sentence adds to an empty one.  Edited insults keep a part of their decision, so that
+    ratios matter."""
+    return np.log(0.05 + np.maximum(decision, 0))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
