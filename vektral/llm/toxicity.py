@@ -320,10 +320,11 @@ def _choose(rows: DataFrame, tied: int, others: int) -> list[bytes]:
 
 
 def _parts(flat: bytes, counts: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(flat, np.float32).reshape(-1, wide), np.frombuffer(counts, np.float32)
+    """A document's features, kept in half precision, and their counts."""
+    return np.frombuffer(flat, np.float16).reshape(-1, wide).astype(np.float32), np.frombuffer(counts, np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = 8000, tied: int = 160, others: int = 32, rounds: int = 3, steps: int = 8, near: float = 0.3, penalty: float = 1.0, tasks: int = 24) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = 4000, tied: int = 160, others: int = 32, rounds: int = 3, steps: int = 8, near: float = 0.3, penalty: float = 1.0, tasks: int = 24) -> Model:
     """Fits the machine on the sentences of labelled rows that aren't held out."""
     rows = written(_labelled(docs, labels, label, max_train), "labelled")
     n = [r[0] or 0 for r in [rows.agg(F.count("*")).first(), rows.agg(F.sum("y")).first()]]
@@ -353,13 +354,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
                     some = np.abs(mine).sum(1) > 0
                     none = 1 if not some.all() or not len(mine) else 0
                     x = np.concatenate((mine[some], np.zeros((none, wide), np.float32)))
-                    flat.append(x.tobytes())
+                    flat.append(x.astype(np.float16).tobytes())
                     counts.append(np.concatenate((np.ones(some.sum()), np.full(none, max(1, (~some).sum())))).astype(np.float32).tobytes())
                 y = batch.column(1).slice(lo, len(texts))
                 yield pa.RecordBatch.from_arrays([y, pa.array(flat, pa.binary()), pa.array(counts, pa.binary())], names=["y", "x", "n"])
 
     # so many tasks, whose sums the driver adds up
-    bags = written(rows.select("text", "y").mapInArrow(features, "y int, x binary, n binary").repartition(tasks), "sentences")
+    bags = written(rows.select("text", "y").repartition(tasks).mapInArrow(features, "y int, x binary, n binary"), "sentences")
     forget(rows)
     w, weigh = np.zeros(wide + 1), 0.5 * n[0] / np.array([n[0] - n[1], n[1]])
 
@@ -406,7 +407,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            top = [float((np.frombuffer(x, np.float32).reshape(-1, wide) @ w[:-1]).max()) for x in batch.column(1).to_pylist()]
+            top = [float((_parts(x, b"", wide)[0] @ w[:-1]).max()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top, pa.float64())], names=["y", "top"])
 
     got = bags.select("y", "x").mapInArrow(tops, "y int, top double").collect()  # two numbers a labelled document
