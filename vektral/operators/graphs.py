@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="vektral-cut-"))
             atexit.register(shutil.rmtree, _own[0], True)
-        found = _own[0]
+        found = f"file://{_own[0]}"
     return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df as a table in the shared folder: its lineage ends there, and so do the constraints of its plan, which
+    a checkpoint keeps and joins in a loop multiply."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_parts(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -15,11 +15,14 @@ from ..operators import dataset as D
 from ..operators import discriminants as R
 from ..operators import graphs as G
 from ..operators import images as I
+from ..operators import large_margin as LM
 from ..operators import learning as L
 from ..operators import manifolds as M
+from ..operators import margins as MG
 from ..operators import neighbours as N
 from ..operators import preparing as P
 from ..operators import statistics as S
+from ..operators import trees as TR
 from ..operators import windows as W
 from ..sources.tables import high_pass_sections, high_passed, image_name, image_samples, natural_key, samples, save_images, stream_of, table
 from ..streaming.stages import Pipeline, Scaler, run_stream, stream_windows
@@ -37,6 +40,8 @@ def query(sql: str | None = None, base: bool = True):
     """Registers a query by its function's name; base puts the dataset before the SQL."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered twice")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = f"WITH {SAMPLES}{sql}" if base else sql
@@ -937,18 +942,6 @@ def difficult_surface(spark, d):
     return zeroed(M.surface(spark, "difficult", 243))
 
 
-_STEP = """, c AS (SELECT cls AS c, feat AS m FROM samples WHERE col_idx = 1),
- a AS (SELECT sample_id, feat, c FROM samples, c QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY list_sum([(feat[i] - m[i]) * (feat[i] - m[i]) FOR i IN range(1, 65)]), c) = 1),
- l AS (SELECT c, unnest(feat) AS x, generate_subscripts(feat, 1) AS pos FROM a), n AS (SELECT c, pos, avg(x) AS m FROM l GROUP BY c, pos), b AS (SELECT c, list(m ORDER BY pos) AS m FROM n GROUP BY c)"""
-
-
-@query(_STEP + " SELECT sample_id, CAST(b.c AS INTEGER) AS cluster FROM samples, b QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY list_sum([(feat[i] - m[i]) * (feat[i] - m[i]) FOR i IN range(1, 65)]), b.c) = 1")
-def kmeans_step(spark, d):
-    s = samples(spark, d)
-    start = [r["feat"] for r in s.filter("col_idx = 1").orderBy("cls").collect()]
-    return L.kmeans(s, 10, 1, start=np.array(start))[1]
-
-
 @query()
 def cosine_clusters(spark, d):
     return L.kmeans(samples(spark, d), 10, 10, cosine=True)[1]
@@ -1210,3 +1203,78 @@ def layered_recognition(spark, d):
     gallery, probes = _split(spark, d)
     hidden = probes.withColumn("feat", I.occlusion(F.col("feat"), 8, 8, "t", 0.25))
     return S.accuracies(L.layered_recognition(hidden, gallery, np.eye(64)), "cls", "predicted")
+
+
+# -- margins, trees, packings
+
+
+@query()
+def margin_recognition(spark, d):
+    """Support vector machines of each class against the others, over the whole gallery."""
+    gallery, probes = _split(spark, d)
+    return S.accuracies(MG.machine_recognition(gallery, probes), "cls", "predicted")
+
+
+@query(" SELECT DISTINCT cls, TRUE AS optimal FROM samples")
+def margin_optimality(spark, d):
+    """The machines' primal and dual values meet, class by class."""
+    fit = MG.consensus_margins(samples(spark, d), "machine", tolerance=2e-3)
+    met = np.abs(fit.primal - fit.dual) <= 5e-3 * np.abs(fit.primal)
+    return spark.createDataFrame([(int(c), bool(m)) for c, m in zip(fit.classes, met)], "cls int, optimal boolean")
+
+
+@query()
+def sphere_recognition(spark, d):
+    gallery, probes = _split(spark, d)
+    return S.accuracies(MG.sphere_recognition(gallery, probes), "cls", "predicted")
+
+
+@query(" SELECT cls, count(*) AS n, TRUE AS holds FROM samples GROUP BY cls")
+def sphere_shares(spark, d):
+    """No more of a class lies outside its sphere than the share allowed, nor less than that but for the samples on it."""
+    s = samples(spark, d)
+    found = MG.sphere_members(s, MG.consensus_margins(s, "sphere", outside=0.2))
+    out = F.avg((F.col("d2") > F.col("r2") * 1.001).cast("int"))
+    inside = F.avg((F.col("d2") < F.col("r2") * 0.999).cast("int"))
+    return found.groupBy("cls").agg(F.count("*").alias("n"), ((out <= 0.22) & (inside <= 0.82)).alias("holds"))
+
+
+@query("WITH RECURSIVE " + SAMPLES + _KNN + """, n AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS p FROM samples),
+ o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY d2, src, dst) AS k, src, dst, d2, a.p AS ps, b.p AS pd FROM u JOIN n a ON a.sample_id = src JOIN n b ON b.sample_id = dst WHERE src < dst),
+ t(k, part, took) AS (SELECT CAST(0 AS BIGINT), (SELECT list(p ORDER BY p) FROM n), FALSE UNION ALL
+  SELECT o.k, list_transform(part, lambda x: CASE WHEN x = part[pd] THEN part[ps] ELSE x END), part[ps] <> part[pd] FROM t JOIN o ON o.k = t.k + 1)
+ SELECT src, dst, round(d2, 6) AS d2 FROM t JOIN o USING (k) WHERE took""", base=False)
+def spanning_forest(spark, d):
+    return rounded(TR.spanning_forest(N.neighbour_graph(samples(spark, d), 5)), "d2")
+
+
+@query()
+def spanning_tree_dimension(spark, d):
+    return rounded(TR.spanning_dimension(samples(spark, d)), "dimension")
+
+
+_PACKING = ", h AS (SELECT sample_id, feat, row_number() OVER (ORDER BY CAST('0x' || substr(md5(CAST(sample_id AS VARCHAR)), 1, 15) AS BIGINT), sample_id) AS k FROM samples)"
+
+
+@query("WITH RECURSIVE " + SAMPLES + _PACKING + """, r AS MATERIALIZED (SELECT a.k, list(b.k) FILTER (WHERE list_sum([(a.feat[i] - b.feat[i]) * (a.feat[i] - b.feat[i]) FOR i IN range(1, 65)]) < 1.2 * 1.2) AS near FROM h a JOIN h b ON b.k < a.k OR a.k = b.k AND a.k = 1 GROUP BY a.k),
+ t(k, picked) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)] UNION ALL SELECT r.k, CASE WHEN list_has_any(picked, coalesce(near, [])) THEN picked ELSE list_append(picked, r.k) END FROM t JOIN r ON r.k = t.k + 1)
+ SELECT sample_id FROM h WHERE k IN (SELECT unnest(picked) FROM t WHERE t.k = (SELECT max(k) FROM h))""", base=False)
+def packing(spark, d):
+    return TR.packing(samples(spark, d), 1.2)
+
+
+@query()
+def packing_dimension(spark, d):
+    return rounded(TR.packing_dimension(samples(spark, d), 1.0, 1.2), "dimension")
+
+
+@query()
+def large_margin_recognition(spark, d):
+    """Nearest gallery samples under a metric of large margins learned from the gallery."""
+    return _projected(spark, d, lambda g: LM.large_margin_metric(g, steps=10).transform)
+
+
+@query("""WITH """ + SAMPLES + """, d AS (SELECT a.sample_id, b.sample_id AS target_id, list_sum([(a.feat[i] - b.feat[i]) * (a.feat[i] - b.feat[i]) FOR i IN range(1, 65)]) AS d2 FROM samples a JOIN samples b ON a.cls = b.cls AND a.sample_id <> b.sample_id)
+ SELECT sample_id, target_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d2, target_id) AS rank FROM d) WHERE rank <= 3""", base=False)
+def target_neighbours(spark, d):
+    return LM.target_neighbours(samples(spark, d), 3)
