@@ -285,3 +285,53 @@ def test_logistic_is_a_minimum():
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     loss = lambda v: -(t * np.log(1 / (1 + np.exp(-(v[0] * x + v[1])))) + (1 - t) * np.log(1 / (1 + np.exp(v[0] * x + v[1])))).sum()
     assert all(loss(v) < loss(v + d) for d in ([0.05, 0], [-0.05, 0], [0, 0.05], [0, -0.05]))
+
+
+# -- extra columns through the stages of the pipeline
+
+
+EXTRA = ["_k", "_size", "_id", "_times", "score", "predicted", "Score", "n_lines", "n_dropped", "component_id", "_least", "a.b"]
+
+
+def test_stages_give_extra_columns_back(spark, tmp_path):
+    import corpus_pipeline as C
+
+    docs = table(spark, SMALL, "documents")
+    names = [c for c in EXTRA if c != "Score"]
+    marked = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
+    for k, (name, stage) in enumerate(C.STAGES[:4]):
+        plain = stage(spark, docs, SMALL)
+        got = stage(spark, marked, SMALL)
+        assert got.columns == marked.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in names), name
+        assert Counter((r.doc_id, r.text, r.n_chars) for r in rows) == Counter((r.doc_id, r.text, r.n_chars) for r in plain.collect()), name
+        assert k < 4
+    last = C.STAGES[4][1](spark, marked, SMALL)
+    assert last.count() == docs.count()
+
+
+def test_mixed_documents_keep_clashing_columns(spark):
+    from vektral.llm import mixing
+
+    df = spark.createDataFrame([(i, "a b c " * (i + 1), "en", f"s{i % 3}", 7, f"k{i}", f"z{i}") for i in range(30)], SCHEMA + ", _k string, _size string")
+    rows = mixing.mixed_documents(df).collect()
+    assert rows and all((r._k, r._size) == (f"k{r.doc_id}", f"z{r.doc_id}") for r in rows)
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in mixing.mixed_documents(df.drop("_k", "_size")).collect())
+
+
+def test_every_passage_of_a_labelled_text_is_learned_from(spark):
+    from vektral.llm import quality_mil
+
+    filler = " ".join(f"w{k % 300}" for k in range(7000))
+    rows = [(k, f"{filler} {'dreadful' if k % 2 else 'splendid'} {filler}" if k < 40 else f"{'dreadful' if k % 2 else 'splendid'} w{k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, (k + 1) % 2) for k in range(200)], "doc_id long, quality int")
+    seen = []
+    fit = quality_mil.fit
+    try:
+        quality_mil.fit = lambda bags, y, **kw: seen.append([len(b.x) for b in bags]) or fit(bags, y, epochs=1)
+        quality_mil.train(docs, labels)
+    finally:
+        quality_mil.fit = fit
+    assert max(seen[0]) == -(-14_001 // 60)

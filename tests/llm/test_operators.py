@@ -747,7 +747,7 @@ def test_quality_learns_words():
 
 def test_quality_bounds_and_repeats(spark):
     long = quality_mil.passages(["a b c " * 10_000], 60)
-    assert len(long.x) == 500 and len(long.spaced(64).x) == 64 == len(long.spaced(64).count) and len(long.spaced(64).words) == long.spaced(64).count.sum()
+    assert len(long.x) == 500 == len(long.count) and len(long.words) == long.count.sum() == 30_000
     rows = [(k, f"text number {k} of many") for k in range(60)] + [(5, "another text of five"), (5, "a third")]
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
     one = quality_mil.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)

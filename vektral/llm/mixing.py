@@ -13,11 +13,15 @@ Sizes are the numbers of runs of other characters than [\\x20\\x09-\\x0D].
 
 Defined results: a null or empty text has size 0 and nothing of it is taken; a null source is a
 source of its own, last; rows that repeat a doc_id are documents of their own, in the order of their
-sizes; documents without any word at all give target 0; an empty table gives an empty one.
+sizes; documents without any word at all give target 0; other columns, whatever their names, aren't read and go
+along with the mixed documents; an empty table gives an empty one.  The targets' windows see one row a source, in
+one task: some hundred bytes each, so a million sources are well within its memory.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +103,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last time only if the cut leaves
-    half of its words or more.  Columns as docs; whole texts; a document without words goes."""
-    ids = F.col(kw.get("doc_id", "doc_id"))
+    half of its words or more.  Columns as docs, whatever their names; whole texts; a document without words goes."""
+    own = uuid.uuid4().hex  # no column of docs has it in its name
+    c_id, c_size, c_times, c_copy = (f"_{x}{own}" for x in ("id", "size", "times", "copy"))
+    ids = F.col(f"`{kw.get('doc_id', 'doc_id')}`")
     taken = mix_sources(docs, **kw)
-    times = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("_times"))
+    times = taken.select(F.col("doc_id").alias(c_id), F.col("size").alias(c_size + "r"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias(c_times))
     # rows that repeat an id and a size get the sum of their times once each
-    times = times.groupBy("_id", "_size").agg(F.floor(F.avg("_times") + 0.5).cast("int").alias("_times")).filter("_times > 0")
-    both = docs.withColumn("_size", n_words(F.col(kw.get("text", "text"))))
-    joined = both.alias("l").join(times.alias("r"), ids.eqNullSafe(F.col("r._id")) & (F.col("l._size") == F.col("r._size")))
-    return joined.select("l.*", F.explode(F.sequence(F.lit(1), F.col("r._times"))).alias("_k")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = times.groupBy(c_id, c_size + "r").agg(F.floor(F.avg(c_times) + 0.5).cast("int").alias(c_times)).filter(F.col(c_times) > 0)
+    both = docs.withColumn(c_size, n_words(F.col(f"`{kw.get('text', 'text')}`")))
+    joined = both.join(times, ids.eqNullSafe(F.col(c_id)) & (F.col(c_size) == F.col(c_size + "r")))
+    return joined.withColumn(c_copy, F.explode(F.sequence(F.lit(1), F.col(c_times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""

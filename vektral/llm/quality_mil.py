@@ -7,10 +7,10 @@ layer.  Gated attention weighs the passages, and the weighted sum of their repre
 logistic unit.  Embeddings, hidden layer, attention and unit are learned together, from the documents'
 labels alone.
 
-The model is fitted in numpy on the driver, batch by batch, from at most max_train labelled documents
-(those with the least hash of their id and of their text) and of each at most max_passages passages, evenly
-spaced: a few hundred bytes a passage, so some 100 MB at most.  Scoring reads all passages of every text, in
-one pass without a shuffle, a bounded number of them at a time.
+The model is fitted in numpy on the driver, batch by batch, from all passages of at most max_train labelled
+documents (those with the least hash of their id and of their text); what it holds of a passage is about as large
+as its text.  Scoring reads all passages of every text, in one pass without a shuffle, a bounded number of them
+at a time.
 
 Defined results: null, empty and blank texts are one passage without words and get a score like any
 other; the score depends on the text alone, so copies score alike; rows that repeat a doc_id are
@@ -69,13 +69,6 @@ class Passages:
         for lo, hi in zip(self.first, ends):
             yield Passages(self.x[lo:hi], np.zeros(1, np.int64), self.words[at[lo] : at[hi]], self.count[lo:hi])
 
-    def spaced(self, most: int) -> Passages:
-        """At most so many passages of one text, evenly spaced."""
-        if len(self.x) <= most:
-            return self
-        keep = np.linspace(0, len(self.x) - 1, most).astype(int)
-        return Passages(self.x[keep], self.first, self.words[np.isin(self.of(), keep)], self.count[keep])
-
 
 def together(parts: list[Passages]) -> Passages:
     first = np.concatenate(([0], np.cumsum([len(p.x) for p in parts])[:-1])).astype(np.int64)
@@ -231,7 +224,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 5000, max_passages: int = 64, passage_words: int = 60, **kw) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 5000, passage_words: int = 60, **kw) -> Model:
     """Fits the model on the features of labelled rows that aren't held out."""
     marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_y"))
     # the bound holds before the texts are touched: least hashes first
@@ -243,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            parts = [p.spaced(max_passages) for value in batch.column(1) for p in passages([value.as_py()], passage_words).texts()]
+            parts = [p for value in batch.column(1) for p in passages([value.as_py()], passage_words).texts()]
             columns = [[p.x.tobytes() for p in parts], [p.words.tobytes() for p in parts], [p.count.astype(np.int32).tobytes() for p in parts]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "y", "x", "words", "count"])
 
@@ -255,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, passage_words: int = 60, keep_columns: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted of every row (all columns of docs before score and
-    predicted, if keep_columns)."""
+    predicted, which replace columns of these names, if keep_columns)."""
     fields = docs.drop("score", "predicted") if keep_columns else docs.select("doc_id", "text")
     schema = T.StructType([*fields.schema.fields, T.StructField("score", T.DoubleType())]) if keep_columns else "doc_id long, score double"
     at, ids = fields.columns.index("text"), fields.columns.index("doc_id")
