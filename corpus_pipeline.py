@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages; counted as part of vektral.llm."""
+"""A corpus pipeline of five stages; counted as part of vektral.llm.
+
+Defined results: a null, empty or blank text is scored, deduplicated and mixed as one without words, which the
+mix takes none of; null and repeated doc_ids are rows of their own in every stage; exact repeats count as near
+copies, of which the row with the least doc_id stays (null after all others, one of equal rows); empty tables
+give empty ones; extra columns, whatever their names, come through all stages but the last unchanged, whose columns
+are its own.
+"""
 
 from __future__ import annotations
 
@@ -17,18 +24,37 @@ from vektral.llm.quality_mil import score_documents, train
 from vektral.llm.queries import pattern, vocabulary
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _beside(stage):
+    """A stage that sees the columns of documents under their names and all others under names of no one
+    else's, and gives all of them back."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = uuid.uuid4().hex
+        away = {c: f"_{k}{own}" for k, c in enumerate(docs.columns) if c not in COLUMNS}
+        done = stage(spark, docs.withColumnsRenamed(away), sf_dir)
+        return done.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns])
+
+    return run
+
+
+@_beside
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, doesn't reject."""
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")), keep_columns=True)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    return scored.filter("predicted = 1")
 
 
+@_beside
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of ten documents or more."""
-    kept = dedup_lines(docs, min_docs=10)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return dedup_lines(docs, min_docs=10).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_beside
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of similar texts: one with the smallest doc_id, null after all others.
     Rows are told apart by a number of their own, so null and repeated doc_ids lose nothing."""
@@ -41,6 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(goes, row, "left_anti").select(*docs.columns)
 
 
+@_beside
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to weights 1, 2, 3: documents cut out or repeated."""
     return mixed_documents(docs)
