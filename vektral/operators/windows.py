@@ -47,7 +47,8 @@ def moving_windows(segmented: DataFrame, cls: str, value: str, size: int, step:
 
 
 def z_scores(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Sample z-scores inside each group; constant groups give 0."""
-    w = Window.partitionBy(by)
-    sd = F.stddev_samp(value).over(w)
-    return df.withColumn("z", F.when(sd == 0, F.lit(0.0)).otherwise((F.col(value) - F.avg(value).over(w)) / sd))
+    """Sample z-scores inside each group; constant groups give 0.  A group's mean and deviation are an aggregate
+    with map-side combine, joined to its rows."""
+    stats = df.groupBy(F.col(by).alias("_by")).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    z = F.when(F.col("_sd") == 0, F.lit(0.0)).otherwise((F.col(value) - F.col("_mean")) / F.col("_sd"))
+    return df.join(stats, F.col(by).eqNullSafe(F.col("_by"))).withColumn("z", z).drop("_by", "_mean", "_sd")

@@ -21,6 +21,7 @@ from ..operators import manifolds as M
 from ..operators import margins as MG
 from ..operators import neighbours as N
 from ..operators import preparing as P
+from ..operators import selection as SE
 from ..operators import statistics as S
 from ..operators import trees as TR
 from ..operators import windows as W
@@ -764,12 +765,12 @@ def forward_selection(spark, d):
 
 @query()
 def dictionary_codes(spark, d):
-    return C.learned_dictionary(samples(spark, d), 20, 3, 5, most=400)[1]
+    return C.learned_dictionary(samples(spark, d), 20, 3, 5)[1]
 
 
 @query()
 def directions_codes(spark, d):
-    return C.learned_dictionary(samples(spark, d), 20, 3, 5, "mod", most=400)[1]
+    return C.learned_dictionary(samples(spark, d), 20, 3, 5, "mod")[1]
 
 
 @query()
@@ -1278,3 +1279,28 @@ def large_margin_recognition(spark, d):
  SELECT sample_id, target_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d2, target_id) AS rank FROM d) WHERE rank <= 3""", base=False)
 def target_neighbours(spark, d):
     return LM.target_neighbours(samples(spark, d), 3)
+
+
+# -- selection, tangents
+
+
+@query("WITH RECURSIVE " + SAMPLES + """, long AS (SELECT sample_id, cls, unnest(feat) AS x, generate_subscripts(feat, 1) AS pos FROM samples),
+ m AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM long GROUP BY pos), l AS (SELECT sample_id, cls, pos, CASE WHEN x > m + s THEN 2 WHEN x < m - s THEN 0 ELSE 1 END AS v FROM long JOIN m USING (pos)),
+ n AS (SELECT count(*) AS n FROM samples), one AS (SELECT pos, v, count(*) AS c FROM l GROUP BY ALL), k AS (SELECT cls, count(*) AS c FROM samples GROUP BY cls),
+ jc AS (SELECT cls, pos, v, count(*) AS c FROM l GROUP BY ALL), rel AS (SELECT pos, sum(jc.c / n * ln(jc.c * n / (k.c * one.c)::DOUBLE)) AS r FROM jc JOIN k USING (cls) JOIN one USING (pos, v), n GROUP BY pos),
+ jp AS (SELECT a.pos AS i, b.pos AS j, a.v AS u, b.v AS v, count(*) AS c FROM l a JOIN l b USING (sample_id) GROUP BY ALL),
+ red AS (SELECT i, j, sum(jp.c / n * ln(jp.c * n / (a.c * b.c)::DOUBLE)) AS r FROM jp JOIN one a ON a.pos = i AND a.v = u JOIN one b ON b.pos = j AND b.v = jp.v, n GROUP BY i, j),
+ w AS MATERIALIZED (SELECT (SELECT list(r ORDER BY pos) FROM rel) AS rel, (SELECT list(x ORDER BY i) FROM (SELECT i, list(r ORDER BY j) AS x FROM red GROUP BY i)) AS red),
+ t(step, chosen, scores) AS (SELECT 0, []::BIGINT[], []::DOUBLE[] UNION ALL SELECT step + 1, list_append(chosen, list_position(s, list_max(s))::BIGINT), list_append(scores, list_max(s))
+  FROM (SELECT step, chosen, scores, [CASE WHEN list_contains(chosen, j) THEN -1e9 ELSE rel[j] - coalesce(list_avg([red[j][c] FOR c IN chosen]), 0) END FOR j IN range(1, 65)] AS s FROM t, w WHERE step < 8))
+ SELECT CAST(k AS INTEGER) AS step, CAST(chosen[k] - 1 AS INTEGER) AS feature, round(scores[k], 6) AS score FROM t, range(1, 9) r(k) WHERE t.step = 8""", base=False)
+def relevant_features(spark, d):
+    """Eight features by mutual information with the class and with each other."""
+    got = SE.relevant_features(samples(spark, d), 8)
+    return spark.createDataFrame([(k, j, round(s, 6)) for k, (j, s) in enumerate(got, 1)], "step int, feature int, score double")
+
+
+@query()
+def tangent_map_recognition(spark, d):
+    """Nearest gallery samples under the linear map that keeps local tangents."""
+    return _projected(spark, d, lambda g: SE.tangent_map(g, 8))
