@@ -79,3 +79,44 @@ def test_z_scores_of_groups_nulls_and_constants(spark):
     got = sorted((str(r.g), r.x is None or r.x, r.z) for r in W.z_scores(spark.createDataFrame(rows, "g string, x double"), "g", "x").collect())
     want = {("a", 1.0): -(0.5**0.5), ("a", 3.0): 0.5**0.5, ("b", 2.0): 0.0, ("None", 1.0): -(0.5**0.5), ("None", 2.0): 0.5**0.5}
     assert len(got) == len(rows) and all(abs(z - want[g, x]) < 1e-12 for g, x, z in got if (g, x) in want)
+
+
+def test_linear_maps_are_the_dense_forms(spark):
+    from vektral.operators import manifolds as M
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 6)) * [3, 2, 1, 1, 0.5, 0.2]
+    ds, z = frame(spark, x, np.ones(150)), x - x.mean(0)
+    d2 = ((x[:, None] - x) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    near = np.argsort(d2, axis=1, kind="stable")[:, :5]
+    w, left = np.zeros((150, 150)), np.eye(150)
+    for i, n in enumerate(near):
+        w[i, n] = np.exp(-d2[i, n] / 2)
+        c = (x[n] - x[i]) @ (x[n] - x[i]).T
+        v = np.linalg.solve(c + np.eye(5) * (1e-5 * np.trace(c) + 1e-12), np.ones(5))
+        left[i, n] -= v / v.sum()
+    w = np.maximum(w, w.T)
+    degree = np.diag(w.sum(1))
+    for (got, mean), want in ((M.locality_preserving(ds, 5, 1.0, 3), M.generalized(z.T @ (degree - w) @ z, z.T @ degree @ z, 3)), (M.neighbourhood_preserving(ds, 5, 3), M.generalized(z.T @ left.T @ left @ z, z.T @ z, 3))):
+        assert np.allclose(mean, x.mean(0))
+        assert np.allclose(z @ got @ np.linalg.pinv(z @ got), z @ want @ np.linalg.pinv(z @ want), atol=1e-6)
+
+
+def test_wide_galleries_have_the_codes_of_the_direct_form():
+    from vektral.operators import learning as L
+
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(8, 30)), rng.normal(size=(8, 3))
+    a /= np.linalg.norm(a, axis=0)
+    n, z, u = 30, np.zeros((30, 3)), np.zeros((30, 3))
+    inverse = np.linalg.inv(a.T @ a + np.eye(n))
+    for _ in range(4000):
+        x = inverse @ (a.T @ b + z - u)
+        z = np.sign(x + u) * np.maximum(np.abs(x + u) - 0.05, 0)
+        u += x - z
+    value = lambda z: (((a @ z - b) ** 2).sum(0) / 2 + 0.05 * np.abs(z).sum(0))
+    assert np.allclose(value(L.lasso(a, b, 0.05)), value(z), rtol=0.02)
+    x = C.nonnegative_least_squares(a, b, 5000)
+    slope = a.T @ (a @ x - b)
+    assert (x >= 0).all() and (slope > -1e-5).all() and np.abs(slope * x).max() < 1e-5

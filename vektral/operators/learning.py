@@ -38,6 +38,15 @@ def sums(ds: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
+def added(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums by place of rows (v) of so many numbers, one a task."""
+    got = rows.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(size)
+    for r in got:
+        out[r["i"]] = r["v"]
+    return out
+
+
 def project(ds: DataFrame, w: np.ndarray, mean: np.ndarray | None = None) -> DataFrame:
     """feat becomes W' (x - mean)."""
     shift = np.zeros(len(w)) if mean is None else mean
@@ -241,12 +250,17 @@ def locally_linear(ds: DataFrame, k: int = 12, dims: int = 2) -> DataFrame:
 def lasso(a: np.ndarray, b: np.ndarray, penalty: float, rho: float = 1.0, steps: int = 1000) -> np.ndarray:
     """min 1/2 |Ax - b|^2 + penalty |x|_1 by alternating directions; columns of b are problems."""
     n = a.shape[1]
-    solve = np.linalg.inv(a.T @ a + rho * np.eye(n))
+    if n <= len(a):
+        inverse = np.linalg.inv(a.T @ a + rho * np.eye(n))
+        solve = lambda v: inverse @ v
+    else:  # the same through a matrix of the features' size
+        inverse = np.linalg.inv(a @ a.T + rho * np.eye(len(a)))
+        solve = lambda v: (v - a.T @ (inverse @ (a @ v))) / rho
     ab = a.T @ b
     z = np.zeros_like(ab)
     u = np.zeros_like(ab)
     for _ in range(steps):
-        x = solve @ (ab + rho * (z - u))
+        x = solve(ab + rho * (z - u))
         old = z
         z = np.sign(x + u) * np.maximum(np.abs(x + u) - penalty / rho, 0)
         u += x - z
@@ -271,9 +285,9 @@ def matching_pursuit(d: np.ndarray, y: np.ndarray, atoms: int) -> np.ndarray:
     return x
 
 
-def sparse_recognition(probes: DataFrame, gallery: DataFrame, penalty: float = 0.01, most: int = 5000) -> DataFrame:
+def sparse_recognition(probes: DataFrame, gallery: DataFrame, penalty: float = 0.01, most: int = 50_000) -> DataFrame:
     """(sample_id, cls, predicted): each probe's class of least residual of its sparse code over the
-    gallery (at most `most` samples, sent to every task)."""
+    gallery (at most `most` samples, sent to every task); so many probes at a time as a code's size allows."""
     rows = gallery.orderBy("cls", "sample_id").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the gallery takes at most {most} samples")
@@ -283,12 +297,15 @@ def sparse_recognition(probes: DataFrame, gallery: DataFrame, penalty: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = np.asarray(batch.column(2).flatten(), float).reshape(batch.num_rows, -1).T
-                y = y / np.linalg.norm(y, axis=0)
-                x = lasso(a, y, penalty)
-                classes = np.unique(c)
-                left = np.stack([((y - a[:, c == k] @ x[c == k]) ** 2).sum(0) for k in classes])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes[left.argmin(0)].astype(np.int32))], names=["sample_id", "cls", "predicted"])
+                every = np.asarray(batch.column(2).flatten(), float).reshape(batch.num_rows, -1).T
+                every = every / np.linalg.norm(every, axis=0)
+                classes, found, step = np.unique(c), [], max(1, 1_000_000 // len(c))
+                for lo in range(0, every.shape[1], step):
+                    y = every[:, lo : lo + step]
+                    x = lasso(a, y, penalty)
+                    left = np.stack([((y - a[:, c == k] @ x[c == k]) ** 2).sum(0) for k in classes])
+                    found.append(classes[left.argmin(0)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found).astype(np.int32))], names=["sample_id", "cls", "predicted"])
 
     return probes.select("sample_id", "cls", "feat").mapInArrow(run, "sample_id long, cls int, predicted int")
 

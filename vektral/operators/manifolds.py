@@ -1,16 +1,22 @@
-"""Embeddings that need a matrix over all pairs of samples.
+"""Embeddings of samples, and linear maps that keep what their neighbours say of them.
 
-They run in numpy on the driver and refuse more than `most` samples; the linear ones among them
-(locality preserving, neighbourhood preserving) return a map that projects any number of samples.
+Those that need a matrix over all pairs of samples run in numpy on the driver and refuse more than `most`
+samples.  The locality preserving and neighbourhood preserving maps take any number: they are summed up from the
+neighbour graph.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import _embedding
+from .blocks import whole
+from .learning import _embedding, added
+from .neighbours import affinity, around, neighbour_graph
 from .statistics import gaussian_noise
 
 
@@ -34,26 +40,6 @@ def neighbours(d2: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(d2, axis=1, kind="stable")[:, :k]
 
 
-def heat_weights(x: np.ndarray, k: int, t: float) -> np.ndarray:
-    d2 = squared_distances(x)
-    near = neighbours(d2, k)
-    w = np.zeros_like(d2)
-    np.put_along_axis(w, near, np.exp(-np.take_along_axis(d2, near, 1) / (2 * t * t)), 1)
-    return np.maximum(w, w.T)
-
-
-def barycentric(x: np.ndarray, k: int) -> np.ndarray:
-    """Rows of weights that rebuild each sample from its neighbours."""
-    near = neighbours(squared_distances(x), k)
-    w = np.zeros((len(x), len(x)))
-    for i, nb in enumerate(near):
-        z = x[nb] - x[i]
-        c = z @ z.T
-        v = np.linalg.solve(c + np.eye(len(nb)) * (1e-5 * np.trace(c) + 1e-12), np.ones(len(nb)))
-        w[i, nb] = v / v.sum()
-    return w
-
-
 def generalized(a: np.ndarray, b: np.ndarray, dims: int) -> np.ndarray:
     """Vectors of least a w = l b w."""
     inv = np.linalg.inv(np.linalg.cholesky(b + 1e-9 * np.trace(b) / len(b) * np.eye(len(b))))
@@ -61,19 +47,59 @@ def generalized(a: np.ndarray, b: np.ndarray, dims: int) -> np.ndarray:
     return inv.T @ vectors[:, np.argsort(values)[:dims]]
 
 
+def _centred(ds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and centred sum of squares of all vectors."""
+    from .learning import sums
+
+    n, total, gram = sums(ds.select(F.lit(0).alias("cls"), "feat"))[0]
+    return total / n, gram - np.outer(total, total) / n
+
+
 def locality_preserving(ds: DataFrame, k: int = 12, t: float = 1.0, dims: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(w, mean): linear directions that keep neighbours near."""
-    _, x = points(ds)
-    w, mean = heat_weights(x, k, t), x.mean(0)
-    z, degree = x - mean, np.diag(w.sum(1))
-    return generalized(z.T @ (degree - w) @ z, z.T @ degree @ z, dims), mean
+    """(w, mean): linear directions that keep neighbours near.  Each edge of the neighbour graph adds its weighed
+    products to two features x features sums, in the tasks; no matrix over the samples is made."""
+    ds = ds.filter(whole())
+    mean, square = _centred(ds)
+    d = len(mean)
+    edges = affinity(neighbour_graph(ds, k), "heat", t)  # both directions
+    vector = lambda name, to: ds.select(F.col("sample_id").alias(name), F.col("feat").alias(to))
+    both = edges.join(vector("src", "a"), "src").join(vector("dst", "b"), "dst").select("w", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, d, d))
+        for batch in batches:
+            if batch.num_rows:
+                w = np.asarray(batch.column(0))[:, None]
+                x, y = (np.asarray(batch.column(c).flatten(), float).reshape(-1, d) - mean for c in (1, 2))
+                out[0] += (w * (x - y)).T @ (x - y) / 2
+                out[1] += (w * x).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    spread, degree = added(both.mapInArrow(run, "v array<double>"), 2 * d * d).reshape(2, d, d)
+    return generalized(spread, degree, dims), mean
 
 
 def neighbourhood_preserving(ds: DataFrame, k: int = 12, dims: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(w, mean): linear directions in which neighbours rebuild a sample as they do in the data."""
-    _, x = points(ds)
-    m, z = np.eye(len(x)) - barycentric(x, k), x - x.mean(0)
-    return generalized(z.T @ m.T @ m @ z, z.T @ z, dims), x.mean(0)
+    """(w, mean): linear directions in which neighbours rebuild a sample as they do in the data.  What its
+    neighbours leave of each sample is summed up as features x features products in the tasks."""
+    ds = ds.filter(whole())
+    mean, square = _centred(ds)
+    d = len(mean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((d, d))
+        for batch in batches:
+            for row in batch.column(0):
+                x = np.asarray(row.values, float).reshape(-1, d) - mean
+                z = x[1:] - x[0]
+                c = z @ z.T
+                v = np.linalg.solve(c + np.eye(len(z)) * (1e-5 * np.trace(c) + 1e-12), np.ones(len(z)))
+                left = x[0] - (v / v.sum()) @ x[1:]
+                out += np.outer(left, left)
+        yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    left = added(around(ds, k).mapInArrow(run, "v array<double>"), d * d).reshape(d, d)
+    return generalized(left, square, dims), mean
 
 
 def diffusion_map(ds: DataFrame, sigma: float = 1.0, steps: float = 1.0, dims: int = 2) -> DataFrame:

@@ -71,6 +71,14 @@ def neighbour_graph(ds: DataFrame, k: int) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2")).groupBy("src", "dst").agg(F.min("d2").alias("d2"))
 
 
+def around(ds: DataFrame, k: int) -> DataFrame:
+    """(x): for each sample its vector and those of its k nearest, nearest first, end to end."""
+    near = nearest(ds, ds, k, skip_self=True).select(F.col("probe_id").alias("_p"), "rank", F.col("gallery_id").alias("sample_id"))
+    own = ds.select(F.col("sample_id").alias("_p"), F.lit(0).alias("rank"), "sample_id")
+    rows = own.unionByName(near).join(ds.select("sample_id", "feat"), "sample_id")
+    return rows.groupBy("_p").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feat"))), lambda x: x["feat"])).alias("x")).select("x")  # k + 1 vectors
+
+
 def affinity(edges: DataFrame, kind: str, t: float = 1.0) -> DataFrame:
     """Weights of neighbour edges: binary, heat exp(-d2 / 2t2), or cosine (of edges between unit vectors)."""
     w = {"binary": F.lit(1.0), "heat": F.exp(-F.col("d2") / (2 * t * t)), "cosine": 1 - F.col("d2") / 2}[kind]

@@ -9,17 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import sums
-from .neighbours import nearest
-
-
-def _added(rows: DataFrame, size: int) -> np.ndarray:
-    """Sums by place of rows of so many numbers, one a task."""
-    got = rows.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size)
-    for r in got:
-        out[r["i"]] = r["v"]
-    return out
+from .blocks import whole
+from .learning import added, sums
+from .neighbours import around
 
 
 def level_counts(ds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +36,7 @@ def level_counts(ds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 out += one.T @ one
         yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
 
-    return classes, _added(ds.select("cls", "feat").mapInArrow(run, "v array<double>"), wide * wide).reshape(wide, wide)
+    return classes, added(ds.select("cls", "feat").mapInArrow(run, "v array<double>"), wide * wide).reshape(wide, wide)
 
 
 def mutual_information(joint: np.ndarray) -> float:
@@ -80,12 +72,10 @@ def tangent_map(ds: DataFrame, dims: int, k: int = 8) -> tuple[np.ndarray, np.nd
     matrix of its samples, is taken between their vectors at once, so that a task gives back features x
     features numbers and no matrix over the samples is made.  The directions of least sum against the scatter are
     the map.  Samples without a whole vector take no part."""
+    ds = ds.filter(whole())
     s = sums(ds.select(F.lit(0).alias("cls"), "feat"))
     n, total, gram = s[0]
     mean, size = total / n, len(total)
-    near = nearest(ds, ds, k, skip_self=True).select(F.col("probe_id").alias("_p"), "rank", F.col("gallery_id").alias("sample_id"))
-    own = ds.select(F.col("sample_id").alias("_p"), F.lit(0).alias("rank"), "sample_id")
-    around = own.unionByName(near).join(ds.select("sample_id", "feat"), "sample_id").groupBy("_p").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feat"))), lambda x: x["feat"])).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((size, size))
@@ -98,7 +88,7 @@ def tangent_map(ds: DataFrame, dims: int, k: int = 8) -> tuple[np.ndarray, np.nd
                 out += x.T @ rest
         yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
 
-    b = _added(around.select("x").mapInArrow(run, "v array<double>"), size * size).reshape(size, size)
+    b = added(around(ds, k).mapInArrow(run, "v array<double>"), size * size).reshape(size, size)
     values, vectors = np.linalg.eigh(gram - n * np.outer(mean, mean))
     good = values > 1e-10 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
