@@ -78,28 +78,31 @@ def missing_places(ds: DataFrame, selection: Selection) -> DataFrame:
 
 def target_pairs(sliced: DataFrame, split: str = "TR", target: str = "TR_OUT") -> DataFrame:
     """Inputs and targets of a regression: the k-th of each, class by class."""
-    place = Window.partitionBy("cls").orderBy("col_idx", "dup")
-    side = lambda s, name: sliced.filter(F.col("split") == s).select("cls", F.row_number().over(place).alias("k"), F.col("sample_id").alias(name))
+    side = lambda s, name: with_place(sliced.filter(F.col("split") == s), "cls", ["col_idx", "dup"], "k").select("cls", "k", F.col("sample_id").alias(name))
     return side(split, "input_id").join(side(target, "target_id"), ["cls", "k"])
 
 
+def with_count(df: DataFrame, key: str, name: str = "_n") -> DataFrame:
+    """The number of rows of a row's key: counts with map-side combine, joined back."""
+    n = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(name))
+    return df.join(n, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def select_share(ds: DataFrame, share: float) -> DataFrame:
     """The first ceil(share * n) samples of each class."""
-    n = F.count("*").over(Window.partitionBy("cls"))
-    return ds.withColumn("_n", n).filter(F.col("col_idx") <= F.ceil(F.lit(share) * F.col("_n"))).drop("_n")
+    return with_count(ds, "cls").filter(F.col("col_idx") <= F.ceil(F.lit(share) * F.col("_n"))).drop("_n")
 
 
 def flip_classes(ds: DataFrame) -> DataFrame:
     """Samples of each class in reverse order."""
-    n = F.count("*").over(Window.partitionBy("cls"))
-    return ds.withColumn("col_idx", (n + 1 - F.col("col_idx")).cast("int"))
+    return with_count(ds, "cls").withColumn("col_idx", (F.col("_n") + 1 - F.col("col_idx")).cast("int")).drop("_n")
 
 
 def merge_datasets(a: DataFrame, b: DataFrame) -> DataFrame:
     """Class by class: a's samples, then b's."""
     both = a.withColumn("_src", F.lit(0)).unionByName(b.withColumn("_src", F.lit(1)))
-    place = Window.partitionBy("cls").orderBy("_src", "col_idx")
-    return both.withColumn("_new", F.row_number().over(place)).drop("col_idx", "_src").withColumnRenamed("_new", "col_idx")
+    placed = with_place(both, "cls", ["_src", "col_idx"], "_new")
+    return placed.drop("col_idx", "_src").withColumn("_new", F.col("_new").cast("int")).withColumnRenamed("_new", "col_idx")
 
 
 def concat_datasets(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -144,6 +147,15 @@ def with_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> Data
     return ranged.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")
 
 
+def with_place(df: DataFrame, key: str, order: list[str], name: str = "place") -> DataFrame:
+    """A row's number (from 1) among the rows of its key, by unique sort columns: its global row number less that
+    of its key's first row.  A key with a third of all rows is dealt out by ranges like any other."""
+    numbered = with_ordinal(df, [key, *order], "_ordinal")
+    first = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_ordinal").alias("_first"))
+    placed = numbered.join(first, F.col(key).eqNullSafe(F.col("_key")))
+    return placed.withColumn(name, F.col("_ordinal") - F.col("_first") + 1).drop("_key", "_first", "_ordinal")
+
+
 def arrangements(spark: SparkSession, n: int, k: int, ordered: bool, repeated: bool) -> DataFrame:
     """Permutations or combinations of 1..n taken k at a time, columns c1..ck."""
     out = spark.range(1, n + 1).select(F.col("id").alias("c1"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dataset import with_count, with_place
+
 
 def block_split(row: Column, n: Column, tr: float, val: float, te: float) -> Column:
     """TR, VAL or TE of the row-th of n samples, in contiguous blocks; what is left over is null."""
@@ -16,12 +18,16 @@ def block_split(row: Column, n: Column, tr: float, val: float, te: float) -> Col
 
 
 def segments(df: DataFrame, cls: str, order: str, tr: float, val: float, te: float) -> DataFrame:
-    """Adds row (place in the class), split, and pos (place in the class's block of that split)."""
-    place = Window.partitionBy(cls).orderBy(order)
-    n = F.count("*").over(Window.partitionBy(cls))
-    out = df.withColumn("row", F.row_number().over(place)).withColumn("_n", n)
-    out = out.withColumn("split", block_split(F.col("row"), F.col("_n"), tr, val, te)).filter("split is not null")
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy(cls, "split").orderBy(order))).drop("_n")
+    """Adds row (place in the class), split, and pos (place in the class's block of that split).  The blocks
+    follow each other, so that a place in one is a place in the class less what stands before it."""
+    row, n = F.col("row"), F.col("_n")
+    out = with_count(with_place(df, cls, [order], "row"), cls)
+    split = block_split(row, n, tr, val, te)
+    seen_end = F.ceil(n * (tr + val))
+    tr_end = F.ceil(seen_end / (tr + val) * tr)
+    out = out.withColumn("split", split).filter("split is not null")
+    pos = F.when(F.col("split") == "TR", row).when(F.col("split") == "VAL", row - tr_end).otherwise(row - seen_end)
+    return out.withColumn("pos", pos.cast("int")).withColumn("row", row.cast("int")).drop("_n")
 
 
 def window_bounds(blocks: DataFrame, size: int, step: int) -> DataFrame:
@@ -42,8 +48,9 @@ def moving_windows(segmented: DataFrame, cls: str, value: str, size: int, step:
     k = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("pos") - size) / step)).cast("int"), F.floor((F.col("pos") - 1) / step).cast("int"))
     rows = segmented.select(cls, "split", F.col(value).alias("x"), F.explode(k).alias("k")).withColumn("st", F.col("k") * step + 1)
     sums = rows.join(bounds, [cls, "split", "st"]).groupBy(cls, "split", "st", "en").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.max("x").alias("_max"))
-    top = F.max("_max").over(Window.partitionBy(cls, "split"))
-    return sums.withColumn("scaled_max", F.when(top != 0, F.col("_max") / top)).drop("_max")
+    top = sums.groupBy(F.col(cls).alias("_cls"), F.col("split").alias("_split")).agg(F.max("_max").alias("_top"))
+    sums = sums.join(top, F.col(cls).eqNullSafe(F.col("_cls")) & (F.col("split") == F.col("_split")))
+    return sums.withColumn("scaled_max", F.when(F.col("_top") != 0, F.col("_max") / F.col("_top"))).drop("_max", "_cls", "_split", "_top")
 
 
 def z_scores(df: DataFrame, by: str, value: str) -> DataFrame:
