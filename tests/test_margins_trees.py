@@ -87,10 +87,10 @@ def test_machines_tell_classes_apart_and_skip_odd_rows(spark, groups):
     x, y = groups
     odd = spark.createDataFrame([(900, 1, None), (901, 1, []), (902, 2, [1.0, None, 2.0, 3.0]), (903, 2, [1.0, float("nan"), 2.0, 3.0]), (904, None, [1.0, 1.0, 1.0, 1.0])], SCHEMA)
     ds = frame(spark, 3 * x, y)
-    a, b = (MG.consensus_margins(t, "machine", tolerance=0.01, most_rounds=12) for t in (ds, ds.unionByName(odd).withColumn("block", F.lit("clash"))))
+    a, b = (MG.consensus_margins(t, "machine", tolerance=0.01, most_rounds=6) for t in (ds, ds.unionByName(odd).withColumn("block", F.lit("clash"))))
     assert np.array_equal(a.weights, b.weights)
     for recognise in (MG.machine_recognition, MG.sphere_recognition):
-        got = recognise(ds, ds, tolerance=0.01, most_rounds=12).toPandas()
+        got = recognise(ds, ds, tolerance=0.01, most_rounds=6).toPandas()
         assert (got.cls == got.predicted).mean() > 0.85, recognise
     assert MG.consensus_margins(ds.limit(0)).rounds == 0
     with pytest.raises(ValueError):
