@@ -640,6 +640,32 @@ def test_pages_in_time_of_their_length():
         assert time.process_time() - began < 5
 
 
+@pytest.mark.parametrize(("inside", "text"), [
+    ("<header><h1>Title</h1></header><p>{long}</p>", "Title\n\n{long}"),
+    ("<header class='site-header'><h1>Title</h1></header><p>{long}</p>", "{long}"),
+    ("<p>{long}</p><figure><img src=x><figcaption>What the picture shows.</figcaption></figure><p>{long}</p>", "{long}\n\nWhat the picture shows.\n\n{long}"),
+    ("<p>Press the <button type=button>Start</button> key and wait.</p><p>{long}</p>", "Press the Start key and wait.\n\n{long}"),
+    ("<p>Press the <b>red</b> <button>Start</p><p>{long}</p></button><p>{long}</p>", "Press the red Start\n\n{long}\n\n{long}"),
+    ("<p><button>Share</button></p><button>Print</button><p>{long}</p>", "{long}"),
+    ("<p>It is <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></semantics></math> here.</p><p>{long}</p>", "It is x=1 here.\n\n{long}"),
+])
+def test_parts_of_an_article_are_kept(inside, text):
+    long = ("This is the text of the page, and it has a lot of words that are in the list of stop words. " * 3).strip()
+    page = f"<body><header><h1>Site</h1></header><nav><a href=/>home</a></nav><article>{inside.format(long=long)}</article><footer>f</footer></body>"
+    assert html_text.main_text(page) == text.format(long=long)
+
+
+def test_rules_decide_without_marks(spark):
+    """The given pages with every mark of the article taken out still give nearly all of their blocks, and no other."""
+    same = total = 0
+    for page in [r["html"] for r in queries.table(spark, SMALL, "pages").select("html").collect()]:
+        with_marks = Counter(html_text.main_text(page).split("\n\n"))
+        without = Counter(html_text.main_text(re.sub(r"(?i)<(/?)(?:article|main)\b[^>]*>", r"<\1div>", page)).split("\n\n"))
+        assert not without - with_marks
+        same, total = same + sum(without.values()), total + sum(with_marks.values())
+    assert total and same >= 0.95 * total
+
+
 def page_of_known_text(rnd):
     """A page put together from an article and what stands around it, and the article's text."""
     stop, own = "the of and to in is that it was for on are as with his they at be this have from".split(), [f"wo{c}d{d}" for c in "abcdefgh" for d in "xyz"]

@@ -2,7 +2,8 @@
 
 The page is cut into tags and text; block tags begin and end blocks.  What stands in scripts,
 styles, forms, menus, headers, footers, sidebars, notices, adverts or reader comments -- by tag, role
-or a word of the class or id -- is never main text.  In pass one each other block is decided from its
+or a word of the class or id -- is never main text; the header of an article or main element itself, captions, formulas and a
+button inside a sentence are parts of the text around them.  In pass one each other block is decided from its
 length, the share of its characters in links and its share of stop words: long running text is good,
 link lists and long texts without stop words are bad, short ones stay open; stop words are asked of
 Latin script only, and only on pages of which a long block has them, else length and links decide.  In pass two an open block
@@ -40,12 +41,14 @@ SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 #: The first letter says the script.
 LATIN = re.compile(r"[\W\d_]*[a-zA-Z\u00c0-\u024f]")
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noembed", "math"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noembed", "annotation", "annotation-xml"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Tags whose start ends an open one of the same kind.
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-EXCLUDED = set("nav header footer aside form head script style noscript button select menu dialog iframe template object figcaption textarea fieldset".split())
+EXCLUDED = set("nav header footer aside form head script style noscript button select menu dialog iframe template object textarea fieldset".split())
+#: Elements whose sentences may hold a button.
+SENTENCES = set("p li dd dt h1 h2 h3 h4 h5 h6 td th blockquote figcaption caption pre".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar note".split())
 #: Words of class and id names that say so wherever they stand.
 STRONG_SIGNS = set("""ads advert adverts advertisement advertising sponsored promo promoted nav navbar navigation breadcrumb breadcrumbs footer masthead
@@ -71,9 +74,9 @@ class Block:
         self.text, self.linked, self.article = text, linked, article
 
 
-def _excluded(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is excluded, and whether it is marked as the article."""
-    bad, good = tag in EXCLUDED, tag in ("article", "main")
+def _excluded(tag: str, attributes: str, own: bool = False) -> tuple[bool, bool]:
+    """Whether an element is excluded, and whether it is marked as the article; own says that it belongs to one."""
+    bad, good = tag in EXCLUDED and not (own and tag == "header"), tag in ("article", "main")
     if "=" in attributes or "hidden" in attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
@@ -105,6 +108,7 @@ def blocks(page: str) -> list[Block]:
     linked = links = 0
     times: Counter[str] = Counter()  # of open tags
     unclosed: set[str] = set()
+    buttons = 0  # open ones inside a sentence
     last = page.rfind(">")  # no tag ends after it
 
     def close(at: int, upto: int | None = None) -> None:
@@ -138,6 +142,9 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
+            elif tag == "button" and buttons:
+                buttons -= 1
+                continue
             at = next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag) if times[tag] else None
             if at is not None:
                 if any(t in BLOCK for t, _, _ in open_tags[at:]):
@@ -157,8 +164,12 @@ def blocks(page: str) -> list[Block]:
             else:
                 unclosed.add(tag)
             continue
+        if tag == "button" and any(x.strip() for x in text) and open_tags and open_tags[-1][0] in SENTENCES:
+            buttons += 1
+            continue
         if tag in BLOCK:
             end()
+            buttons = 0
             while open_tags and tag in CLOSES.get(open_tags[-1][0], ()):
                 close(len(open_tags) - 1)
             if times["p"]:
@@ -170,8 +181,8 @@ def blocks(page: str) -> list[Block]:
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             if tag == "a":
                 links += 1
-            bad, good = _excluded(tag, m[3])
             _, around_bad, around_good = open_tags[-1] if open_tags else ("", False, False)
+            bad, good = _excluded(tag, m[3], around_good)
             if bad and not around_bad and tag not in BLOCK:
                 end()
             if tag in BLOCK or bad or good:  # others change nothing
