@@ -205,6 +205,20 @@ def test_phrases_are_located_by_words():
     assert set(b.doc[b.at[at]].tolist()) == {0}
 
 
+def test_automata_alone_locate_phrases(monkeypatch):
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([f"a{k}_{i}" for i in range(rnd.randrange(20))] + passage[k : k + 13 + rnd.randrange(15)] + [f"b{k}"]) for k in range(12)]
+    b = phrase_dedup.Block(list(range(12)), texts, 13)
+    expected = {(d, j) for d, t in enumerate(texts) for j in range(len(t.split()) - 12) if " ".join(t.split()[j : j + 13]) in " ".join(passage)}
+    for per_machine in (1, 5, 1000):
+        phrases = phrase_dedup.Phrases(np.array([3]), [" ".join(passage).encode()], 13, per_machine)
+        at, holder = phrases.locate(b)
+        assert Counter((int(b.doc[k]), int(k - b.begin[b.doc[k]])) for k in at) == Counter(expected) and set(holder.tolist()) == {3}
+    monkeypatch.setattr(phrase_dedup.Phrases, "machines", lambda self: iter(()))
+    assert len(phrases.locate(b)[0]) == 0
+
+
 def test_phrase_dedup_edges(spark, nothing):
     assert phrase_dedup.remove_repeated_passages(nothing).count() == 0
     t = " ".join(map(str, range(20)))

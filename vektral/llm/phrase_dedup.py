@@ -9,13 +9,13 @@ found in a document with a smaller doc_id.
    the least doc_id of each, the holder, to send that phrase to the others.
 2  Send phrases.  The holder sends their words: windows that follow each other in a document go to a
    block as one passage, once, with the holder's doc_id.
-3  Compile.  A block's phrases are the passages it was sent and those that several of its own documents
-   share.  The anchor of each phrase -- its run of `anchor` words with the least hash, which is the same
-   wherever the phrase stands -- goes into the block's Aho-Corasick automaton: the automata are sharded
-   as the documents are, and each holds the phrases that may occur there and no others.
-4  Locate.  All documents of the block stream through its automaton.  At each hit the phrases of that
-   anchor are compared with the words around it, word by word, and what they cover goes if the holder's
-   doc_id is smaller.
+3  Compile.  A block's passages are those it was sent and those that several of its own documents
+   share.  Each phrase in them, whole, is a pattern of an Aho-Corasick automaton.  Automata are sharded: by
+   block, each with the phrases that may occur there and no others, and within it so that none holds
+   more than `per_machine` phrases.
+4  Locate.  All documents of the block stream through each of its automata, one automaton at a time.
+   A hit is an occurrence of a phrase, word by word: hits alone say where phrases stand, and what they
+   cover goes if the holder's doc_id is smaller.
 
 The texts move once (all steps read one exchange), the hashes once at some 8 to 12 bytes a distinct
 window of a block, recurring words once for each other block that holds them; no step holds more than a
@@ -24,21 +24,23 @@ block or a bucket, whose numbers grow with the table.
 Defined results: null, empty and short texts have no window and stay whole; rows that repeat a doc_id
 are equal in rank, so they don't remove each other's words; null doc_ids rank last; a text of any length
 is taken whole and must fit a task; an empty table gives an empty one.  Phrases are confirmed by 64-bit
-hashes, and words go only where they are equal.
+hashes, and words go only where an automaton finds them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import compress
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import encoded, hash_words, mixed, sequences
+from .words import encoded, hash_words, sequences
 
 _LAST = (1 << 63) - 1
 
@@ -173,82 +175,70 @@ def _passages(window: int):
     return run
 
 
-def anchors(hashed: np.ndarray, at: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """Where the anchor of each window begins: its run of words with the least hash, the first of equals."""
-    runs = mixed(sequences(hashed, anchor))
-    best, where = runs[at], at.copy()
-    for j in range(1, window - anchor + 1):
-        other = runs[at + j]
-        less = other < best
-        best = np.where(less, other, best)
-        where[less] = at[less] + j
-    return where
-
-
 class Phrases:
-    """Passages compiled: an automaton of their anchors, and the phrases that each anchor stands for."""
-
-    def __init__(self, holders: np.ndarray, passages: list[bytes], window: int, anchor: int):
-        import ahocorasick
+    """The phrases of passages, each once, with its least holder."""
 
-        self.window, self.anchor = window, anchor
+    def __init__(self, holders: np.ndarray, passages: list[bytes], window: int, per_machine: int):
+        self.window, self.per_machine = window, per_machine
         self.numbers: dict[bytes, int] = {}  # of the words, from 1
         number = self.numbers.setdefault
-        ids = [number(w, len(self.numbers) + 1) for x in passages for w in x.split(b" ")]
-        self.ids = np.array(ids, np.int32)
+        self.ids = np.array([number(w, len(self.numbers) + 1) for x in passages for w in x.split(b" ")], np.int32)
         hashed, count = hash_words(passages)
         of = np.repeat(np.arange(len(passages)), count)
         every = sequences(hashed, window)
         at = np.flatnonzero(of[: len(every)] == of[window - 1 :][: len(every)])
-        # each phrase once, with the least holder
         order = np.lexsort((holders[of[at]], every[at]))
         new = np.concatenate(([True], every[at][order][1:] != every[at][order][:-1]))
-        self.at = at[order][new]
-        self.values, self.holder = every[self.at], holders[of[self.at]]
-        # a word is a few letters of a small alphabet, the first of them marked: the automaton's nodes have
-        # few children, and it matches at words only
-        self.digits = max(1, -(-len(self.numbers).bit_length() // 6))
-        text, where = self.letters(self.ids), anchors(hashed, self.at, window, anchor)
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        patterns: dict[str, int] = {}
-        self.pattern = np.empty(len(where), np.int64)
-        for k, place in enumerate(where.tolist()):
-            word = text[place * self.digits : (place + anchor) * self.digits]
-            known = patterns.get(word)
-            if known is None:
-                known = patterns[word] = len(patterns)
-                self.machine.add_word(word, known)
-            self.pattern[k] = known
-        self.machine.make_automaton()
+        self.at = np.sort(at[order][new])
+        self.holder = holders[of[self.at]]
+        # a word is two letters, the first of them marked: nodes have few children, and matches begin at words
+        self.base = max(16, math.isqrt(len(self.numbers)) + 1)
 
     def letters(self, ids: np.ndarray) -> str:
-        letters = (ids[:, None] >> (6 * np.arange(self.digits))) & 63
-        letters[:, 0] += 64
-        return letters.astype(np.uint8).tobytes().decode("latin-1")
+        """Two letters a word, below the surrogates."""
+        if 2 * self.base + 1 >= 0xD800:
+            raise ValueError("a block has too many distinct words")
+        pairs = np.empty((len(ids), 2), "<u2")
+        pairs[:, 0], pairs[:, 1] = self.base + 1 + ids // self.base, 1 + ids % self.base
+        return pairs.tobytes().decode("utf-16-le")
+
+    def machines(self) -> Iterator[ahocorasick.Automaton]:
+        """Automata over all phrases, one at a time; a pattern's value is its place among the phrases."""
+        text, wide = self.letters(self.ids), 2 * self.window
+        for lo in range(0, len(self.at), self.per_machine):
+            machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for k, place in enumerate(self.at[lo : lo + self.per_machine].tolist(), lo):
+                machine.add_word(text[2 * place : 2 * place + wide], k)
+            machine.make_automaton()
+            yield machine
 
     def locate(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
-        """The windows of b that are phrases, and the phrases' holders."""
+        """Where in b's words phrases begin, and the phrases' holders."""
         known = self.numbers.get
         ids = np.array([known(w, 0) for raw in b.raws for w in raw.split()], np.int32)
         place = np.arange(len(ids)) + b.doc  # 0, no word of a phrase, stands between documents
         stream = np.zeros(len(ids) + len(b.count), np.int32)
         stream[place] = ids
-        hit = np.full(len(stream), -1, np.int64)
-        for end, pattern in self.machine.iter(self.letters(stream)):
-            hit[(end + 1) // self.digits - self.anchor] = pattern
-        # at each hit the phrases of its anchor, compared word by word
-        found = hit[place[anchors(b.hashed, b.at, self.window, self.anchor)]]
-        near = np.flatnonzero(found >= 0)
-        phrase = np.minimum(np.searchsorted(self.values, b.windows[near]), len(self.values) - 1)
-        same = (self.values[phrase] == b.windows[near]) & (self.pattern[phrase] == found[near])
-        near, phrase = near[same], phrase[same]
-        equal = np.ones(len(near), bool)
-        for j in range(self.window):
-            equal &= ids[b.at[near] + j] == self.ids[self.at[phrase] + j]
-        return near[equal], self.holder[phrase[equal]]
-
-
-def _locate(window: int, anchor: int):
+        origin = np.full(len(stream), -1, np.int64)
+        origin[place] = np.arange(len(ids))
+        # runs of words of phrases; in shorter ones none has room
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], stream > 0, [0]))))
+        lo, hi = edge[0::2], edge[1::2]
+        long = hi - lo >= self.window
+        lo, hi = lo[long], hi[long]
+        text = self.letters(stream)
+        starts, found = [], []
+        for machine in self.machines():
+            for at, to in zip(lo.tolist(), hi.tolist()):
+                hits = np.array(list(machine.iter(text[2 * at : 2 * to])), np.int64).reshape(-1, 2)
+                starts.append(at + (hits[:, 0] + 1) // 2 - self.window)
+                found.append(hits[:, 1])
+        if not starts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return origin[np.concatenate(starts)], self.holder[np.concatenate(found)]
+
+
+def _locate(window: int, per_machine: int):
     def run(key: tuple, docs: pa.Table, sent: pa.Table) -> pa.Table:
         b = Block(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), window)
         covered = np.zeros(len(b.hashed) + 1, np.int64)
@@ -264,8 +254,8 @@ def _locate(window: int, anchor: int):
                 holders.append(ids)
                 passages += words
         if passages:
-            at, holder = Phrases(np.concatenate(holders), passages, window, anchor).locate(b)
-            gone = b.at[at[holder < b.ids[b.doc[b.at[at]]]]]
+            at, holder = Phrases(np.concatenate(holders), passages, window, per_machine).locate(b)
+            gone = at[holder < b.ids[b.doc[at]]]
             covered += np.bincount(gone, minlength=len(covered)) - np.bincount(gone + window, minlength=len(covered))
         keep = np.cumsum(covered)[:-1] == 0
         n_words, n_removed, kept = [], [], []
@@ -292,7 +282,7 @@ def _digested(locate):
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 13, anchor: int = 4, docs_per_block: int = 2000, bytes_per_block: int = 8_000_000, digest: bool = False) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = 13, per_machine: int = 250_000, docs_per_block: int = 2000, bytes_per_block: int = 8_000_000, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by a space) of every row of docs;
     with digest the sha256 of kept instead of it, so that no text leaves the task.
 
@@ -306,7 +296,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, anchor: int = 4,
     hashes = rows.groupBy("block").applyInArrow(_send(window, buckets), "block int, bucket int, data binary")
     asked = hashes.groupBy("bucket").applyInArrow(_ask, "block int, data binary")
     sent = rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_passages(window), "block int, ids binary, words binary")
-    locate = _locate(window, anchor)
+    locate = _locate(window, per_machine)
     pairs = rows.groupBy("block").cogroup(sent.groupBy("block"))
     if digest:
         return pairs.applyInArrow(_digested(locate), "doc_id long, n_words long, n_removed long, kept_sha256 string")
