@@ -19,6 +19,7 @@ from ..operators import large_margin as LM
 from ..operators import learning as L
 from ..operators import manifolds as M
 from ..operators import margins as MG
+from ..operators import mixtures as MX
 from ..operators import neighbours as N
 from ..operators import preparing as P
 from ..operators import selection as SE
@@ -1304,3 +1305,34 @@ def relevant_features(spark, d):
 def tangent_map_recognition(spark, d):
     """Nearest gallery samples under the linear map that keeps local tangents."""
     return _projected(spark, d, lambda g: SE.tangent_map(g, 8))
+
+
+@query(" SELECT CAST(step AS INTEGER) AS step, (SELECT count(*) FROM samples) AS samples, TRUE AS rises FROM range(1, 9) s(step)")
+def mixture_densities(spark, d):
+    """Each step of the mixture of factor analysers deals every sample out whole and doesn't lower the density."""
+    _, history = MX.mixture(samples(spark, d), 4, 3, steps=8, tolerance=-np.inf)
+    risen = [True, *(b[0] >= a[0] - 1e-9 for a, b in zip(history, history[1:]))]
+    return spark.createDataFrame([(i + 1, round(h[1]), r) for i, (h, r) in enumerate(zip(history, risen))], "step int, samples long, rises boolean")
+
+
+def _coordinate_products(spark, d, neighbours):
+    s = samples(spark, d)
+    mix, _ = MX.mixture(s, 4, 3, steps=8)
+    c = S.covariance(MX.coordinates(s, mix, *MX.aligned(s, mix, 3, neighbours)), 3)
+    same = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return c.select("i", "j", same.alias("product"), (F.abs(F.col("cov") - same) < 1e-5).alias("equal"))
+
+
+_UNIT = " SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(i = j AS DOUBLE) AS product, TRUE AS equal FROM range(0, 3) a(i), range(0, 3) b(j) WHERE i <= j"
+
+
+@query(_UNIT)
+def charted_products(spark, d):
+    """Coordinates joined from charts that agree on the samples they share have unit covariance."""
+    return _coordinate_products(spark, d, 0)
+
+
+@query(_UNIT)
+def coordinated_products(spark, d):
+    """Coordinates joined so that neighbours' weights rebuild each sample have unit covariance."""
+    return _coordinate_products(spark, d, 5)
