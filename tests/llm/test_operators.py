@@ -869,3 +869,34 @@ def test_pipeline_stages_on_odd_rows(spark):
                 assert not got
             if k < 4:
                 docs = spark.createDataFrame(got, out.schema)
+
+
+def test_forest_hands_leaves_out_by_their_margins():
+    """What leaves the queue is what a heap over the nodes would hand out, and products rank as sums do."""
+    import heapq
+
+    rng = np.random.default_rng(3)
+    x, ids = rng.normal(size=(700, 9)), np.arange(700)
+    forest = ann_forest.Forest(x, ids, 5, 16)
+    met, q = list(forest.met(x[:20], 150)), x[:20] / np.abs(x[:20]).max(1)[:, None]
+    points = np.concatenate((q, np.zeros((20, 1))), 1).astype(np.float32)
+    points *= forest.radius[0] / np.linalg.norm(points, axis=1, keepdims=True)
+    margins = forest.normals @ points.T - forest.offsets[:, None]
+    for i, (got, ways) in enumerate(zip(met, forest._queue(x[:20]))):
+        heap, leaves = [(-np.inf, int(r)) for r in forest.roots], {}
+        while heap:
+            way, node = heapq.heappop(heap)
+            if node < 0:
+                leaves[-1 - node] = way
+            else:
+                side = float(margins[node, i])
+                for child, far in zip(forest.children[node].tolist(), (side, -side)):
+                    heapq.heappush(heap, (max(way, far), child))
+        assert [leaves[j] for j in range(len(ways))] == ways.tolist() and list(leaves.values()) == sorted(ways)
+        rows = lambda inside: {r for j in np.flatnonzero(inside) for r in forest.rows[forest.ends[j] - forest.lengths[j] : forest.ends[j]].tolist()}
+        last = next(w for w in sorted(ways) if len(rows(ways <= w)) >= 150)
+        assert rows(ways < last) <= set(got.tolist()) <= rows(ways <= last) and len(got) >= 150
+    for q, i, (rows, score) in zip(x[:20], ids, forest.search(x[:20], ids[:20], 5, 700)):
+        exact = (x * q).sum(1)
+        exact[i] = -np.inf
+        assert rows.tolist() == np.argsort(-exact, kind="stable")[:5].tolist() and (score == exact[rows]).all()

@@ -6,6 +6,9 @@ Queries are dealt to blocks, files too, and a task takes one pair of a shard and
 so neither side is copied by a shuffle.  A query's search begins at the roots of all trees: one queue
 over all of them hands out the node with the greatest margin, an inner node gives its two children back
 with the lesser of its own margin and theirs, and a leaf gives its rows, until enough candidates are met.
+A child never goes before its parent, so leaves leave the queue in the order of their least margins (where these
+are equal, by their places).  That order is made for many queries at once: one product gives all margins, a
+pass over the levels the leaves'.
 These are ranked by the exact measure on the original vectors in double precision.  How many candidates
 are enough is found by an audit for each pair: queries searched by brute force in the shard; the number
 doubles until the recall asked for is reached.  The shards' best are merged by a window per query.
@@ -23,7 +26,6 @@ length; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +50,14 @@ class Forest:
             self.normals, self.children = self.normals.reshape(-1, v.shape[1] + 1), self.children.reshape(-1, 2)
         else:
             self._grow(trees, leaf, np.random.default_rng(seed))
-        self.ways = self.children.tolist()
+        with np.errstate(all="ignore"):
+            self.far = np.sqrt(np.einsum("ij,ij->i", v, v).max(initial=0))
+        self.lengths = np.diff(self.ends, prepend=0)
+        self.levels, level = [], self.roots[self.roots >= 0]
+        while len(level):
+            self.levels.append(level)
+            level = self.children[level].ravel()
+            level = level[level >= 0]
 
     def _grow(self, trees: int, leaf: int, rng: np.random.Generator) -> None:
         size = np.abs(self.v).max(initial=0)
@@ -111,35 +120,73 @@ class Forest:
         order = order[score[order] > -np.inf]
         return rows[order], score[order]
 
+    def _queue(self, q: np.ndarray) -> np.ndarray:
+        """For each query and leaf the greatest of the distances by which its way lies on the wrong side."""
+        size = np.abs(q).max(1, initial=0)[:, None]
+        points = np.concatenate((q / np.where(size > 0, size, 1.0), np.zeros((len(q), 1))), 1).astype(np.float32)
+        points *= self.radius[0] / np.linalg.norm(points, axis=1, keepdims=True)  # as far out as the filled rows
+        side = (self.normals @ points.T) - self.offsets[:, None]  # a row for each node: levels copy whole rows
+        way = np.full((len(self.normals) + len(self.ends), len(q)), -np.inf, np.float32)  # leaf k stands at -1 - k
+        for level in self.levels:
+            way[self.children[level, 0]] = np.maximum(way[level], side[level])
+            way[self.children[level, 1]] = np.maximum(way[level], -side[level])
+        return way[len(self.normals) :][::-1].T
+
+    def met(self, q: np.ndarray, enough: int) -> Iterator[np.ndarray]:
+        """For each query at least `enough` rows (or all) from the leaves with the greatest margins."""
+        want = min(enough, len(self.v))
+        if want == len(self.v):  # the queue runs empty
+            yield from (np.arange(want) for _ in q)
+            return
+        step = max(1, (1 << 21) // (len(self.normals) + len(self.ends)))
+        starts, place = self.ends - self.lengths, np.zeros(len(self.v), np.int64)
+        for lo in range(0, len(q), step):
+            for way in np.ascontiguousarray(self._queue(q[lo : lo + step])):
+                few = 2 * len(self.roots) + 4 * want // max(1, int(self.lengths.mean()))
+                while True:
+                    some = np.argpartition(way, few)[:few] if few < len(way) else np.arange(len(way))
+                    some = some[np.lexsort((some, way[some]))]
+                    length = self.lengths[some]
+                    ends = np.cumsum(length)
+                    rows = self.rows[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[some] - ends + length, length)]
+                    at = np.arange(len(rows))
+                    place[rows[::-1]] = at[::-1]
+                    fresh = place[rows] == at  # where a row is met first
+                    count = np.cumsum(fresh)
+                    if few >= len(way) or count[-1] >= want:
+                        break
+                    few *= 2
+                met = np.zeros(len(self.v), bool)
+                met[rows[: ends[np.searchsorted(count[ends - 1], want)]]] = True  # with the whole leaf that makes them enough
+                yield np.flatnonzero(met)
+
     def candidates(self, q: np.ndarray, enough: int) -> np.ndarray:
-        """At least `enough` rows (or all) from the leaves with the greatest margins."""
-        point = np.append(q / (np.abs(q).max(initial=0) or 1.0), 0.0).astype(np.float32)
-        point *= self.radius[0] / np.linalg.norm(point)  # as far out as the filled rows
-        queue = [(-np.inf, int(r)) for r in self.roots]
-        met = np.zeros(len(self.v), bool)
-        taken, want = 0, min(enough, len(self.v))
-        while queue and taken < want:
-            way, node = heapq.heappop(queue)
-            if node < 0:
-                leaf = self.rows[(self.ends[-2 - node] if node < -1 else 0) : self.ends[-1 - node]]
-                taken += len(leaf) - int(np.count_nonzero(met[leaf]))
-                met[leaf] = True
-            else:
-                side = float(self.normals[node] @ point) - float(self.offsets[node])
-                left, right = self.ways[node]
-                heapq.heappush(queue, (max(way, side), left))
-                heapq.heappush(queue, (max(way, -side), right))
-        return np.flatnonzero(met)
+        return next(self.met(q[None], enough))
 
     def search(self, q: np.ndarray, q_ids: np.ndarray, k: int, enough: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The k best of at least `enough` candidates for each query."""
-        return [self._best(self.candidates(x, enough), x, int(i), k) for x, i in zip(q, q_ids)]
+        return [self._near(rows, score, x, int(i), k) for rows, score, x, i in zip(self.met(q, enough), self._products(q), q, q_ids)]
+
+    def _products(self, q: np.ndarray) -> Iterator[np.ndarray]:
+        step = max(1, (1 << 21) // max(1, len(self.v)))
+        for lo in range(0, len(q), step):
+            with np.errstate(all="ignore"):
+                yield from q[lo : lo + step] @ self.v.T
+
+    def _near(self, rows: np.ndarray, score: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the rows: those within a product's rounding error of the k-th are summed row by row."""
+        with np.errstate(all="ignore"):
+            error = 8 * np.finfo(float).eps * (len(q) + 2) * self.far * np.linalg.norm(q)
+            score = score[rows]
+            score[self.ids[rows] == own] = -np.inf
+            if len(rows) > 4 * k and np.isfinite(error):
+                rows = rows[score >= np.partition(score, len(score) - k)[len(score) - k] - 2 * error]
+        return self._best(rows, q, own, k)
 
     def enough(self, q: np.ndarray, q_ids: np.ndarray, k: int, recall: float, audit: int = 32) -> int:
         """The number of candidates with which the audited queries reach the recall."""
         asked = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
-        every = np.arange(len(self.v))
-        full = [self._best(every, q[i], int(q_ids[i]), k)[1] for i in asked]
+        full = [score for _, score in self.search(q[asked], q_ids[asked], k, len(self.v))]
         want = 16 * k
         while want < len(self.v):
             got = self.search(q[asked], q_ids[asked], k, want)
@@ -184,7 +231,7 @@ def _search(folder: str, k: int, recall: float):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 16_384, block_queries: int = 4_096, trees: int = 10, leaf: int = 64, recall: float = 0.97) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 16_384, block_queries: int = 2_048, trees: int = 10, leaf: int = 64, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query (vec_id, embedding)."""
     spark = vectors.sparkSession
     whole = lambda df: clean(df).filter("v is not null and vec_id is not null").withColumn("dim", F.size("v")).withColumn("hashed", F.xxhash64("v"))
