@@ -218,3 +218,23 @@ def test_blocked_passes_meet_every_pair_once(spark):
     assert len(got) == 100 and {r.n for r in got} == {30}
     left.forget()
     right.forget()
+
+
+def test_neighbour_search_shuffles_each_vector_once(spark):
+    """Blocks are files that tasks read: what a search shuffles doesn't grow with the number of pairs of blocks."""
+    from pyspark.sql import functions as F
+
+    from vektral.operators.neighbours import nearest
+
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 7)), 2, axis=0)  # copies: ties go to the smaller id
+    ds = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample_id long, feat array<double>")
+    found = nearest(ds, ds, 3, block=10, skip_self=True)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    got = {(r["probe_id"], r["rank"]): r["gallery_id"] for r in found.collect()}
+    d = ((x[:, None] - x) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    expected = np.stack([np.lexsort((np.arange(120), r))[:3] for r in d])
+    assert got == {(i, k + 1): expected[i, k] for i in range(120) for k in range(3)}
+    far = nearest(ds.filter(F.col("sample_id") < 3), ds, 200, block=10)
+    assert far.count() == 3 * 120

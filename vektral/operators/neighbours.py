@@ -9,52 +9,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import Block, Blocks, over_pairs
+from .graphs import cut
+
 
 def nearest(probes: DataFrame, gallery: DataFrame, k: int = 1, block: int = 4096, skip_self: bool = False, distance: Callable | None = None) -> DataFrame:
     """(probe_id, rank, gallery_id, d2): the k gallery samples of least squared Euclidean distance, ties
-    to the smaller id.  Both sides are dealt into blocks; each pair of blocks is one matrix product and
-    keeps k rows a probe, so neither side has to fit a task or a broadcast.  Of the product all within its
-    rounding error of the k-th are compared exactly, so copies keep the order of their ids.
+    to the smaller id.  Both sides are written once in blocks; a task takes a block of probes past blocks of the
+    gallery, a matrix product each, and keeps k rows a probe over all of them, so neither side has to fit a task
+    or a broadcast and none is copied by a shuffle.  Of a product all within its rounding error of the k-th are
+    compared exactly, so copies keep the order of their ids.
 
     distance, a numpy function of a probe and a matrix of gallery rows, replaces the Euclidean one; d2 is then
     what it gives.
 
     Vectors that are null or empty or hold null or non-finite components take no part; probes meet
     gallery samples of their own length only."""
-    whole = F.forall("feat", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("feat") > 0)
-    gallery, probes = gallery.filter(whole), probes.filter(whole)
-    n_g, n_p = max(1, -(-gallery.count() // block)), max(1, -(-probes.count() // block))
-    deal = lambda df, n: F.pmod(F.xxhash64("sample_id"), F.lit(n)).cast("int")
-    # columns of its own, as both sides may be one dataset
-    g = gallery.select(F.col("sample_id").alias("sample_id"), F.col("feat").alias("feat"), F.size("feat").alias("dim")).withColumn("gb", deal(gallery, n_g)).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
-    p = probes.select("sample_id", "feat", F.size("feat").alias("dim")).withColumn("pb", deal(probes, n_p)).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))))
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            flat = lambda t: np.asarray(t["feat"].combine_chunks().flatten(), float).reshape(t.num_rows, -1)
-            x, y = flat(left), flat(right)
-            xi, yi = np.asarray(left["sample_id"]), np.asarray(right["sample_id"])
-            y2, error = (y * y).sum(1), 8 * np.finfo(float).eps * (y.shape[1] + 2)
-            for lo in range(0, len(x), 256):
-                q = x[lo : lo + 256]
-                d = (q * q).sum(1)[:, None] + y2 - 2 * q @ y.T if distance is None else np.stack([distance(v, y) for v in q])
-                last = min(len(y), k + skip_self) - 1
-                far = np.partition(d, last, axis=1)[:, last] + error * ((q * q).sum(1) + y2.max())
-                for r in range(len(q)):
-                    c = np.flatnonzero(d[r] <= far[r])
-                    if skip_self:
-                        c = c[yi[c] != xi[lo + r]]
-                    exact = ((q[r] - y[c]) ** 2).sum(1) if distance is None else d[r][c]
-                    order = np.lexsort((yi[c], exact))[:k]
-                    out[0].append(np.full(len(order), xi[lo + r]))
-                    out[1].append(yi[c][order])
-                    out[2].append(exact[order])
-        cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
-        return pa.table({"probe_id": cat(out[0], pa.int64()), "gallery_id": cat(out[1], pa.int64()), "d2": cat(out[2], pa.float64())})
-
-    found = p.groupBy("pb", "gb", "dim").cogroup(g.groupBy("pb", "gb", "dim")).applyInArrow(run, "probe_id long, gallery_id long, d2 double")
-    order = Window.partitionBy("probe_id").orderBy("d2", "gallery_id")
+    right = Blocks(gallery, size=block)
+    left = right if probes is gallery else Blocks(probes, size=min(block, 2048))
+
+    def start(one: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(one[0])
+        return np.zeros(n, int), np.zeros((n, k), np.int64), np.full((n, k), np.inf)  # how many, which, how far
+
+    def meet(known: tuple, one: Block, other: Block) -> tuple:
+        (xi, x, _), (yi, y, _) = one, other
+        y2, error = (y * y).sum(1), 8 * np.finfo(float).eps * (y.shape[1] + 2)
+        for lo in range(0, len(x), 256):
+            q, (many, ids, far) = x[lo : lo + 256], (m[lo : lo + 256] for m in known)
+            q2 = (q * q).sum(1)
+            d = q2[:, None] + y2 - 2 * q @ y.T if distance is None else np.stack([distance(v, y) for v in q])
+            doubt = error * (q2 + y2.max()) if distance is None else 0.0
+            last = min(len(y), k + skip_self) - 1
+            limit = np.where(many < k, np.inf, far[:, -1])
+            if (many < k).any():
+                limit = np.minimum(limit, np.partition(d, last, axis=1)[:, last])
+            r, c = np.nonzero(d <= (limit + doubt)[:, None])
+            if skip_self:
+                other_one = yi[c] != xi[lo + r]
+                r, c = r[other_one], c[other_one]
+            if not len(r):
+                continue
+            some = [slice(i, i + 32768) for i in range(0, len(r), 32768)]
+            exact = np.concatenate([((q[r[i]] - y[c[i]]) ** 2).sum(1) for i in some]) if distance is None else d[r, c]
+            old_r, old_c = np.nonzero(np.arange(k) < many[:, None])
+            row, to, size = np.append(old_r, r), np.append(ids[old_r, old_c], yi[c]), np.append(far[old_r, old_c], exact)
+            order = np.lexsort((to, size, row))
+            row, to, size = row[order], to[order], size[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, to, size, place = (v[place < k] for v in (row, to, size, place))
+            ids[row, place], far[row, place] = to, size
+            many[:] = np.bincount(row, minlength=len(q))
+        return known
+
+    def finish(known: tuple, one: Block) -> pa.RecordBatch:
+        r, c = np.nonzero(np.arange(k) < known[0][:, None])
+        return pa.RecordBatch.from_arrays([pa.array(one[0][r], pa.int64()), pa.array(known[1][r, c]), pa.array(known[2][r, c])], names=["probe_id", "gallery_id", "d2"])
+
+    found = cut(over_pairs(left, right, start, meet, finish, "probe_id long, gallery_id long, d2 double"))
+    for side in {left, right}:
+        side.forget()
+    order = Window.partitionBy("probe_id").orderBy("d2", "gallery_id")  # k rows for each 64 blocks
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("probe_id", F.col("rank").cast("int").alias("rank"), "gallery_id", "d2")
 
 
