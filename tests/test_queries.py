@@ -453,3 +453,12 @@ def test_layers_come_apart(spark):
     assert {r["sample_id"]: sorted(np.argsort(r["part"])[-3:].tolist()) for r in parts} == spots
     got = L.layered_recognition(probes, gallery, np.eye(40)).collect()
     assert len(got) == 12 and all(r["predicted"] == r["cls"] for r in got)
+
+
+def test_rounded_vectors_keep_the_sign_of_zero(spark, duck):
+    from vektral.plans.registry import flat
+
+    values = [-1e-9, 1e-9, -0.0, 0.0, -0.25, 0.1234565]
+    got = flat(spark.createDataFrame([(1, values)], "sample_id long, feat array<double>")).first()["feat"]
+    expected = [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
+    assert [(v, np.signbit(v)) for v in got] == [(v, np.signbit(v)) for v in expected]

@@ -62,8 +62,8 @@ def zeroed(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def flat(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Vectors as rounded arrays."""
-    return df.withColumn("feat", F.transform("feat", lambda x: F.round(x, digits)))
+    """Vectors as rounded arrays; what is rounded to zero keeps its sign, as in SQL."""
+    return df.withColumn("feat", F.transform("feat", lambda x: F.when(F.round(x, digits) == 0, x * 0.0).otherwise(F.round(x, digits))))
 
 
 # -- class index, slices and sets
