@@ -194,10 +194,11 @@ def kernel_pca(ds: DataFrame, dims: int = 2, kernel: str = "gaussian", t: float
 
 
 def classical_scaling(ds: DataFrame, dims: int = 2) -> DataFrame:
-    ids, d2 = gram_matrix(ds, "sqeuclidean")
-    values, vectors = np.linalg.eigh(-0.5 * centred(d2))
-    order = np.argsort(-values)[:dims]
-    return _embedding(ds, ids, vectors[:, order] * np.sqrt(np.maximum(values[order], 0)))
+    """The centred matrix of squared distances is that of the centred vectors' products, so its eigenvectors are
+    the projections on the principal components: no matrix over the samples is made."""
+    rows = ds.select(F.col("sample_id").cast("long").alias("sample_id"), "feat")
+    w, _, mean = pca(rows.withColumn("cls", F.lit(0)), dims)
+    return project(rows, np.pad(w, ((0, 0), (0, dims - w.shape[1]))), mean)
 
 
 def isomap(ds: DataFrame, k: int = 12, dims: int = 2) -> DataFrame:
