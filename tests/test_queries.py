@@ -462,3 +462,31 @@ def test_rounded_vectors_keep_the_sign_of_zero(spark, duck):
     got = flat(spark.createDataFrame([(1, values)], "sample_id long, feat array<double>")).first()["feat"]
     expected = [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
     assert [(v, np.signbit(v)) for v in got] == [(v, np.signbit(v)) for v in expected]
+
+
+def test_ranks_and_scaling_of_any_size(spark):
+    """Quantiles and shuffled predictions sort no key in one task, class widths aren't dealt by class, nothing but
+    small tables is broadcast, and scaling takes more rows than a driver's matrix may have."""
+    from pyspark.sql import functions as F
+
+    from vektral.operators import statistics as S
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    df = spark.range(400).select("id", (F.col("id") % 3).alias("g"), ((F.col("id") * 37) % 101).cast("double").alias("x"), (F.col("id") % 2).alias("y"))
+    q = S.quantiles(df, "g", "x", [0.25, 0.5])
+    assert "g#" not in "".join(line for line in plan(q).splitlines() if "Window" in line)
+    for r in q.collect():
+        x = sorted((i * 37) % 101 for i in range(400) if i % 3 == r["g"])
+        assert abs(r["x"] - np.interp(r["share"] * len(x) + 0.5, range(1, len(x) + 1), x)) < 1e-9
+    p = S.permutation_accuracy(df, "id", "g", "y", 3)
+    assert "replicate" not in "".join(line for line in plan(p).splitlines() if "Window" in line) and "strategy=merge" in plan(p)
+    truth, predicted, got = [i % 3 for i in range(400)], [i % 2 for i in range(400)], dict(p.collect())
+    order = lambda k: [r[0] for r in df.orderBy(F.xxhash64("id", F.lit(k), F.lit(1)), "id").select("y").collect()]
+    for k in range(4):
+        assert abs(got[k] - np.mean([a == b for a, b in zip(truth, order(k) if k else predicted)])) < 1e-12
+    assert plan(S.class_widths(df, "g", "x")).count("strategy=broadcast") >= 2
+    wide = spark.range(6000).select(F.col("id").alias("sample_id"), F.array(*[F.sin(F.col("id") * (k + 1.5)) * (k + 1) for k in range(3)]).alias("feat"))
+    rows = L.classical_scaling(wide).orderBy("sample_id").collect()
+    y, x = np.array([r["feat"] for r in rows]), np.array([r["feat"] for r in wide.orderBy("sample_id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert len(rows) == 6000 and np.allclose(np.abs(y), np.abs(u[:, :2] * s[:2]), atol=1e-6)
