@@ -490,3 +490,37 @@ def test_ranks_and_scaling_of_any_size(spark):
     y, x = np.array([r["feat"] for r in rows]), np.array([r["feat"] for r in wide.orderBy("sample_id").collect()])
     u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
     assert len(rows) == 6000 and np.allclose(np.abs(y), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+
+
+def test_galleries_of_any_size(spark):
+    """Galleries beyond what the driver may collect: as the same codes over the whole matrix decide."""
+    from pyspark.sql import functions as F
+
+    from vektral.operators import classifiers as C
+
+    def sectors(n):
+        turn = (F.col("id") % 3) * 2.0 + F.col("id") / n * 0.5
+        return spark.range(n).select(F.col("id").alias("sample_id"), (F.col("id") % 3 + 1).cast("int").alias("cls"), F.array(F.cos(turn), F.sin(turn), F.lit(0.01)).alias("feat"))
+
+    def expected(n, code, unit):
+        rows = sectors(n).orderBy("cls", "sample_id").collect()
+        x, c = np.array([r["feat"] for r in rows]), np.array([r["cls"] for r in rows])
+        y = np.array([r["feat"] for r in sectors(3).orderBy("sample_id").collect()])
+        x, y = (v / np.linalg.norm(v, axis=1)[:, None] if unit else v for v in (x, y))
+        out = []
+        for v in y:
+            z, part = code(x.T, v[:, None])
+            out.append(min((((v[:, None] - part - x.T[:, c == k] @ z[c == k]) ** 2).sum(), k) for k in (1, 2, 3))[1])
+        return out
+
+    def layers(a, b):
+        codes, parts = L._layers(b, [a, np.eye(3)[:, 2:]], [0.01, 0.05])
+        return codes[0], parts[1]
+
+    for got, want in (
+        (lambda p: C.nonnegative_recognition(sectors(50_010), p), expected(50_010, lambda a, b: (C.nonnegative_least_squares(a, b), 0), False)),
+        (lambda p: L.sparse_recognition(p, sectors(50_010)), expected(50_010, lambda a, b: (L.lasso(a, b, 0.01), 0), True)),
+        (lambda p: L.layered_recognition(p, sectors(5_010), np.eye(3)[:, 2:]), expected(5_010, layers, False)),
+    ):
+        found = [got(sectors(3).filter(F.col("sample_id") == i)).first()["predicted"] for i in range(3)]
+        assert found == want
