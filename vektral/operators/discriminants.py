@@ -183,10 +183,14 @@ def partial_least_squares(ds: DataFrame, dims: int = 2, kind: str = "nipals") ->
     return w @ np.linalg.inv(p.T @ w), mean
 
 
-def kernel_discriminant(ds: DataFrame, kernel: str = "gaussian", t: float = 1.0, degree: int = 2, alpha: float = 0.1, dims: int = 0) -> DataFrame:
-    """Samples projected on regularised kernel discriminants (at most 5000 samples)."""
+def kernel_discriminant(ds: DataFrame, kernel: str = "gaussian", t: float = 1.0, degree: int = 2, alpha: float = 0.1, dims: int = 0, most: int = 5000) -> DataFrame:
+    """Samples projected on regularised kernel discriminants; beyond `most` samples the matrix over all pairs is
+    made block by block in the tasks."""
+    from .kernel_spaces import discriminating
     from .learning import _embedding
 
+    if ds.count() > most:
+        return discriminating(ds, kernel, t, degree, alpha, dims)
     ids, k = gram_matrix(ds, kernel, t, degree)
     label = dict(ds.select("sample_id", "cls").collect())
     y = np.array([label[i] for i in ids])
