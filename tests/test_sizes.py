@@ -40,3 +40,16 @@ def test_kmeans_reads_blocks(spark, monkeypatch):
     assert np.array_equal(own, ((x[:, None] - centres) ** 2).sum(2).argmin(1)) and set(own) == {0, 1, 2}
     moved, _ = L.kmeans(ds, 3, 1, start=centres)
     assert np.allclose(moved, [x[own == j].mean(0) for j in range(3)])
+
+
+def test_packing_meets_the_taken_only(spark, monkeypatch):
+    from vektral.operators import trees as TR
+
+    x = np.random.default_rng(6).normal(0, 0.01, (900, 3))
+    x[:, 0] += np.arange(900) % 3 * 10  # three heaps far apart: one sample of each is taken
+    ds = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "sample_id long, feat array<double>")
+    monkeypatch.delattr(TR, "over_pairs", raising=False)  # no pass over all pairs of blocks
+    got = sorted(r[0] for r in TR.packing(ds, 1.0, 64).collect())
+    assert len(got) == 3 and sorted(i % 3 for i in got) == [0, 1, 2]
+    apart = ds.withColumn("feat", F.array(F.col("sample_id").cast("double")))
+    assert TR.packing(apart, 1.0, 200).count() == 900  # several rounds, all taken

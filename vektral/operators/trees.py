@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -9,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, over_pairs, whole, within
-from .graphs import cut
+from .blocks import Blocks, drop_folder, fitting, load_array, read_block, store_array, whole, within
+from .graphs import cut, shared_folder
 from .neighbours import neighbour_graph
 
 
@@ -83,39 +84,86 @@ def packing(ds: DataFrame, radius: float, size: int = 4096) -> DataFrame:
     """(sample_id): a greatest set of samples of which no two are nearer than radius: the one that a walk over
     all samples in hash order picks, taking each that is far enough from those taken before.
 
-    Luby's rounds: each open sample that no open sample within the radius precedes is taken, and what lies
-    within the radius of those goes; few rounds are left open.  Distances are looked at in blocks, which give
-    back a mark for each sample, so neither a graph of near pairs nor a list of one sample's neighbours is
-    made.  Samples of different lengths are apart; null, empty and non-finite vectors take no part."""
-    order = hash_order(F.col("sample_id"))
-    left = cut(ds.filter(whole()).select("sample_id", "feat", order.alias("h")))
-    taken: list[DataFrame] = []
-
-    def marks(known, block) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(block[0][known], pa.int64())], names=["sample_id"])
-
-    def nobody(block) -> np.ndarray:
-        return np.zeros(len(block[0]), bool)
-
-    def preceded(known, one, other) -> np.ndarray:
-        (i, x, a), (j, y, b) = one, other
-        before = (b["h"] < a["h"][:, None]) | ((b["h"] == a["h"][:, None]) & (j < i[:, None]))
-        return known | (within(x, y, radius**2) & before).any(1)
-
-    def covered(known, one, other) -> np.ndarray:
-        return known | within(one[1], other[1], radius**2).any(1)
-
-    while not left.isEmpty():
-        blocks = Blocks(left, "h", size=size)
-        after = over_pairs(blocks, blocks, nobody, preceded, marks, "sample_id long").distinct()
-        won = cut(left.join(after, "sample_id", "left_anti"))
-        taken.append(won.select("sample_id"))
-        winners = Blocks(won, "h", size=size)
-        gone = over_pairs(blocks, winners, nobody, covered, marks, "sample_id long").distinct()
-        left = cut(left.join(gone, "sample_id", "left_anti").join(won.select("sample_id"), "sample_id", "left_anti"))
-        blocks.forget()
-        winners.forget()
-    return reduce(DataFrame.unionByName, taken) if taken else ds.select("sample_id").limit(0)
+    The open samples that come first, at most `size`, are walked in one task; then what lies within the radius of
+    those taken goes, in blocks that meet the taken alone and give back a mark for each sample.  So the pairs met are
+    those of samples and taken ones, and neither a graph of near pairs nor a list of one sample's neighbours is made.
+    Samples of different lengths are apart; null, empty and non-finite vectors take no part."""
+    rows = cut(ds.filter(whole()).select("sample_id", "feat", hash_order(F.col("sample_id")).alias("h")))
+    if rows.isEmpty():
+        return ds.select("sample_id").limit(0)
+    spark = rows.sparkSession
+    blocks = Blocks(rows, "h", size=min(size, fitting(rows.count())))
+    names, at = [(r["name"], r["dim"]) for r in blocks.names.select("name", "dim").collect()], blocks.folder
+    work = f"{shared_folder(spark)}/packing-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    parts = min(len(names), 4 * max(1, context.defaultParallelism))
+
+    def opened(key: tuple[str, int], turn: int) -> np.ndarray:
+        return load_array(f"{work}/{turn}", key[0]) if turn else np.ones(len(read_block(at, key[0])[0]), bool)
+
+    turn, found = 0, []
+    while True:  # the places of the first open samples are `size` numbers
+        def heads(key: tuple[str, int], turn: int = turn) -> np.ndarray:
+            h = read_block(at, key[0])[2]["h"][opened(key, turn)]
+            return np.sort(h)[:size]
+
+        first = context.parallelize(names, parts).map(heads).reduce(lambda a, b: np.sort(np.concatenate((a, b)))[:size])
+        if not len(first):
+            break
+        last = int(first[-1])
+
+        def leading(key: tuple[str, int], turn: int = turn, last: int = last) -> tuple:
+            ids, x, o = read_block(at, key[0])
+            take = opened(key, turn) & (o["h"] <= last)
+            return [(int(h), int(i), v) for h, i, v in zip(o["h"][take], ids[take], x[take])]
+
+        def walked(rows) -> list:
+            """The walk over one block of open samples."""
+            by_length: dict[int, list] = {}
+            for row in sorted(rows, key=lambda r: r[:2]):
+                by_length.setdefault(len(row[2]), []).append(row)
+            for dim, some in by_length.items():
+                x = np.array([r[2] for r in some])
+                free, won = np.ones(len(x), bool), []
+                near = np.concatenate([within(x[lo : lo + 512], x, radius**2) for lo in range(0, len(x), 512)])
+                for i in range(len(x)):
+                    if free[i]:
+                        won.append(i)
+                        free &= ~near[i]
+                store_array(f"{work}/won-{turn}", str(dim), x[won])
+                store_array(f"{work}/ids-{turn}", str(dim), np.array([some[i][1] for i in won]))
+            return sorted(by_length)
+
+        dims = context.parallelize(names, parts).flatMap(leading).coalesce(1).mapPartitions(walked).collect()
+
+        def cover(key: tuple[str, int], turn: int = turn, last: int = last, dims: list[int] = dims) -> int:
+            _, x, o = read_block(at, key[0])
+            free = opened(key, turn) & (o["h"] > last)
+            if key[1] in dims and free.any():
+                y = load_array(f"{work}/won-{turn}", str(key[1]))
+                for lo in range(0, len(y), 512):
+                    left = np.flatnonzero(free)
+                    if len(left):
+                        free[left] = ~within(x[left], y[lo : lo + 512], radius**2).any(1)
+            store_array(f"{work}/{turn + 1}", key[0], free)
+            return int(free.sum())
+
+        found.append((turn, dims))
+        if not context.parallelize(names, parts).map(cover).sum():
+            break
+        turn += 1
+
+    files = [(t, dim) for t, dims in found for dim in dims]
+
+    def taken(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(load_array(f"{work}/ids-{files[k][0]}", str(files[k][1])), pa.int64())], names=["sample_id"])
+
+    out = cut(spark.range(0, len(files), 1, min(len(files), parts)).mapInArrow(taken, "sample_id long"))
+    drop_folder(spark, work)
+    blocks.forget()
+    return out
 
 
 def packing_dimension(ds: DataFrame, small: float, large: float, size: int = 4096) -> DataFrame:
