@@ -53,3 +53,71 @@ def test_packing_meets_the_taken_only(spark, monkeypatch):
     assert len(got) == 3 and sorted(i % 3 for i in got) == [0, 1, 2]
     apart = ds.withColumn("feat", F.array(F.col("sample_id").cast("double")))
     assert TR.packing(apart, 1.0, 200).count() == 900  # several rounds, all taken
+
+
+def test_pairs_of_blocks_are_met_once_and_not_within_a_class(spark):
+    from vektral.operators import blocks as B
+
+    cls = [1] * 40 + [2] * 30 + [3] * 3 + [4] * 2
+    ds = spark.createDataFrame([(i, c, [float(i), 1.0]) for i, c in enumerate(cls)], "sample_id long, cls int, feat array<double>")
+    for size in (9, 40, 200):
+        blocks = B.Blocks(ds, "cls", size=size, by="cls")
+
+        def meet(one, others):
+            met = np.zeros((75, 75), int)
+            for b in others:
+                met[np.ix_(one[0], (one if b is None else b)[0])] += 1
+            return met
+
+        met = B.summed_pairs(blocks, meet, 3)
+        blocks.forget()
+        both = met + met.T - np.diag(np.diag(met))
+        assert both.max() <= 2 and (met.max() == 1)
+        for i, j in zip(*np.nonzero(np.not_equal.outer(cls, cls))):
+            assert met[i, j] or met[j, i]
+        if size == 9:  # the two large classes fill their own blocks and are met by others only
+            assert not met[:40, :40].any() and not met[40:70, 40:70].any()
+    empty = B.Blocks(ds.limit(0), "cls", by="cls")
+    assert B.summed_pairs(empty, meet) is None
+
+
+def test_large_margins_far_from_the_origin(spark):
+    """The loss keeps its digits where vectors are long beside their distances, and samples without a class, of another
+    length or alone in their class change nothing."""
+    from vektral.operators import large_margin as LM
+
+    rng = np.random.default_rng(3)
+    cls = np.repeat([1, 2, 3], [30, 29, 1])
+    x = rng.normal(0, 0.5, (60, 3))
+    near = [(i, j) for i in range(60) for j in sorted((j for j in range(60) if j != i and cls[j] == cls[i]), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:2]]
+    d = ((x[:, None] - x) ** 2).sum(2)
+    want = sum(0.5 * d[i, j] + 0.5 * np.maximum(0, 1 + d[i, j] - d[i][cls != cls[i]]).sum() for i, j in near)
+    for shift in (0, 3000.0):
+        rows = [(i, int(c), [float(v + shift) for v in r]) for i, (c, r) in enumerate(zip(cls, x))]
+        rows += [(60, None, [0.0, 0.0, 0.0]), (61, 1, [1.0]), (62, 1, None)]
+        fit = LM.large_margin_metric(spark.createDataFrame(rows, "sample_id long, cls int, feat array<double>"), 2, steps=1, size=8)
+        assert abs(fit.losses[0] - want) < 1e-6 * want
+
+
+def test_impostors_are_counted_for_both_samples_of_a_pair():
+    from vektral.operators import large_margin as LM
+
+    rng = np.random.default_rng(8)
+    for far, kinds in ((1.0, (1, 2)), (1.0, (1, 1)), (300.0, (1, 2))):  # single precision, classes mixed, double
+        sides, m = [], np.diag([1.0, 2.0, 0.5])
+        for n, c in zip((13, 1030), kinds):
+            x = rng.normal(size=(n, 3)) * far
+            gaps = rng.normal(size=(n, 2, 3)) * far / 2
+            gaps[0, 1] = 1e300  # has one target only
+            own = np.full(n, c) if kinds[0] != kinds[1] else rng.integers(1, 3, n)
+            sides.append((np.arange(n), np.concatenate((x, gaps.reshape(n, -1)), 1), {"cls": own}))
+        one, other = (LM._Side(b, np.zeros(3), m, 2) for b in sides)
+        here, there, total = LM._impostors(one, other)
+        (x, y), (a, b) = (s[1][:, :3] for s in sides), (s[2]["cls"] for s in sides)
+        diff = x[:, None] - y
+        d, apart = np.einsum("ijk,kl,ijl->ij", diff, m, diff), a[:, None] != b
+        mine, theirs = one.reach[:13], other.reach[:1030]
+        left, right = (d[:, :, None] < mine[:, None]) & apart[:, :, None], (d[:, :, None] < theirs) & apart[:, :, None]
+        assert np.abs(here[:13] - left.sum(1)).max() <= 1 and np.abs(there[:1030] - right.sum(0)).max() <= 1
+        w = left.sum(2) + right.sum(2)
+        assert np.allclose(total, np.einsum("ij,ijk,ijl->kl", w, diff, diff), rtol=1e-4) and w.sum() > 100

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,15 @@ def read_block(folder: str, name: str) -> Block:
 
 
 class Blocks:
-    """A dataset (sample_id, feat and other columns of numbers) as files: folder, and names as a table."""
+    """A dataset (sample_id, feat and other columns of numbers) as files: folder, and names as a table.
 
-    def __init__(self, ds: DataFrame, *others: str, size: int = 4096):
+    by, one of the other columns, deals rows of one value together: values of at least half a block get blocks of
+    their own, smaller ones share some, rows without a value go.  Names then come with the least and greatest value (lo, hi)."""
+
+    def __init__(self, ds: DataFrame, *others: str, size: int = 4096, by: str | None = None):
         self.spark = ds.sparkSession
         self.folder = f"{shared_folder(self.spark)}/blocks-{uuid.uuid4().hex}"
         rows = ds.filter(whole()).select("sample_id", "feat", *others)
-        n = max(1, -(-rows.count() // size))
         folder = self.folder
 
         def put(key: tuple, part: pa.Table) -> pa.Table:
@@ -59,10 +62,21 @@ class Blocks:
             with store.open_output_stream(fresh) as out, pa.ipc.new_file(out, part.schema) as to:
                 to.write_table(part)
             store.move(fresh, f"{at}/{name}.arrow")
-            return pa.table({"name": [name], "dim": pa.array([key[1].as_py()], pa.int32())})
-
-        dealt = rows.withColumn("dim", F.size("feat")).withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(n)).cast("int"))
-        self.names = cut(dealt.groupBy("part", "dim").applyInArrow(put, "name string, dim int"))
+            ends = {c: pa.array([f(part[by]).as_py()], pa.int64()) for c, f in (("lo", pc.min), ("hi", pc.max))} if by else {}
+            return pa.table({"name": [name], "dim": pa.array([key[1].as_py()], pa.int32())} | ends)
+
+        if by:
+            counts = cut(rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n")))
+            shared = counts.filter(2 * F.col("_n") < size).agg(F.sum("_n")).first()[0] or 0
+            deal = lambda what, n: F.pmod(F.xxhash64(what), n)
+            own = F.concat_ws("_", by, deal("sample_id", F.ceil(F.col("_n") / size)))
+            part = F.when(2 * F.col("_n") >= size, own).otherwise(F.concat(F.lit("s"), deal(by, F.lit(max(1, -(-shared // size))))))
+            dealt = rows.join(counts, by).withColumn("part", part).drop("_n")
+        else:
+            n = max(1, -(-rows.count() // size))
+            dealt = rows.withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(n)).cast("int"))
+        schema = "name string, dim int" + (", lo long, hi long" if by else "")
+        self.names = cut(dealt.withColumn("dim", F.size("feat")).groupBy("part", "dim").applyInArrow(put, schema))
 
     def forget(self) -> None:
         drop_folder(self.spark, self.folder)
@@ -103,13 +117,34 @@ def drop_folder(spark, folder: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def summed(spark, names: list[str], give: Callable[[str], np.ndarray]) -> np.ndarray:
+def summed(spark, names: list, give: Callable[[object], np.ndarray]) -> np.ndarray:
     """The sum of the arrays, all of one shape, that give returns for each block.  Tasks add up their blocks'."""
     context = spark.sparkContext
     parts = context.parallelize(names, min(len(names), 4 * max(1, context.defaultParallelism)))
     return parts.map(give).reduce(np.add)
 
 
+def summed_pairs(blocks: Blocks, meet: Callable[[Block, Iterator[Block | None]], np.ndarray], chunk: int = 64) -> np.ndarray | None:
+    """The sum of meet(block, others) over all unordered pairs of blocks, a block's pair with itself being None, but for
+    pairs of one value of the column that blocks are dealt by; None if there are no blocks.  Of blocks in a circle each
+    meets the half that follows it, at most chunk of them in a call, so all have the same work and no list of pairs is made."""
+    found = sorted((r["name"], r["lo"], r["hi"]) for r in blocks.names.collect())
+    if not found:
+        return None
+    n, half, folder = len(found), len(found) // 2, blocks.folder
+    chunk = min(chunk, max(1, n * (half + 1) // (8 * max(1, blocks.spark.sparkContext.defaultParallelism))))
+    slices = -(-(half + 1) // chunk)
+
+    def give(task: int) -> np.ndarray:
+        i, s = divmod(task, slices)
+        name, lo, hi = found[i]
+        steps = range(s * chunk, min((s + 1) * chunk, half + 1))
+        ahead = ((t, *found[(i + t) % n]) for t in steps if not (t and 2 * t == n and i >= half))
+        return meet(read_block(folder, name), (read_block(folder, b) if t else None for t, b, *ends in ahead if not lo == hi == ends[0] == ends[1]))
+
+    return summed(blocks.spark, list(range(n * slices)), give)
+
+
 def vectors_of(blocks: Blocks, names: list[str], give: Callable[[str], np.ndarray]) -> DataFrame:
     """(sample_id, feat): the rows that give returns for each block."""
     folder = blocks.folder
@@ -149,10 +184,14 @@ def by_gallery(probes: DataFrame, gallery: DataFrame, decide: Callable[[np.ndarr
     return out
 
 
-def over_pairs(left: Blocks, right: Blocks, start: Callable[[Block], object], meet: Callable[[object, Block, Block], object], finish: Callable[[object, Block], pa.RecordBatch], schema: str, most: int = 10_000, chunk: int = 64) -> DataFrame:
+def over_pairs(left: Blocks, right: Blocks, start: Callable[[Block], object], meet: Callable[[object, Block, Block], object], finish: Callable[[object, Block], pa.RecordBatch], schema: str, most: int = 10_000, chunk: int = 64, same: bool = False) -> DataFrame:
     """For each left block: start(block), then meet(what is known, block, right block) for the right blocks of
-    its dimension, chunk of them in a task, then finish gives rows."""
-    pairs = left.names.select(F.col("name").alias("a"), "dim").join(right.names.select(F.col("name").alias("b"), "dim"), "dim")
+    its dimension, chunk of them in a task, then finish gives rows.  same leaves out pairs of blocks that share no
+    value of the column that both sides are dealt by."""
+    a, b = (side.names.withColumnRenamed("name", c) for side, c in ((left, "a"), (right, "b")))
+    if same:
+        b = b.withColumnsRenamed({"lo": "lo2", "hi": "hi2"})
+    pairs = a.join(b, "dim").filter("lo <= hi2 and lo2 <= hi") if same else a.join(b, "dim")
     several = pairs.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(-(-max(1, right.names.count()) // chunk))))
     tasks = several.groupBy("a", "slice").agg(F.sort_array(F.collect_list("b")).alias("bs"))  # names of about chunk files
     n = max(1, min(most, tasks.count()))
