@@ -121,3 +121,37 @@ def test_impostors_are_counted_for_both_samples_of_a_pair():
         assert np.abs(here[:13] - left.sum(1)).max() <= 1 and np.abs(there[:1030] - right.sum(0)).max() <= 1
         w = left.sum(2) + right.sum(2)
         assert np.allclose(total, np.einsum("ij,ijk,ijl->kl", w, diff, diff), rtol=1e-4) and w.sum() > 100
+
+
+def test_image_files_are_read_once_in_few_tasks(spark, tmp_path):
+    import functools
+    import uuid
+
+    from vektral.sources import tables as T
+
+    x = np.random.default_rng(1).integers(0, 256, (40, 2 * 3 * 3)).astype(float)
+    ds = spark.createDataFrame([(i, i % 3 + 9, i // 3 + 1, [float(v) for v in r]) for i, r in enumerate(x)], "sample_id long, cls int, col_idx int, feat array<double>")
+    path, calls = f"file://{tmp_path}/images", tmp_path / "calls"
+    calls.mkdir()
+    assert T.save_images(ds, path, 3, 2, 3).count() == 40
+    (tmp_path / "images" / "9" / "_left").write_bytes(b"cut short")  # by an attempt that ended: no image
+    assert not [p for p in tmp_path.glob("images/*/*") if not p.name.endswith(".bmp") and p.name != "_left"]
+
+    def read(data):
+        (calls / uuid.uuid4().hex).touch()
+        return T.read_bitmap(data)
+
+    got = T.image_samples(spark, path, read=read).collect()
+    assert len(list(calls.iterdir())) == 40
+    one = {(r["cls"], r["col_idx"]): (r["h"], r["w"], r["ch"], r["feat"]) for r in got}
+    assert one == {(i % 3 + 1, i // 3 + 1): (3, 2, 3, list(r)) for i, r in enumerate(x)}
+    # as Spark's image source decodes them, in colour and grey
+    keys = ("cls", "col_idx", "h", "w", "ch", "feat")
+    for grey in (False, True):
+        plain = sorted(tuple(r[k] for k in keys) for r in T.image_samples(spark, path, grey=grey).collect())
+        assert plain == sorted(tuple(r[k] for k in keys) for r in T.image_samples(spark, path, read=functools.partial(T.read_bitmap, grey=grey)).collect())
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 27)  # a partition a file
+    try:
+        assert "Coalesce" in T.image_samples(spark, path, read=read)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

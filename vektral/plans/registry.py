@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -26,7 +27,7 @@ from ..operators import selection as SE
 from ..operators import statistics as S
 from ..operators import trees as TR
 from ..operators import windows as W
-from ..sources.tables import high_pass_sections, high_passed, image_name, image_samples, natural_key, samples, save_images, stream_of, table
+from ..sources.tables import high_pass_sections, high_passed, image_name, image_samples, natural_key, read_bitmap, samples, save_images, stream_of, table
 from ..streaming.stages import Pipeline, Scaler, run_stream, stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1171,7 +1172,7 @@ def image_files(spark, d):
     """Written as image files, a folder a class, and read back; folders in natural order are the classes."""
     path = f"{G.shared_folder(spark)}/images-{uuid.uuid4().hex}"
     save_images(_bytes(spark, d), path, 8, 8).write.format("noop").mode("overwrite").save()
-    return image_samples(spark, path, grey=True).select("cls", "col_idx", "h", "w", "feat")
+    return image_samples(spark, path, read=functools.partial(read_bitmap, grey=True)).select("cls", "col_idx", "h", "w", "feat")
 
 
 @query(f", g AS (SELECT s.* FROM samples s JOIN (SELECT cls, count(*) AS n FROM samples GROUP BY cls) USING (cls) WHERE 3 * col_idx <= 2 * n), {LONG}, m AS (SELECT pos, avg(x) AS a, stddev_pop(x) AS b FROM long WHERE sample_id IN (SELECT sample_id FROM g) GROUP BY pos), z AS (SELECT sample_id, pos, (x - a) / b AS x FROM long JOIN m USING (pos)),"

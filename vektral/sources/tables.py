@@ -154,11 +154,31 @@ def bitmap(feat, h: int, w: int, ch: int) -> bytes:
     return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(data), 0, 0, 54, 40, w, h, 1, 24, 0, len(data), 2835, 2835, 0, 0) + data
 
 
+def read_bitmap(data: bytes, grey: bool = False) -> tuple:
+    """(h, w, ch, values by column and channel) of a 24-bit bitmap file without compression; grey is the mean of
+    the channels."""
+    import struct
+
+    import numpy as np
+
+    if len(data) < 54 or data[:2] != b"BM" or struct.unpack_from("<HI", data, 28) != (24, 0):
+        raise ValueError("not a plain 24-bit bitmap")
+    first, (w, h) = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<ii", data, 18)
+    wide = -(-w * 3 // 4) * 4
+    rows = np.frombuffer(data, np.uint8, abs(h) * wide, first).reshape(abs(h), wide)[:, : 3 * w]
+    x = (rows[::-1] if h > 0 else rows).reshape(abs(h), w, 3)[:, :, ::-1].astype(float)  # blue comes first
+    if grey:
+        x = x.mean(2, keepdims=True)
+    return abs(h), w, x.shape[2], x.transpose(2, 1, 0).ravel()
+
+
 def save_images(ds: DataFrame, path: str, h: int, w: int, ch: int = 1, folders: bool = True) -> DataFrame:
     """Writes each sample as an image file, <cls>/<col_idx>.bmp or <cls>_<col_idx>.bmp, and gives (sample_id, path).
-    A file is moved to its name when it is whole, so repeated attempts do no harm."""
+    A file is moved to its name when it is whole, so repeated attempts do no harm; until then its name has a mark by which
+    readers pass it over."""
     import uuid
 
+    import numpy as np
     import pyarrow as pa
 
     path = path if "://" in path or path.startswith("file:") else f"file://{path}"
@@ -167,14 +187,18 @@ def save_images(ds: DataFrame, path: str, h: int, w: int, ch: int = 1, folders:
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(path)
+        made = set()
         for batch in batches:
             names = []
             for cls, idx, feat in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 name = f"{top}/{cls}/{idx}.bmp" if folders else f"{top}/{cls}_{idx}.bmp"
-                store.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                part = f"{name}.{uuid.uuid4().hex}"
+                folder = name.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/_{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
-                    out.write(bitmap(feat.as_py(), h, w, ch))
+                    out.write(bitmap(np.asarray(feat.values), h, w, ch))
                 store.move(part, name)
                 names.append(name)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string())], names=["sample_id", "path"])
@@ -185,7 +209,8 @@ def save_images(ds: DataFrame, path: str, h: int, w: int, ch: int = 1, folders:
 def image_samples(spark: SparkSession, path: str, grey: bool = False, read=None) -> DataFrame:
     """A dataset of image files, a folder per class in natural order: path, cls, col_idx, h, w, ch, feat.  Spark's
     image source decodes them; read, a function of a file's bytes that gives (h, w, ch, values by column and
-    channel), does so instead where it is given."""
+    channel), does so instead where it is given: then each file is read once, the folders being known from the paths, and
+    small files are put together in a bounded number of tasks."""
     import numpy as np
     import pyarrow as pa
 
@@ -203,7 +228,9 @@ def image_samples(spark: SparkSession, path: str, grey: bool = False, read=None)
                 x, ch = x.mean(2, keepdims=True), 1
             return h, w, ch, x.transpose(2, 1, 0).ravel()
     else:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        tasks = 8 * max(1, spark.sparkContext.defaultParallelism)
+        paths, files = found.select("path").coalesce(tasks), found.select("path", "content").coalesce(tasks)
 
         def decoded(row) -> tuple:
             return read(row[1])
@@ -214,9 +241,10 @@ def image_samples(spark: SparkSession, path: str, grey: bool = False, read=None)
             out = [(row[0], *decoded(row)) for row in zip(*columns)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())))], names=["path", "h", "w", "ch", "feat"])
 
-    rows = files.mapInArrow(run, schema).withColumn("_folder", F.element_at(F.split("path", "/"), -2))
+    folder = F.element_at(F.split("path", "/"), -2)
+    rows = files.mapInArrow(run, schema).withColumn("_folder", folder)
     # one row per folder is ordered here, not the files
-    order = rows.select("_folder").distinct().withColumn("cls", F.row_number().over(Window.orderBy(natural_key(F.col("_folder")))))
+    order = (rows if read is None else paths).select(folder.alias("_folder")).distinct().withColumn("cls", F.row_number().over(Window.orderBy(natural_key(F.col("_folder")))))
     place = Window.partitionBy("cls").orderBy(natural_key(F.col("path")))
     return rows.join(order, "_folder").withColumn("col_idx", F.row_number().over(place)).select("path", "cls", "col_idx", "h", "w", "ch", "feat")
 
