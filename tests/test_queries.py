@@ -524,3 +524,22 @@ def test_galleries_of_any_size(spark):
     ):
         found = [got(sectors(3).filter(F.col("sample_id") == i)).first()["predicted"] for i in range(3)]
         assert found == want
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    """Values whose shortest decimals are under a half, but whose product with 10000 is one."""
+    import duckdb
+
+    from vektral.operators import images as I
+    from vektral.plans.registry import flat
+
+    x = [0.0] * 7 + [0.8506241176470588, 0.9350723529411764, 0.8465750980392156, 0.42268725490196074] + [1.0] * 7
+    for values in (x, [-v for v in x]):
+        ds = spark.createDataFrame([(1, values)], "sample_id long, feat array<double>")
+        got = flat(ds.select("sample_id", I.truncated(F.col("feat"), 0.1, 0.1).alias("feat")), 4).first()["feat"]
+        s = sorted(values)
+        lo, hi = s[1], s[-2]
+        assert got == [duckdb.execute("SELECT round((least(?, greatest(?, ?)) - ?) / (? - ?) * 255, 4)", [hi, lo, v, lo, hi, lo]).fetchone()[0] for v in values]
+    far = [1e300, 1e306, -1e306, 1e20, 123456789012.34565, float("inf")]
+    ds = spark.createDataFrame([(1, [*far, -0.00004, 0.00005, -0.00005])], "sample_id long, feat array<double>")
+    assert flat(ds, 4).first()["feat"] == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 4)", [v]).fetchone()[0] for v in [*far, -0.00004, 0.00005, -0.00005]]

@@ -63,8 +63,15 @@ def zeroed(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def flat(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Vectors as rounded arrays; what is rounded to zero keeps its sign, as in SQL."""
-    return df.withColumn("feat", F.transform("feat", lambda x: F.when(F.round(x, digits) == 0, x * 0.0).otherwise(F.round(x, digits))))
+    """Vectors as rounded arrays, as in SQL: halves are those of the scaled number, not of its decimals, and what is
+    rounded to zero keeps its sign."""
+    unit = 10.0**digits
+
+    def rounded_as_sql(x):
+        scaled = F.round(x * unit, 0)  # a scaled number that overflows leaves x as it is
+        return F.when(F.abs(x * unit) == float("inf"), x).when(scaled == 0, x * 0.0).otherwise(scaled / unit)
+
+    return df.withColumn("feat", F.transform("feat", rounded_as_sql))
 
 
 # -- class index, slices and sets
