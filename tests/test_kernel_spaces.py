@@ -57,3 +57,11 @@ def test_neighbourhood_components_by_blocks(spark):
     w, mean = M.neighbourhood_components(s, 3, 8)
     v, centre = M.neighbourhood_components(s, 3, 8, most=50)
     assert np.allclose(mean, centre) and np.allclose(v @ v.T, w @ w.T, rtol=1e-6, atol=1e-8)  # but for signs of directions
+
+
+def test_kernel_discriminants_settle_in_few_products(spark):
+    """The map settles them in 5 products; the Krylov space took 19."""
+    s = T.samples(spark, SMALL)
+    ids, dense = matrix(R.kernel_discriminant(s))
+    got, y = matrix(KS.discriminating(s, size=100, most_products=12))
+    assert got == ids and np.allclose(signed(y, dense), dense, atol=1e-7)
