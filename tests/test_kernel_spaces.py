@@ -65,3 +65,11 @@ def test_kernel_discriminants_settle_in_few_products(spark):
     ids, dense = matrix(R.kernel_discriminant(s))
     got, y = matrix(KS.discriminating(s, size=100, most_products=12))
     assert got == ids and np.allclose(signed(y, dense), dense, atol=1e-7)
+
+
+def test_neighbourhood_weights_are_made_in_one_pass(spark, monkeypatch):
+    """A step that is not taken, and the last one, make no gradient."""
+    passes = []
+    monkeypatch.setattr(M, "summed", lambda spark, names, give, add=M.summed: passes.append(give.__qualname__.split(".")[2]) or add(spark, names, give))
+    M.neighbourhood_components(T.samples(spark, SMALL), 3, 2, most=50)
+    assert passes == ["counted", "weights", "slope", "weights"]

@@ -395,67 +395,121 @@ def neighbourhood_components(ds: DataFrame, dims: int = 2, steps: int = 100, rat
 
 
 def _blocked_components(ds: DataFrame, dims: int, steps: int, rate: float, size: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """neighbourhood_components in passes over files of blocks.  A task meets its block's rows with all others
-    twice: for the sums of their weights, then for their share of the gradient; a number and a features x dims
-    sum leave it."""
+    """neighbourhood_components in passes over files of blocks.  A task meets its block's rows with all others for the
+    sums of their weights, which stay as a file, and, where a step is taken, again for their share of the
+    gradient; a number and a features x dims sum leave it.  Pairs are met by tiles that fit a core's cache, whose
+    rows are sorted by class, so that the weights of a class's own pairs are slices."""
     from .learning import pca
 
     ds = ds.select("sample_id", F.coalesce("cls", F.lit(-1)).alias("cls"), "feat").filter(whole())
     a, spread, mean = pca(ds.withColumn("cls", F.lit(0)), dims)
     blocks = Blocks(ds, "cls", size=size or fitting(ds.count()))
-    names, folder = blocks.listed(), blocks.folder
+    names, folder, spark = blocks.listed(), blocks.folder, blocks.spark
+    work = f"{shared_folder(spark)}/weights-{uuid.uuid4().hex}"
 
     def counted(name: str) -> np.ndarray:
         x = read_block(folder, name)[1]
         return np.array([len(x), ((x - mean) ** 2).sum()])
 
-    n, square = summed(blocks.spark, names, counted)
+    n, square = summed(spark, names, counted)
     scale = np.sqrt(square / n) + 1e-12
     a = np.pad(a, ((0, 0), (0, dims - a.shape[1])))
 
-    def passed(a: np.ndarray) -> tuple[float, np.ndarray]:
-        def meet(name: str) -> np.ndarray:
-            ids, x, c = read_block(folder, name)
-            z = (x - mean) / scale
-            za = z @ a
-
-            def others():
-                for other in names:
-                    j, y, o = read_block(folder, other)
-                    zo = (y - mean) / scale
-                    ya = zo @ a
-                    d = (za * za).sum(1)[:, None] + (ya * ya).sum(1) - 2 * za @ ya.T
-                    np.maximum(d, 0, out=d)
+    def sorted_block(name: str, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, x, o = read_block(folder, name)
+        c = o["cls"]
+        order = np.argsort(c, kind="stable")
+        z = (x[order] - mean) / scale
+        return z, z @ a, c[order]
+
+    def tiles(name: str, za: np.ndarray, c: np.ndarray, a: np.ndarray, shift: np.ndarray):
+        """Tiles of shift less the squared distances, -inf for a row itself: rows, what the other block is, its
+        columns, the tile, and the slices whose pairs are of one class."""
+        left = np.column_stack((2 * za, shift - (za * za).sum(1), np.full(len(za), -1.0)))
+        for other in names:
+            zo, ya, o = sorted_block(other, a)
+            right = np.column_stack((ya, np.ones(len(ya)), (ya * ya).sum(1))).T
+            for at in range(0, len(ya), 1024):
+                columns = slice(at, min(at + 1024, len(ya)))
+                beside = o[columns]
+                for r in range(0, len(za), 64):
+                    rows = slice(r, min(r + 64, len(za)))
+                    g = left[rows] @ right[:, columns]
                     if other == name:
-                        np.fill_diagonal(d, np.inf)
-                    yield zo, ya, d, c["cls"][:, None] == o["cls"]
-
-            least, total, own = np.full(len(z), np.inf), np.zeros(len(z)), np.zeros(len(z))
-            for _, _, d, same in others():
-                new = np.minimum(least, d.min(1))
-                fade = np.where(np.isfinite(least), np.exp(new - np.where(np.isfinite(least), least, 0)), 0)
-                e = np.exp(np.where(np.isfinite(new), new, 0)[:, None] - d)
-                total, own, least = total * fade + e.sum(1), own * fade + (e * same).sum(1), new
-            own = own / np.maximum(total, 1e-300)
-            gradient = np.zeros((z.shape[1], dims))
-            for zo, ya, d, same in others():
-                w = np.exp(least[:, None] - d) / total[:, None]
-                w = own[:, None] * w - w * same
-                row, column = w.sum(1)[:, None], w.sum(0)[:, None]
-                gradient += z.T @ (row * za - w @ ya) + zo.T @ (column * ya - w.T @ za)
-            return np.concatenate(([own.sum()], gradient.ravel()))
-
-        got = summed(blocks.spark, names, meet)
-        return float(got[0]), 2 * got[1:].reshape(-1, dims)
+                        k = np.arange(max(r, at), min(rows.stop, columns.stop))
+                        g[k - r, k - at] = -np.inf
+                    own = c[rows]
+                    ends = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
+                    first, last = np.searchsorted(beside, own[ends[:-1]]), np.searchsorted(beside, own[ends[:-1]], "right")
+                    same = [(slice(i, j), slice(p, q)) for i, j, p, q in zip(ends[:-1], ends[1:], first, last) if q > p]
+                    yield rows, other, (zo, ya), columns, g, same
+
+    def weights(a: np.ndarray) -> float:
+        """The sum of the samples' shares of their own class; what the gradient needs of a row stays in a file."""
+
+        def meet(name: str) -> np.ndarray:
+            _, za, c = sorted_block(name, a)
+            most, total, own = np.full(len(za), -np.inf), np.zeros(len(za)), np.zeros(len(za))
+            for rows, _, _, _, g, same in tiles(name, za, c, a, np.zeros(len(za))):
+                old = most[rows]
+                new = np.maximum(old, g.max(1))
+                base = np.where(np.isfinite(new), new, 0)
+                fade = np.where(np.isfinite(old), np.exp(old - base), 0)
+                g -= base[:, None]
+                np.exp(g, out=g)
+                mine = own[rows] * fade
+                for i, j in same:
+                    mine[i] += g[i, j].sum(1)
+                total[rows], own[rows], most[rows] = total[rows] * fade + g.sum(1), mine, new
+            share = own / np.maximum(total, 1e-300)
+            shift = -np.where(np.isfinite(most), most, 0) - np.log(np.maximum(total, 1e-300))
+            store_array(work, name, np.stack((share, shift)))
+            return np.array([share.sum()])
+
+        return float(summed(spark, names, meet)[0])
+
+    def slope(a: np.ndarray) -> np.ndarray:
+        """The gradient at a, whose weights have been made."""
+
+        def meet(name: str) -> np.ndarray:
+            z, za, c = sorted_block(name, a)
+            share, shift = load_array(work, name)
+            one, two = np.column_stack((za, np.ones(len(za)))), share[:, None] * np.column_stack((za, np.ones(len(za))))
+            mine, gradient = np.zeros_like(one), np.zeros((z.shape[1], dims))
+            theirs, at, known = np.zeros((0, 0)), None, None
+
+            def take() -> np.ndarray:  # the other block's rows, by the weights that the own ones give them
+                zo, ya = known
+                return zo.T @ (theirs[:, -1:] * ya - theirs[:, :-1])
+
+            for rows, other, block, columns, g, same in tiles(name, za, c, a, shift):
+                if other != at:
+                    gradient += take() if at is not None else 0.0
+                    at, known = other, block
+                    theirs, beside = np.zeros((len(block[1]), dims + 1)), np.column_stack((block[1], np.ones(len(block[1]))))
+                np.exp(g, out=g)
+                part = share[rows, None] * (g @ beside[columns])
+                back = g.T @ two[rows]
+                for i, j in same:
+                    part[i] -= g[i, j] @ beside[columns][j]
+                    back[j] -= g[i, j].T @ one[rows][i]
+                mine[rows] += part
+                theirs[columns] += back
+            gradient += take() + z.T @ (mine[:, -1:] * za - mine[:, :-1])
+            return gradient
+
+        return 2 * summed(spark, names, meet)
 
     best, best_a, gradient = -np.inf, a, 0
-    for _ in range(steps):
-        own, slope = passed(a)
+    for step in range(steps):
+        own = weights(a)
         if own > best:
-            best, best_a, rate, gradient = own, a, rate * 1.1, slope
+            best, best_a, rate = own, a, rate * 1.1
+            gradient = slope(a) if step < steps - 1 else 0
         else:
             rate /= 2
         a = best_a + rate * gradient
+    drop_folder(spark, work)
     blocks.forget()
     return best_a / scale, mean
 
